@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import BROADCAST_ROWS, SPACE_CHARS, let, materialize, own_name, text_or_empty, words_of
+from pulseloom.llm.common import BROADCAST_ROWS, SPACE_CHARS, let, materialize, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -140,8 +140,7 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules
     f = features(text_or_empty(text), rules)
     scored = docs.select(F.col(host).alias("_host"), f.alias("_f")).select("_host", any_failed(F.col("_f"), rules).alias("_failed"))
     bad = host_verdicts(scored, "_host", "_failed", rules).filter("host_rejected").select(F.col("_host").alias("_bad_host"))
-    mark = own_name(docs, "_base_failed")
-    good = docs.withColumn(mark, base_failed(f, rules)).filter(~F.col(mark)).drop(mark)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).alias("_host"), base_failed(f, rules).alias("_failed"))
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return good.join(bad, F.col(host).eqNullSafe(F.col("_bad_host")), "left_anti").select(*docs.columns)
+    return packed.filter("NOT _failed").join(bad, F.col("_host").eqNullSafe(F.col("_bad_host")), "left_anti").select("row.*")
