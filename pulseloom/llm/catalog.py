@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import exact, quality
+from pulseloom.llm import exact, quality, shards
 from pulseloom.llm.common import documents
 
 OP8 = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -22,8 +22,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(documents(spark, sf_dir))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes; equal texts share one."""
+    return shards.assign(documents(spark, sf_dir), shards=40)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_exact_dedup, op8_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
