@@ -83,6 +83,8 @@ def _doubtful(blocks: list[Block], shards: int, largest: int) -> tuple[set[int],
     """Indexes of the blocks in which the best partition may cut, and a lower bound on its capacity."""
     low = _least(blocks, shards, largest, True)
     high = _least(blocks, shards, low, False)
+    if low == high:
+        return set(), low
     # Cuts lie furthest left for the smallest capacity without division, furthest right for the largest with it.
     right = _greedy(blocks, high, shards, True)[1]
     left, room = [0], low
@@ -92,7 +94,8 @@ def _doubtful(blocks: list[Block], shards: int, largest: int) -> tuple[set[int],
             room = low
         room = max(0, room - b.size)
     found = set()
-    for k, (to, _) in enumerate(right):
+    for k in range(min(shards - 1, max(len(right), len(left) - 1))):
+        to = right[k][0] if k < len(right) else len(blocks) - 1
         start = left[k + 1] if k + 1 < len(left) else left[-1]
         found |= {i for i in range(max(0, min(start, to) - 1), min(len(blocks), to + 2)) if not blocks[i].atomic}
     return found, low
