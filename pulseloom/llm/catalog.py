@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import exact, quality, shards
+from pulseloom.llm import exact, mixing, quality, shards
 from pulseloom.llm.common import documents
 
 OP8 = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed to their sources' targets, in whole passes."""
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and host-level verdict of every document."""
     return quality.score(documents(spark, sf_dir)).select(*OP8)
@@ -28,7 +33,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op8_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_mix_sources, op8_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
