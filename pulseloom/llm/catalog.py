@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import exact, mixing, quality, shards
+from pulseloom.llm import exact, mixing, packing, quality, shards
 from pulseloom.llm.common import documents
+from pulseloom.llm.packing import tokenizer_path
 
 OP8 = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
@@ -17,6 +18,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens of byte_bpe_50k.json."""
+    return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and host-level verdict of every document."""
     return quality.score(documents(spark, sf_dir)).select(*OP8)
@@ -33,7 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_mix_sources, op8_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op8_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

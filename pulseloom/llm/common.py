@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words, as a Java and RE2 class.
@@ -93,3 +93,22 @@ def attach(rows: DataFrame, info: DataFrame, key: str, count: str, total: int, h
     cold_rows = marked.filter(F.col(mark).isNull()).drop(mark)
     hot_rows = marked.filter(F.col(mark).isNotNull()).drop(mark)
     return cold_rows.join(info.filter(F.col(count) <= limit), key, how).unionByName(hot_rows.join(F.broadcast(hot), key, how))
+
+
+#: Rows that a cell of the numbering is to hold, and cells at least.
+CELL_ROWS, MIN_CELLS = 4096, 512
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], n: int, name: str) -> DataFrame:
+    """rows with their number within their group, from 0: within cells of a bounded size, plus the rows of the cells before.
+
+    A group may hold any share of the n rows: its rows are dealt over all cells by a hash of ``order``.
+    """
+    cells = max(MIN_CELLS, n // CELL_ROWS)
+    placed = rows.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    counts = placed.groupBy(group, "_cell").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "_cell", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(group, "_cell").orderBy(*order)
+    out = placed.withColumn("_in_cell", F.row_number().over(within) - 1).join(counts, [group, "_cell"])
+    return out.withColumn(name, (F.col("_offset") + F.col("_in_cell")).cast("long")).drop("_cell", "_in_cell", "_offset")

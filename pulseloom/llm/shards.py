@@ -22,15 +22,13 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import materialize, text_or_empty
+from pulseloom.llm.common import materialize, numbered, text_or_empty
 
 #: Hex digits of the digest that name the first blocks, and by how many more each refinement splits one.
 FIRST_DIGITS, MORE_DIGITS = 3, 2
-#: Rows that a cell of the slot numbering is to hold, and cells of a shard at least.
-CELL_ROWS, MIN_CELLS = 4096, 512
 
 
 @dataclass
@@ -186,20 +184,6 @@ def assign(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "do
     ordinary = sum([(F.col("digest") >= c).cast("int") for c in cuts], F.lit(first))
     shard = F.coalesce(*[F.when(F.col("digest") == d, F.lit(i)) for i, d in enumerate(alone)], ordinary) if alone else ordinary
     placed = rows.withColumn("shard", shard.cast("int"))
-    return _slots(placed, rows.count(), shards).select(
+    return numbered(placed, "shard", ["doc_id", "digest", "size", "text_crc32"], rows.count(), "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
-
-
-def _slots(placed: DataFrame, n: int, shards: int) -> DataFrame:
-    """Number the rows of each shard from 0: within cells of a bounded size, plus the rows of the cells before."""
-    cells = max(MIN_CELLS, n // (shards * CELL_ROWS))
-    order = ["doc_id", "digest", "size", "text_crc32"]
-    spread = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(cells)).cast("int")
-    placed = placed.withColumn("cell", spread)
-    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "cell", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "cell").orderBy(*order)
-    numbered = placed.withColumn("_in_cell", F.row_number().over(within) - 1)
-    return numbered.join(counts, ["shard", "cell"]).withColumn("slot", (F.col("offset") + F.col("_in_cell")).cast("long"))
