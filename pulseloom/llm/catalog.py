@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import exact, mixing, packing, quality, shards
+from pulseloom.llm import exact, mixing, neardup, packing, quality, shards
 from pulseloom.llm.common import documents
 from pulseloom.llm.packing import tokenizer_path
 
@@ -28,6 +28,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir)).select(*OP8)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: weighted Jaccard similarity of five-word shingles of 0.8 or more."""
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts: half of the documents are the snapshot, the others come in as a batch."""
     return exact.dedup(documents(spark, sf_dir))
@@ -39,7 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op8_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op8_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

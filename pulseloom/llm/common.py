@@ -112,3 +112,22 @@ def numbered(rows: DataFrame, group: str, order: list[str], n: int, name: str) -
     within = Window.partitionBy(group, "_cell").orderBy(*order)
     out = placed.withColumn("_in_cell", F.row_number().over(within) - 1).join(counts, [group, "_cell"])
     return out.withColumn(name, (F.col("_offset") + F.col("_in_cell")).cast("long")).drop("_cell", "_in_cell", "_offset")
+
+
+def distinct_texts(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node, copies), narrow and written, and content (node, text) with one row for each distinct text.
+
+    node is the first half of the text's SHA-256. Only texts that occur more
+    than once are looked up, so that texts never shuffle.
+    """
+    node = F.substring(F.unhex(F.sha2(text_or_empty(text), 256)), 1, 16)
+    rows = docs.select(F.col(key).alias("doc_id"), node.alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("copies"))
+    rows = materialize(rows, "nodes")
+    several = materialize(rows.groupBy("node").agg(F.sum("copies").alias("n"), F.max("doc_id").alias("keep_id")).filter("n > 1"), "several")
+    total = rows.agg(F.sum("copies")).first()[0] or 0
+    chosen = attach(rows, several, "node", "n", total, "inner").filter("doc_id <=> keep_id")
+    chosen = materialize(chosen.select("node", "keep_id", "n", "copies"), "chosen")
+    all_ = attach(docs.select(node.alias("node"), F.col(key).alias("doc_id"), text_or_empty(text).alias("text")), chosen, "node", "n", total)
+    all_ = all_.filter("n IS NULL OR doc_id <=> keep_id")
+    repeated = F.coalesce("copies", F.lit(1)) > 1
+    return rows, all_.filter(~repeated).select("node", "text").unionByName(all_.filter(repeated).select("node", "text").dropDuplicates(["node"]))
