@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import exact, html, mixing, neardup, packing, quality, shards
+from pulseloom.llm import exact, html, linedup, mixing, neardup, packing, quality, shards
 from pulseloom.llm.common import documents
 from pulseloom.llm.packing import tokenizer_path
 
@@ -28,6 +28,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(documents(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every line with a word of every document, whether it stays and which line stands for it."""
+    return linedup.lines(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and host-level verdict of every document."""
     return quality.score(documents(spark, sf_dir)).select(*OP8)
@@ -49,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op6_html_extraction, op8_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op6_html_extraction, op7_line_dedup, op8_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

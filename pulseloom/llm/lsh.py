@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import BROADCAST_ROWS, attach, materialize
+from pulseloom.llm.common import attach, materialize
 from pulseloom.llm.components import components
 from pulseloom.llm.shingles import weighted_jaccard
 
@@ -27,6 +27,8 @@ SMALL, SHARE = 64, 48
 #: Bands whose buckets are compared first; the others then mostly hold one component.
 FIRST_BANDS = 3
 
+#: Texts (node, text), one row each, of the given nodes and their number.
+Content = Callable[[DataFrame, int], DataFrame]
 Vectors = Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]
 
 
@@ -61,7 +63,7 @@ def linked(pdf: pd.DataFrame, vectors: Vectors, threshold: float) -> list[tuple[
     return found
 
 
-def _compare(blocks: DataFrame, content: DataFrame, vectors: Vectors, threshold: float) -> DataFrame:
+def _compare(blocks: DataFrame, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
     """blocks (block, node, and maybe label and ask) -> links (a, b)."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,10 +71,9 @@ def _compare(blocks: DataFrame, content: DataFrame, vectors: Vectors, threshold:
         nodes = pdf["node"].tolist()
         return pd.DataFrame({"a": [nodes[i] for i, _ in pairs], "b": [nodes[j] for _, j in pairs]}, dtype=object)
 
-    nodes = blocks.select("node").distinct()
-    if (nodes := materialize(nodes, "compared")).count() <= BROADCAST_ROWS:
-        content = content.join(F.broadcast(nodes), "node", "left_semi")
-    return blocks.join(content, "node").groupBy("block").applyInPandas(of, "a binary, b binary")
+    nodes = materialize(blocks.select("node").distinct(), "compared")
+    texts = content(nodes, nodes.count())
+    return blocks.join(texts, "node").groupBy("block").applyInPandas(of, "a binary, b binary")
 
 
 def _parts(n: str):
@@ -83,8 +84,8 @@ def _dealt(salt: int, parts):
     return F.pmod(F.xxhash64("node", F.lit(salt)), parts)
 
 
-def near_components(keys: DataFrame, content: DataFrame, vectors: Vectors, threshold: float) -> DataFrame:
-    """keys (node, keys: one per band), content (node, text) -> (node, label) of all nodes that are linked to another."""
+def near_components(keys: DataFrame, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
+    """keys (node, keys: one per band) -> (node, label) of all nodes that are linked to another."""
     dealt = keys.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = dealt.groupBy("key").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("_set"), F.min("node").alias("centre"), F.min("band").alias("band")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import attach, distinct_texts, materialize, text_or_empty
+from pulseloom.llm.common import BROADCAST_ROWS, attach, distinct_texts, materialize, text_or_empty
 from pulseloom.llm.lsh import near_components
 from pulseloom.llm.shingles import mix, texts_words, weighted, word_shingles
 
@@ -176,7 +176,11 @@ def classes_of_texts(content: DataFrame, n: int) -> DataFrame:
         return [idf.value.weigh(s) for s in _shingles(pa.array(texts, pa.large_string()))]
 
     keys = materialize(content.mapInArrow(sample, "node binary, keys array<long>"), "bands")
-    return near_components(keys, content, vectors, THRESHOLD)
+
+    def texts_of(nodes, n):
+        return content.join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
+
+    return near_components(keys, texts_of, vectors, THRESHOLD)
 
 
 def _class_info(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame, int]:
