@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import exact, html, linedup, mixing, neardup, packing, quality, shards
+from pulseloom.llm import exact, html, licenses, linedup, mixing, neardup, packing, quality, shards
 from pulseloom.llm.common import documents
 from pulseloom.llm.packing import tokenizer_path
 
@@ -48,13 +48,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(documents(spark, sf_dir))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of all documents that state a licence, with its family."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes; equal texts share one."""
     return shards.assign(documents(spark, sf_dir), shards=40)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op6_html_extraction, op7_line_dedup, op8_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_license_scans, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
