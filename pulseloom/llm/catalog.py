@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import exact, html, licenses, linedup, mixing, neardup, packing, quality, shards
+from pulseloom.llm import exact, html, licenses, linedup, lm, mixing, neardup, packing, quality, shards
 from pulseloom.llm.common import documents
 from pulseloom.llm.packing import tokenizer_path
 
@@ -23,6 +23,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and recurrent network's score of every whole document."""
+    return lm.scores(documents(spark, sf_dir))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html.extract(documents(spark, sf_dir, "pages"))
@@ -59,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_license_scans, op10_sharding)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_license_scans, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
