@@ -5,8 +5,11 @@ which every pair that is not yet connected is compared. A large one is dealt
 over blocks that all hold its centre as well. Once what is linked so has been
 joined to components, only buckets that hold several components are looked at
 again: the members outside the largest one are compared with all other members,
-in blocks. So no two members of a bucket stay apart unless they have been
-compared or are connected anyway. Links leave a block, pairs never do.
+in blocks. Of large buckets, members go first that can't be similar to any
+other, because too much of their weight is on features that no other member of
+such a bucket has. So no two members of a bucket stay apart unless they have
+been compared, can't be similar, or are connected anyway. Links leave a block,
+pairs never do.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import attach, materialize
+from pulseloom.llm.common import BROADCAST_ROWS, attach, materialize
 from pulseloom.llm.components import components
 from pulseloom.llm.shingles import weighted_jaccard
 
@@ -80,10 +84,60 @@ def _parts(n: str):
     return F.ceil(F.col(n) / SHARE).cast("int")
 
 
+def _several(members: DataFrame, total: int) -> DataFrame:
+    """Members (key, node, n, label) of buckets with several labels, with size, main (the commonest label) and asking (others' members)."""
+    shares = members.groupBy("key", "label").agg(F.count("*").alias("share"))
+    by_key = shares.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", "share").alias("main"), F.max("share").alias("share"), F.sum("share").alias("size"))
+    open_ = by_key.filter("labels > 1").select("key", (F.col("size") - F.col("share")).alias("asking"), "main", "size")
+    return attach(members.drop("n"), materialize(open_, "open"), "key", "size", total, "inner")
+
+
 def _dealt(salt: int, parts):
     return F.pmod(F.xxhash64("node", F.lit(salt)), parts)
 
 
+def _able(nodes: DataFrame, n: int, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
+    """The nodes that have at least the threshold's share of their weight on features that another of the nodes has too.
+
+    Similarity can't exceed that share. Features are packed by ranges of their
+    hashes, a row for each range and a few hundred texts.
+    """
+    ranges = max(64, n // 500)
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                vecs = vectors(part.column(1).to_pylist())
+                keys, weights = np.concatenate([k for k, _ in vecs]), np.concatenate([w for _, w in vecs]).astype(np.float64)
+                owner = np.repeat(np.arange(len(vecs), dtype=np.int32), [len(k) for k, _ in vecs])
+                where = (keys >> np.uint64(20)) % np.uint64(ranges)
+                order = np.argsort(where, kind="stable")
+                found, first = np.unique(where[order], return_index=True)
+                cuts = np.split(order, first[1:])
+                nodes = part.column(0).to_pylist()
+                rows = [found.astype(np.int32).tolist(), [nodes] * len(found), *([x[c].tobytes() for c in cuts] for x in (owner, keys, weights))]
+                kinds = pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["part", "nodes", "owner", "keys", "weights"])
+
+    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = [x for row in pdf["nodes"] for x in row]
+        base = np.cumsum([0, *(len(row) for row in pdf["nodes"])])
+        owner = np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(pdf["owner"], base)])
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
+        weights = np.concatenate([np.frombuffer(x, np.float64) for x in pdf["weights"]])
+        _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        held = np.bincount(owner, weights=weights * (counts[which] > 1), minlength=len(nodes))
+        total = np.bincount(owner, weights=weights, minlength=len(nodes))
+        some = np.flatnonzero(total)
+        return pd.DataFrame({"node": [nodes[i] for i in some], "held": held[some], "total": total[some]})
+
+    packed = content(nodes, n).select("node", "text").mapInArrow(pack, "part int, nodes array<binary>, owner binary, keys binary, weights binary")
+    masses = packed.groupBy("part").applyInPandas(shared, "node binary, held double, total double")
+    able = masses.groupBy("node").agg(F.sum("held").alias("held"), F.sum("total").alias("total"))
+    return able.filter(F.col("held") >= F.col("total") * (threshold - 1e-9)).select("node")
+
+
 def near_components(keys: DataFrame, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
     """keys (node, keys: one per band) -> (node, label) of all nodes that are linked to another."""
     dealt = keys.select("node", F.posexplode("keys").alias("band", "key"))
@@ -111,12 +165,16 @@ def near_components(keys: DataFrame, content: Content, vectors: Vectors, thresho
 
     rest = members.filter((F.col("band") >= FIRST_BANDS) | (F.col("n") > SMALL)).join(labels, "node", "left")
     rest = rest.select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    shares = rest.groupBy("key", "n", "label").agg(F.count("*").alias("share"))
-    by_key = shares.groupBy("key", "n").agg(F.count("*").alias("labels"), F.max_by("label", "share").alias("main"), F.max("share").alias("share"))
-    open_ = materialize(by_key.filter("labels > 1").select("key", (F.col("n") - F.col("share")).alias("asking"), "main", F.col("n").alias("size")), "open")
-    if not open_.count():
+    rest = materialize(_several(rest, total), "rest")
+    large = rest.filter(F.col("size") > SMALL)
+    doubtful = materialize(large.select("node").distinct(), "doubtful")
+    if n := doubtful.count():
+        able = materialize(_able(doubtful, n, content, vectors, threshold), "able")
+        large = large.join(F.broadcast(able) if able.count() <= BROADCAST_ROWS else able, "node", "left_semi")
+        left = materialize(_several(large.select("key", "node", F.col("size").alias("n"), "label"), total), "rest")
+        rest = rest.filter(F.col("size") <= SMALL).unionByName(left)
+    elif not rest.limit(1).count():
         return labels
-    rest = materialize(attach(rest.drop("n"), open_, "key", "size", total, "inner"), "rest")
     small = rest.filter(F.col("size") <= SMALL).select(F.col("key").alias("block"), "node", "label", F.lit(True).alias("ask"))
     large = rest.filter(F.col("size") > SMALL)
     asking, rows = _parts("asking"), _parts("size")
