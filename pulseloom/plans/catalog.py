@@ -30,3 +30,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms of the two-sided CUSUM over the intervals of every pulse stream."""
+    return _QUERIES["delta_t_tracking"](spark, sf_dir)
