@@ -1 +1,147 @@
-"""Queries."""
+"""Queries over array segments (embeddings), synthetic signals, studies and streams."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from pulseloom.operators import campaign, detect, studies
+from pulseloom.plans.catalog import register
+from pulseloom.plans.common import r, rounded
+from pulseloom.sources.tables import INTERVALS_SQL, segments
+
+FS = 1e9
+BANDS = [(0.0, 0.1), (0.1, 0.3), (0.3, 0.6)]
+_N = 64
+
+_SPEC = f"""WITH s AS (SELECT vec_id AS series_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT series_id, i, x - avg(x) OVER (PARTITION BY series_id) AS x FROM s),
+ f AS (SELECT range AS f_no FROM range({_N // 2 + 1})),
+ spec AS (SELECT series_id, f_no, f_no * {FS / _N}::DOUBLE AS f_hz, (power(sum(x * cos(2 * pi() * f_no * i / {_N})), 2) + power(sum(x * sin(2 * pi() * f_no * i / {_N})), 2)) / {_N} AS psd FROM c, f GROUP BY ALL)"""
+
+
+@register("spectrum", f"{_SPEC} SELECT series_id, f_no, {r('f_hz', digits=1)}, {r('psd')} FROM spec")
+def spectrum(spark, d):
+    out = campaign.spectrum(segments(spark, d), FS)
+    return rounded(rounded(out, 1, "f_hz"), 6, "psd")
+
+
+def _band_sql(low: float, high: float) -> str:
+    return f"coalesce(sum(CASE WHEN f_hz >= {low * 1e9} AND pf >= {low * 1e9} AND f_hz < {high * 1e9} THEN (psd + pp) / 2 * (f_hz - pf) END), 0)"
+
+
+_NAMES = [campaign.band_name(*b) for b in BANDS]
+_BANDS = (
+    _SPEC
+    + ", l AS (SELECT *, lag(f_hz) OVER w AS pf, lag(psd) OVER w AS pp FROM spec WINDOW w AS (PARTITION BY series_id ORDER BY f_no)), b AS (SELECT series_id, sum((psd + pp) / 2 * (f_hz - pf)) AS spectral_total_power, "
+    + ", ".join(f"{_band_sql(*b)} AS {n}" for b, n in zip(BANDS, _NAMES))
+    + ", sum(f_hz * psd) / sum(psd) AS spectral_centroid_hz FROM l GROUP BY series_id)"
+)
+
+
+@register(
+    "spectral_metrics",
+    f"{_BANDS} SELECT series_id, {r('spectral_total_power', digits=0)}, {', '.join(r(n, digits=0) for n in _NAMES)}, {', '.join(r(f'{n} / spectral_total_power', f'{n}_share', 6) for n in _NAMES)}, {r('spectral_centroid_hz', digits=0)}, {r(f'{_NAMES[-1]} / {_NAMES[0]}', 'ratio_high_low', 5)} FROM b",
+)
+def spectral_metrics(spark, d):
+    out = campaign.spectral_metrics(campaign.spectrum(segments(spark, d), FS), BANDS)
+    out = rounded(out, 0, "spectral_total_power", *_NAMES, "spectral_centroid_hz")
+    return rounded(rounded(out, 6, *[f"{n}_share" for n in _NAMES]), 5, "ratio_high_low")
+
+
+def _summary(df):
+    """A row for each segment: length, energy and extremes of its samples."""
+    return detect.to_long(df).groupBy("series_id").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("energy"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+@register("wavelet_denoise")
+def wavelet_denoise(spark, d):
+    return _summary(detect.denoise(segments(spark, d), "db4", "soft", "universal"))
+
+
+@register("hilbert_envelope")
+def hilbert_envelope(spark, d):
+    return _summary(detect.envelope(segments(spark, d)))
+
+
+@register("bandpass_filter")
+def bandpass_filter(spark, d):
+    return _summary(detect.bandpass(segments(spark, d), FS, 50e6, 300e6))
+
+
+@register("lms_noise_canceller")
+def lms_noise_canceller(spark, d):
+    return _summary(detect.cancel_noise(segments(spark, d), 0.01, 8))
+
+
+@register("preprocess_chain")
+def preprocess_chain(spark, d):
+    return _summary(detect.preprocess(segments(spark, d), FS, 50e6, 300e6, True, True, True))
+
+
+@register("distance_peaks")
+def distance_peaks(spark, d):
+    return detect.array_pulses(segments(spark, d), FS, 1.0, 5e-9)
+
+
+@register("prominence_peaks")
+def prominence_peaks(spark, d):
+    return detect.array_pulses(segments(spark, d), FS, 3.0, 0.0, "prominence")
+
+
+@register("pulse_morphology")
+def pulse_morphology(spark, d):
+    return detect.pulse_shapes(segments(spark, d), FS, 1.0)
+
+
+@register("synthetic_signals")
+def synthetic_signals(spark, d):
+    return _summary(studies.synthetic_signals(spark, 8).select("series_id", "samples"))
+
+
+@register("denoising_grid")
+def denoising_grid(spark, d):
+    return studies.denoising_grid(spark, 3, 1024)
+
+
+@register("denoising_best_cell")
+def denoising_best_cell(spark, d):
+    return studies.best_cell(studies.denoising_grid(spark, 3, 1024))
+
+
+@register("snr_study")
+def snr_study(spark, d):
+    return studies.snr_study(spark, (0.0, 10.0, 20.0), 4)
+
+
+@register("convergence_study")
+def convergence_study(spark, d):
+    return studies.convergence_study(spark, (0.0, 0.1, 0.5), 4, 500)
+
+
+@register("stream_delta_t", f"WITH {INTERVALS_SQL} SELECT series_id, event_id, {r('delta_t_s')} FROM intervals")
+def stream_delta_t(spark, d):
+    from pulseloom.streaming import tracking
+
+    return rounded(tracking.replay(spark, d, tracking.delta_t).select("series_id", "event_id", "delta_t_s"))
+
+
+@register("stream_kalman")
+def stream_kalman(spark, d):
+    from pulseloom.streaming import tracking
+
+    return tracking.replay(spark, d, tracking.trackers)
+
+
+_DAY = 86_400
+
+
+@register(
+    "stream_window_counts",
+    f"SELECT event_type AS channel, CAST(floor(epoch(ts) / {_DAY}) * {_DAY} AS BIGINT) AS start_s, count(*) AS n, {r('sum(value)', 'total', 4)} FROM events GROUP BY ALL",
+)
+def stream_window_counts(spark, d):
+    from pulseloom.streaming import tracking
+
+    return rounded(tracking.replay(spark, d, tracking.window_counts), 4)
+
+

@@ -1 +1,109 @@
-"""Queries."""
+"""Hypothesis tests as queries."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from pulseloom.operators import hypothesis, intervals, track
+from pulseloom.plans.catalog import register
+from pulseloom.plans.common import r, rounded
+from pulseloom.plans.intervals import _KALMAN, GAP, P0, Q, R
+from pulseloom.sources.tables import INTERVALS_SQL, pulses
+
+_WITH = f"WITH {INTERVALS_SQL}"
+
+
+def _dt(spark, d):
+    return intervals.delta_t(pulses(spark, d))
+
+
+@register(
+    "nis_mean",
+    f"{_KALMAN} SELECT series_id, count(*) AS n, {r('avg(innovation * innovation / greatest(variance, 1e-30))', 'mean_nis', 0)} FROM filtered GROUP BY series_id",
+)
+def nis_mean(spark, d):
+    out = hypothesis.nis(track.kalman(_dt(spark, d), Q, R, P0, GAP))
+    return rounded(out.select("series_id", "n", "mean_nis"), 0)
+
+
+@register("nis_test")
+def nis_test(spark, d):
+    return hypothesis.nis(track.kalman(_dt(spark, d), 1e8, 1e8, 1e8, 1e12))
+
+
+_LAGS = 10
+
+
+@register(
+    "ljung_box",
+    f"""{_WITH}, c AS (SELECT series_id, k, delta_t_s - avg(delta_t_s) OVER (PARTITION BY series_id) AS x FROM intervals),
+ l AS (SELECT *, {', '.join(f'x * lag(x, {j}) OVER w AS l{j}' for j in range(1, _LAGS + 1))} FROM c WINDOW w AS (PARTITION BY series_id ORDER BY k)),
+ s AS (SELECT series_id, count(*) AS n, sum(x * x) AS s, {', '.join(f'coalesce(sum(l{j}), 0) AS l{j}' for j in range(1, _LAGS + 1))} FROM l GROUP BY series_id)
+ SELECT series_id, n, {r('n * (n + 2) * (' + ' + '.join(f'power(l{j} / s, 2) / (n - {j})' for j in range(1, _LAGS + 1)) + ')', 'q')} FROM s""",
+)
+def ljung_box(spark, d):
+    return rounded(hypothesis.ljung_box(_dt(spark, d), "delta_t_s", _LAGS).select("series_id", "n", "q"))
+
+
+@register("ljung_box_test")
+def ljung_box_test(spark, d):
+    return hypothesis.ljung_box(_dt(spark, d), "delta_t_s")
+
+
+@register(
+    "kruskal_h",
+    f"""{_WITH}, kept AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY series_id, channel) AS g FROM intervals) WHERE g >= 2),
+ rk AS (SELECT *, count(*) OVER (PARTITION BY series_id, delta_t_s) AS ties, rank() OVER (PARTITION BY series_id ORDER BY delta_t_s) + (count(*) OVER (PARTITION BY series_id, delta_t_s) - 1) / 2 AS rk FROM kept),
+ t AS (SELECT series_id, CAST(sum(ties * ties) - count(*) AS DOUBLE) AS t FROM rk GROUP BY series_id), s AS (SELECT series_id, channel, sum(rk) AS rs, count(*) AS n FROM rk GROUP BY ALL),
+ m AS (SELECT series_id, sum(rs * rs / n) AS rr, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups FROM s GROUP BY series_id),
+ h AS (SELECT series_id, groups, n, (12 / (n * (n + 1)) * rr - 3 * (n + 1)) / (1 - t / (n::DOUBLE * n * n - n)) AS h FROM m JOIN t USING (series_id))
+ SELECT series_id, groups, n, {r('h')}, {r('greatest(0, (h - groups + 1) / (n - groups))', 'eta_squared')} FROM h""",
+)
+def kruskal_h(spark, d):
+    out = hypothesis.kruskal(_dt(spark, d), "delta_t_s", "channel", "series_id")
+    return rounded(out.select("series_id", "groups", "n", "h", "eta_squared"))
+
+
+@register(
+    "mann_whitney_u",
+    f"""{_WITH}, g AS (SELECT DISTINCT channel AS c FROM intervals), p AS (SELECT x.c AS a, y.c AS b FROM g x JOIN g y ON x.c < y.c),
+ rows_ AS (SELECT a, b, channel, delta_t_s AS v FROM intervals JOIN p ON channel = a OR channel = b),
+ rk AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2 AS rk FROM rows_),
+ m AS (SELECT a, b, sum(CASE WHEN channel = a THEN rk END) AS rs, count(*) FILTER (WHERE channel = a) AS n1, count(*) FILTER (WHERE channel = b) AS n2 FROM rk GROUP BY a, b)
+ SELECT a, b, n1, n2, {r('rs - n1 * (n1 + 1) / 2', 'u', 2)}, {r('1 - 2 * (rs - n1 * (n1 + 1) / 2) / (n1 * n2)', 'rank_biserial')} FROM m""",
+)
+def mann_whitney_u(spark, d):
+    out = hypothesis.mann_whitney(_dt(spark, d), "delta_t_s", "channel").select("a", "b", "n1", "n2", "u", "rank_biserial")
+    return rounded(rounded(out, 2, "u"), 6, "rank_biserial")
+
+
+@register("mann_whitney_test")
+def mann_whitney_test(spark, d):
+    return hypothesis.mann_whitney(_dt(spark, d), "delta_t_s", "channel")
+
+
+@register(
+    "cohens_d",
+    f"""{_WITH}, m AS (SELECT series_id, count(*) FILTER (WHERE k < 30) AS n1, count(*) FILTER (WHERE k >= 30) AS n2, avg(delta_t_s) FILTER (WHERE k < 30) AS m1, avg(delta_t_s) FILTER (WHERE k >= 30) AS m2,
+ var_samp(delta_t_s) FILTER (WHERE k < 30) AS v1, var_samp(delta_t_s) FILTER (WHERE k >= 30) AS v2 FROM intervals GROUP BY series_id)
+ SELECT series_id, n1, n2, {r('CASE WHEN n1 >= 2 AND n2 >= 2 THEN (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) ELSE 0 END', 'cohens_d')} FROM m""",
+)
+def cohens_d(spark, d):
+    return rounded(hypothesis.cohens_d(_dt(spark, d), "delta_t_s", F.col("k") < 30))
+
+
+@register("adf_test")
+def adf_test(spark, d):
+    return hypothesis.adf(_dt(spark, d).withColumn("log10_dt", F.log10("delta_t_s")), "log10_dt")
+
+
+@register("bootstrap_median")
+def bootstrap_median(spark, d):
+    return hypothesis.bootstrap(_dt(spark, d), "delta_t_s", np.median, 1000)
+
+
+@register("validation_report")
+def validation_report(spark, d):
+    tracked = track.kalman(_dt(spark, d).withColumn("segment", F.floor(F.col("k") / 20)), 1e8, 1e8, 1e8, 1e12)
+    return hypothesis.report(tracked, 1e9, "segment", 200)
