@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = Window.partitionBy("series_id")
+def _all() -> Window:
+    return Window.partitionBy("series_id")
 
 
 def drop_nan(samples: DataFrame) -> DataFrame:
@@ -16,21 +17,21 @@ def drop_nan(samples: DataFrame) -> DataFrame:
 
 
 def center(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("x", F.col("x") - F.avg("x").over(_ALL))
+    return samples.withColumn("x", F.col("x") - F.avg("x").over(_all()))
 
 
 def center_maxabs(samples: DataFrame) -> DataFrame:
     """Mean 0 and largest magnitude 1; a constant series stays 0."""
-    c = center(samples).withColumn("_m", F.max(F.abs("x")).over(_ALL))
+    c = center(samples).withColumn("_m", F.max(F.abs("x")).over(_all()))
     return c.withColumn("x", F.when(F.col("_m") == 0, F.col("x")).otherwise(F.try_divide("x", "_m"))).drop("_m")
 
 
 def normalize(samples: DataFrame, method: str = "zscore") -> DataFrame:
     """zscore, minmax or robust (median and 1.4826 MAD); a scale of 0 only shifts."""
     if method == "zscore":
-        s = samples.withColumns({"_s": F.stddev_pop("x").over(_ALL), "_c": F.avg("x").over(_ALL)})
+        s = samples.withColumns({"_s": F.stddev_pop("x").over(_all()), "_c": F.avg("x").over(_all())})
     elif method == "minmax":
-        s = samples.withColumns({"_s": F.max("x").over(_ALL) - F.min("x").over(_ALL), "_c": F.min("x").over(_ALL)})
+        s = samples.withColumns({"_s": F.max("x").over(_all()) - F.min("x").over(_all()), "_c": F.min("x").over(_all())})
     elif method == "robust":
         middle = samples.groupBy("series_id").agg(F.percentile("x", F.lit(0.5)).alias("_c"))
         s = samples.join(middle, "series_id")
@@ -47,7 +48,7 @@ def baseline_zscore(samples: DataFrame, baseline: int) -> DataFrame:
     if baseline <= 0:
         return samples
     early = F.when(F.col("idx") < baseline, F.col("x"))
-    s = samples.withColumns({"_m": F.avg(early).over(_ALL), "_s": F.stddev_pop(early).over(_ALL), "_n": F.count("*").over(_ALL)})
+    s = samples.withColumns({"_m": F.avg(early).over(_all()), "_s": F.stddev_pop(early).over(_all()), "_n": F.count("*").over(_all())})
     z = (F.col("x") - F.col("_m")) / (F.col("_s") + 1e-12)
     return s.withColumn("x", F.when(F.col("_n") <= baseline, F.col("x")).otherwise(z)).drop("_m", "_s", "_n")
 
