@@ -113,27 +113,33 @@ def solve(rows: DataFrame, targets: Targets, repeats: int) -> Mix:
         flows = route(by_members, {s: round(goal[s]) for s in sizes}, repeats)
     plan = {p: divmod(sum(flows[members[p]].values()), words[p]) if words[p] else (0, 0) for p in members}
     rest, steps = {p: r for p, (_, r) in plan.items() if r}, {p: [] for p in members}
-    after = {p: -1 for p in rest}
+    missing, after, skipped = dict(rest), {p: -1 for p in rest}, {}
     for step in range(ROUNDS):
-        if not rest:
+        if not missing:
             break
-        limit = dict(rest) if step else {p: words[p] for p in rest}
-        last, sums = _prefix(rows, rest, after, limit, sum(r["n"] for r in found), step == ROUNDS - 1)
+        limit = dict(missing) if step else {p: words[p] for p in missing}
+        last, out = _prefix(rows, missing, after, limit, sum(r["n"] for r in found))
         for p, (to, size) in last.items():
             steps[p].append((after[p], to, limit[p]))
-            after[p], rest[p] = max(to, sums[p]), rest[p] - size
-        rest = {p: r for p, r in rest.items() if r > 0 and p in last}
+            rest[p] -= size
+            after[p] = max(to, out[p][0] if p in out else -1)
+            if not step and p in out:
+                skipped[p] = out[p]
+        missing = {p: rest[p] for p in last if rest[p] > 0}
+    for p, (order, size) in skipped.items():
+        if 2 * rest[p] > size:  # with the first document that didn't fit the sum comes nearer
+            steps[p].append((order - 1, order, size))
     data = [(p, full, steps[p]) for p, (full, _) in plan.items()]
     decisions = spark.createDataFrame(data, "pattern string, passes long, steps array<struct<after:long,to:long,limit:long>>")
     return Mix(sizes, goal, flows, decisions)
 
 
-def _prefix(rows: DataFrame, rest: dict, after: dict, limit: dict, n: int, nearest: bool) -> tuple[dict, dict]:
+def _prefix(rows: DataFrame, rest: dict, after: dict, limit: dict, n: int) -> tuple[dict, dict]:
     """For each pattern the last place of its first ``rest`` words in the seeded order, and how many they are.
 
     Only documents after a place and of a limited size count. Sums of buckets of
     the order tell in which of them the words run out; only its rows are then
-    put in order. Also returns the place at which they ran out.
+    put in order. Also returns place and size of the first document that doesn't fit.
     """
     spark = rows.sparkSession
     buckets = max(MIN_BUCKETS, n // BUCKET_ROWS)
@@ -151,16 +157,17 @@ def _prefix(rows: DataFrame, rest: dict, after: dict, limit: dict, n: int, neare
     near = placed.join(edges, ["pattern", "bucket"]).groupBy("pattern", "before", "rest", "order").agg(F.sum("size").alias("size"))
     ahead = Window.partitionBy("pattern").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0)))
-    whole = F.col("ahead") + (F.col("size") / 2 if nearest else F.col("size")) <= F.col("rest")
+    whole = F.col("ahead") + F.col("size") <= F.col("rest")
     chosen = near.groupBy("pattern").agg(
-        F.max(F.when(whole, F.struct("order", (F.col("ahead") + F.col("size")).alias("sum")))).alias("in"), F.min(F.when(~whole, F.col("order"))).alias("out")
+        F.max(F.when(whole, F.struct("order", (F.col("ahead") + F.col("size")).alias("sum")))).alias("in"), F.min(F.when(~whole, F.struct("order", "size"))).alias("out")
     )
     last, stop = {r["pattern"]: (r["bucket"] * width - 1, r["before"]) for r in edge}, {}
     for r in chosen.collect():  # a row for each pattern
         if r["in"] is not None:
             last[r["pattern"]] = (r["in"]["order"], r["in"]["sum"])
-        stop[r["pattern"]] = -1 if r["out"] is None else r["out"]
-    return last, {p: stop.get(p, -1) for p in last}
+        if r["out"] is not None:
+            stop[r["pattern"]] = (r["out"]["order"], r["out"]["size"])
+    return last, stop
 
 
 def _rows(docs: DataFrame, text: str, key: str, members: Column, seed: int) -> DataFrame:
