@@ -67,5 +67,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_license_scans, op10_sharding)}
 
 
+_OP2 = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+_OP8 = r"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+ words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+ windows AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS key FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM words)),
+ starts AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS n FROM windows) WHERE n > 1),
+ repeats AS (SELECT doc_id, CAST(sum(least(8, coalesce(after - i, 8))) AS BIGINT) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM starts) GROUP BY doc_id),
+ f AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+ length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+ coalesce(n, 0) AS n_repeat_words FROM words LEFT JOIN repeats USING (doc_id)),
+ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+ a AS (SELECT *, base_failed OR n_symbols > 0.5 * n_words OR n_dup_lines > 0.3 * n_lines OR word_chars < 2.0 * n_words OR word_chars > 15.0 * n_words AS any_failed FROM b),
+ hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE any_failed) AS k FROM a GROUP BY source),
+ total AS (SELECT sum(k)::DOUBLE / sum(n) AS m, sum(n)::DOUBLE AS n, count(*) AS h FROM hosts),
+ scatter AS (SELECT any_value(total.m) AS m, any_value(total.h) AS h, sum(hosts.n * power(k::DOUBLE / hosts.n - total.m, 2)) / any_value(total.n) - any_value(total.m * (1 - total.m) * total.h / total.n) AS v FROM hosts, total),
+ prior AS (SELECT m, CASE WHEN h > 1 AND m > 0 AND m < 1 AND v > 0 THEN least(10000, greatest(1, m * (1 - m) / v - 1)) ELSE 10000 END AS w FROM scatter),
+ verdicts AS (SELECT source, (k + m * w) / (n + w) > 0.5 AS rejected FROM hosts, prior)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM a JOIN verdicts v ON a.source IS NOT DISTINCT FROM v.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the operator; the others are held against brute force in the tests."""
+    return {"op2_exact_dedup": _OP2, "op8_quality_rules": _OP8}
