@@ -39,13 +39,15 @@ HIDDEN = frozenset(
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split())
 WORDS = frozenset(
-    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent "
-    "cookie cookies disclaimer discussion disqus footer footnav gdpr legal login menu menus modal nav navbar navigation "
+    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs captcha comment comments commentlist consent "
+    "cookie cookies discussion disqus feedback footer footnav gdpr login menu menus modal nav navbar navigation "
     "newsletter notice notices notification notifications outbrain overlay pager paginate pagination paywall popup promo promos promotion "
-    "recommended register related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored "
+    "recommended register related replies reply respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored "
     "sponsors subscribe subscription taboola toolbar topbar widget widgets".split()
 )
 HEADERS = frozenset("header masthead".split())
+#: A class with such a word names the page's header; other words beside it name the header of a part, as of a post.
+PAGE_WORDS = HEADERS | frozenset("bar container fixed global inner main page site sticky top wrapper".split())
 #: Elements that a start tag closes when they are open in the same container.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -130,7 +132,7 @@ class LineParser(HTMLParser):
         names = _named(given) if tag not in HOLDERS and ("class" in given or "id" in given) else set()
         hidden = hidden or not WORDS.isdisjoint(names) or "display:none" in (given.get("style") or "").replace(" ", "")
         holder = tag == "main" or given.get("role") == "main"
-        e = Element(tag, up, hidden, up.article, up.main, up.header or tag == "header" or not HEADERS.isdisjoint(names))
+        e = Element(tag, up, hidden, up.article, up.main, up.header or tag == "header" or (names <= PAGE_WORDS and not HEADERS.isdisjoint(names)))
         if tag == "article" and not hidden and up.article is None:
             e.article = e
         if holder and not hidden and up.main is None:
