@@ -213,8 +213,13 @@ def main_text(html: str) -> str:
         return "\n".join(t for t, line in lines if 2 * line.linked <= len(t))
     depth = lambda c: sum(1 for _ in _containers(c))
     holder = max((c for c in held.values() if 10 * c.votes >= 9 * total), key=depth)
-    inside = lambda line: any(c is holder for c in _containers(line.element))
-    return "\n".join(t for t, line in lines if inside(line) and 2 * line.linked <= len(t))
+    inside = [any(c is holder for c in _containers(line.element)) for _, line in lines]
+    # The title may stand in a part of its own before the text's container.
+    first = inside.index(True)
+    titles = [i for i, (_, line) in enumerate(lines[:first]) if line.element.tag == "h1"]
+    if titles and not any(line.element.tag == "h1" for (_, line), good in zip(lines, inside) if good):
+        inside[titles[-1]] = True
+    return "\n".join(t for (t, line), good in zip(lines, inside) if good and 2 * line.linked <= len(t))
 
 
 def extract(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:

@@ -295,6 +295,8 @@ def test_html():
     ]
     plain = '<body><div id="header">Top</div><div class="wrap"><div id="content"><h2>Head</h2><p>' + "many words " * 20 + '<p>Short one.<div class="advert">Buy</div></div><div class="sidebar">' + "side words " * 20 + "</div></div><div id=footer>Foot</div>"
     assert html.main_text(plain).split("\n") == ["Head", ("many words " * 20).strip(), "Short one."]
+    titled = "<div class=post><div class=post-header><h1>Title</h1></div><div class=body><p>" + "many words " * 9 + "</div></div>"
+    assert html.main_text(titled).split("\n")[0] == "Title"
     assert html.main_text("") == "" and html.main_text("just text") == "just text"
 
 
