@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.llm.common import BROADCAST_ROWS, SPACE_CHARS, attach, materialize, text_or_empty
 from pulseloom.llm.lsh import near_components
-from pulseloom.llm.shingles import char_shingles, mix, weighted, word_shingles
+from pulseloom.llm.shingles import char_shingles, mix, weighted
 
 CHARS, THRESHOLD = 8, 0.8
 MINIMA, BANDS, ROWS = 48, 12, 4
@@ -34,7 +34,7 @@ BLOCK = 1 << 17
 
 _seeds = np.random.default_rng(19_970_303)
 _A = _seeds.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _seeds.integers(0, 2**32, MINIMA, dtype=np.uint32)
+_STEPS = _seeds.integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _order = np.concatenate([_seeds.permutation(MINIMA) for _ in range(-(-BANDS * ROWS // MINIMA))])
 _CHOSEN = _order[: BANDS * ROWS].reshape(BANDS, ROWS)
 _FACTOR = _seeds.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,6 +45,20 @@ def node_of(line):
     return F.unhex(F.md5(line))
 
 
+def _runs(points: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of eight code points: of two, then of two such, then of two of those."""
+    h = mix(points.astype(np.uint64) + np.uint64(1))
+    for width, factor in zip((1, 2, 4), _STEPS):
+        h = h[:-width] * factor + h[width:]
+    return mix(h)
+
+
+def runs_of(line: str) -> np.ndarray:
+    """Hashes of the runs of a line; of one shorter than a run, a hash of all of it."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _runs(points) if len(points) >= CHARS else char_shingles(line, CHARS)
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """The minima of each line (none of them empty), lines x MINIMA."""
     out = np.empty((len(lines), MINIMA), np.uint32)
@@ -63,7 +77,6 @@ def _minima(lines: list[str]) -> np.ndarray:
     lengths = np.array([len(x) for x in lines])
     starts = np.concatenate(([0], np.cumsum(lengths)))
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    runs = word_shingles(mix(points.astype(np.uint64) + np.uint64(1)), CHARS) if len(points) >= CHARS else np.zeros(0, np.uint64)
     # Runs that begin in the last characters of a line reach into the next one and are left out.
     counts = np.maximum(lengths - CHARS + 1, 0)
     long_ = np.flatnonzero(counts)
@@ -71,11 +84,13 @@ def _minima(lines: list[str]) -> np.ndarray:
     if len(long_):
         first = np.concatenate(([0], np.cumsum(counts[long_])[:-1]))
         where = np.arange(int(counts.sum())) + np.repeat(starts[:-1][long_] - first, counts[long_])
-        low = (runs[where] >> np.uint64(32)).astype(np.uint32)
+        low = (_runs(points) >> np.uint64(32)).astype(np.uint32)[where]
+        scaled = np.empty_like(low)
         for k in range(MINIMA):
-            out[long_, k] = np.minimum.reduceat(low * _A[k] + _B[k], first)
+            np.multiply(low, _A[k], out=scaled)
+            out[long_, k] = np.minimum.reduceat(scaled, first)
     for i in np.flatnonzero(counts == 0):
-        out[i] = np.uint32(int(char_shingles(lines[i], CHARS)[0]) >> 32) * _A + _B
+        out[i] = np.uint32(int(runs_of(lines[i])[0]) >> 32) * _A
     return out
 
 
@@ -84,20 +99,32 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return mix(per_band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+_KEYS = [f"k{i}" for i in range(BANDS)]
+
+
 def _sign(batches):
     for batch in batches:
         seen = dict.fromkeys(x for t in batch.column(0).to_pylist() for x in t.split("\n") if _word.search(x))
         lines = list(seen)
-        keys = band_keys(signatures(lines)).ravel() if lines else np.zeros(0, np.int64)
-        nodes = [hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in lines]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], ["node", "keys"])
+        keys = band_keys(signatures(lines)) if lines else np.zeros((0, BANDS), np.int64)
+        digests = b"".join(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in lines)
+        halves = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
+        columns = [np.ascontiguousarray(c) for c in (*halves.T, *keys.T)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n0", "n1", *_KEYS])
+
+
+def _signed(docs: DataFrame, text: str) -> DataFrame:
+    """(node, keys) of the distinct lines. Columns of a fixed width are put together by hashing, without a sort."""
+    signed = docs.select(text_or_empty(text).alias("text")).mapInArrow(_sign, ", ".join(f"{c} long" for c in ("n0", "n1", *_KEYS)))
+    one = signed.groupBy("n0", "n1").agg(*[F.first(k).alias(k) for k in _KEYS])
+    half = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    return one.select(F.concat(half("n0"), half("n1")).alias("node"), F.array(*_KEYS).alias("keys"))
 
 
 def _vectors(texts):
     found = []
     for t in texts:
-        keys, _ = weighted(char_shingles(t, CHARS))
+        keys, _ = weighted(runs_of(t))
         found.append((keys, np.ones(len(keys))))
     return found
 
@@ -111,8 +138,7 @@ def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """A row for each line with a word: doc_id, line_no (from 0), class_doc_id and class_line_no (the line that stays), class_size, kept."""
     rows = _exploded(docs, text, F.col(key).alias("doc_id")).select("doc_id", "line_no", node_of("line").alias("node"))
     rows = materialize(rows.groupBy("doc_id", "line_no", "node").agg(F.count("*").alias("copies")), "lines")
-    keys = docs.select(text_or_empty(text).alias("text")).mapInArrow(_sign, "node binary, keys array<long>")
-    keys = materialize(keys.groupBy("node").agg(F.first("keys").alias("keys")), "line-bands")
+    keys = materialize(_signed(docs, text), "line-bands")
 
     def content(nodes: DataFrame, n: int) -> DataFrame:
         found = _exploded(docs, text).select(node_of("line").alias("node"), F.col("line").alias("text"))

@@ -36,13 +36,14 @@ Content = Callable[[DataFrame, int], DataFrame]
 Vectors = Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]
 
 
-def linked(pdf: pd.DataFrame, vectors: Vectors, threshold: float) -> list[tuple[int, int]]:
+def linked(texts: list[str], labels: list, asks: list[bool], vectors: Vectors, threshold: float) -> list[tuple[int, int]]:
     """Rows of a block that are similar: a forest that connects all that the block's pairs connect.
 
-    Two rows are compared unless they are in one component already, or both have the role of rows (ask is false).
+    Two rows are compared unless they are in one component already, or neither of them asks.
     """
-    n = len(pdf)
-    parent = list(range(n))
+    n = len(texts)
+    first: dict = {}
+    parent = [first.setdefault(label, i) for i, label in enumerate(labels)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -50,17 +51,12 @@ def linked(pdf: pd.DataFrame, vectors: Vectors, threshold: float) -> list[tuple[
             i = parent[i]
         return i
 
-    if "label" in pdf:
-        first: dict = {}
-        for i, label in enumerate(pdf["label"]):
-            parent[i] = first.setdefault(label, i)
-    asks = pdf["ask"].tolist() if "ask" in pdf else [True] * n
-    vecs = vectors(pdf["text"].tolist())
+    vecs = vectors(texts)
     sums = [float(v[1].sum()) for v in vecs]
     found = []
     for i in range(n):
         for j in range(i):
-            if (asks[i] or asks[j]) and root(i) != root(j) and min(sums[i], sums[j]) >= threshold * max(sums[i], sums[j]) > 0:
+            if (asks[i] or asks[j]) and min(sums[i], sums[j]) >= threshold * max(sums[i], sums[j]) > 0 and root(i) != root(j):
                 if weighted_jaccard(vecs[i], vecs[j]) >= threshold:
                     parent[root(i)] = root(j)
                     found.append((i, j))
@@ -68,16 +64,34 @@ def linked(pdf: pd.DataFrame, vectors: Vectors, threshold: float) -> list[tuple[
 
 
 def _compare(blocks: DataFrame, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
-    """blocks (block, node, and maybe label and ask) -> links (a, b)."""
+    """blocks (block, node, label, ask) -> links (a, b). Blocks come one after the other in each task's rows."""
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = linked(pdf, vectors, threshold)
-        nodes = pdf["node"].tolist()
-        return pd.DataFrame({"a": [nodes[i] for i, _ in pairs], "b": [nodes[j] for _, j in pairs]}, dtype=object)
+    def of(batches):
+        at, held = None, []
+
+        def links():
+            texts, nodes, labels, asks = (list(c) for c in zip(*held))
+            return [(nodes[i], nodes[j]) for i, j in linked(texts, labels, asks, vectors, threshold)]
+
+        for batch in batches:
+            found = []
+            for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "text", "node", "label", "ask"))):
+                if block != at and held:
+                    found += links()
+                    held = []
+                at = block
+                held.append(row)
+            yield _links(found)
+        if held:
+            yield _links(links())
 
     nodes = materialize(blocks.select("node").distinct(), "compared")
-    texts = content(nodes, nodes.count())
-    return blocks.join(texts, "node").groupBy("block").applyInPandas(of, "a binary, b binary")
+    rows = blocks.join(content(nodes, nodes.count()), "node").select("block", "text", "node", "label", "ask")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(of, "a binary, b binary")
+
+
+def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
 def _parts(n: str):
@@ -141,9 +155,9 @@ def _able(nodes: DataFrame, n: int, content: Content, vectors: Vectors, threshol
 def near_components(keys: DataFrame, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
     """keys (node, keys: one per band) -> (node, label) of all nodes that are linked to another."""
     dealt = keys.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = dealt.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("_set"), F.min("node").alias("centre"), F.min("band").alias("band")
-    )
+    own = F.xxhash64("node")
+    # Columns of a fixed width only, so that buckets are counted by hashing; the centre is the member of the least hash.
+    buckets = dealt.select("key", "band", own.alias("_h")).groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("_h").alias("_set"), F.min("_h").alias("centre"), F.min("band").alias("band"))
     # The same members meet in several bands: one bucket stands for all.
     buckets = buckets.filter("n > 1").groupBy("n", "_set", "centre").agg(F.min(F.struct("band", "key")).alias("b"))
     buckets = materialize(buckets.select("b.key", "b.band", "n", "centre"), "buckets")
@@ -153,13 +167,13 @@ def near_components(keys: DataFrame, content: Content, vectors: Vectors, thresho
     first = members.filter(F.col("band") < FIRST_BANDS)
     large = first.filter(F.col("n") > SMALL)
     of_part = lambda part: F.xxhash64("key", part).alias("block")
-    centres = buckets.filter((F.col("n") > SMALL) & (F.col("band") < FIRST_BANDS))
-    centres = centres.withColumn("part", F.explode(F.sequence(F.lit(0), _parts("n") - 1)))
+    centres = large.filter(own == F.col("centre")).withColumn("part", F.explode(F.sequence(F.lit(0), _parts("n") - 1)))
     blocks = (
         first.filter(F.col("n") <= SMALL).select(F.col("key").alias("block"), "node")
-        .unionByName(large.filter("node <> centre").select(of_part(_dealt(1, _parts("n")).cast("int")), "node"))
-        .unionByName(centres.select(of_part(F.col("part")), F.col("centre").alias("node")))
+        .unionByName(large.filter(own != F.col("centre")).select(of_part(_dealt(1, _parts("n")).cast("int")), "node"))
+        .unionByName(centres.select(of_part(F.col("part")), "node"))
     )
+    blocks = blocks.withColumns({"label": F.col("node"), "ask": F.lit(True)})
     links = materialize(_compare(blocks, content, vectors, threshold), "links")
     labels = components(links)
 
