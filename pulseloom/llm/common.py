@@ -131,3 +131,9 @@ def distinct_texts(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, Dat
     all_ = all_.filter("n IS NULL OR doc_id <=> keep_id")
     repeated = F.coalesce("copies", F.lit(1)) > 1
     return rows, all_.filter(~repeated).select("node", "text").unionByName(all_.filter(repeated).select("node", "text").dropDuplicates(["node"]))
+
+
+def first_by(docs: DataFrame, order: Column, n: int) -> DataFrame:
+    """The n rows that come first by a hash (more on ties). Only hashes are ordered; the rows themselves are then filtered."""
+    hashes = docs.select(order.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return docs.limit(0) if hashes is None else docs.filter(order <= hashes)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import text_or_empty
+from pulseloom.llm.common import first_by, text_or_empty
 from pulseloom.llm.shingles import CHUNK, hash_words, mix
 
 # Names of licence families and sentences of their published texts and usual notices.
@@ -244,7 +244,8 @@ def _scan_chunk(data: np.ndarray, offsets: np.ndarray, model: Classifier, templa
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
     """A row for each finding: doc_id, paragraph (from 0), start and n_chars in code points, family, probability, similarity."""
     spark = docs.sparkSession
-    some = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).orderBy(F.xxhash64("k", "t"), "k").limit(settings.sample_documents)
+    some = first_by(docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")), F.xxhash64("k", "t"), settings.sample_documents)
+    some = some.orderBy("k", "t").limit(settings.sample_documents)
     lines = [x for r in some.collect() for x in r["t"].split("\n") if x.strip()][: settings.sample_lines]
     model = spark.sparkContext.broadcast(train(lines, settings))
 
