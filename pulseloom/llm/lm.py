@@ -1,12 +1,11 @@
 """Language-model scores of whole documents by a gated recurrent network that is trained here.
 
 Counts of all words of all training documents are gathered first; they give the
-base score and the shares within tail classes. The network is trained on a
-fixed share of the training documents: a start on the driver with a bounded
-number of tokens, then every task goes on from there with its own documents,
-and the tasks' parameters are averaged by their tokens. So the sample, and what
-is gathered, grow with the corpus. All documents are then scored whole, the
-state being carried over windows.
+base score and the shares within tail classes. The network is trained on all
+training documents, whole, the state being carried over windows: a start on the
+driver with a bounded number of tokens, then every task goes on from there with
+its own documents, and the tasks' parameters are averaged by their tokens. All
+documents are then scored whole in the same way.
 
 The counts of the most frequent words are broadcast up to a fixed number; for
 all other words documents are joined with the full table of counts.
@@ -37,8 +36,8 @@ from pulseloom.llm.gru import Shape, Trainer, score, start, tail_class
 class Settings:
     folds: int = 7
     held_out: int = 2
-    #: One of so many training documents trains the network.
-    share: int = 12
+    #: One of so many training documents trains the network; 1: all of them.
+    share: int = 1
     #: Tokens of the start on the driver, at most.
     first_tokens: int = 300_000
     #: Words whose counts are broadcast.
@@ -146,7 +145,7 @@ def _coded(text: str, vocab: Vocabulary, shape: Shape) -> np.ndarray:
 
 
 def train(sample: DataFrame, vocab, parameters: dict, shape: Shape, s: Settings) -> dict:
-    """sample (text): texts for the network. vocab: broadcast."""
+    """sample (text): texts for the network, all of which are learned whole. vocab: broadcast."""
     spark = sample.sparkSession
     few = max(1, s.first_tokens // 200)
     trainer = Trainer(parameters, shape)
@@ -189,8 +188,8 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", shape: Shap
     ends = training.count()
     vocab, member, classes = vocabulary(counts, ends, shape, s)
     known = spark.sparkContext.broadcast(vocab)
-    sampled = F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.share)) == 0
-    parameters = train(training.filter(sampled), known, start(shape, member, classes), shape, s)
+    sample = training if s.share == 1 else training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.share)) == 0)
+    parameters = train(sample, known, start(shape, member, classes), shape, s)
     trained = spark.sparkContext.broadcast(parameters)
 
     def of(batches):

@@ -253,6 +253,22 @@ def test_language_model(spark, docs, rows):
     assert lm.scores(cases.empty(spark)).count() == 0
 
 
+def test_network_learns_from_all_training_documents(spark, docs, rows, monkeypatch):
+    seen, real = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda sample, *rest: (seen.append(sample.count()), real(sample, *rest))[1])
+    lm.scores(docs)
+    assert seen == [sum(zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _, _ in rows)]
+
+
+def test_training_carries_the_state_through_whole_texts():
+    shape = gru.Shape(head=6, per_class=3, tails=2, embedding=4, hidden=5, rate=0.0)
+    p = {k: v * 8 for k, v in gru.start(shape, np.ones((2, 3)), np.ones(shape.classes)).items()}
+    text = np.array([*np.random.default_rng(3).integers(0, shape.end, 1400), shape.end], np.int32)
+    trainer = gru.Trainer(p, shape)
+    trainer.learn([text])
+    assert trainer.tokens == len(text) and np.isclose(-trainer.loss, gru.score(p, shape, [text])[0], rtol=1e-6)
+
+
 def test_recurrent_model_is_a_distribution_and_learns():
     shape = gru.Shape(head=6, per_class=3, tails=2, embedding=4, hidden=5, window=4, lanes=4, rate=0.02)
     p = gru.start(shape, np.ones((2, 3)), np.ones(shape.classes))
