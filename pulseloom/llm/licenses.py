@@ -1,12 +1,16 @@
 """Licence families of paragraphs: a trained sparse n-gram classifier, confirmed against templates.
 
-A paragraph is a line. Its words (lower case, punctuation dropped) and pairs of
-words are hashed features of a softmax regression over licence families and an
-unknown class. It is trained here on statements made from the templates below,
+A paragraph is a line, or a run of neighbouring lines with words over which a
+statement is wrapped. Its words (lower case, punctuation dropped) and pairs of
+words, those across line ends too, are hashed features of a softmax regression
+over licence families and an unknown class. It is trained here on statements made from the templates below,
 alone and inside prose, and on lines of a bounded sample of the corpus. A
 temperature fitted on a fifth of the examples calibrates the probabilities. A
 line whose most probable family beats the limit is a finding if it holds enough
-of one of the family's templates.
+of one of the family's templates. So is a run of lines, if it holds enough of a
+template that no finding among its lines holds: of runs that overlap, the one
+that holds most of a template, then the shortest, then the first. Runs go as
+far as the longest template can reach, however it is wrapped.
 
 Defined cases: a null text has no paragraphs; null keys and repeated rows are
 rows like any other; an empty table gives an empty result (the classifier is
@@ -123,6 +127,10 @@ def templates() -> dict[str, list[str]]:
     return {f: [n.format(name) for name in names for n in NOTICES] + SENTENCES.get(f, []) for f, names in NAMES.items()}
 
 
+#: Words of the longest template.
+LONGEST = max(len(words_of(t)) for ts in templates().values() for t in ts)
+
+
 @dataclass
 class Classifier:
     """Weights of hashed features and the temperature; one class for each of FAMILIES."""
@@ -141,12 +149,20 @@ class Classifier:
         return self.weights[_features(words_of(text), self.bits)].sum(axis=0, keepdims=True)
 
 
+def _coded(text: str) -> str:
+    return " ".join(map(str, words_of(text).tolist()))
+
+
+def _known() -> list[str]:
+    """The templates of three words or more."""
+    return [c for ts in templates().values() for t in ts if (c := _coded(t)).count(" ") >= 2]
+
+
 def examples(lines: list[str], s: Settings) -> list[tuple[str, int]]:
     """Statements of every family, whole, damaged, and inside prose; notices of no family; and the sampled lines."""
     r = np.random.default_rng(s.seed)
-    coded = lambda x: " ".join(map(str, words_of(x).tolist()))
-    known = [c for ts in templates().values() for t in ts if (c := coded(t)).count(" ") >= 2]
-    plain = [x for x in lines if not any(t in c for c in [coded(x)] for t in known)]
+    known = _known()
+    plain = [x for x in lines if not any(t in c for c in [_coded(x)] for t in known)]
     prose = plain or ["".join(r.choice(list("aeinorst"), r.integers(2, 9))) for _ in range(500)]
     cut = lambda: " ".join(prose[r.integers(len(prose))].split()[: r.integers(0, 25)])
     out = [(x, 0) for x in plain]
@@ -195,10 +211,48 @@ def _template_pairs() -> dict[int, list[frozenset]]:
     return {k: [frozenset(_pairs(words_of(t)).tolist()) for t in ts] for k, ts in enumerate(templates().values(), 1)}
 
 
+def shares(words: np.ndarray, family_pairs: list[frozenset]) -> list[float]:
+    """For each template, which share of its pairs of words the line has."""
+    own = set(_pairs(words).tolist())
+    return [len(own & t) / len(t) if len(t) > 1 else 0.0 for t in family_pairs]
+
+
 def similarity(words: np.ndarray, family_pairs: list[frozenset]) -> float:
     """The largest share of a template's pairs of words that the line has."""
-    own = set(_pairs(words).tolist())
-    return max((len(own & t) / len(t) for t in family_pairs if len(t) > 1), default=0.0)
+    return max(shares(words, family_pairs), default=0.0)
+
+
+def _runs(words: np.ndarray, at: np.ndarray, full: np.ndarray, docs: np.ndarray, logits: np.ndarray, model: Classifier, longest: int):
+    """(first lines, last lines, logits) of all runs of 2, 3, ... lines in which a statement of at most ``longest`` words can begin in the first and end in the last."""
+    joined = (np.diff(full) == 1) & (docs[1:] == docs[:-1])
+    ahead = np.append(at[full], at[full[-1] + 1])  # words before each line
+    bridge = mix(words[at[full[:-1] + 1] - 1] * np.uint64(0x9E3779B97F4A7C15) + words[at[full[1:]]])
+    first = np.flatnonzero(joined)
+    own = logits[first]
+    last = first
+    while len(first):
+        own = own + model.weights[(bridge[last] >> np.uint64(64 - model.bits)).astype(np.int64)] + logits[last + 1]
+        last = last + 1
+        yield first, last, own
+        on = (last < len(full) - 1) & (ahead[last + 1] - ahead[first + 1] < longest)
+        on[on] = joined[last[on]]
+        first, last, own = first[on], last[on], own[on]
+
+
+def _unwrapped(text: str, known: list[str]) -> list[str]:
+    """Lines with a word that are not part of a block over whose lines a known statement is wrapped."""
+    out: list[str] = []
+    block: list[str] = []
+    for line in [*text.split("\n"), ""]:
+        if len(words_of(line)):
+            block.append(line)
+            continue
+        coded = [_coded(x) for x in block]
+        whole = " ".join(coded)
+        if not any(t in whole and not any(t in c for c in coded) for t in known):
+            out += block
+        block = []
+    return out
 
 
 def _scan_chunk(data: np.ndarray, offsets: np.ndarray, model: Classifier, templates_: dict, s: Settings):
@@ -229,24 +283,49 @@ def _scan_chunk(data: np.ndarray, offsets: np.ndarray, model: Classifier, templa
         lo = hi
     p = model.probabilities(logits)
     p[:, 0] = np.where(p[:, 1:].max(axis=1) >= s.least_probability, 0, 1)
+    docs = np.searchsorted(offsets, starts[full], side="right") - 1
+
+    def hold(i: int, j: int, k: int) -> tuple[float, set]:
+        """The largest share that lines i to j have of a template, and the templates of which they have enough."""
+        found = shares(words[at[full[i]] : at[full[j] + 1]], templates_[k])
+        return max(found), {(k, n) for n, share in enumerate(found) if share >= s.least_similarity}
+
+    findings, held = [], {}
     for i in np.flatnonzero(p[:, 0] == 0):
-        line, k = int(full[i]), int(p[i, 1:].argmax()) + 1
-        alike = similarity(words[at[line] : at[line + 1]], templates_[k])
-        if alike >= s.least_similarity:
-            start = int(starts[line])
-            doc = int(np.searchsorted(offsets, start, side="right")) - 1
-            end = int(breaks[np.searchsorted(breaks, start)]) if np.searchsorted(breaks, start) < len(breaks) else len(data)
-            end = min(end, int(offsets[doc + 1]))
-            number = int(np.searchsorted(breaks, start) - np.searchsorted(breaks, offsets[doc]))
-            yield doc, number, start - int(offsets[doc]), end - int(offsets[doc]), k, float(p[i, k]), alike
+        k = int(p[i, 1:].argmax()) + 1
+        alike, which = hold(i, i, k)
+        if which:
+            findings.append((i, i, k, float(p[i, k]), alike))
+            held.setdefault(i, set()).update(which)
+    wrapped = []
+    for first, last, own in _runs(words, at, full, docs, logits, model, LONGEST):
+        q = model.probabilities(own)
+        for r in np.flatnonzero(q[:, 1:].max(axis=1) >= s.least_probability):
+            i, j, k = int(first[r]), int(last[r]), int(q[r, 1:].argmax()) + 1
+            alike, which = hold(i, j, k)
+            if which:
+                wrapped.append((-alike, j - i, i, j, k, float(q[r, k]), which))
+    for alike, _, i, j, k, probability, which in sorted(wrapped, key=lambda w: w[:4]):
+        if not which <= set().union(*(held.get(n, ()) for n in range(i, j + 1))):
+            findings.append((i, j, k, probability, -alike))
+            for n in range(i, j + 1):
+                held.setdefault(n, set()).update(which)
+    for i, j, k, probability, alike in sorted(findings):
+        start, doc = int(starts[full[i]]), int(docs[i])
+        ahead = np.searchsorted(breaks, starts[full[j]])
+        end = int(breaks[ahead]) if ahead < len(breaks) else len(data)
+        end = min(end, int(offsets[doc + 1]))
+        number = int(np.searchsorted(breaks, start) - np.searchsorted(breaks, offsets[doc]))
+        yield doc, number, start - int(offsets[doc]), end - int(offsets[doc]), k, probability, alike
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """A row for each finding: doc_id, paragraph (from 0), start and n_chars in code points, family, probability, similarity."""
+    """A row for each finding: doc_id, paragraph (its first line, from 0), start and n_chars in code points, family, probability, similarity."""
     spark = docs.sparkSession
     some = first_by(docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")), F.xxhash64("k", "t"), settings.sample_documents)
     some = some.orderBy("k", "t").limit(settings.sample_documents)
-    lines = [x for r in some.collect() for x in r["t"].split("\n") if x.strip()][: settings.sample_lines]
+    known = _known()
+    lines = [x for r in some.collect() for x in _unwrapped(r["t"], known)][: settings.sample_lines]
     model = spark.sparkContext.broadcast(train(lines, settings))
 
     def find(batches):

@@ -435,3 +435,30 @@ def test_blocks_lose_no_link(spark):
     for row in labels.collect():
         got[bytes(row["label"])].add(int.from_bytes(row["node"], "big") // 20)
     assert len(got) == 10 and all(len(g) == 1 for g in got.values()) and labels.count() == len(texts)
+
+
+def test_wrapped_licences_are_found(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    bsd = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions
+// are met:"""
+    isc = """Permission to use, copy, modify,
+and/or distribute this software
+for any purpose with or without
+fee is hereby granted"""
+    apart = "Permission to use, copy, modify, and/or distribute\n\nthis software for any purpose with or without fee is hereby granted"
+    data = [(1, mit), (2, f"a first line\n{bsd}"), (3, isc), (4, apart), (5, "Licensed under the MIT License.\nand more\nwords"), (6, "Permission to use, copy, modify, and/or distribute"), (7, "this software for any purpose with or without fee is hereby granted")]
+    got = licenses.scan(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).collect()
+    found = sorted((r["doc_id"], r["paragraph"], r["family"], dict(data)[r["doc_id"]][r["start"] : r["start"] + r["n_chars"]]) for r in got)
+    lines = mit.split("\n")
+    expected = [(1, 4, "MIT", "\n".join(lines[4:6])), (1, 8, "MIT", "\n".join(lines[8:10])), (2, 1, "BSD", bsd), (3, 0, "ISC", isc), (5, 0, "MIT", "Licensed under the MIT License.")]
+    assert found == expected
