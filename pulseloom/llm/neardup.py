@@ -8,10 +8,11 @@ Jaccard similarity. Twelve bands of three draws name the buckets; what meets in
 a bucket is verified by exact weighted Jaccard similarity, and links are joined
 to classes.
 
-Document frequencies are exact for every shingle in at least a thousandth of
-the texts; rarer ones all weigh as if they were in a thousandth. So the table
-of frequencies is bounded by a thousand times the mean length of a text,
-however many texts there are, and is broadcast.
+Document frequencies are exact for every shingle. Texts are dealt to chunks of
+some thousands by a hash. Each chunk sends its distinct shingles, packed by
+ranges, to be counted; a range answers each chunk with the frequencies of those
+of its shingles that are in two texts or more, and a text keeps the frequencies
+of its own shingles with it. So no table of shingles is collected or broadcast.
 
 Defined cases: a null text is empty; equal texts are of one class, those
 without a word too; a text of fewer than five words is one shingle; null keys
@@ -32,10 +33,8 @@ from pulseloom.llm.shingles import mix, texts_words, weighted, word_shingles
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
-#: A shingle in fewer than 1 of so many texts counts as in 1 of so many.
-RARE = 1000
-#: Texts over which shingles are counted together; with at most one chunk for each 2 * RARE texts none that is frequent is overlooked.
-CHUNK_TEXTS = 4096
+#: Texts of a chunk, on average, and characters of all texts for each range of shingles.
+CHUNK_TEXTS, RANGE_CHARS = 4096, 1 << 23
 
 _seeds = np.random.default_rng(19_840_611)
 _A = _seeds.integers(1, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,25 +77,29 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 
 
 class Idf:
-    """Weights of shingles: exact document frequencies of the frequent ones, one weight for all others."""
+    """Weights of shingles by their document frequencies; a shingle that is not given is in one text."""
 
     def __init__(self, keys: np.ndarray, frequency: np.ndarray, texts: int):
         order = np.argsort(keys)
-        self.keys = keys[order]
-        floor = max(1.0, texts / RARE)
-        self.rare = float(np.log1p(texts / floor))
-        self.weights = np.log1p(texts / np.maximum(frequency[order], floor))
+        self.keys, self.frequency, self.texts = keys[order], frequency[order], texts
 
-    def weigh(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles of a text and their weights."""
-        keys, counts = weighted(shingles)
-        idf = np.full(len(keys), self.rare)
+    def frequencies(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), np.uint32)
         if len(self.keys) and len(keys):
             at = np.searchsorted(self.keys, keys)
             at[at == len(self.keys)] = 0
             known = self.keys[at] == keys
-            idf[known] = self.weights[at[known]]
-        return keys, counts * idf
+            out[known] = self.frequency[at[known]]
+        return out
+
+    def weigh(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of a text and their weights."""
+        keys, counts = weighted(shingles)
+        return keys, _weights(counts, self.frequencies(keys), self.texts)
+
+
+def _weights(counts: np.ndarray, frequencies: np.ndarray, texts: int) -> np.ndarray:
+    return counts * np.log1p(texts / frequencies)
 
 
 def _shingles(texts: pa.Array):
@@ -104,83 +107,88 @@ def _shingles(texts: pa.Array):
         yield word_shingles(words, WORDS)
 
 
-def _repeated(batches):
-    """Shingles that are in two or more texts of a chunk, with the number of those texts."""
-
-    def count(chunk):
-        keys, n = weighted(np.concatenate(chunk))
-        many = n > 1
-        return pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["shingle", "texts"])
-
-    chunk = []
-    for batch in batches:
-        for s in _shingles(batch.column(0)):
-            chunk.append(weighted(s)[0])
-            if len(chunk) == CHUNK_TEXTS:
-                yield count(chunk)
-                chunk = []
-    if chunk:
-        yield count(chunk)
-
-
-def document_frequencies(content: DataFrame, n: int) -> Idf:
-    """Frequencies of all shingles in at least n / RARE of the n texts.
-
-    First every chunk of texts names the shingles that it has twice or more; a
-    frequent one can't be missing, as there are fewer chunks than half its
-    texts. Those with enough texts named are then counted in all texts.
-    """
-    spark = content.sparkSession
-    tasks = max(1, n // CHUNK_TEXTS)
-    texts = content.select("text")
-    named = texts.coalesce(tasks).mapInArrow(_repeated, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts"))
-    named = named.filter(F.col("texts") >= max(2, n / (2 * RARE))).toPandas()  # 2 * RARE times the mean length, at most
-    keys, counts = named["shingle"].to_numpy(np.int64).view(np.uint64), named["texts"].to_numpy(np.int64)
-    if n <= CHUNK_TEXTS or not len(keys):
-        return Idf(keys, counts, n)  # a single chunk has counted them all
-    shared = spark.sparkContext.broadcast(np.sort(keys))
-
-    def count(batches):
-        known = shared.value
-        total = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for s in _shingles(batch.column(0)):
-                own = weighted(s)[0]
-                at = np.searchsorted(known, own)
-                at[at == len(known)] = 0
-                total[at[known[at] == own]] += 1
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[found].view(np.int64)), pa.array(total[found])], ["shingle", "texts"])
-
-    exact = texts.mapInArrow(count, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")).toPandas()
-    return Idf(exact["shingle"].to_numpy(np.int64).view(np.uint64), exact["texts"].to_numpy(np.int64), n)
+def _pack(text: str, frequencies: np.ndarray) -> bytes:
+    """A text with the document frequencies of its distinct shingles, in their order."""
+    return len(frequencies).to_bytes(4, "little") + frequencies.astype("<u4").tobytes() + text.encode("utf-8", "replace")
 
 
-def classes_of_texts(content: DataFrame, n: int) -> DataFrame:
-    """content (node, text), n rows -> (node, label) of all nodes that are similar to another."""
-    idf = content.sparkSession.sparkContext.broadcast(document_frequencies(content, n))
+def _unpack(packed: bytes) -> tuple[str, np.ndarray]:
+    n = int.from_bytes(packed[:4], "little")
+    return packed[4 + 4 * n :].decode("utf-8"), np.frombuffer(packed, "<u4", n, 4)
+
 
-    def sample(batches):
-        for batch in batches:
-            nodes, keys, sizes = [], [], [0]
-            for node, s in zip(batch.column(0), _shingles(batch.column(1))):
-                if len(s):
-                    nodes.append(node.as_py())
-                    keys.append(band_keys(weighted_sample(*idf.value.weigh(s))))
-                    sizes.append(sizes[-1] + BANDS)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], ["node", "keys"])
+def _blobs(columns: list[list], names: list[str], first: pa.DataType) -> pa.Table:
+    kinds = [first] + [pa.binary() if name in ("shingles", "texts") else pa.int32() for name in names[1:]]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    def vectors(texts):
-        return [idf.value.weigh(s) for s in _shingles(pa.array(texts, pa.large_string()))]
 
-    keys = materialize(content.mapInArrow(sample, "node binary, keys array<long>"), "bands")
+def _ranges(chunk: pa.Table, ranges: int) -> pa.Table:
+    """The distinct shingles of a chunk of texts, and in how many of them each is; a row for each range of shingles."""
+    found = [weighted(x)[0] for x in _shingles(chunk["text"].combine_chunks())]
+    keys, n = weighted(np.concatenate(found) if found else np.zeros(0, np.uint64))
+    cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+    some = np.flatnonzero(np.diff(cuts))
+    parts = [slice(cuts[i], cuts[i + 1]) for i in some]
+    own = [chunk["chunk"][0].as_py()] * len(some)
+    return _blobs([some, own, [keys[x].tobytes() for x in parts], [n[x].astype("<u4").tobytes() for x in parts]], ["range", "chunk", "shingles", "texts"], pa.int32())
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """Rows of one range -> for each chunk its shingles that are in two texts or more, with the number of those texts."""
+    keys = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+    sizes = np.cumsum([len(k) for k in keys])[:-1]
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["texts"].to_pylist()])
+    total = np.bincount(which, weights=n)[which].astype("<u4")
+    parts = [(k[t > 1].tobytes(), t[t > 1].tobytes()) for k, t in zip(keys, np.split(total, sizes))]
+    return _blobs([rows["chunk"].to_pylist(), [k for k, _ in parts], [t for _, t in parts]], ["chunk", "shingles", "texts"], pa.int32())
+
+
+def in_chunks(content: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """content (node, text), n rows -> (chunk, node, text) and the number of chunks."""
+    chunks = max(1, n // CHUNK_TEXTS)
+    return content.select(F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int").alias("chunk"), "node", "text").repartition(chunks, "chunk"), chunks
+
+
+def document_frequencies(content: DataFrame, n: int) -> DataFrame:
+    """(chunk, shingles, texts): the shingles of each chunk that are in two texts or more, and in how many; several rows a chunk."""
+    ranges = 1 + (content.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS
+    parts = in_chunks(content, n)[0].groupBy("chunk").applyInArrow(lambda chunk: _ranges(chunk, ranges), "range int, chunk int, shingles binary, texts binary")
+    return parts.repartition(ranges, "range").groupBy("range").applyInArrow(_counted, "chunk int, shingles binary, texts binary")
+
+
+def classes_of_texts(content: DataFrame, n: int) -> DataFrame:
+    """content (node, text), n rows -> (node, label) of all nodes that are similar to another."""
+
+    def sample(chunk: pa.Table, counted: pa.Table) -> pa.Table:
+        idf = Idf(*(np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in counted[c].to_pylist())]) for c, t in (("shingles", np.uint64), ("texts", np.uint32))), n)
+        nodes, keys, packed = [], [], []
+        texts = chunk["text"].combine_chunks()
+        for node, text, s in zip(chunk["node"], texts, _shingles(texts)):
+            if len(s):
+                own, counts = weighted(s)
+                frequencies = idf.frequencies(own)
+                nodes.append(node.as_py())
+                keys.append(band_keys(weighted_sample(own, _weights(counts, frequencies, n))))
+                packed.append(_pack(text.as_py(), frequencies))
+        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(nodes) + 1, BANDS), pa.int32()), flat)
+        return pa.table([pa.array(nodes, pa.binary()), lists, pa.array(packed, pa.binary())], ["node", "keys", "text"])
+
+    def vectors(packed):
+        texts, frequencies = zip(*map(_unpack, packed))
+        found = [weighted(s) for s in _shingles(pa.array(texts, pa.large_string()))]
+        return [(keys, _weights(counts, f, n)) for (keys, counts), f in zip(found, frequencies)]
+
+    chunks, many = in_chunks(content, n)
+    counted = document_frequencies(content, n).repartition(many, "chunk")
+    sampled = chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(sample, "node binary, keys array<long>, text binary")
+    sampled = materialize(sampled, "bands")
 
     def texts_of(nodes, n):
-        return content.join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
+        return sampled.select("node", "text").join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
 
-    return near_components(keys, texts_of, vectors, THRESHOLD)
+    return near_components(sampled.select("node", "keys"), texts_of, vectors, THRESHOLD)
 
 
 def _class_info(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame, int]:
