@@ -2,12 +2,13 @@
 
 The standard library's parser sends events; text gathers into lines, one for
 each block element. Lines inside menus, headers, footers, sidebars, notices,
-adverts, forms, comments and the like are marked by their elements. Of the
-others the text-to-tag ratio is smoothed by a Gaussian, and lines at or above
+adverts, forms, comments and the like are marked by their elements: by tag,
+role or state, or by a whole class or id, unless that element holds nine tenths
+of the content clusters' text. Of the others the text-to-tag ratio is smoothed by a Gaussian, and lines at or above
 the ratios' standard deviation form the content clusters. The clusters vote for
 the element that holds the article: an article or main element where there is
 one, else the container with their text. All lines of it that aren't marked are
-the result.
+the result, those of links too.
 
 Defined cases: null or empty html gives an empty text; repeated rows and null
 keys are rows like any other; an empty table gives an empty result; further
@@ -68,6 +69,8 @@ class Element:
     article: Element | None
     main: Element | None
     header: bool
+    #: Elements around it, or itself, with a class or id that marks them.
+    marks: tuple[Element, ...] = ()
     votes: float = 0.0
 
 
@@ -82,6 +85,11 @@ class Line:
     heading: bool = False
 
 
+def _marked(attrs: dict) -> bool:
+    """Whether a whole class, or the id, is one of the words."""
+    return not WORDS.isdisjoint(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split())
+
+
 def _named(attrs: dict) -> set[str]:
     names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
     return {w.lower() for w in _WORD.findall(names)}
@@ -102,7 +110,7 @@ class LineParser(HTMLParser):
         for e in self.stack[at:]:
             self.links -= e.tag == "a"
         block = any(e.tag in BLOCKS for e in self.stack[at:])
-        hid = any(e.hidden for e in self.stack[at:])
+        hid = any(e.hidden or e.marks != e.parent.marks for e in self.stack[at:])
         del self.stack[at:]
         if block or hid:
             self._line()
@@ -130,16 +138,18 @@ class LineParser(HTMLParser):
         up, given = self.stack[-1], dict(attrs)
         hidden = up.hidden or tag in HIDDEN or "hidden" in given or given.get("aria-hidden") == "true" or (given.get("role") or "").lower() in ROLES
         names = _named(given) if tag not in HOLDERS and ("class" in given or "id" in given) else set()
-        hidden = hidden or not WORDS.isdisjoint(names) or "display:none" in (given.get("style") or "").replace(" ", "")
+        hidden = hidden or "display:none" in (given.get("style") or "").replace(" ", "")
         holder = tag == "main" or given.get("role") == "main"
-        e = Element(tag, up, hidden, up.article, up.main, up.header or tag == "header" or (names <= PAGE_WORDS and not HEADERS.isdisjoint(names)))
+        e = Element(tag, up, hidden, up.article, up.main, up.header or tag == "header" or (names <= PAGE_WORDS and not HEADERS.isdisjoint(names)), up.marks)
+        if tag not in HOLDERS and _marked(given):
+            e.marks = (*up.marks, e)
         if tag == "article" and not hidden and up.article is None:
             e.article = e
         if holder and not hidden and up.main is None:
             e.main = e
         self.stack.append(e)
         self.links += tag == "a"
-        if tag in BLOCKS or hidden != up.hidden:
+        if tag in BLOCKS or hidden != up.hidden or e.marks != up.marks:
             self._line()
 
     def handle_startendtag(self, tag, attrs):
@@ -178,6 +188,27 @@ def _containers(e: Element):
         e = e.parent
 
 
+def _clusters(lines: list[tuple[str, Line]]) -> np.ndarray:
+    """Whether each line is in a content cluster."""
+    ratios = np.array([len(t) / max(1, line.tags) for t, line in lines])
+    smooth = smoothed(ratios)
+    return smooth >= min(float(ratios.std()), float(smooth.max()))
+
+
+def _unmarked(lines: list[tuple[str, Line]]) -> list[tuple[str, Line]]:
+    """Lines outside marked elements, those aside that hold nine tenths of the clusters' text."""
+    if not any(line.element.marks for _, line in lines):
+        return lines
+    held, total = {}, 0
+    for (text, line), good in zip(lines, _clusters(lines)):
+        if good and 2 * line.linked <= len(text):
+            total += len(text)
+            for e in line.element.marks:
+                held[id(e)] = held.get(id(e), 0) + len(text)
+    released = {k for k, n in held.items() if 10 * n >= 9 * total}
+    return [(t, line) for t, line in lines if all(id(e) in released for e in line.element.marks)]
+
+
 def main_text(html: str) -> str:
     """The lines of a page's article, joined by newlines."""
     parser = LineParser()
@@ -190,12 +221,11 @@ def main_text(html: str) -> str:
         # Of a header only an article's own headings belong to the text.
         if text and not e.hidden and not (e.header and not (line.heading and e.article is not None)):
             lines.append((text, line))
+    if lines:
+        lines = _unmarked(lines)
     if not lines:
         return ""
-    ratios = np.array([len(t) / max(1, line.tags) for t, line in lines])
-    smooth = smoothed(ratios)
-    content = smooth >= min(float(ratios.std()), float(smooth.max()))
-    for (text, line), good in zip(lines, content):
+    for (text, line), good in zip(lines, _clusters(lines)):
         if good and 2 * line.linked <= len(text):
             for c in _containers(line.element):
                 c.votes += len(text)
@@ -210,7 +240,7 @@ def main_text(html: str) -> str:
     held = {id(c): c for _, line in lines for c in _containers(line.element)}
     total = max((c.votes for c in held.values()), default=0)
     if not total:
-        return "\n".join(t for t, line in lines if 2 * line.linked <= len(t))
+        return "\n".join(t for t, _ in lines)
     depth = lambda c: sum(1 for _ in _containers(c))
     holder = max((c for c in held.values() if 10 * c.votes >= 9 * total), key=depth)
     inside = [any(c is holder for c in _containers(line.element)) for _, line in lines]
@@ -219,7 +249,7 @@ def main_text(html: str) -> str:
     titles = [i for i, (_, line) in enumerate(lines[:first]) if line.element.tag == "h1"]
     if titles and not any(line.element.tag == "h1" for (_, line), good in zip(lines, inside) if good):
         inside[titles[-1]] = True
-    return "\n".join(t for (t, line), good in zip(lines, inside) if good and 2 * line.linked <= len(t))
+    return "\n".join(t for (t, _), good in zip(lines, inside) if good)
 
 
 def extract(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:

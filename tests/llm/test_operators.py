@@ -338,6 +338,15 @@ def test_html():
     assert html.main_text("") == "" and html.main_text("just text") == "just text"
 
 
+def test_html_keeps_the_text_of_named_containers_and_links():
+    text = "many words of the story " * 8
+    paragraphs = f"<p>{text}</p><p><a href=b>See the whole report</a></p><p>{text}</p>"
+    expected = [text.strip(), "See the whole report", text.strip()]
+    for start, end in (('<article class="post category-social">', "</article>"), ('<div class="content no-sidebar">', "</div>"), ('<div class="post comments-open">', "</div>"), ('<div class="register">', "</div>")):
+        page = f'<body><div class="menu"><a href=a>Menu</a></div>{start}{paragraphs}<div class="share">Share</div>{end}<div id="sidebar"><p>Aside</p></div></body>'
+        assert html.main_text(page).split("\n") == expected, start
+
+
 def test_html_operator(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Hello there, world</p>", "x"), (None, None, None, "y"), (2, "v", "", "z")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(pages).collect()}
