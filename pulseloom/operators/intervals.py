@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -83,28 +84,46 @@ def phase_inliers(phases: DataFrame, k_sigma: float = 2.5, least_mad: float = 5.
     return near.join(mad, "series_id").filter((F.col("cluster_distance") <= limit) | (F.col("_n") < at_least)).drop("_c", "_n", "_m", "_mad")
 
 
-def _resultant(pulses: DataFrame, freqs: DataFrame) -> DataFrame:
-    """freq_hz and the length of the mean of exp(i 4 pi f t); the grid is small and broadcast, partial sums go first."""
-    turn = 4 * math.pi * F.col("freq_hz") * F.col("toa_s")
-    sums = pulses.select("toa_s").join(F.broadcast(freqs)).groupBy("freq_hz").agg(F.avg(F.cos(turn)).alias("c"), F.avg(F.sin(turn)).alias("s"))
-    return sums.select("freq_hz", F.hypot("c", "s").alias("resultant"))
+#: Frequencies of a block, which one row stands for, and of a row of the products within it.
+_BLOCK, _INNER = 2000, 50
+
 
+def _best_frequency(times: Broadcast, low: float, high: float, steps: int) -> DataFrame:
+    """The frequency of an even grid with the longest mean of exp(i 4 pi f t), and that length; the lowest one of equal ones.
 
-def grid_frequency(pulses: DataFrame, base: float = 50.0, width: float = 0.5, coarse: int = 2000, fine: int = 1000, near: float = 0.01, sample: int = 10_000, seed: int = 1) -> DataFrame:
+    exp(i 4 pi (f + g) t) is a product, so that a block of the grid is a product of two small matrices.
+    """
+    step = (high - low) / (steps - 1)
+
+    def of(batches):
+        t = times.value
+        inner = np.exp(4j * np.pi * step * np.outer(t, np.arange(_INNER)))
+        for batch in batches:
+            freqs, lengths = [], []
+            for at in batch.column(0).to_pylist():
+                first = np.arange(at * _BLOCK, min((at + 1) * _BLOCK, steps), _INNER)
+                found = np.abs(np.exp(4j * np.pi * np.outer(low + first * step, t)) @ inner).ravel()[: steps - first[0]] / len(t)
+                k = int(found.argmax())
+                freqs.append(low + (int(first[0]) + k) * step)
+                lengths.append(float(found[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(freqs, pa.float64()), pa.array(lengths, pa.float64())], ["freq_hz", "resultant"])
+
+    blocks = SparkSession.active().range(-(-steps // _BLOCK))
+    return blocks.mapInArrow(of, "freq_hz double, resultant double").orderBy(F.desc("resultant"), "freq_hz").limit(1)
+
+
+def grid_frequency(pulses: DataFrame, base: float = 50.0, width: float = 0.5, coarse: int = 200_000, fine: int = 100_000, near: float = 0.01, sample: int = 10_000, seed: int = 1) -> DataFrame:
     """The frequency at which doubled phases agree best: a coarse grid, then a fine one about its best point.
 
     With fewer than ten pulses the base is returned. More than ``sample`` pulses
-    are sampled by a seeded hash. Of equal resultants the lowest frequency wins.
+    are sampled by a seeded hash; so a bounded number of times is broadcast. Of
+    equal resultants the lowest frequency wins.
     """
     spark = pulses.sparkSession
-    some = pulses.select("toa_s").orderBy(F.xxhash64(F.lit(seed), "toa_s")).limit(sample)
-    n = some.count()
+    some = pulses.select("toa_s").orderBy(F.xxhash64(F.lit(seed), "toa_s")).limit(sample).collect()
+    n = len(some)
     if n < 10:
         return spark.createDataFrame([(float(base), None, n)], "freq_hz double, resultant double, n long")
-
-    def grid(low: float, high: float, steps: int) -> DataFrame:
-        return spark.range(steps).select((F.lit(low) + F.col("id") * ((high - low) / (steps - 1))).alias("freq_hz"))
-
-    first = _resultant(some, grid(base - width, base + width, coarse)).orderBy(F.desc("resultant"), "freq_hz").first()["freq_hz"]
-    best = _resultant(some, grid(first - near, first + near, fine)).orderBy(F.desc("resultant"), "freq_hz").limit(1)
-    return best.withColumn("n", F.lit(n).cast("long"))
+    times = spark.sparkContext.broadcast(np.array([r["toa_s"] for r in some]))
+    first = _best_frequency(times, base - width, base + width, coarse).first()["freq_hz"]
+    return _best_frequency(times, first - near, first + near, fine).withColumn("n", F.lit(n).cast("long"))

@@ -164,3 +164,18 @@ def test_empty_campaign(spark):
 def test_time_metrics_without_noise(spark):
     row = campaign.time_metrics(series(spark, [0.0] * 64 + [1.0]), 1e6, 0).first()
     assert row["snr_db"] == float("inf") and row["z_peak"] == float("inf")
+
+
+def test_grid_frequency_of_long_series(spark):
+    """Pulses over 5000 s: the peak is 1e-4 Hz wide, the grid's step has to be smaller."""
+    r, true = np.random.default_rng(12), 50.1234567
+    t = np.sort(r.choice(500_000, 300, replace=False)) / (2 * true)
+    pulses = spark.createDataFrame([(float(x),) for x in t], "toa_s double")
+    got = intervals.grid_frequency(pulses).first()
+    assert abs(got["freq_hz"] - true) < 1e-6 and got["resultant"] > 0.999 and got["n"] == 300
+    length = lambda f: np.abs(np.exp(4j * np.pi * np.outer(f, t)).mean(axis=1))
+    grid = np.linspace(49.5, 50.5, 4321)
+    best = grid[length(grid).argmax()]
+    grid = np.linspace(best - 0.01, best + 0.01, 123)
+    got = intervals.grid_frequency(pulses, coarse=4321, fine=123).first()
+    assert np.isclose(got["freq_hz"], grid[length(grid).argmax()], atol=1e-9) and np.isclose(got["resultant"], length(grid).max())
