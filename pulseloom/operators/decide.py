@@ -118,8 +118,28 @@ def envelope_alarms(samples: DataFrame, change: float = 0.5, quantile: float = 0
     return samples.groupBy("series_id").applyInPandas(run, "series_id long, at long, value double, alarm boolean, after boolean, cut long, _n long")
 
 
-def compare_baselines(samples: DataFrame, size: int = 1024, change: float = 0.5) -> DataFrame:
-    """Precision, recall, F1, false-positive rate and latency of the energy, zero-crossing and envelope detectors, by samples."""
+def _interval_counts(samples: DataFrame, fs: float, change: float, threshold: float = 2.5, drift: float = 0.5) -> DataFrame:
+    """What CUSUM on the intervals in seconds finds, by intervals; no row for a series without one.
+
+    The change's place among the intervals, and the latency in samples, go by the ratio of lengths.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("idx")["x"].to_numpy()
+        intervals = np.diff(dsp.detect(x, fs)) / fs
+        n, m, cut = len(x), len(intervals), int(len(x) * change)
+        at = np.flatnonzero(recurrences.cusum(intervals, threshold, drift)[2])
+        first = int(cut / n * m)
+        after = at[at >= first]
+        latency = int((after[0] - first) * (n / m)) if len(after) else n - cut
+        row = (pdf["series_id"].iloc[0], len(after), len(at) - len(after), latency, first, m - first)
+        return pd.DataFrame([row] if m else [], columns=["series_id", "tp", "fp", "latency", "neg", "pos"])
+
+    return samples.groupBy("series_id").applyInPandas(run, "series_id long, tp long, fp long, latency long, neg long, pos long")
+
+
+def compare_baselines(samples: DataFrame, size: int = 1024, change: float = 0.5, fs: float = 1.0) -> DataFrame:
+    """Precision, recall, F1, false-positive rate and latency of the energy, zero-crossing and envelope detectors, by samples, and of CUSUM, by intervals."""
     parts = {"energy": energy_alarms(samples, size, change), "zcr": zcr_alarms(samples, size, change), "envelope": envelope_alarms(samples, change)}
     out = None
     for name, df in parts.items():
@@ -130,7 +150,8 @@ def compare_baselines(samples: DataFrame, size: int = 1024, change: float = 0.5)
         F.count_if(F.col("alarm") & F.col("after")).alias("tp"), F.count_if(F.col("alarm") & ~F.col("after")).alias("fp"),
         F.min(F.when(F.col("alarm") & F.col("after"), F.col("at") - F.col("cut"))).alias("latency"),
     )
-    counts = counts.join(sizes, "series_id").withColumn("neg", F.floor(F.col("_n") * change)).withColumn("pos", F.col("_n") - F.col("neg"))
+    counts = counts.join(sizes, "series_id").withColumn("neg", F.floor(F.col("_n") * change)).withColumn("pos", F.col("_n") - F.col("neg")).drop("_n")
+    counts = counts.unionByName(_interval_counts(samples, fs, change).withColumn("method", F.lit("cusum")))
     return scored(counts).select("series_id", "method", "precision", "recall", "f1_score", "fpr", F.coalesce("latency", "pos").alias("latency_samples"))
 
 

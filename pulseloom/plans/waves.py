@@ -292,7 +292,7 @@ def envelope_detector(spark, d):
 
 @register("compare_baselines")
 def compare_baselines(spark, d):
-    return decide.compare_baselines(_centred(spark, d), 128)
+    return decide.compare_baselines(_centred(spark, d), 128, fs=FS)
 
 
 @register("campaign_verdicts")

@@ -179,3 +179,25 @@ def test_grid_frequency_of_long_series(spark):
     grid = np.linspace(best - 0.01, best + 0.01, 123)
     got = intervals.grid_frequency(pulses, coarse=4321, fine=123).first()
     assert np.isclose(got["freq_hz"], grid[length(grid).argmax()], atol=1e-9) and np.isclose(got["resultant"], length(grid).max())
+
+
+def test_baselines_compare_cusum_on_intervals(spark):
+    n, places = 2000, [*range(10, 1000, 10), *range(1020, 1990, 30)]
+    x = np.zeros(n)
+    x[places] = 10.0
+    rows = [(1, i, float(v)) for i, v in enumerate(x)] + [(2, i, 0.0) for i in range(300)]
+    got = decide.compare_baselines(spark.createDataFrame(rows, "series_id long, idx long, x double"), 128).collect()
+    assert {r["series_id"] for r in got if r["method"] == "cusum"} == {1}
+    (row,) = [r for r in got if r["method"] == "cusum"]
+    dt = np.diff(places).astype(float)
+    mean, up, down, alarms = dt[:200].mean(), 0.0, 0.0, []
+    for k in range(1, len(dt)):
+        up, down = max(0.0, up + dt[k] - mean - 0.5), max(0.0, down - dt[k] + mean - 0.5)
+        if up > 2.5 or down > 2.5:
+            alarms.append(k)
+    first = int(0.5 * len(dt))
+    tp = [k for k in alarms if k >= first]
+    precision, recall = len(tp) / len(alarms), len(tp) / (len(dt) - first)
+    expected = precision, recall, 2 * precision * recall / (precision + recall), (len(alarms) - len(tp)) / first
+    assert np.allclose((row["precision"], row["recall"], row["f1_score"], row["fpr"]), expected)
+    assert row["latency_samples"] == int((tp[0] - first) * n / len(dt))
