@@ -100,22 +100,22 @@ def synthetic_signals(spark, d):
 
 @register("denoising_grid")
 def denoising_grid(spark, d):
-    return studies.denoising_grid(spark, 3, 1024)
+    return studies.denoising_grid(spark)
 
 
 @register("denoising_best_cell")
 def denoising_best_cell(spark, d):
-    return studies.best_cell(studies.denoising_grid(spark, 3, 1024))
+    return studies.best_cell(studies.denoising_grid(spark))
 
 
 @register("snr_study")
 def snr_study(spark, d):
-    return studies.snr_study(spark, (0.0, 10.0, 20.0), 4)
+    return studies.snr_study(spark)
 
 
 @register("convergence_study")
 def convergence_study(spark, d):
-    return studies.convergence_study(spark, (0.0, 0.1, 0.5), 4, 500)
+    return studies.convergence_study(spark)
 
 
 @register("stream_delta_t", f"WITH {INTERVALS_SQL} SELECT series_id, event_id, {r('delta_t_s')} FROM intervals")

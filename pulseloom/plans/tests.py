@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from pulseloom.operators import hypothesis, intervals, track
@@ -100,10 +99,10 @@ def adf_test(spark, d):
 
 @register("bootstrap_median")
 def bootstrap_median(spark, d):
-    return hypothesis.bootstrap(_dt(spark, d), "delta_t_s", np.median, 1000)
+    return hypothesis.bootstrap(_dt(spark, d), "delta_t_s")
 
 
 @register("validation_report")
 def validation_report(spark, d):
     tracked = track.kalman(_dt(spark, d).withColumn("segment", F.floor(F.col("k") / 20)), 1e8, 1e8, 1e8, 1e12)
-    return hypothesis.report(tracked, 1e9, "segment", 200)
+    return hypothesis.report(tracked, 1e9)

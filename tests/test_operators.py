@@ -1,5 +1,7 @@
 """Operators against loops written from the definitions, and on edge cases."""
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulseloom.functions import dsp, recurrences, special
-from pulseloom.operators import campaign, conditioning, decide, detect, features, hypothesis, intervals, rolling, track
+from pulseloom.operators import campaign, conditioning, decide, detect, features, hypothesis, intervals, rolling, studies, track
+from pulseloom.plans import catalog
 
 
 def series(spark, values, name="x", key="idx", sid=1):
@@ -201,3 +204,33 @@ def test_baselines_compare_cusum_on_intervals(spark):
     expected = precision, recall, 2 * precision * recall / (precision + recall), (len(alarms) - len(tp)) / first
     assert np.allclose((row["precision"], row["recall"], row["f1_score"], row["fpr"]), expected)
     assert row["latency_samples"] == int((tp[0] - first) * n / len(dt))
+
+
+@pytest.mark.parametrize("name", ["denoising_grid", "denoising_best_cell", "snr_study", "convergence_study", "bootstrap_median", "validation_report"])
+def test_studies_are_registered_whole(spark, monkeypatch, name):
+    """The sizes of the reference: repeats, samples, levels, resamples."""
+    seen = []
+
+    def kept(module, function):
+        real = getattr(module, function)
+
+        def call(*args, **options):
+            bound = inspect.signature(real).bind(*args, **options)
+            bound.apply_defaults()
+            seen.append({k: v for k, v in bound.arguments.items() if k in ("repeats", "n", "levels", "variations", "resamples")})
+            return real(*args, **options)
+
+        monkeypatch.setattr(module, function, call)
+
+    for function in ("denoising_grid", "snr_study", "convergence_study"):
+        kept(studies, function)
+    for function in ("bootstrap", "report"):
+        kept(hypothesis, function)
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    expected = {
+        "denoising_grid": {"repeats": 100, "n": 4096}, "denoising_best_cell": {"repeats": 100, "n": 4096},
+        "snr_study": {"levels": (0.0, 5.0, 10.0, 15.0, 20.0, 30.0), "repeats": 30, "n": 4096},
+        "convergence_study": {"variations": (0.0, 0.1, 0.25, 0.5, 1.0), "repeats": 50, "n": 2000},
+        "bootstrap_median": {"resamples": 10_000}, "validation_report": {"resamples": 10_000},
+    }
+    assert seen[0] == expected[name]
