@@ -20,10 +20,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from pulseloom.llm.common import BROADCAST_ROWS, SPACE_CHARS, attach, materialize, text_or_empty
+from pulseloom.llm.common import BROADCAST_ROWS, WORD, attach, materialize, text_or_empty
 from pulseloom.llm.lsh import near_components
 from pulseloom.llm.shingles import char_shingles, mix, weighted
 
@@ -31,6 +33,8 @@ CHARS, THRESHOLD = 8, 0.8
 MINIMA, BANDS, ROWS = 48, 12, 4
 #: Characters that are hashed at once.
 BLOCK = 1 << 17
+#: Texts whose lines are signed together; of equal ones among them the first is.
+SIGNED = 1024
 
 _seeds = np.random.default_rng(19_970_303)
 _A = _seeds.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -41,10 +45,6 @@ _FACTOR = _seeds.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(
 _word = re.compile(r"[^\x20\x09-\x0D]")
 
 
-def node_of(line):
-    return F.unhex(F.md5(line))
-
-
 def _runs(points: np.ndarray) -> np.ndarray:
     """Hashes of the runs of eight code points: of two, then of two such, then of two of those."""
     h = mix(points.astype(np.uint64) + np.uint64(1))
@@ -102,23 +102,36 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 _KEYS = [f"k{i}" for i in range(BANDS)]
 
 
-def _sign(batches):
-    for batch in batches:
-        seen = dict.fromkeys(x for t in batch.column(0).to_pylist() for x in t.split("\n") if _word.search(x))
-        lines = list(seen)
-        keys = band_keys(signatures(lines)) if lines else np.zeros((0, BANDS), np.int64)
-        digests = b"".join(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in lines)
-        halves = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
-        columns = [np.ascontiguousarray(c) for c in (*halves.T, *keys.T)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n0", "n1", *_KEYS])
-
-
-def _signed(docs: DataFrame, text: str) -> DataFrame:
-    """(node, keys) of the distinct lines. Columns of a fixed width are put together by hashing, without a sort."""
-    signed = docs.select(text_or_empty(text).alias("text")).mapInArrow(_sign, ", ".join(f"{c} long" for c in ("n0", "n1", *_KEYS)))
-    one = signed.groupBy("n0", "n1").agg(*[F.first(k).alias(k) for k in _KEYS])
-    half = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    return one.select(F.concat(half("n0"), half("n1")).alias("node"), F.array(*_KEYS).alias("keys"))
+def _pass(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """A row for each line with a word: row (a number of its own), doc_id, line_no, node, and the keys of its bands where
+    it is the first of its kind among some hundred texts."""
+
+    def of(batches):
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in (batch.slice(at, SIGNED) for at in range(0, batch.num_rows, SIGNED)):
+                doc, at, nodes, places, known = [], [], [], [], {}
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    for k, line in enumerate(t.split("\n")):
+                        if _word.search(line):
+                            node = known.get(line)
+                            if node is None:
+                                node = known[line] = hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()
+                                places.append(len(doc))
+                            doc.append(i), at.append(k), nodes.append(node)
+                keys = band_keys(signatures(list(known))) if known else np.zeros((0, BANDS), np.int64)
+                first = np.ones(len(doc), bool)
+                first[places] = False
+                spread = np.zeros(len(doc), np.int64)
+                spread[places] = np.arange(len(places))
+                columns = [pa.array(np.arange(number, number + len(doc))), part.column(0).take(pa.array(doc, pa.int64())), pa.array(at, pa.int32()), pa.array(nodes, pa.binary())]
+                columns += [pa.array(keys[spread, b] if len(keys) else spread, pa.int64(), mask=first) for b in range(BANDS)]
+                number += len(doc)
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "line_no", "node", *_KEYS])
+
+    chosen = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
+    kind = StructType([StructField("row", LongType()), StructField("doc_id", chosen.schema["doc_id"].dataType), StructField("line_no", IntegerType()), StructField("node", BinaryType()), *(StructField(k, LongType()) for k in _KEYS)])
+    return chosen.mapInArrow(of, kind)
 
 
 def _vectors(texts):
@@ -129,38 +142,35 @@ def _vectors(texts):
     return found
 
 
-def _exploded(docs: DataFrame, text: str, *more) -> DataFrame:
-    lines = docs.select(*more, F.posexplode(F.split(text_or_empty(text), "\n")).alias("line_no", "line"))
-    return lines.filter(F.length(F.translate("line", SPACE_CHARS, "")) > 0)
-
-
 def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each line with a word: doc_id, line_no (from 0), class_doc_id and class_line_no (the line that stays), class_size, kept."""
-    rows = _exploded(docs, text, F.col(key).alias("doc_id")).select("doc_id", "line_no", node_of("line").alias("node"))
-    rows = materialize(rows.groupBy("doc_id", "line_no", "node").agg(F.count("*").alias("copies")), "lines")
-    keys = materialize(_signed(docs, text), "line-bands")
+    written = materialize(_pass(docs, text, key), "lines")
+    rows = written.select("row", "doc_id", "line_no", "node")
+    # Columns of a fixed width are put together by hashing, without a sort.
+    keys = written.filter("k0 IS NOT NULL").groupBy("node").agg(*[F.first(k).alias(k) for k in _KEYS])
+    keys = materialize(keys.select("node", F.array(*_KEYS).alias("keys")), "line-bands")
 
     def content(nodes: DataFrame, n: int) -> DataFrame:
-        found = _exploded(docs, text).select(node_of("line").alias("node"), F.col("line").alias("text"))
-        found = found.join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
+        found = docs.select(F.explode(F.split(text_or_empty(text), "\n")).alias("text")).filter(F.col("text").rlike(WORD))
+        found = found.select(F.unhex(F.md5("text")).alias("node"), "text").join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
         return found.groupBy("node").agg(F.first("text").alias("text"))
 
     labels = near_components(keys, content, _vectors, THRESHOLD)
-    nodes = rows.groupBy("node").agg(F.sum("copies").alias("own"), F.min(F.struct("doc_id", "line_no")).alias("at"))
-    nodes = materialize(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "line-nodes")
-    sizes = nodes.groupBy("label").agg(F.sum("own").alias("class_size"), F.min("at").alias("first")).filter("class_size > 1")
-    total = rows.agg(F.sum("copies")).first()[0] or 0
-    info = attach(nodes, materialize(sizes, "line-classes"), "label", "class_size", total, "inner")
-    info = materialize(info.select("node", "own", "class_size", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no")), "line-info")
-    out = attach(rows, info, "node", "own", total).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("own")).join(labels, "node", "left").filter("own > 1 OR label IS NOT NULL")
+    nodes = materialize(nodes.select("node", "own", F.coalesce("label", "node").alias("label")), "line-nodes")
+    total = rows.count()
+    members = attach(rows, nodes, "node", "own", total, "inner")
+    classes = members.groupBy("label").agg(F.count("*").alias("class_size"), F.min(F.struct("doc_id", "line_no", "row")).alias("first"))
+    classes = materialize(classes.select("label", "class_size", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), F.col("first.row").alias("first")), "line-classes")
+    info = materialize(attach(nodes, classes, "label", "class_size", total, "inner").drop("label"), "line-info")
+    out = attach(rows, info, "node", "own", total)
     single = F.col("class_size").isNull()
-    stays = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")) & (F.col("_copy") == 1)
     return out.select(
-        "doc_id", F.col("line_no").cast("int"),
+        "doc_id", "line_no",
         F.when(single, F.col("doc_id")).otherwise(F.col("class_doc_id")).alias("class_doc_id"),
-        F.when(single, F.col("line_no")).otherwise(F.col("class_line_no")).cast("int").alias("class_line_no"),
+        F.when(single, F.col("line_no")).otherwise(F.col("class_line_no")).alias("class_line_no"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.when(single, F.lit(True)).otherwise(stays).alias("kept"),
+        F.when(single, F.lit(True)).otherwise(F.col("row") == F.col("first")).alias("kept"),
     )
 
 

@@ -14,34 +14,66 @@ pairs never do.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.common import BROADCAST_ROWS, attach, materialize
 from pulseloom.llm.components import components
-from pulseloom.llm.shingles import weighted_jaccard
+from pulseloom.llm.shingles import weighted, weighted_jaccard
 
 #: Members of a bucket that are compared in one block, and of the blocks of a larger bucket about.
 SMALL, SHARE = 64, 48
+#: Features that are multiplied at once.
+FEATURES = 1 << 14
+#: Texts of a chunk, on average, and characters of all texts for each range of features.
+CHUNK_TEXTS, RANGE_CHARS = 4096, 1 << 23
 #: Bands whose buckets are compared first; the others then mostly hold one component.
 FIRST_BANDS = 3
 
 #: Texts (node, text), one row each, of the given nodes and their number.
 Content = Callable[[DataFrame, int], DataFrame]
 Vectors = Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]
+#: The distinct features of each text of an array.
+Features = Callable[[pa.Array], Iterable[np.ndarray]]
+
+
+def overlaps(vecs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each two vectors a bound on the sum of the smaller weights: that of the square roots of their products.
+
+    It is exact where the weights are equal. Features of one vector alone add
+    nothing; the others are multiplied in blocks.
+    """
+    n = len(vecs)
+    keys = np.concatenate([k for k, _ in vecs])
+    owner = np.repeat(np.arange(n), [len(k) for k, _ in vecs])
+    roots = np.sqrt(np.concatenate([w for _, w in vecs]).astype(np.float32))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begins = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    column = np.cumsum(begins) - 1
+    shared = np.bincount(column)[column] > 1 if len(keys) else begins
+    column = np.cumsum(begins[shared]) - 1  # of the features that two vectors have, in order
+    row, value = owner[order][shared], roots[order][shared]
+    out = np.zeros((n, n), np.float32)
+    many = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, many, FEATURES):
+        part = slice(*np.searchsorted(column, (at, at + FEATURES)))
+        block = np.zeros((n, min(FEATURES, many - at)), np.float32)
+        block[row[part], column[part] - at] = value[part]
+        out += block @ block.T
+    return out
 
 
 def linked(texts: list[str], labels: list, asks: list[bool], vectors: Vectors, threshold: float) -> list[tuple[int, int]]:
     """Rows of a block that are similar: a forest that connects all that the block's pairs connect.
 
-    Two rows are compared unless they are in one component already, or neither of them asks.
+    Pairs are measured exactly unless a bound on their similarity is below the
+    threshold, they are in one component already, or neither of them asks.
     """
-    n = len(texts)
     first: dict = {}
     parent = [first.setdefault(label, i) for i, label in enumerate(labels)]
 
@@ -52,18 +84,20 @@ def linked(texts: list[str], labels: list, asks: list[bool], vectors: Vectors, t
         return i
 
     vecs = vectors(texts)
-    sums = [float(v[1].sum()) for v in vecs]
+    sums = np.array([float(v[1].sum()) for v in vecs])
+    asking = np.array(asks, bool)
+    # both / (a + b - both) >= t where both >= t (a + b) / (1 + t); single precision leaves a margin.
+    near = overlaps(vecs) >= (sums[:, None] + sums[None, :]) * (threshold / (1 + threshold) * (1 - 1e-4))
+    near &= (asking[:, None] | asking[None, :]) & (sums > 0)[:, None]
     found = []
-    for i in range(n):
-        for j in range(i):
-            if (asks[i] or asks[j]) and min(sums[i], sums[j]) >= threshold * max(sums[i], sums[j]) > 0 and root(i) != root(j):
-                if weighted_jaccard(vecs[i], vecs[j]) >= threshold:
-                    parent[root(i)] = root(j)
-                    found.append((i, j))
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.tril(near, -1)))):
+        if root(i) != root(j) and weighted_jaccard(vecs[i], vecs[j]) >= threshold:
+            parent[root(i)] = root(j)
+            found.append((i, j))
     return found
 
 
-def _compare(blocks: DataFrame, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
+def _compare(blocks: DataFrame, content: DataFrame, vectors: Vectors, threshold: float) -> DataFrame:
     """blocks (block, node, label, ask) -> links (a, b). Blocks come one after the other in each task's rows."""
 
     def of(batches):
@@ -85,8 +119,7 @@ def _compare(blocks: DataFrame, content: Content, vectors: Vectors, threshold: f
         if held:
             yield _links(links())
 
-    nodes = materialize(blocks.select("node").distinct(), "compared")
-    rows = blocks.join(content(nodes, nodes.count()), "node").select("block", "text", "node", "label", "ask")
+    rows = blocks.join(content, "node").select("block", "text", "node", "label", "ask")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(of, "a binary, b binary")
 
 
@@ -110,46 +143,81 @@ def _dealt(salt: int, parts):
     return F.pmod(F.xxhash64("node", F.lit(salt)), parts)
 
 
-def _able(nodes: DataFrame, n: int, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
+def in_chunks(content: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """content (node, text), n rows -> (chunk, node, text) and the number of chunks."""
+    chunks = max(1, n // CHUNK_TEXTS)
+    return content.select(F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int").alias("chunk"), "node", "text").repartition(chunks, "chunk"), chunks
+
+
+def _blobs(columns: list[list], names: list[str]) -> pa.Table:
+    kinds = [pa.binary() if name in ("features", "texts") else pa.int32() for name in names]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def _ranges(chunk: pa.Table, features: Features, ranges: int) -> pa.Table:
+    """The distinct features of a chunk of texts, and in how many of them each is; a row for each range of features."""
+    found = list(features(chunk["text"].combine_chunks()))
+    keys, n = weighted(np.concatenate(found) if found else np.zeros(0, np.uint64))
+    cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+    some = np.flatnonzero(np.diff(cuts))
+    parts = [slice(cuts[i], cuts[i + 1]) for i in some]
+    own = [chunk["chunk"][0].as_py()] * len(some)
+    return _blobs([some, own, [keys[x].tobytes() for x in parts], [n[x].astype("<u4").tobytes() for x in parts]], ["range", "chunk", "features", "texts"])
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """Rows of one range -> for each chunk its features that are in two texts or more, with the number of those texts."""
+    keys = [np.frombuffer(x, np.uint64) for x in rows["features"].to_pylist()]
+    sizes = np.cumsum([len(k) for k in keys])[:-1]
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["texts"].to_pylist()])
+    total = np.bincount(which, weights=n)[which].astype("<u4")
+    parts = [(k[t > 1].tobytes(), t[t > 1].tobytes()) for k, t in zip(keys, np.split(total, sizes))]
+    return _blobs([rows["chunk"].to_pylist(), [k for k, _ in parts], [t for _, t in parts]], ["chunk", "features", "texts"])
+
+
+def text_frequencies(content: DataFrame, n: int, features: Features) -> DataFrame:
+    """(chunk, features, texts): the features of each chunk that are in two texts or more, and in how many; several rows a chunk.
+
+    A chunk sends each of its features once, packed by ranges of their hashes,
+    so that a feature of all texts is one number from each chunk; a range
+    answers each chunk.
+    """
+    ranges = 1 + (content.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS
+    parts = in_chunks(content, n)[0].groupBy("chunk").applyInArrow(lambda chunk: _ranges(chunk, features, ranges), "range int, chunk int, features binary, texts binary")
+    return parts.repartition(ranges, "range").groupBy("range").applyInArrow(_counted, "chunk int, features binary, texts binary")
+
+
+def joined(blobs: pa.Table, column: str, kind) -> np.ndarray:
+    """The numbers in the rows of a column of text_frequencies, one after the other."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in blobs[column].to_pylist())])
+
+
+def _able(content: DataFrame, n: int, vectors: Vectors, threshold: float) -> DataFrame:
     """The nodes that have at least the threshold's share of their weight on features that another of the nodes has too.
 
-    Similarity can't exceed that share. Features are packed by ranges of their
-    hashes, a row for each range and a few hundred texts.
+    Similarity can't exceed that share.
     """
-    ranges = max(64, n // 500)
 
-    def pack(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                vecs = vectors(part.column(1).to_pylist())
-                keys, weights = np.concatenate([k for k, _ in vecs]), np.concatenate([w for _, w in vecs]).astype(np.float64)
-                owner = np.repeat(np.arange(len(vecs), dtype=np.int32), [len(k) for k, _ in vecs])
-                where = (keys >> np.uint64(20)) % np.uint64(ranges)
-                order = np.argsort(where, kind="stable")
-                found, first = np.unique(where[order], return_index=True)
-                cuts = np.split(order, first[1:])
-                nodes = part.column(0).to_pylist()
-                rows = [found.astype(np.int32).tolist(), [nodes] * len(found), *([x[c].tobytes() for c in cuts] for x in (owner, keys, weights))]
-                kinds = pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["part", "nodes", "owner", "keys", "weights"])
-
-    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = [x for row in pdf["nodes"] for x in row]
-        base = np.cumsum([0, *(len(row) for row in pdf["nodes"])])
-        owner = np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(pdf["owner"], base)])
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-        weights = np.concatenate([np.frombuffer(x, np.float64) for x in pdf["weights"]])
-        _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        held = np.bincount(owner, weights=weights * (counts[which] > 1), minlength=len(nodes))
-        total = np.bincount(owner, weights=weights, minlength=len(nodes))
-        some = np.flatnonzero(total)
-        return pd.DataFrame({"node": [nodes[i] for i in some], "held": held[some], "total": total[some]})
-
-    packed = content(nodes, n).select("node", "text").mapInArrow(pack, "part int, nodes array<binary>, owner binary, keys binary, weights binary")
-    masses = packed.groupBy("part").applyInPandas(shared, "node binary, held double, total double")
-    able = masses.groupBy("node").agg(F.sum("held").alias("held"), F.sum("total").alias("total"))
-    return able.filter(F.col("held") >= F.col("total") * (threshold - 1e-9)).select("node")
+    def features(texts: pa.Array):
+        for at in range(0, len(texts), 256):
+            for keys, _ in vectors(texts.slice(at, 256).to_pylist()):
+                yield keys
+
+    def able(chunk: pa.Table, counted: pa.Table) -> pa.Table:
+        shared, found = np.sort(joined(counted, "features", np.uint64)), []
+        for at in range(0, chunk.num_rows, 256):
+            part = chunk.slice(at, 256)
+            for node, (keys, weights) in zip(part["node"].to_pylist(), vectors(part["text"].to_pylist())):
+                place = np.searchsorted(shared, keys)
+                held = weights[shared[np.minimum(place, len(shared) - 1)] == keys].sum() if len(shared) else 0
+                if held >= weights.sum() * (threshold - 1e-9):
+                    found.append(node)
+        return pa.table([pa.array(found, pa.binary())], ["node"])
+
+    chunks, many = in_chunks(content, n)
+    counted = text_frequencies(content, n, features).repartition(many, "chunk")
+    return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(able, "node binary")
 
 
 def near_components(keys: DataFrame, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
@@ -163,6 +231,8 @@ def near_components(keys: DataFrame, content: Content, vectors: Vectors, thresho
     buckets = materialize(buckets.select("b.key", "b.band", "n", "centre"), "buckets")
     total = dealt.count()
     members = materialize(attach(dealt.drop("band"), buckets, "key", "n", total, "inner"), "members")
+    met = materialize(members.select("node").distinct(), "met")
+    texts = materialize(content(met, met.count()), "met-texts")
 
     first = members.filter(F.col("band") < FIRST_BANDS)
     large = first.filter(F.col("n") > SMALL)
@@ -174,7 +244,7 @@ def near_components(keys: DataFrame, content: Content, vectors: Vectors, thresho
         .unionByName(centres.select(of_part(F.col("part")), "node"))
     )
     blocks = blocks.withColumns({"label": F.col("node"), "ask": F.lit(True)})
-    links = materialize(_compare(blocks, content, vectors, threshold), "links")
+    links = materialize(_compare(blocks, texts, vectors, threshold), "links")
     labels = components(links)
 
     rest = members.filter((F.col("band") >= FIRST_BANDS) | (F.col("n") > SMALL)).join(labels, "node", "left")
@@ -183,7 +253,8 @@ def near_components(keys: DataFrame, content: Content, vectors: Vectors, thresho
     large = rest.filter(F.col("size") > SMALL)
     doubtful = materialize(large.select("node").distinct(), "doubtful")
     if n := doubtful.count():
-        able = materialize(_able(doubtful, n, content, vectors, threshold), "able")
+        own_texts = texts.join(F.broadcast(doubtful) if n <= BROADCAST_ROWS else doubtful, "node", "left_semi")
+        able = materialize(_able(own_texts, n, vectors, threshold), "able")
         large = large.join(F.broadcast(able) if able.count() <= BROADCAST_ROWS else able, "node", "left_semi")
         left = materialize(_several(large.select("key", "node", F.col("size").alias("n"), "label"), total), "rest")
         rest = rest.filter(F.col("size") <= SMALL).unionByName(left)
@@ -197,7 +268,7 @@ def near_components(keys: DataFrame, content: Content, vectors: Vectors, thresho
     asked = large.filter("label <> main").withColumn("q", _dealt(2, asking).cast("int")).withColumn("r", each(rows))
     held = large.withColumn("r", _dealt(3, rows).cast("int")).withColumn("q", each(asking))
     blocks = small.unionByName(asked.select(pair, "node", "label", F.lit(True).alias("ask"))).unionByName(held.select(pair, "node", "label", F.lit(False).alias("ask")))
-    more = materialize(_compare(blocks, content, vectors, threshold), "links")
+    more = materialize(_compare(blocks, texts, vectors, threshold), "links")
     if not more.count():
         return labels
     # Components of components: the labels stand for their members.

@@ -28,13 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.common import BROADCAST_ROWS, attach, distinct_texts, materialize, text_or_empty
-from pulseloom.llm.lsh import near_components
+from pulseloom.llm.lsh import in_chunks, joined, near_components, text_frequencies
 from pulseloom.llm.shingles import mix, texts_words, weighted, word_shingles
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
-#: Texts of a chunk, on average, and characters of all texts for each range of shingles.
-CHUNK_TEXTS, RANGE_CHARS = 4096, 1 << 23
 
 _seeds = np.random.default_rng(19_840_611)
 _A = _seeds.integers(1, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,51 +115,16 @@ def _unpack(packed: bytes) -> tuple[str, np.ndarray]:
     return packed[4 + 4 * n :].decode("utf-8"), np.frombuffer(packed, "<u4", n, 4)
 
 
-def _blobs(columns: list[list], names: list[str], first: pa.DataType) -> pa.Table:
-    kinds = [first] + [pa.binary() if name in ("shingles", "texts") else pa.int32() for name in names[1:]]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-
-def _ranges(chunk: pa.Table, ranges: int) -> pa.Table:
-    """The distinct shingles of a chunk of texts, and in how many of them each is; a row for each range of shingles."""
-    found = [weighted(x)[0] for x in _shingles(chunk["text"].combine_chunks())]
-    keys, n = weighted(np.concatenate(found) if found else np.zeros(0, np.uint64))
-    cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
-    some = np.flatnonzero(np.diff(cuts))
-    parts = [slice(cuts[i], cuts[i + 1]) for i in some]
-    own = [chunk["chunk"][0].as_py()] * len(some)
-    return _blobs([some, own, [keys[x].tobytes() for x in parts], [n[x].astype("<u4").tobytes() for x in parts]], ["range", "chunk", "shingles", "texts"], pa.int32())
-
-
-def _counted(rows: pa.Table) -> pa.Table:
-    """Rows of one range -> for each chunk its shingles that are in two texts or more, with the number of those texts."""
-    keys = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
-    sizes = np.cumsum([len(k) for k in keys])[:-1]
-    _, which = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["texts"].to_pylist()])
-    total = np.bincount(which, weights=n)[which].astype("<u4")
-    parts = [(k[t > 1].tobytes(), t[t > 1].tobytes()) for k, t in zip(keys, np.split(total, sizes))]
-    return _blobs([rows["chunk"].to_pylist(), [k for k, _ in parts], [t for _, t in parts]], ["chunk", "shingles", "texts"], pa.int32())
-
-
-def in_chunks(content: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """content (node, text), n rows -> (chunk, node, text) and the number of chunks."""
-    chunks = max(1, n // CHUNK_TEXTS)
-    return content.select(F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int").alias("chunk"), "node", "text").repartition(chunks, "chunk"), chunks
-
-
 def document_frequencies(content: DataFrame, n: int) -> DataFrame:
-    """(chunk, shingles, texts): the shingles of each chunk that are in two texts or more, and in how many; several rows a chunk."""
-    ranges = 1 + (content.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS
-    parts = in_chunks(content, n)[0].groupBy("chunk").applyInArrow(lambda chunk: _ranges(chunk, ranges), "range int, chunk int, shingles binary, texts binary")
-    return parts.repartition(ranges, "range").groupBy("range").applyInArrow(_counted, "chunk int, shingles binary, texts binary")
+    """(chunk, features, texts): the shingles of each chunk that are in two texts or more, and in how many; several rows a chunk."""
+    return text_frequencies(content, n, lambda texts: (weighted(x)[0] for x in _shingles(texts)))
 
 
 def classes_of_texts(content: DataFrame, n: int) -> DataFrame:
     """content (node, text), n rows -> (node, label) of all nodes that are similar to another."""
 
     def sample(chunk: pa.Table, counted: pa.Table) -> pa.Table:
-        idf = Idf(*(np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in counted[c].to_pylist())]) for c, t in (("shingles", np.uint64), ("texts", np.uint32))), n)
+        idf = Idf(joined(counted, "features", np.uint64), joined(counted, "texts", np.uint32), n)
         nodes, keys, packed = [], [], []
         texts = chunk["text"].combine_chunks()
         for node, text, s in zip(chunk["node"], texts, _shingles(texts)):

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pulseloom.llm import components, exact, fuse, gru, html, licenses, linedup, lm, mixing, neardup, packing, quality, shards
+from pulseloom.llm import components, exact, fuse, gru, html, licenses, linedup, lm, lsh, mixing, neardup, packing, quality, shards
 from pulseloom.llm.flow import Network
 from pulseloom.llm.lsh import near_components
 from pulseloom.llm.shingles import weighted, weighted_jaccard
@@ -112,7 +112,7 @@ def test_rare_shingles_weigh_by_their_own_frequency(spark, monkeypatch):
     shared = " ".join(f"s{k}" for k in range(184))
     texts = [f"{shared} " + " ".join(f"own{i}x{k}" for k in range(20)) for i in range(4)] + [f"f{i} a b c d" for i in range(3996)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(neardup, "CHUNK_TEXTS", 1000)
+    monkeypatch.setattr(lsh, "CHUNK_TEXTS", 1000)
     assert neardup.classes(df).filter("class_size > 1").count() == 0
 
 
@@ -120,12 +120,12 @@ def test_document_frequencies_are_exact(spark, monkeypatch):
     r = random.Random(8)
     texts = sorted({cases.prose(r, r.randrange(4, 40)) + r.choice(["", " one two three four five six"]) for _ in range(300)})
     keys, counts = weighted(np.concatenate([weighted(x)[0] for x in neardup._shingles(pa.array(texts, pa.large_string()))]))
-    monkeypatch.setattr(neardup, "CHUNK_TEXTS", 40)
-    monkeypatch.setattr(neardup, "RANGE_CHARS", 5000)
+    monkeypatch.setattr(lsh, "CHUNK_TEXTS", 40)
+    monkeypatch.setattr(lsh, "RANGE_CHARS", 5000)
     content = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(texts)], "node binary, text string")
     found = {}
     for row in neardup.document_frequencies(content, len(texts)).collect():
-        found.update(zip(np.frombuffer(row["shingles"], np.uint64).tolist(), np.frombuffer(row["texts"], np.uint32).tolist()))
+        found.update(zip(np.frombuffer(row["features"], np.uint64).tolist(), np.frombuffer(row["texts"], np.uint32).tolist()))
     assert found == {int(k): int(c) for k, c in zip(keys, counts) if c > 1}
 
 
