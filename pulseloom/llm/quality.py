@@ -136,11 +136,12 @@ def score(docs: DataFrame, text: str = "text", host: str = "source", key: str =
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs; texts are scored in two passes and never shuffled."""
-    f = features(text_or_empty(text), rules)
-    scored = docs.select(F.col(host).alias("_host"), f.alias("_f")).select("_host", any_failed(F.col("_f"), rules).alias("_failed"))
+    """The rows of docs that stay, with the columns of docs. Texts are scored once and never shuffled: each row is
+    written with its verdict, without its content where the base rules reject it, and read again for the hosts'."""
+    f = F.col("_f")
+    scored = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).alias("_host"), features(text_or_empty(text), rules).alias("_f"))
+    scored = materialize(scored.select("_host", any_failed(f, rules).alias("_failed"), F.when(~base_failed(f, rules), F.col("row")).alias("row")), "judged")
     bad = host_verdicts(scored, "_host", "_failed", rules).filter("host_rejected").select(F.col("_host").alias("_bad_host"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).alias("_host"), base_failed(f, rules).alias("_failed"))
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return packed.filter("NOT _failed").join(bad, F.col("_host").eqNullSafe(F.col("_bad_host")), "left_anti").select("row.*")
+    return scored.filter("row IS NOT NULL").join(bad, F.col("_host").eqNullSafe(F.col("_bad_host")), "left_anti").select("row.*")
