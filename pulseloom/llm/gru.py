@@ -9,7 +9,7 @@ backpropagation over windows, the state being carried from one to the next.
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +25,8 @@ class Shape:
     embedding: int = 24
     hidden: int = 32
     window: int = 16
-    lanes: int = 64
-    rate: float = 0.004
+    lanes: int = 256
+    rate: float = 0.012
 
     @property
     def head_classes(self) -> int:
@@ -76,83 +76,96 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def deal(lengths: np.ndarray, lanes: int) -> list[list[int]]:
-    """Texts dealt to lanes, the longest first, each to the shortest lane."""
-    heap = [(0, k) for k in range(lanes)]
-    dealt: list[list[int]] = [[] for _ in range(lanes)]
-    for i in np.argsort(-lengths, kind="stable"):
-        size, k = heapq.heappop(heap)
-        dealt[k].append(int(i))
-        heapq.heappush(heap, (size + int(lengths[i]), k))
-    return dealt
-
-
-def streams(shape: Shape, texts: list[np.ndarray], lanes: int):
-    """Lanes side by side, the longest first: inputs, targets, number of the text (-1: none), and whether a text begins; steps x lanes."""
-    dealt = deal(np.array([len(t) for t in texts]), lanes)
-    dealt.sort(key=lambda lane: -sum(len(texts[i]) for i in lane))
-    steps = max((sum(len(texts[i]) for i in lane) for lane in dealt), default=0)
-    x = np.full((steps, lanes), shape.end, np.int32)
-    y = np.full((steps, lanes), shape.end, np.int32)
-    doc = np.full((steps, lanes), -1, np.int32)
-    new = np.zeros((steps, lanes), bool)
-    for k, lane in enumerate(dealt):
-        at = 0
-        for i in lane:
-            t = texts[i]
-            y[at : at + len(t), k] = t
-            x[at + 1 : at + len(t), k] = t[:-1]
-            doc[at : at + len(t), k] = i
-            new[at, k] = True
-            at += len(t)
-    return x, y, doc, new
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def _by_class(shape: Shape, y: np.ndarray, classes: np.ndarray, live: np.ndarray):
-    """(class, places of its members in y) for each head class that occurs."""
+def windows(shape: Shape, texts: Iterable[np.ndarray], lanes: int, steps: int):
+    """Texts side by side, a window after the other: lanes that go on, inputs, targets, numbers of the texts (-1: none)
+    and whether a text begins; all but the first are steps x lanes.
+
+    A lane whose text ends takes the next one, so that one text of each lane is
+    held and no more. When no text is left, empty lanes go.
+    """
+    source = enumerate(texts)
+    held = [(None, 0, 0)] * lanes
+    going = np.arange(lanes)
+    more = True
+    while True:
+        x = np.full((len(held), steps), shape.end, np.int32)
+        y, doc, new = x.copy(), np.full_like(x, -1), np.zeros(x.shape, bool)
+        for k, (text, i, at) in enumerate(held):
+            t = 0
+            while t < steps:
+                if text is None:
+                    i, text = next(source, (0, None)) if more else (0, None)
+                    more, at = text is not None, 0
+                    if text is None:
+                        break
+                n = min(steps - t, len(text) - at)
+                y[k, t : t + n] = text[at : at + n]
+                doc[k, t : t + n] = i
+                first = int(at == 0)
+                new[k, t] |= bool(first)
+                x[k, t + first : t + n] = text[at + first - 1 : at + n - 1]
+                at, t = at + n, t + n
+                if at == len(text):
+                    text = None
+            held[k] = text, i, at
+        some = np.flatnonzero(doc[:, 0] >= 0)
+        if not len(some):
+            return
+        yield (going[some], *(np.ascontiguousarray(z[some].T) for z in (x, y, doc, new)))
+        held = [held[k] for k in some]
+        going = np.arange(len(held))
+
+
+def _by_class(shape: Shape, y: np.ndarray, classes: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Places of head members in y in order of their classes, and (class, its part of them) for each class that occurs."""
     places = np.flatnonzero(live & (y < shape.head))
     places = places[np.argsort(classes[places], kind="stable")]
-    edges = np.flatnonzero(np.diff(classes[places])) + 1
-    for part in np.split(places, edges):
-        if len(part):
-            yield int(classes[part[0]]), part
+    counts = np.bincount(classes[places], minlength=shape.head_classes)
+    ends = np.cumsum(counts)
+    return places, [(int(k), slice(ends[k] - counts[k], ends[k])) for k in np.flatnonzero(counts)]
+
+
+def _errors(z: np.ndarray, chosen: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the chosen columns of logits, and the weighted gradient by the logits; changes z."""
+    rows = np.arange(len(z))
+    z -= z.max(axis=1, keepdims=True)
+    own = z[rows, chosen]
+    np.exp(z, out=z)
+    sums = z.sum(axis=1)
+    z *= (weight / sums)[:, None]
+    z[rows, chosen] -= weight
+    return own - np.log(sums), z
 
 
 def _log_sums(z: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; changes z. Logits are bounded, so that no row needs a shift."""
-    np.minimum(z, np.float32(60), out=z)
+    """Log of the sum of exponentials of each row; changes z."""
+    top = z.max(axis=1)
+    z -= top[:, None]
     np.exp(z, out=z)
-    return np.log(z @ np.ones(z.shape[1], np.float32))
+    return np.log(z @ np.ones(z.shape[1], np.float32)) + top
 
 
 def score(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 256, window: int = 16) -> np.ndarray:
-    """Natural log probability of each text's classes and members; what tail classes leave open is not in it."""
+    """Natural log probability of each text's classes and members; what tail classes leave open is not in it. Texts aren't empty."""
     total = np.zeros(len(texts))
     if not texts:
         return total
     lanes = max(1, min(lanes, len(texts)))
-    x, y, doc, new = streams(shape, texts, lanes)
+    order = np.argsort([-len(t) for t in texts], kind="stable")  # the longest first, so that lanes end together
     hidden, u = shape.hidden, p["u"].copy()
     table = p["emb"] @ p["wx"] + p["b"]
     # The gates' sigmoids as tanh: sigmoid(a) = (1 + tanh(a / 2)) / 2.
     table[:, : 2 * hidden] /= 2
     u[:, : 2 * hidden] /= 2
     h = np.zeros((lanes, hidden), np.float32)
-    fresh = new.any(axis=1)
-    states = np.empty((window, lanes, hidden), np.float32)
-    alive = (doc >= 0).sum(axis=1)  # lanes that have not ended are the first ones
-    for at in range(0, len(x), window):
-        steps, width = min(window, len(x) - at), int(alive[at])
-        h = h[:width]
-        for t in range(steps):
-            if fresh[at + t]:
-                h[new[at + t, :width]] = 0
-            a = table[x[at + t, :width]]
+    for going, x, y, doc, new in windows(shape, (texts[i] for i in order), lanes, window):
+        h, width = h[going], len(going)
+        states = np.empty((window, width, hidden), np.float32)
+        fresh = new.any(axis=1)
+        for t in range(window):
+            if fresh[t]:
+                h[new[t]] = 0
+            a = table[x[t]]
             hu = h @ u
             zr = a[:, : 2 * hidden]
             zr += hu[:, : 2 * hidden]
@@ -166,9 +179,9 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 256, wind
             h -= n
             h *= zr[:, :hidden]
             h += n
-            states[t, :width] = h
-        d = doc[at : at + steps, :width].ravel()
-        s, ys = states[:steps, :width].reshape(-1, hidden), y[at : at + steps, :width].ravel()
+            states[t] = h
+        d = doc.ravel()
+        s, ys = states.reshape(-1, hidden), y.ravel()
         live = d >= 0
         if not live.all():
             s, ys, d = s[live], ys[live], d[live]
@@ -177,19 +190,15 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 256, wind
         z += p["bc"]
         logp = z[np.arange(len(ys)), classes]
         logp -= _log_sums(z)
-        head = np.flatnonzero(ys < shape.head)
-        head = head[np.argsort(classes[head], kind="stable")]
-        counts = np.bincount(classes[head], minlength=shape.head_classes)
-        ends = np.cumsum(counts)
+        head, parts = _by_class(shape, ys, classes, np.ones(len(ys), bool))
         sorted_states, own = s[head], ys[head] % shape.per_class
         m = np.empty((len(head), shape.per_class), np.float32)
-        for k in np.flatnonzero(counts):
-            part = slice(ends[k] - counts[k], ends[k])
+        for k, part in parts:
             np.dot(sorted_states[part], p["wm"][k], out=m[part])
             m[part] += p["bm"][k]
         chosen = m[np.arange(len(head)), own]
         logp[head] += chosen - _log_sums(m)
-        total += np.bincount(d, weights=logp, minlength=len(texts))
+        total += np.bincount(order[d], weights=logp, minlength=len(texts))
     return total
 
 
@@ -211,23 +220,24 @@ def _gradients(p: dict, shape: Shape, x, y, live, starts, h):
     s, ys, on = states.reshape(-1, hidden), y.ravel(), live.ravel()
     classes = class_of(shape, ys)
     count = max(1, int(on.sum()))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    logp = _log_softmax(s @ p["wc"] + p["bc"])
-    loss = -float(logp[np.arange(len(ys)), classes][on].sum())
-    d = np.exp(logp)
-    d[np.arange(len(ys)), classes] -= 1
-    d *= on[:, None] / np.float32(count)
+    g = {k: np.zeros_like(v) for k, v in p.items() if k in ("emb", "u", "wm", "bm")}
+    weight = (on / np.float32(count)).astype(s.dtype)
+    logp, d = _errors(s @ p["wc"] + p["bc"], classes, weight)
+    loss = -float(logp[on].sum())
     g["wc"], g["bc"] = s.T @ d, d.sum(axis=0)
     ds = d @ p["wc"].T
-    for k, part in _by_class(shape, ys, classes, on):
-        logm = _log_softmax(s[part] @ p["wm"][k] + p["bm"][k])
-        own = ys[part] % shape.per_class
-        loss -= float(logm[np.arange(len(part)), own].sum())
-        dm = np.exp(logm)
-        dm[np.arange(len(part)), own] -= 1
-        dm /= np.float32(count)
-        g["wm"][k], g["bm"][k] = s[part].T @ dm, dm.sum(axis=0)
-        ds[part] += dm @ p["wm"][k].T
+    places, parts = _by_class(shape, ys, classes, on)
+    tops_of = s[places]
+    m = np.empty((len(places), shape.per_class), p["wm"].dtype)
+    for k, part in parts:
+        np.dot(tops_of[part], p["wm"][k], out=m[part])
+        m[part] += p["bm"][k]
+    logp, dm = _errors(m, ys[places] % shape.per_class, weight[places])
+    loss -= float(logp.sum())
+    for k, part in parts:
+        np.dot(tops_of[part].T, dm[part], out=g["wm"][k])
+        g["bm"][k] = dm[part].sum(axis=0)
+        ds[places[part]] += dm[part] @ p["wm"][k].T
     ds = ds.reshape(steps, lanes, hidden)
     da = np.empty_like(a)
     dh = np.zeros((lanes, hidden), np.float32)
@@ -243,7 +253,10 @@ def _gradients(p: dict, shape: Shape, x, y, live, starts, h):
         dh = (dh * z + dhu @ p["u"].T) * ~starts[t][:, None]
     flat = da.reshape(-1, 3 * hidden)
     g["wx"], g["b"] = e.reshape(-1, e.shape[2]).T @ flat, flat.sum(axis=0)
-    np.add.at(g["emb"], x.ravel(), flat @ p["wx"].T)
+    order = np.argsort(x.ravel(), kind="stable")
+    read = x.ravel()[order]
+    first = np.flatnonzero(np.concatenate(([True], read[1:] != read[:-1])))
+    g["emb"][read[first]] = np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
     return loss, count, g, h
 
 
@@ -256,20 +269,14 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
         self.steps, self.tokens, self.loss = 0, 0, 0.0
 
-    def learn(self, texts: list[np.ndarray]) -> None:
+    def learn(self, texts: Iterable[np.ndarray]) -> None:
+        """Go once through texts that come one by one; none of them is empty. A window of few tokens changes little."""
         shape = self.shape
-        if not texts:
-            return
-        lanes = max(1, min(shape.lanes, len(texts)))
-        x, y, doc, new = streams(shape, texts, lanes)
-        h = np.zeros((lanes, shape.hidden), np.float32)
-        for at in range(0, len(x), shape.window):
-            cut = slice(at, at + shape.window)
-            width = int((doc[at] >= 0).sum())
-            cells = (cut, slice(width))
-            loss, count, g, h = _gradients(self.p, shape, x[cells], y[cells], doc[cells] >= 0, new[cells], h[:width])
+        h = np.zeros((shape.lanes, shape.hidden), np.float32)
+        for going, x, y, doc, new in windows(shape, texts, shape.lanes, shape.window):
+            loss, count, g, h = _gradients(self.p, shape, x, y, doc >= 0, new, h[going])
             self.steps, self.tokens, self.loss = self.steps + 1, self.tokens + count, self.loss + loss
-            rate = shape.rate / (1 + self.steps / 2000)
+            rate = shape.rate / (1 + self.steps / 2000) * count / (shape.lanes * shape.window)
             norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
             shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             a, b = 1 - 0.9 ** min(self.steps, 1000), 1 - 0.999 ** min(self.steps, 20_000)

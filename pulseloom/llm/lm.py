@@ -44,8 +44,12 @@ class Settings:
     known_words: int = 1 << 17
     #: Different words that a task counts before it hands them on.
     counted: int = 400_000
-    #: Texts that are trained or scored side by side.
-    together: int = 4096
+    #: Characters of a text of that start, at most.
+    first_chars: int = 1 << 14
+    #: Texts that are scored side by side.
+    together: int = 1024
+    #: Tasks whose parameters are averaged at once.
+    averaged: int = 32
 
 
 def _fold(key: str, s: Settings):
@@ -145,38 +149,54 @@ def _coded(text: str, vocab: Vocabulary, shape: Shape) -> np.ndarray:
 
 
 def train(sample: DataFrame, vocab, parameters: dict, shape: Shape, s: Settings) -> dict:
-    """sample (text): texts for the network, all of which are learned whole. vocab: broadcast."""
+    """sample (text): texts for the network, all of which are learned whole, each once in a stream of its task. vocab: broadcast."""
     spark = sample.sparkSession
     few = max(1, s.first_tokens // 200)
-    trainer = Trainer(parameters, shape)
+    short = sample.filter(F.length("text") <= s.first_chars)
     first, used = [], 0
-    for r in first_by(sample, F.xxhash64("text"), few).orderBy("text").limit(few).collect():
-        codes = _coded(r["text"], vocab.value, shape)[: s.first_tokens - used]
+    for r in first_by(short, F.xxhash64("text"), few).orderBy("text").limit(few).collect():
+        codes = _coded(r["text"], vocab.value, shape)
         used += len(codes)
-        if len(codes):
-            first.append(codes)
-    for at in range(0, len(first), s.together):
-        trainer.learn(first[at : at + s.together])
+        if used > s.first_tokens:
+            break
+        first.append(codes)
+    trainer = Trainer(parameters, shape)
+    trainer.learn(first)
     shared = spark.sparkContext.broadcast(trainer.p)
-
-    def own(rows):
-        mine, texts = Trainer(shared.value, shape), []
-        for r in rows:
-            texts.append(_coded(r["text"], vocab.value, shape))
-            if len(texts) == s.together:
-                mine.learn(texts)
-                texts = []
-        mine.learn(texts)
-        if mine.tokens:
-            yield mine.tokens, {k: v.astype(np.float64) * mine.tokens for k, v in mine.p.items()}
-
-    def add(a, b):
-        return a[0] + b[0], {k: a[1][k] + b[1][k] for k in a[1]}
-
-    tokens, total = sample.select("text").rdd.mapPartitions(own).treeAggregate((0, {k: 0.0 for k in trainer.p}), add, add, depth=3)
-    if not tokens:
+    names = sorted(parameters)
+
+    def averages(part: int, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        """The mean of parameters, weighted by tokens."""
+        tokens = sum(n for n, _ in found)
+        mean = sum(p * (n / tokens) for n, p in found).astype(np.float32).tobytes() if tokens else b""
+        rows = [[part], [tokens], [mean]] if tokens else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.binary()))], ["part", "tokens", "mean"])
+
+    def own(batches):
+        mine = Trainer(shared.value, shape)
+        parts = (batch.slice(at, s.together) for batch in batches for at in range(0, batch.num_rows, s.together))
+        mine.learn(_coded(t, vocab.value, shape) for part in parts for t in part.column(0).to_pylist())
+        flat = np.concatenate([mine.p[k].ravel() for k in names])
+        yield averages(TaskContext.get().partitionId(), [(mine.tokens, flat)] if mine.tokens else [])
+
+    def mean(rows: pa.Table) -> pa.Table:
+        found = [(n, np.frombuffer(x, np.float32).astype(np.float64)) for n, x in zip(rows["tokens"].to_pylist(), rows["mean"].to_pylist())]
+        return pa.Table.from_batches([averages(rows["part"][0].as_py() // s.averaged, found)])
+
+    kind = "part long, tokens long, mean binary"
+    level, many = materialize(sample.select("text").mapInArrow(own, kind), "parameters"), sample.rdd.getNumPartitions()
+    while many > s.averaged:
+        level = level.groupBy(F.floor(F.col("part") / s.averaged)).applyInArrow(mean, kind)
+        many = -(-many // s.averaged)
+    found = [(r["tokens"], np.frombuffer(r["mean"], np.float32).astype(np.float64)) for r in level.collect()]
+    if not found:
         return trainer.p
-    return {k: (v / tokens).astype(np.float32) for k, v in total.items()}
+    flat, out, at = np.frombuffer(averages(0, found).column(2)[0].as_py(), np.float32), {}, 0
+    for k in names:
+        n = parameters[k].size
+        out[k] = flat[at : at + n].reshape(parameters[k].shape).copy()
+        at += n
+    return out
 
 
 def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", shape: Shape = Shape(), s: Settings = Settings()) -> DataFrame:
