@@ -275,6 +275,23 @@ def detect(x: np.ndarray, fs: float, k: float = 3.0, separation_s: float = 0.0,
     raise ValueError(f"unknown method {method!r}")
 
 
+def cfar(x: np.ndarray, window: int = 64, guard: int = 8, pfa: float = 1e-4, min_distance: int = 0) -> np.ndarray:
+    """The windowed constant-false-alarm-rate detector on one array, with first arrivals."""
+    n, total = len(x), np.concatenate(([0.0], np.cumsum(np.asarray(x, float) ** 2)))
+    k = np.arange(window + guard, n - window - guard)
+    if not len(k):
+        return k
+    noise = (total[k - guard] - total[k - guard - window] + total[k + guard + window + 1] - total[k + guard + 1]) / (2 * window)
+    hits = k[(total[k + 1] - total[k]) > window * (pfa ** (-1.0 / window) - 1) * noise]
+    return hits[np.concatenate(([True], np.diff(hits) > min_distance))] if len(hits) else hits
+
+
+def intervals(x: np.ndarray, fs: float, k: float = 3.0, separation_s: float = 0.0, method: str = "threshold") -> np.ndarray:
+    """Intervals in seconds between the pulses that a method (threshold, prominence or cfar) finds."""
+    pulses = cfar(x) if method == "cfar" else detect(x, fs, k, separation_s, method)
+    return np.diff(pulses) / fs
+
+
 def morphology(x: np.ndarray, peaks: np.ndarray, fs: float, back_ns: float = 10.0, forward_ns: float = 100.0) -> list[tuple]:
     """(position, peak, rise, fall, width at half height; times in ns) of each pulse's window."""
     m, out = np.abs(np.asarray(x, float)), []

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import dsp
 
 
-def time_metrics(samples: DataFrame, fs: float, noise_ns: float = 40.0) -> DataFrame:
-    """vpp, peak, noise RMS of the first samples, SNR, energy and peak over noise of each series; no noise gives infinity."""
-    wanted = max(16, int(noise_ns * 1e-9 * fs)) if noise_ns > 0 else 64
+def time_metrics(samples: DataFrame, fs: float | Column, noise_ns: float | None = None) -> DataFrame:
+    """vpp, peak, noise RMS of the first samples, SNR, energy and peak over noise of each series; no noise gives infinity.
+
+    fs: one rate, or a column with that of each row's series. The noise is that
+    of the first 64 samples, or of a time of at least 16 samples.
+    """
+    rate = F.lit(fs) if isinstance(fs, (int, float)) else fs
+    wanted = F.lit(64) if noise_ns is None else F.greatest(F.lit(16), F.floor(noise_ns * 1e-9 * rate))
     m = samples.groupBy("series_id").agg(
         (F.max("x") - F.min("x")).alias("vpp"), F.max(F.abs("x")).alias("peak_abs"),
-        F.sqrt(F.avg(F.when(F.col("idx") < wanted, F.col("x") * F.col("x")))).alias("noise_rms"), (F.sum(F.col("x") * F.col("x")) / fs).alias("energy"),
+        F.sqrt(F.avg(F.when(F.col("idx") < wanted, F.col("x") * F.col("x")))).alias("noise_rms"), F.sum(F.col("x") * F.col("x") / rate).alias("energy"),
     )
     over = F.when(F.col("noise_rms") > 0, F.try_divide("peak_abs", "noise_rms")).otherwise(F.lit(float("inf")))
     return m.withColumn("z_peak", over).withColumn("snr_db", F.when(F.col("noise_rms") > 0, 20 * F.log10("z_peak")).otherwise(F.lit(float("inf"))))
@@ -25,18 +30,19 @@ def band_name(low: float, high: float) -> str:
     return f"bandpower_{low:.2f}_{high:.2f}GHz".replace(".", "p")
 
 
-def spectrum(segments: DataFrame, fs: float) -> DataFrame:
-    """Periodogram of each array segment in long form: series_id, f_no, f_hz, psd."""
+def spectrum(segments: DataFrame, fs: float | str) -> DataFrame:
+    """Periodogram of each array segment in long form: series_id, f_no, f_hz, psd. fs: one rate, or the column with each segment's."""
 
     def run(batches):
         for pdf in batches:
             parts = []
-            for sid, x in zip(pdf["series_id"], pdf["samples"]):
-                f, p = dsp.periodogram(np.asarray(x, float), fs)
+            for sid, x, rate in zip(pdf["series_id"], pdf["samples"], pdf["rate"]):
+                f, p = dsp.periodogram(np.asarray(x, float), rate)
                 parts.append(pd.DataFrame({"series_id": sid, "f_no": np.arange(len(f)), "f_hz": f, "psd": p}))
             yield pd.concat(parts) if parts else pd.DataFrame(columns=["series_id", "f_no", "f_hz", "psd"])
 
-    return segments.select("series_id", "samples").mapInPandas(run, "series_id long, f_no long, f_hz double, psd double")
+    rate = F.col(fs) if isinstance(fs, str) else F.lit(float(fs))
+    return segments.select("series_id", "samples", rate.alias("rate")).mapInPandas(run, "series_id long, f_no long, f_hz double, psd double")
 
 
 def spectral_metrics(spectra: DataFrame, bands_ghz: list[tuple[float, float]]) -> DataFrame:
@@ -86,11 +92,16 @@ def pivot_curves(curves: DataFrame, keys: list[str], ks: list[float]) -> DataFra
     return wide.select(*keys, *[F.col(f"`{float(k)}`").alias(curve_name(k)) for k in ks])
 
 
-def group_summary(events: DataFrame, group: str) -> DataFrame:
-    """Counts, median, quartile range, 90 % quantile and variation of valid intervals, and the mean rolling rate; zeros for a group of outliers."""
+def group_summary(events: DataFrame, group: str, accuracy: int | None = None) -> DataFrame:
+    """Counts, median, quartile range, 90 % quantile and variation of valid intervals, and the mean rolling rate; zeros for a group of outliers.
+
+    Quantiles are exact, and one task holds the distinct values of a group; with
+    an accuracy they are sketches of bounded size whose ranks err by at most
+    1 / accuracy.
+    """
     v = F.col("valid_dt")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    q = lambda p: F.percentile(v, F.lit(p))
+    q = lambda p: F.percentile(v, F.lit(p)) if accuracy is None else F.percentile_approx(v, p, accuracy)
     s = events.groupBy(group).agg(
         F.count("*").alias("n_events"), F.count(v).alias("n_valid_events"), F.count_if("is_outlier").alias("n_outliers"), zero(q(0.5)).alias("median_dt"),
         zero(q(0.75) - q(0.25)).alias("iqr_dt"), zero(q(0.9)).alias("p90_dt"), F.try_divide(F.stddev_samp(v), F.nullif(F.avg(v), F.lit(0.0))).alias("cv_dt"),
@@ -99,12 +110,20 @@ def group_summary(events: DataFrame, group: str) -> DataFrame:
     return s.withColumn("cv_dt", F.when(F.col("n_valid_events") == 0, 0.0).otherwise(F.col("cv_dt")))
 
 
+#: Samples of a stretch by which slices are joined.
+_STRETCH = 4096
+
+
 def slice_metrics(samples: DataFrame, groups: DataFrame, fs: float, least: int = 100, noise: int = 64) -> DataFrame:
     """Energy and SNR of the samples in [first_idx, last_idx) of each group, 0 for a slice that is too short.
 
-    groups: series_id, grp, first_idx, last_idx. An equi-join on the series; adaptive execution splits long ones.
+    groups: series_id, grp, first_idx, last_idx. An equi-join on stretches of the series, so that a sample meets the
+    groups that reach into its stretch.
     """
-    rows = samples.join(groups, "series_id").filter("idx >= first_idx AND idx < last_idx")
+    stretch = lambda c: F.floor(c / F.lit(_STRETCH))
+    reach = F.sequence(stretch(F.col("first_idx")), stretch(F.col("last_idx") - 1))
+    groups = groups.filter("last_idx > first_idx").withColumn("_part", F.explode(reach))
+    rows = samples.withColumn("_part", stretch(F.col("idx"))).join(groups, ["series_id", "_part"]).filter("idx >= first_idx AND idx < last_idx")
     early = F.when(F.col("idx") < F.col("first_idx") + noise, F.col("x") * F.col("x"))
     m = rows.groupBy("series_id", "grp").agg(F.count("*").alias("n"), (F.sum(F.col("x") * F.col("x")) / fs).alias("energy"), F.max(F.abs("x")).alias("_p"), F.sqrt(F.avg(early)).alias("_s"))
     long_ = F.col("n") > least
@@ -140,3 +159,51 @@ def file_summary(tracked: DataFrame) -> DataFrame:
         (F.count("*") + 1).alias("n_pulses"), F.count("*").alias("n_intervals"), F.avg("delta_t_s").alias("mean_dt"), F.stddev_pop("delta_t_s").alias("std_dt"),
         F.count_if("alarm").alias("n_alarms"), F.coalesce(F.max("alarm"), F.lit(False)).alias("change_detected"),
     )
+
+
+def detection_sensitivity(segments: DataFrame, ks: list[float], cuts: list[float], separation_s: float = 0.0, fs: str = "fs_hz") -> DataFrame:
+    """Total, valid and outlier intervals of array segments for each threshold and cut-off; each threshold detects anew.
+
+    A segment with fewer than two pulses at a threshold gives no row for it.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for sid, rate, x in zip(pdf["series_id"], pdf["rate"], pdf["samples"]):
+                for k in ks:
+                    gaps = np.diff(dsp.detect(np.asarray(x, float), rate, k, separation_s)) / rate
+                    rows += [(sid, float(k), float(c), len(gaps), int((gaps <= c).sum()), int((gaps > c).sum())) for c in cuts if len(gaps)]
+            yield pd.DataFrame(rows, columns=["series_id", "k_sigma", "max_valid_dt_s", "total_events", "valid_events", "outliers"])
+
+    chosen = segments.select("series_id", F.col(fs).alias("rate"), "samples")
+    return chosen.mapInPandas(run, "series_id long, k_sigma double, max_valid_dt_s double, total_events long, valid_events long, outliers long")
+
+
+def phase_density(phases: DataFrame, bandwidth: float = 0.15, sample: int = 5000, seed: int = 1) -> DataFrame:
+    """Gaussian kernel density of (phase_deg, signed_v) at each pulse, weighted by magnitude, from a bounded seeded sample of pulses.
+
+    The kernel's covariance is the sample's weighted one times the bandwidth's
+    square. No density (null) for a sample without spread.
+    """
+    some = phases.select("phase_deg", "signed_v").orderBy(F.xxhash64(F.lit(seed), "phase_deg", "signed_v")).limit(sample).collect()
+    points = np.array([[r["phase_deg"], r["signed_v"]] for r in some], float).reshape(-1, 2)
+    weights = np.abs(points[:, 1])
+    scale = None
+    if len(points) > 2 and weights.sum() > 0:
+        weights = weights / weights.sum()
+        covariance = np.cov(points.T, aweights=weights) * bandwidth**2
+        if np.linalg.matrix_rank(covariance) == 2:
+            scale = np.linalg.inv(covariance), 1 / (2 * np.pi * np.sqrt(np.linalg.det(covariance)))
+
+    @F.pandas_udf("double")
+    def density(phase: pd.Series, volts: pd.Series) -> pd.Series:
+        if scale is None:
+            return pd.Series([None] * len(phase), dtype=float)
+        out = []
+        for at in range(0, len(phase), 1024):
+            d = np.stack((phase.to_numpy()[at : at + 1024], volts.to_numpy()[at : at + 1024]), axis=1)[:, None, :] - points[None, :, :]
+            out.append(np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", d, scale[0], d)) @ weights * scale[1])
+        return pd.Series(np.concatenate(out) if out else [], dtype=float)
+
+    return phases.withColumn("density", density("phase_deg", "signed_v"))

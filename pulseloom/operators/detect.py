@@ -59,6 +59,21 @@ def array_pulses(segments: DataFrame, fs: float, k: float = 3.0, separation_s: f
     return segments.select("series_id", "samples").mapInPandas(run, "series_id long, pulse_no long, idx long, peak_v double")
 
 
+def delta_t_vector(segments: DataFrame, fs: float | str, k: float = 3.0, separation_s: float = 0.0, method: str = "threshold") -> DataFrame:
+    """Detection and intervals of array segments in one: series_id, k, delta_t_s. Methods: threshold, prominence, cfar.
+
+    fs: one rate, or the column with each segment's. Fewer than two pulses give no interval.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = [(sid, no, float(v)) for sid, x, rate in zip(pdf["series_id"], pdf["samples"], pdf["rate"]) for no, v in enumerate(dsp.intervals(np.asarray(x, float), rate, k, separation_s, method))]
+            yield pd.DataFrame(out, columns=["series_id", "k", "delta_t_s"])
+
+    rate = F.col(fs) if isinstance(fs, str) else F.lit(float(fs))
+    return segments.select("series_id", "samples", rate.alias("rate")).mapInPandas(run, "series_id long, k long, delta_t_s double")
+
+
 def pulse_shapes(segments: DataFrame, fs: float, k: float = 3.0, back_ns: float = 10.0, forward_ns: float = 100.0) -> DataFrame:
     """Peak, rise, fall and width of each pulse of array segments."""
 

@@ -59,11 +59,14 @@ def correlations(table: DataFrame, names: list[str] = NAMES) -> DataFrame:
     return one.select(F.explode(parts).alias("p")).select("p.*")
 
 
-def _sums(values: DataFrame, change: float, drift: float) -> DataFrame:
-    """descriptor, win_id, g (the larger CUSUM sum of the z-scores by the rows before the change) and after."""
+def _sums(values: DataFrame, change: float | Column, drift: float) -> DataFrame:
+    """descriptor, win_id, g (the larger CUSUM sum of the z-scores by the rows before the change) and after.
+
+    change: a share of each series, or a column with the first window after it.
+    """
     all_ = Window.partitionBy("series_id", "descriptor")
     to_here = all_.orderBy("win_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = values.withColumn("n", F.count("*").over(all_)).withColumn("cut", F.floor(F.col("n") * change))
+    rows = values.withColumn("n", F.count("*").over(all_)).withColumn("cut", change if isinstance(change, Column) else F.floor(F.col("n") * change))
     early = F.when(F.col("win_id") < F.col("cut"), F.col("value"))
     rows = rows.withColumns({"_m": F.avg(early).over(all_), "_s": F.stddev_pop(early).over(all_)})
     rows = rows.withColumn("z", (F.col("value") - F.col("_m")) / (F.col("_s") + EPS))
@@ -95,7 +98,7 @@ def _counts(alarm: Column) -> list[Column]:
     ]
 
 
-def ablation(values: DataFrame, change: float = 0.5, threshold: float = 5.0, drift: float = 0.5) -> DataFrame:
+def ablation(values: DataFrame, change: float | Column = 0.5, threshold: float = 5.0, drift: float = 0.5) -> DataFrame:
     """What each descriptor alone detects of a change at that share of each series."""
     g = _sums(values, change, drift)
     out = scored(g.groupBy("series_id", "descriptor").agg(*_counts(F.col("g") > threshold)))
@@ -106,15 +109,22 @@ def roc(values: DataFrame, change: float = 0.5, drift: float = 0.5, low: float =
     """Area under the ROC curve over CUSUM thresholds, and the threshold of the best F1.
 
     The sums don't depend on the threshold: they are made once, and each row is
-    counted at the thresholds that it exceeds. Points are ordered by (fpr, tpr),
+    counted once, at the number of thresholds that it exceeds; counts at the
+    thresholds are running sums of those. Points are ordered by (fpr, tpr),
     without added ends; of equal F1 the lowest threshold wins.
     """
-    g = _sums(values, change, drift)
-    spark = values.sparkSession
-    grid = F.broadcast(spark.range(steps).select((F.lit(low) + F.col("id") * ((high - low) / (steps - 1))).alias("threshold")))
     key = ["series_id", "descriptor"]
-    points = g.join(grid).groupBy(*key, "threshold").agg(*_counts(F.col("g") > F.col("threshold")))
-    points = scored(points).withColumnRenamed("recall", "tpr")
+    limits = [low + i * ((high - low) / (steps - 1)) for i in range(steps)]
+    over = F.array(*map(F.lit, limits))
+    # How many thresholds lie below g: the place in the even grid, put right by a comparison with its neighbours.
+    near = F.greatest(F.lit(0), F.least(F.lit(steps), F.ceil((F.col("g") - low) * ((steps - 1) / (high - low))).cast("int")))
+    below = lambda at: F.coalesce(F.get(over, at) < F.col("g"), F.lit(False))
+    place = F.when(below(near), near + 1).when((near > 0) & ~below(near - 1), near - 1).otherwise(near)
+    counted = _sums(values, change, drift).withColumn("passed", place).groupBy(*key, "passed").agg(F.count_if("after").alias("a"), F.count_if(~F.col("after")).alias("b"))
+    series = counted.groupBy(*key).agg(F.sum("a").alias("pos"), F.sum("b").alias("neg"), F.collect_list(F.struct("passed", "a", "b")).alias("bins"))
+    points = series.select(*key, "pos", "neg", "bins", F.posexplode(over).alias("i", "threshold"))
+    total = lambda c: F.aggregate("bins", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["passed"] > F.col("i"), x[c]).otherwise(0))
+    points = scored(points.withColumns({"tp": total("a"), "fp": total("b")})).withColumnRenamed("recall", "tpr")
     w = Window.partitionBy(*key).orderBy("fpr", "tpr", F.desc("threshold"))
     area = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
     best = F.max(F.struct(F.round("f1_score", 12).alias("f1"), (-F.col("threshold")).alias("t")))

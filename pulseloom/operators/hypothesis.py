@@ -76,22 +76,33 @@ def kruskal(values: DataFrame, value: str, group: str, over: str) -> DataFrame:
     return m.select(over, "groups", "n", "h", "p_value", F.coalesce(eta, F.lit(0.0)).alias("eta_squared"))
 
 
+#: Groups of which pairs are formed.
+MAX_GROUPS = 1000
+
+
 def mann_whitney(values: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
     """Two-sided tests of all pairs of groups (normal approximation with ties and continuity), and their rank-biserial correlation.
 
-    Pairs are formed of groups; each row joins the pairs of its own group, so
-    that rows grow with the number of groups and never with pairs of rows.
+    Rows are first counted by group and value. Each count joins the pairs of its
+    own group, of which there are as many as other groups; values are put in
+    order within a pair. Null groups belong to no pair.
     """
-    groups = values.select(F.col(group).alias("_g")).distinct()
-    pairs = groups.select(F.col("_g").alias("a")).join(groups.select(F.col("_g").alias("b")), F.col("a") < F.col("b"))
-    pairs = F.broadcast(pairs)
-    rows = values.select(F.col(group).alias("_g"), F.col(value).alias("_v")).join(pairs, (F.col("_g") == F.col("a")) | (F.col("_g") == F.col("b")))
-    ranked = _ranks(rows, "_v", ["a", "b"])
+    counts = values.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    names = sorted(r["_g"] for r in values.select(F.col(group).alias("_g")).distinct().limit(MAX_GROUPS + 1).collect() if r["_g"] is not None)
+    if len(names) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    kind = values.schema[group].dataType.simpleString()
+    pairs = [(g, *sorted((g, other))) for g in names for other in names if g != other]
+    pairs = F.broadcast(values.sparkSession.createDataFrame(pairs, f"_g {kind}, a {kind}, b {kind}"))
     mine = F.col("_g") == F.col("a")
-    m = ranked.groupBy("a", "b").agg(
-        F.sum(F.when(mine, F.col("_rank"))).alias("_r"), F.count_if(mine).alias("n1"), F.count_if(~mine).alias("n2"),
-        (F.sum((F.col("_ties") * F.col("_ties")).cast("double")) - F.count("*")).alias("_t"),
+    of = lambda own: F.sum(F.when(own, F.col("_n")).otherwise(0))
+    rows = counts.join(pairs, "_g").groupBy("a", "b", "_v").agg(of(mine).alias("_x"), of(~mine).alias("_y"))
+    both = F.col("_x") + F.col("_y")
+    before = F.sum(both).over(Window.partitionBy("a", "b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - both
+    m = rows.withColumn("_rank", before + (both + 1) / 2).groupBy("a", "b").agg(
+        F.sum(F.col("_x") * F.col("_rank")).alias("_r"), F.sum("_x").alias("n1"), F.sum("_y").alias("n2"), F.sum((both * both).cast("double") * both - both).alias("_t")
     )
+    m = m.filter("n1 > 0 AND n2 > 0")
     n1, n2 = F.col("n1"), F.col("n2")
     u = F.col("_r") - n1 * (n1 + 1) / 2
     n = n1 + n2

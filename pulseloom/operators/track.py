@@ -78,8 +78,22 @@ def ewma(intervals: DataFrame, alpha: float = 0.2) -> DataFrame:
     return fold(intervals, lambda z: {"ewma": recurrences.linear(z, np.full(len(z), alpha))}, ["ewma"])
 
 
-def adaptive_ewma(intervals: DataFrame, alpha_0: float = 0.2, low: float = 0.05, high: float = 0.8, rows: int = 10, reference_variance: float | None = None) -> DataFrame:
-    """EWMA whose weight follows the last rows' variance over the series' own, or over a given one where the whole series isn't known."""
+def log_ewma(intervals: DataFrame, alpha: float = 0.2, warmup: int = 50) -> DataFrame:
+    """EWMA of the decimal logarithm of the intervals, begun at the median of the first ones."""
+
+    def kernel(z: np.ndarray) -> dict[str, np.ndarray]:
+        y = np.log10(np.maximum(z, 1e-12))
+        begun = np.concatenate(([np.median(y[:warmup])], y[1:])) if len(y) else y
+        return {"log10_dt": y, "log_ewma": recurrences.linear(begun, np.full(len(y), alpha))}
+
+    return fold(intervals, kernel, ["log10_dt", "log_ewma"])
+
+
+def adaptive_ewma(intervals: DataFrame, alpha_0: float = 0.2, low: float = 0.05, high: float = 0.8, rows: int = 10, reference_variance: float | None = None, also: Callable[[np.ndarray], dict[str, np.ndarray]] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """EWMA whose weight follows the last rows' variance over the series' own, or over a given one where the whole series isn't known.
+
+    also: a further recurrence of the same pass, which gives ``columns``.
+    """
     all_ = Window.partitionBy("series_id")
     local = F.var_pop("delta_t_s").over(all_.orderBy("k").rowsBetween(-(rows - 1), 0)) + 1e-30
     whole = (F.lit(reference_variance) if reference_variance is not None else F.var_pop("delta_t_s").over(all_)) + 1e-30
@@ -87,9 +101,10 @@ def adaptive_ewma(intervals: DataFrame, alpha_0: float = 0.2, low: float = 0.05,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        return pdf.assign(ewma=recurrences.linear(pdf["delta_t_s"].to_numpy(), pdf["alpha"].to_numpy()))
+        z = pdf["delta_t_s"].to_numpy(np.float64)
+        return pdf.assign(ewma=recurrences.linear(z, pdf["alpha"].to_numpy()), **(also(z) if also else {}))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in weighed.dtypes) + ", ewma double"
+    schema = ", ".join([f"`{n}` {t}" for n, t in weighed.dtypes] + [f"`{c}` double" for c in ("ewma", *(columns or []))])
     return weighed.groupBy("series_id").applyInPandas(run, schema)
 
 
@@ -102,19 +117,19 @@ def rls(intervals: DataFrame, order: int = 8, forgetting: float = 0.99, p0: floa
 
 
 def unified(intervals: DataFrame, q: float = 7.4e-14, r: float = 1.85e-15, p0: float = 1e-12, gap: float = 10.0, threshold: float = 8.0, drift: float = 0.5, burnin: int = 200) -> DataFrame:
-    """Kalman and adaptive EWMA on the intervals, CUSUM on the Kalman z-scores."""
-    return cusum(kalman(adaptive_ewma(intervals), q, r, p0, gap), "kalman_z", threshold, drift, burnin)
+    """Kalman and adaptive EWMA on the intervals, in one pass over each series, and CUSUM on the Kalman z-scores."""
+    both = adaptive_ewma(intervals, also=lambda z: recurrences.kalman(z, q, r, p0, gap), columns=["kalman_filtered", "kalman_innovation", "kalman_variance", "kalman_z"])
+    return cusum(both, "kalman_z", threshold, drift, burnin)
 
 
-def compare(intervals: DataFrame) -> DataFrame:
-    """Root mean square residual of each tracker: series_id, tracker, score."""
+def compare(intervals: DataFrame, algorithms: tuple[str, ...] = ("EWMA", "SMA", "Kalman", "LMS", "RLS"), more: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] | None = None) -> DataFrame:
+    """Root mean square residual of each tracker: series_id, tracker, score. more: further trackers by name, and the column that each adds."""
     from pulseloom.operators.rolling import moving_average
 
     residual = lambda c: F.sqrt(F.avg(F.pow(F.col("delta_t_s") - F.col(c), F.lit(2.0)))).alias("score")
-    parts = [("EWMA", ewma(intervals), "ewma"), ("SMA", moving_average(intervals), "sma"), ("Kalman", kalman_plain(intervals), "kalman_filtered"),
-             ("LMS", lms(intervals), "lms_prediction"), ("RLS", rls(intervals), "rls_prediction")]
+    known = {"EWMA": (ewma, "ewma"), "SMA": (moving_average, "sma"), "Kalman": (kalman_plain, "kalman_filtered"), "LMS": (lms, "lms_prediction"), "RLS": (rls, "rls_prediction")} | (more or {})
     out = None
-    for name, df, c in parts:
-        one = df.groupBy("series_id").agg(residual(c)).select("series_id", F.lit(name).alias("tracker"), "score")
+    for name, (tracker, c) in ((n, known[n]) for n in (*algorithms, *(more or {}))):
+        one = tracker(intervals).groupBy("series_id").agg(residual(c)).select("series_id", F.lit(name).alias("tracker"), "score")
         out = one if out is None else out.unionByName(one)
     return out

@@ -142,6 +142,28 @@ _DAY = 86_400
 def stream_window_counts(spark, d):
     from pulseloom.streaming import tracking
 
-    return rounded(tracking.replay(spark, d, tracking.window_counts), 4)
+    return rounded(tracking.replay(spark, d, tracking.window_counts, keys=("channel", "start_s")), 4)
 
 
+
+
+@register("stream_simple_trackers")
+def stream_simple_trackers(spark, d):
+    from pulseloom.streaming import tracking
+
+    return tracking.replay(spark, d, tracking.simple_trackers)
+
+
+@register(
+    "stream_sliding_counts",
+    f"WITH w AS (SELECT event_type AS channel, floor(epoch(ts) / {_DAY // 2}) * {_DAY // 2} AS s, value FROM events), b AS (SELECT channel, s, value FROM w UNION ALL SELECT channel, s - {_DAY // 2}, value FROM w)\n SELECT channel, CAST(s AS BIGINT) AS start_s, count(*) AS n, {r('sum(value)', 'total', 4)} FROM b GROUP BY ALL",
+)
+def stream_sliding_counts(spark, d):
+    from pulseloom.streaming import tracking
+
+    return rounded(tracking.replay(spark, d, lambda p: tracking.window_counts(p, "1 day", "12 hours"), keys=("channel", "start_s")), 4)
+
+
+@register("delta_t_vector")
+def delta_t_vector(spark, d):
+    return detect.delta_t_vector(segments(spark, d), FS, 1.0)

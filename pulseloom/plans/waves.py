@@ -130,7 +130,7 @@ _METRICS = f"""{_W}, tm0 AS (SELECT series_id, max(x) - min(x) AS vpp, max(abs(x
 
 @register("time_metrics", f"{_METRICS} SELECT series_id, {r('vpp', digits=3)}, {r('peak_abs', digits=3)}, {r('noise_rms', digits=3)}, {r('energy', digits=3)}, {r('z_peak', digits=5)}, {r('20 * log10(z_peak)', 'snr_db', 5)} FROM tm")
 def time_metrics(spark, d):
-    m = campaign.time_metrics(waveforms(spark, d), FS)
+    m = campaign.time_metrics(waveforms(spark, d), FS, 40.0)
     return rounded(rounded(m, 3, "vpp", "peak_abs", "noise_rms", "energy"), 5, "z_peak", "snr_db")
 
 
@@ -142,7 +142,7 @@ def _files(spark, d):
     where = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     where = read(spark, d, "supplier").join(F.broadcast(where), F.col("s_nationkey") == F.col("n_nationkey"))
     where = where.select(F.col("s_suppkey").alias("series_id"), F.col("r_name").alias("dataset"), F.col("n_name").alias("antenna"))
-    return campaign.time_metrics(waveforms(spark, d), FS).join(where, "series_id")
+    return campaign.time_metrics(waveforms(spark, d), FS, 40.0).join(where, "series_id")
 
 
 @register("group_mean_median", f"{_FILES} SELECT dataset, antenna, {r('avg(vpp)', 'vpp_mean', 3)}, {r('quantile_cont(vpp, 0.5)', 'vpp_median', 3)}, {r('avg(energy)', 'energy_mean', 3)}, {r('quantile_cont(energy, 0.5)', 'energy_median', 3)} FROM files GROUP BY ALL")
@@ -166,13 +166,12 @@ def detection_pivot(spark, d):
 
 @register(
     "slice_metrics",
-    f"""{_W}, g AS (SELECT series_id, idx // 200 AS grp, idx, x FROM waves WHERE idx < 600), s AS (SELECT series_id, grp, count(*) AS n, sum(x * x) / {FS} AS e, max(abs(x)) AS p, sqrt(avg(CASE WHEN idx < grp * 200 + 64 THEN x * x END)) AS s FROM g GROUP BY ALL)
+    f"""{_W}, g AS (SELECT series_id, idx // 200 AS grp, idx, x FROM waves), s AS (SELECT series_id, grp, count(*) AS n, sum(x * x) / {FS} AS e, max(abs(x)) AS p, sqrt(avg(CASE WHEN idx < grp * 200 + 64 THEN x * x END)) AS s FROM g GROUP BY ALL)
  SELECT series_id, CAST(grp AS BIGINT) AS grp, {r('CASE WHEN n > 100 THEN e ELSE 0 END', 'mean_energy', 3)}, {r('CASE WHEN n > 100 AND s > 0 THEN 20 * log10(p / s) ELSE 0 END', 'mean_snr_db', 5)} FROM s""",
 )
 def slice_metrics(spark, d):
     x = waveforms(spark, d)
-    groups = F.broadcast(spark.range(3).select(F.col("id").alias("grp")))
-    groups = x.select("series_id").distinct().join(groups).withColumns({"first_idx": F.col("grp") * 200, "last_idx": F.col("grp") * 200 + 200})
+    groups = x.select("series_id", F.floor(F.col("idx") / 200).alias("grp")).distinct().withColumns({"first_idx": F.col("grp") * 200, "last_idx": F.col("grp") * 200 + 200})
     m = campaign.slice_metrics(x, groups, FS)
     return rounded(rounded(m, 3, "mean_energy"), 5, "mean_snr_db")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import struct
 import zlib
@@ -12,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEGMENTS = "path string, file_name string, fs_hz double, trigger_epoch double, samples array<double>, times array<double>"
+SEGMENTS = "path string, file_name string, fs_hz double, trigger_epoch double, samples array<double>, times array<double>, error string"
 
 # Names under which such files keep their signal and rate.
 SIGNAL_KEYS = ("x3", "data", "signal", "volts", "voltage", "y")
 RATE_KEYS = ("fs", "samplerate", "f_s", "frecuencia")
+#: Names in MAT files of ad-hoc captures, and the rate of those that give none.
+AD_HOC_KEYS, AD_HOC_FS = ("y", "val", "Data", "Signal"), 10e6
 LEAST = 100
 
 
@@ -48,13 +51,14 @@ def parse_text(content: str, default_fs: float) -> tuple[np.ndarray, float, floa
 
     Rows of numbers are data, all others are headings. Two columns are time and
     value; more in an even number are pairs of them, one after the other; of an
-    odd number the first two count; one column is values. Rows with a missing
-    cell are left out. Only a clock-like value counts as trigger time.
+    odd number the first two count; one column is values. Empty cells are left
+    out. Only a clock-like value counts as trigger time. A file without numbers,
+    or with rows of numbers of different lengths, is an error.
     """
     date = clock = ""
     single, rows = [], []
-    for line in content.splitlines():
-        cells = [c.strip() for c in line.split(",")]
+    for cells in csv.reader(content.splitlines()):
+        cells = [c.strip() for c in cells]
         if not any(cells):
             continue
         key = cells[0].replace(":", "").lower()
@@ -62,16 +66,18 @@ def parse_text(content: str, default_fs: float) -> tuple[np.ndarray, float, floa
             date = cells[1]
         elif key == "time" and len(cells) > 1 and cells[1].count(":") == 2:
             clock = cells[1]
-        while cells and not cells[-1]:
-            cells.pop()
-        values = _numbers(cells)
+        values = _numbers([c for c in cells if c])
         if values is None:
             continue
         (single if len(values) == 1 else rows).append(values[0] if len(values) == 1 else values)
     times = None
+    if not rows and not single:
+        raise ValueError("no numbers in the file")
     if rows:
-        width = max(set(map(len, rows)), key=lambda n: sum(len(x) == n for x in rows))
-        table = np.array([x for x in rows if len(x) == width])
+        width = len(rows[0])
+        if any(len(x) != width for x in rows):
+            raise ValueError("rows of numbers have different lengths")
+        table = np.array(rows)
         if width > 2 and width % 2 == 0:
             times, x = table[:, 0::2].ravel("F"), table[:, 1::2].ravel("F")
         else:
@@ -119,10 +125,10 @@ def mat_variables(content: bytes) -> dict[str, np.ndarray]:
     return found
 
 
-def parse_mat(content: bytes, default_fs: float) -> tuple[np.ndarray, float]:
+def parse_mat(content: bytes, default_fs: float, keys: tuple[str, ...] = SIGNAL_KEYS) -> tuple[np.ndarray, float]:
     """The signal under a usual name, or else the longest vector; the rate under a usual name."""
     found = {k: v.ravel() for k, v in mat_variables(content).items() if max(v.shape) == v.size}
-    x = next((found[k] for k in SIGNAL_KEYS if k in found and found[k].size > LEAST), None)
+    x = next((found[k] for k in keys if k in found and found[k].size > LEAST), None)
     if x is None:
         x = max(found.values(), key=len, default=np.zeros(0))
     fs = next((float(v[0]) for k, v in found.items() if k.lower() in RATE_KEYS and v.size == 1), default_fs)
@@ -159,13 +165,13 @@ def _finish(x: np.ndarray, times: np.ndarray | None, preserve: bool) -> tuple[np
     return (x if preserve or top == 0 else x / top), times
 
 
-def parse(name: str, content: bytes, default_fs: float, preserve: bool) -> tuple:
+def parse(name: str, content: bytes, default_fs: float, preserve: bool, mat_keys: tuple[str, ...] = SIGNAL_KEYS) -> tuple:
     kind = PurePosixPath(name).suffix.lower()
     trigger, times = 0.0, None
     if kind == ".csv":
         x, fs, trigger, times = parse_text(content.decode("utf-8", "ignore"), default_fs)
     elif kind == ".mat":
-        x, fs = parse_mat(content, default_fs)
+        x, fs = parse_mat(content, default_fs, mat_keys)
     elif kind in (".h5", ".hdf5"):
         x, fs = parse_hdf5(content, default_fs)
     else:
@@ -174,8 +180,9 @@ def parse(name: str, content: bytes, default_fs: float, preserve: bool) -> tuple
     return fs, trigger, x, times
 
 
-def load(spark: SparkSession, path: str, default_fs: float = 1e9, preserve_amplitude: bool = False, pattern: str | None = None, recursive: bool = True) -> DataFrame:
-    """One row per file (see SEGMENTS). A file is one task's work, as its rows are in order."""
+def load(spark: SparkSession, path: str, default_fs: float = 1e9, preserve_amplitude: bool = False, pattern: str | None = None, recursive: bool = True, mat_keys: tuple[str, ...] = SIGNAL_KEYS) -> DataFrame:
+    """One row per file (see SEGMENTS). A file is one task's work, as its rows are in order. One that can't be read has
+    no samples, and why in ``error``, which is null for all others."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -184,22 +191,25 @@ def load(spark: SparkSession, path: str, default_fs: float = 1e9, preserve_ampli
         for pdf in batches:
             rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
-                fs, trigger, x, times = parse(p, content, default_fs, preserve_amplitude)
-                rows.append((p, PurePosixPath(p).name, fs, trigger, x, times))
-            yield pd.DataFrame(rows, columns=["path", "file_name", "fs_hz", "trigger_epoch", "samples", "times"])
+                name = PurePosixPath(p).name
+                try:
+                    rows.append((p, name, *parse(p, content, default_fs, preserve_amplitude, mat_keys), None))
+                except (ValueError, RuntimeError, struct.error, zlib.error) as e:
+                    rows.append((p, name, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "file_name", "fs_hz", "trigger_epoch", "samples", "times", "error"])
 
     return reader.load(path).select("path", "content").mapInPandas(run, SEGMENTS)
 
 
-def channel_files(files: DataFrame, channels: list[str]) -> DataFrame:
-    """Files (path, file_name) of each channel: those named exactly <channel>.csv where there are any, else those that contain the name."""
+def channel_files(files: DataFrame, channels: list[str], per_folder: bool = True) -> DataFrame:
+    """Files (path, file_name) of each channel: those named exactly <channel>.csv where there are any (in the folder, or among all), else those that contain the name."""
     names = F.broadcast(files.sparkSession.createDataFrame([(c,) for c in channels], "channel string"))
     folder = F.regexp_replace("path", "/[^/]*$", "")
     hits = files.join(names, F.col("file_name").contains(F.col("channel")) & F.lower("file_name").endswith(".csv"))
     from pyspark.sql import Window
 
     exact = (F.col("file_name") == F.concat("channel", F.lit(".csv"))).cast("int")
-    hits = hits.withColumn("_exact", exact).withColumn("_best", F.max("_exact").over(Window.partitionBy("channel", folder)))
+    hits = hits.withColumn("_exact", exact).withColumn("_best", F.max("_exact").over(Window.partitionBy("channel", *([folder] if per_folder else []))))
     return hits.filter("_exact = _best").drop("_exact", "_best")
 
 

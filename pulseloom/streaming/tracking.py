@@ -7,7 +7,6 @@ as its interval can't be undone.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from pulseloom.sources.sinks import working_dir
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -91,11 +93,57 @@ def sessions(pulses: DataFrame, gap: str = "10 minutes") -> DataFrame:
     return out.select("series_id", F.unix_seconds("w.start").alias("start_s"), F.unix_seconds("w.end").alias("end_s"), "n")
 
 
-def replay(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame], files_per_batch: int = 1) -> DataFrame:
-    """Run a streaming operator over the event files that are there, and return what it gave."""
-    out = operator(source(spark, sf_dir, files_per_batch, "events.parquet*"))
-    name = f"replay_{uuid.uuid4().hex}"
-    stateful = "Aggregate" not in out._jdf.queryExecution().analyzed().toString()
-    query = out.writeStream.format("memory").queryName(name).outputMode("append" if stateful else "complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def simple_trackers(pulses: DataFrame, sma_rows: int = 10, order: int = 8, mu: float = 0.01, forgetting: float = 0.99, p0: float = 1000.0, bound: float = 10.0) -> DataFrame:
+    """Moving average, LMS and RLS one-step predictions updated interval by interval; the first ``order`` intervals pass through.
+
+    State of a series: its last time, the last intervals, and the predictors' weights.
+    """
+
+    def run(key, frames, state: GroupState):
+        if state.exists:
+            last, n, recent, seen, w_lms, w_rls, p = state.get
+            recent, seen, w_lms, w_rls, p = list(recent), np.array(seen), np.array(w_lms), np.array(w_rls), np.array(p).reshape(order, order)
+        else:
+            last, n, recent, seen, w_lms, w_rls, p = None, 0, [], np.zeros(order), np.zeros(order), np.zeros(order), np.eye(order) * p0
+        rows = []
+        for t, event in _merged(frames, last)[["toa_s", "event_id"]].itertuples(index=False):
+            if last is not None:
+                z = t - last
+                recent = [*recent, z][-max(sma_rows, 1):]
+                lms = rls = z
+                if n >= order:
+                    seen = np.concatenate(([recent[-2]], seen[:-1]))
+                    lms, rls = float(w_lms @ seen), float(w_rls @ seen)
+                    w_lms = np.clip(w_lms + 2 * mu * (z - lms) * seen, -bound, bound)
+                    k = p @ seen / (forgetting + seen @ p @ seen)
+                    w_rls, p = w_rls + k * (z - rls), (p - np.outer(k, seen @ p)) / forgetting
+                n += 1
+                rows.append((key[0], int(event), z, float(np.mean(recent)), lms, rls))
+            last = float(t)
+        if last is not None:
+            state.update((last, n, [float(v) for v in recent], seen.tolist(), w_lms.tolist(), w_rls.tolist(), p.ravel().tolist()))
+        if rows:
+            yield pd.DataFrame(rows, columns=["series_id", "event_id", "delta_t_s", "sma", "lms_prediction", "rls_prediction"])
+
+    doubles = ", ".join(f"{c} array<double>" for c in ("recent", "seen", "w_lms", "w_rls", "p"))
+    return pulses.groupBy("series_id").applyInPandasWithState(run, "series_id long, event_id long, delta_t_s double, sma double, lms_prediction double, rls_prediction double", f"last double, n long, {doubles}", "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame], files_per_batch: int = 1, keys: tuple[str, ...] = (), pattern: str = "events.parquet*") -> DataFrame:
+    """Run a streaming operator over the event files that are there, and return what it gave.
+
+    Rows go to files in a shared folder, with a checkpoint. Without keys they are
+    appended as they are final. With keys, updates of them are written batch by
+    batch, and the last one of each counts; state behind the watermark goes.
+    """
+    out, folder = operator(source(spark, sf_dir, files_per_batch, pattern)), working_dir(spark)
+    writer = out.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if keys:
+        each = lambda df, batch: df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/rows/part={batch}")
+        writer.outputMode("update").foreachBatch(each).start().awaitTermination()
+    else:
+        writer.outputMode("append").format("parquet").start(f"{folder}/rows").awaitTermination()
+    if not keys:
+        return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+    rows = spark.read.schema(StructType([*out.schema.fields, StructField("_batch", LongType())])).parquet(f"{folder}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keys]), "_batch").alias("v")).select(*keys, "v.*").select(*out.columns)

@@ -229,8 +229,86 @@ def test_studies_are_registered_whole(spark, monkeypatch, name):
     catalog.queries()[name](spark, "/root/testdata/sf0.001")
     expected = {
         "denoising_grid": {"repeats": 100, "n": 4096}, "denoising_best_cell": {"repeats": 100, "n": 4096},
-        "snr_study": {"levels": (0.0, 5.0, 10.0, 15.0, 20.0, 30.0), "repeats": 30, "n": 4096},
+        "snr_study": {"levels": (5.0, 10.0, 15.0, 20.0, 25.0, 30.0), "repeats": 30, "n": 4096},
         "convergence_study": {"variations": (0.0, 0.1, 0.25, 0.5, 1.0), "repeats": 50, "n": 2000},
         "bootstrap_median": {"resamples": 10_000}, "validation_report": {"resamples": 10_000},
     }
     assert seen[0] == expected[name]
+
+
+def test_kernel_density_is_the_weighted_sum(spark):
+    r = np.random.default_rng(5)
+    points = np.column_stack((r.uniform(0, 360, 80), r.normal(0, 2, 80)))
+    got = campaign.phase_density(spark.createDataFrame([tuple(map(float, p)) for p in points], "phase_deg double, signed_v double")).collect()
+    weights = np.abs(points[:, 1]) / np.abs(points[:, 1]).sum()
+    scale = np.cov(points.T, aweights=weights) * 0.15**2
+    inverse, factor = np.linalg.inv(scale), 1 / (2 * np.pi * np.sqrt(np.linalg.det(scale)))
+    for row in got[:20]:
+        d = np.array([row["phase_deg"], row["signed_v"]]) - points
+        expected = sum(w * factor * np.exp(-0.5 * v @ inverse @ v) for w, v in zip(weights, d))
+        assert np.isclose(row["density"], expected)
+    assert campaign.phase_density(spark.createDataFrame([(1.0, 2.0)], "phase_deg double, signed_v double")).first()["density"] is None
+
+
+def test_log_ewma_and_unified_in_one_pass(spark):
+    z = np.random.default_rng(6).exponential(1, 80)
+    rows = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(z)], "series_id long, k long, delta_t_s double")
+    y = np.log10(z)
+    s = [np.median(y[:50])]
+    for v in y[1:]:
+        s.append(0.2 * v + 0.8 * s[-1])
+    assert np.allclose([r["log_ewma"] for r in track.log_ewma(rows).orderBy("k").collect()], s)
+    both = {r["k"]: r for r in track.unified(rows).collect()}
+    alone = {r["k"]: r for r in track.kalman(track.adaptive_ewma(rows)).collect()}
+    assert all(both[k][c] == alone[k][c] for k in alone for c in ("ewma", "kalman_filtered", "kalman_z"))
+
+
+def test_each_threshold_detects_anew(spark):
+    x = np.zeros(3000)
+    x[100::100] = 1.0
+    x[150::500] = 5.0
+    segments = spark.createDataFrame([(1, x.tolist(), 1e3)], "series_id long, samples array<double>, fs_hz double")
+    got = {(r["k_sigma"], r["max_valid_dt_s"]): (r["total_events"], r["outliers"]) for r in campaign.detection_sensitivity(segments, [1.0, 6.0], [0.2]).collect()}
+    assert got == {(1.0, 0.2): (34, 0), (6.0, 0.2): (5, 5)}
+
+
+def _events(spark, tmp_path, rows):
+    """Event files, one for each list of (id, seconds, series)."""
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    for i, part in enumerate(rows):
+        data = [(e, start + datetime.timedelta(seconds=s), u, "a", 1.0, "") for e, s, u in part]
+        spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(str(tmp_path / f"p{i}"))
+        for f in (tmp_path / f"p{i}").glob("*.parquet"):
+            f.rename(tmp_path / f"events.parquet-{i}.parquet")
+    return str(tmp_path)
+
+
+def test_late_rows_and_sessions(spark, tmp_path):
+    import os
+    import time
+
+    from pulseloom.streaming import tracking
+
+    path = _events(spark, tmp_path, [[(1, 0, 1), (2, 100, 1), (3, 5000, 1)], [(4, 90_000, 1), (5, 90_060, 1)], [(6, 50, 1), (7, 200_000, 1)], [(8, 400_000, 1)]])
+    for i in range(4):  # files come in the order of their times
+        os.utime(f"{path}/events.parquet-{i}.parquet", (time.time() - 100 + i, time.time() - 100 + i))
+    gaps = {r["event_id"]: r["delta_t_s"] for r in tracking.replay(spark, path, tracking.delta_t).collect()}
+    assert gaps == {2: 100.0, 3: 4900.0, 4: 85_000.0, 5: 60.0, 7: 109_940.0, 8: 200_000.0}  # event 6 is late
+    bursts = sorted((r["n"], r["end_s"] - r["start_s"]) for r in tracking.replay(spark, path, tracking.sessions).collect())
+    assert bursts == [(1, 600), (1, 600), (2, 660), (2, 700)]  # the late event and the open session are not among them
+
+
+def test_simple_stream_trackers_match_the_batch(spark, tmp_path):
+    from pulseloom.functions import recurrences
+    from pulseloom.streaming import tracking
+
+    r = np.random.default_rng(7)
+    times = np.cumsum(r.uniform(0.2, 1.5, 61)).round(3)
+    path = _events(spark, tmp_path, [[(i, float(t), 1) for i, t in enumerate(times)]])
+    rows = sorted(tracking.replay(spark, path, tracking.simple_trackers).collect(), key=lambda x: x["event_id"])
+    z = np.array([x["delta_t_s"] for x in rows])
+    assert len(z) == 60 and np.allclose([x["sma"] for x in rows], [z[max(0, i - 9) : i + 1].mean() for i in range(60)])
+    assert np.allclose([x["lms_prediction"] for x in rows], recurrences.lms_predict(z)["lms_prediction"], atol=1e-6)
+    assert np.allclose([x["rls_prediction"] for x in rows], recurrences.rls_predict(z)["rls_prediction"], atol=1e-4)
