@@ -1,7 +1,7 @@
 """Exact deduplication of incoming documents against immutable snapshots.
 
 A snapshot keeps its distinct digests in buckets, and for each bucket a static
-binary-fuse filter. Incoming digests are first grouped among themselves, then
+binary-fuse filter, both as files that later batches read. Incoming digests are first grouped among themselves, then
 screened by the filter of their bucket: a no is final, a yes is joined with the
 exact bucket. Every digest that more than one row has is then checked byte for
 byte. Only digests move between tasks; texts move for the byte check alone.
@@ -14,12 +14,14 @@ columns are ignored by ``groups_of`` and kept by ``keep``.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import BROADCAST_ROWS, attach, materialize, text_or_empty
+from pulseloom.llm.common import BROADCAST_ROWS, attach, materialize, shared_dir, text_or_empty
 from pulseloom.llm.fuse import FuseFilter
 
 #: Digests a bucket is to hold; the number of buckets follows the input.
@@ -69,10 +71,20 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("n"))
 
 
-def merge(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Groups (digest, keep_id, n) of a snapshot's groups and a batch's, by way of the filters."""
-    buckets = max(MIN_BUCKETS, -(-max(snapshot.count(), incoming.count()) // BUCKET_KEYS))
-    screened = materialize(screen(incoming, build_filters(snapshot, buckets), buckets), "screened")
+def write_snapshot(distinct: DataFrame, path: str) -> None:
+    """Keep a snapshot's groups (digest, keep_id, n), and the filters of their buckets, as files that don't change."""
+    distinct.write.parquet(f"{path}/digests")
+    kept = distinct.sparkSession.read.schema(distinct.schema).parquet(f"{path}/digests")
+    buckets = max(MIN_BUCKETS, -(-kept.count() // BUCKET_KEYS))
+    build_filters(kept, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+
+
+def merge(path: str, incoming: DataFrame) -> DataFrame:
+    """Groups (digest, keep_id, n) of the snapshot in a path and of a batch's groups, by way of the snapshot's filters."""
+    spark = incoming.sparkSession
+    snapshot, filters = spark.read.schema(incoming.schema).parquet(f"{path}/digests"), spark.read.parquet(f"{path}/filters")
+    row = filters.select("buckets").first()
+    screened = materialize(screen(incoming, filters.drop("buckets"), row["buckets"] if row else MIN_BUCKETS), "screened")
     maybe = screened.filter("hit").select("digest", F.col("keep_id").alias("_id"), F.col("n").alias("_n"))
     exact = snapshot.join(maybe, "digest", "full").select(
         "digest", F.greatest("keep_id", "_id").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n")
@@ -84,8 +96,7 @@ def _unequal(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
     """Digests whose rows differ in their bytes: their smallest and largest text are not the same."""
     texts = docs.select(digest_of(text).alias("digest"), text_or_empty(text).alias("_text"))
     several = groups.filter("n > 1").select("digest")
-    if several.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(several), "digest", "left_semi")
+    texts = texts.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "digest", "left_semi")
     return texts.groupBy("digest").agg(F.min("_text").alias("low"), F.max("_text").alias("high")).filter("low <> high").select("digest")
 
 
@@ -99,9 +110,10 @@ def groups_of(docs: DataFrame, text: str = "text", key: str = "doc_id", in_snaps
         in_snapshot = F.pmod(F.xxhash64(key), F.lit(2)) == 0
     rows = docs.select(F.col(key).alias("doc_id"), digest_of(text).alias("digest"), in_snapshot.alias("old"))
     rows = materialize(rows.groupBy("doc_id", "digest", "old").agg(F.count("*").alias("copies")), "digests")
-    snapshot = materialize(_distinct(rows.filter("old")), "snapshot")
+    path = f"{shared_dir(docs.sparkSession)}/snapshot-{uuid.uuid4().hex}"
+    write_snapshot(_distinct(rows.filter("old")), path)
     incoming = materialize(_distinct(rows.filter("NOT old")), "incoming")
-    groups = materialize(merge(snapshot, incoming), "groups")
+    groups = materialize(merge(path, incoming), "groups")
     clash = _unequal(docs, groups, text).count()
     if clash:
         raise ValueError(f"{clash} SHA-256 digests belong to texts that differ")
