@@ -19,6 +19,7 @@ them, and unknown ones are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -35,7 +36,7 @@ BLOCKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HIDDEN = frozenset(
-    "applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label legend map math menu "
+    "applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label legend map menu "
     "meter nav noframes noscript object optgroup option output progress script search select style svg template textarea title video".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split())
@@ -72,6 +73,12 @@ class Element:
     #: Elements around it, or itself, with a class or id that marks them.
     marks: tuple[Element, ...] = ()
     votes: float = 0.0
+    depth: int = 0
+    inside: bool = False
+
+    @property
+    def container(self) -> bool:
+        return self.tag not in ("p", "li", "") and self.tag in BLOCKS and self.tag not in HEADINGS
 
 
 @dataclass
@@ -102,6 +109,7 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         root = Element("", None, False, None, None, False)
         self.stack, self.lines, self.links = [root], [Line(root)], 0
+        self.elements, self.open = [root], Counter()
 
     def _line(self) -> None:
         self.lines.append(Line(self.stack[-1], heading=self.stack[-1].tag in HEADINGS))
@@ -109,10 +117,10 @@ class LineParser(HTMLParser):
     def _close_to(self, at: int) -> None:
         for e in self.stack[at:]:
             self.links -= e.tag == "a"
+            self.open[e.tag] -= 1
         block = any(e.tag in BLOCKS for e in self.stack[at:])
-        hid = any(e.hidden or e.marks != e.parent.marks for e in self.stack[at:])
         del self.stack[at:]
-        if block or hid:
+        if block:
             self._line()
 
     def _close_open(self, tags: set) -> None:
@@ -133,7 +141,7 @@ class LineParser(HTMLParser):
             return
         if tag in CLOSES:
             self._close_open(CLOSES[tag])
-        if tag in BLOCKS and any(e.tag == "p" for e in self.stack):
+        if tag in BLOCKS and self.open["p"]:
             self._close_open({"p"})
         up, given = self.stack[-1], dict(attrs)
         hidden = up.hidden or tag in HIDDEN or "hidden" in given or given.get("aria-hidden") == "true" or (given.get("role") or "").lower() in ROLES
@@ -141,15 +149,21 @@ class LineParser(HTMLParser):
         hidden = hidden or "display:none" in (given.get("style") or "").replace(" ", "")
         holder = tag == "main" or given.get("role") == "main"
         e = Element(tag, up, hidden, up.article, up.main, up.header or tag == "header" or (names <= PAGE_WORDS and not HEADERS.isdisjoint(names)), up.marks)
-        if tag not in HOLDERS and _marked(given):
-            e.marks = (*up.marks, e)
+        if tag not in HOLDERS and tag not in HEADINGS and _marked(given):
+            if tag in BLOCKS:
+                e.marks = (*up.marks, e)
+            else:
+                e.hidden = True  # inside a line there is nothing to weigh it against
+        e.depth = up.depth + e.container
         if tag == "article" and not hidden and up.article is None:
             e.article = e
         if holder and not hidden and up.main is None:
             e.main = e
         self.stack.append(e)
+        self.elements.append(e)
+        self.open[tag] += 1
         self.links += tag == "a"
-        if tag in BLOCKS or hidden != up.hidden or e.marks != up.marks:
+        if tag in BLOCKS:
             self._line()
 
     def handle_startendtag(self, tag, attrs):
@@ -161,6 +175,8 @@ class LineParser(HTMLParser):
         self.lines[-1].tags += 1
         if tag == "br":
             self.lines[-1].pieces.append(" ")
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
                 self._close_to(i)
@@ -170,6 +186,8 @@ class LineParser(HTMLParser):
 
     def handle_data(self, data):
         line = self.lines[-1]
+        if self.stack[-1].hidden and not line.element.hidden:
+            return  # a hidden element inside a line doesn't break it
         line.pieces.append(data)
         if self.links > 0:
             line.linked += len(data)
@@ -181,13 +199,6 @@ def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndar
     return np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def _containers(e: Element):
-    while e is not None:
-        if e.tag not in ("p", "li", "") and e.tag in BLOCKS and e.tag not in HEADINGS:
-            yield e
-        e = e.parent
-
-
 def _clusters(lines: list[tuple[str, Line]]) -> np.ndarray:
     """Whether each line is in a content cluster."""
     ratios = np.array([len(t) / max(1, line.tags) for t, line in lines])
@@ -227,8 +238,9 @@ def main_text(html: str) -> str:
         return ""
     for (text, line), good in zip(lines, _clusters(lines)):
         if good and 2 * line.linked <= len(text):
-            for c in _containers(line.element):
-                c.votes += len(text)
+            line.element.votes += len(text)
+    for e in reversed(parser.elements[1:]):
+        e.parent.votes += e.votes
     articles = {id(line.element.article): line.element.article for _, line in lines if line.element.article is not None}
     best = max((a.votes for a in articles.values()), default=0)
     if articles:
@@ -237,13 +249,14 @@ def main_text(html: str) -> str:
     mains = [line for _, line in lines if line.element.main is not None]
     if mains:
         return "\n".join(t for t, line in lines if line.element.main is not None)
-    held = {id(c): c for _, line in lines for c in _containers(line.element)}
-    total = max((c.votes for c in held.values()), default=0)
+    containers = [e for e in parser.elements if e.container]
+    total = max((c.votes for c in containers), default=0)
     if not total:
         return "\n".join(t for t, _ in lines)
-    depth = lambda c: sum(1 for _ in _containers(c))
-    holder = max((c for c in held.values() if 10 * c.votes >= 9 * total), key=depth)
-    inside = [any(c is holder for c in _containers(line.element)) for _, line in lines]
+    holder = max((c for c in containers if 10 * c.votes >= 9 * total), key=lambda c: c.depth)
+    for e in parser.elements[1:]:
+        e.inside = e is holder or e.parent.inside
+    inside = [line.element.inside for _, line in lines]
     # The title may stand in a part of its own before the text's container.
     first = inside.index(True)
     titles = [i for i, (_, line) in enumerate(lines[:first]) if line.element.tag == "h1"]
