@@ -58,6 +58,18 @@ def test_exact_dedup(spark, docs, rows):
     assert exact.dedup(cases.empty(spark)).count() == 0 and exact.keep(cases.empty(spark)).count() == 0
 
 
+def test_snapshots_are_read_back(spark, tmp_path):
+    old = spark.createDataFrame([(bytearray(bytes([i] * 32)), i, 1) for i in range(50)], "digest binary, keep_id long, n long")
+    exact.write_snapshot(old, str(tmp_path / "s"))
+    for start in (40, 45):  # the snapshot serves several batches
+        new = spark.createDataFrame([(bytearray(bytes([i] * 32)), 100 + i, 2) for i in range(start, 60)], "digest binary, keep_id long, n long")
+        got = {bytes(r["digest"])[0]: (r["keep_id"], r["n"]) for r in exact.merge(str(tmp_path / "s"), new).collect()}
+        assert got == {i: (100 + i if i >= start else i, 3 if start <= i < 50 else 2 if i >= 50 else 1) for i in range(60)}
+    empty = old.limit(0)
+    exact.write_snapshot(empty, str(tmp_path / "e"))
+    assert exact.merge(str(tmp_path / "e"), old).count() == 50
+
+
 def brute_classes(texts):
     parent = list(range(len(texts)))
 
@@ -247,13 +259,25 @@ def test_packing_round_trip(spark, docs, rows):
     assert packing.pack(cases.empty(spark), path).count() == 0
 
 
-def test_tokens_across_cuts():
+def test_ranks_and_tokenizer_agree_on_a_whole_table():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert list(packing.Encoder(path).encode(texts)) == expected
+
+
+def test_tokens_across_cuts(monkeypatch):
     from tokenizers import Tokenizer
 
     path = packing.tokenizer_path("byte_bpe_50k.json")
     texts = ["a <|endoftext|> b", " lead and  double   spaces \n\n x \t y ", "x  y　q", "it's they'll  'tis", " ", "", "a\x1c b \x1d c", "tail  ", "12 34,5 a1b2"]
     expected = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     assert list(packing.Encoder(path).encode(texts)) == expected
+    monkeypatch.setattr(packing, "LONG", 8)
+    assert list(packing.Encoder(path).encode(texts)) == expected
 
 
 def test_language_model(spark, docs, rows):
@@ -347,6 +371,25 @@ def test_html_keeps_the_text_of_named_containers_and_links():
         assert html.main_text(page).split("\n") == expected, start
 
 
+def test_html_keeps_headings_formulas_and_paragraphs_whole():
+    text = "many words of the story " * 8
+    page = f"""<body><nav>Menu</nav><article><h1>T</h1><p>{text}</p><h2 id="discussion">Discussion</h2><section id="related-work"><p>{text}</p></section>
+    <p>Energy <span hidden>no</span> is <b class="promo">buy</b> here: <math><mi>x</mi></math>.</p></article></body>"""
+    assert html.main_text(page).split("\n") == ["T", text.strip(), "Discussion", text.strip(), "Energy is here: x."]
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for depth in (1000, 8000):
+        page = "<div>" * depth + "<p>word word word</p>" * depth + "</div>" * depth
+        begin = time.perf_counter()
+        assert html.main_text(page).count("\n") == depth - 1
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 40 * took[0]
+
+
 def test_html_operator(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Hello there, world</p>", "x"), (None, None, None, "y"), (2, "v", "", "z")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(pages).collect()}
@@ -372,6 +415,12 @@ def test_line_dedup(spark, docs, rows):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 parent[root(i)] = root(j)
     assert sum(r["kept"] for r in got) == len({root(i) for i in range(len(distinct))})
+    members, index = collections.defaultdict(list), {x: i for i, x in enumerate(distinct)}
+    for i, k, x in lines:
+        members[root(index[x])].append((-1 if i is None else i, k))
+    expected = collections.Counter((i, k, *min(members[root(index[x])]), len(members[root(index[x])])) for i, k, x in ((-1 if i is None else i, k, x) for i, k, x in lines))
+    known = lambda i: -1 if i is None else i
+    assert collections.Counter((known(r["doc_id"]), r["line_no"], known(r["class_doc_id"]), r["class_line_no"], r["class_size"]) for r in got) == expected
     assert linedup.lines(cases.empty(spark)).count() == 0
     unique = spark.createDataFrame([(1, "same line of text\n\nother"), (2, "same line of text\nfresh words here"), (3, None)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"]) for r in linedup.clean(unique).collect()) == [(1, "same line of text\n\nother"), (2, "fresh words here"), (3, None)]
@@ -425,6 +474,11 @@ def test_shards(spark, docs, rows):
     expected = collections.Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t, _ in rows)
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == expected
     assert all(sorted(p) == list(range(len(p))) for p in places.values()) and all(len(s) == 1 for s in where.values())
+    groups = collections.Counter()
+    for _, t, _ in rows:
+        groups[t] += len(t.encode()) + 16
+    # A shard holds at most a fair share and the largest group.
+    assert max(sizes.values()) <= -(-sum(sizes.values()) // 7) + max(groups.values())
     assert shards.assign(cases.empty(spark), 7).count() == 0
 
 
