@@ -138,9 +138,11 @@ def _errors(z: np.ndarray, chosen: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 
 def _log_sums(z: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; changes z."""
-    top = z.max(axis=1)
-    z -= top[:, None]
+    """Log of the sum of exponentials of each row; changes z. Rows are shifted by their maximum where any logit is large."""
+    top = 0
+    if z.size and max(float(z.max()), -float(z.min())) > 60:
+        top = z.max(axis=1)
+        z -= top[:, None]
     np.exp(z, out=z)
     return np.log(z @ np.ones(z.shape[1], np.float32)) + top
 
