@@ -331,6 +331,12 @@ def test_recurrent_model_is_a_distribution_and_learns():
     assert np.allclose(both[[0, 2]], gru.score(trainer.p, shape, [text])[0], rtol=1e-4)
 
 
+def test_large_logits_leave_a_distribution():
+    z = np.array([[500.0, 0, -500], [-90, -91, -92], [1, 2, 3]], np.float32)
+    expected = [np.logaddexp.reduce(row) for row in z.astype(float)]
+    assert np.allclose(gru._log_sums(z.copy()), expected) and np.allclose(gru._log_sums(z[2:].copy()), expected[2:])
+
+
 def test_gradients_match_differences():
     shape = gru.Shape(head=6, per_class=3, tails=2, embedding=3, hidden=4)
     p = {k: v.astype(np.float64) for k, v in gru.start(shape, np.ones((2, 3)), np.ones(shape.classes)).items()}
