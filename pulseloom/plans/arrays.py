@@ -58,9 +58,17 @@ def wavelet_denoise(spark, d):
     return _summary(detect.denoise(segments(spark, d), "db4", "soft", "universal"))
 
 
-@register("hilbert_envelope")
+_X = "x AS (SELECT vec_id AS series_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+_SUMS = f"count(*) AS n, {r('sum(x * x)', 'energy')}, {r('min(x)', 'low')}, {r('max(x)', 'high')}"
+
+
+@register(
+    "hilbert_envelope",
+    f"""WITH {_X}, h AS (SELECT a.series_id, a.i, any_value(a.x) AS x, sum(CASE WHEN (a.i - b.i) % 2 <> 0 THEN b.x * 2 / {_N} / tan(pi() * (a.i - b.i) / {_N}) ELSE 0 END) AS h FROM x a JOIN x b USING (series_id) GROUP BY ALL),
+ e AS (SELECT series_id, sqrt(x * x + h * h) AS x FROM h) SELECT series_id, {_SUMS} FROM e GROUP BY series_id""",
+)
 def hilbert_envelope(spark, d):
-    return _summary(detect.envelope(segments(spark, d)))
+    return rounded(_summary(detect.envelope(segments(spark, d))))
 
 
 @register("bandpass_filter")
@@ -68,9 +76,20 @@ def bandpass_filter(spark, d):
     return _summary(detect.bandpass(segments(spark, d), FS, 50e6, 300e6))
 
 
-@register("lms_noise_canceller")
+_TAPS = 8
+
+
+@register(
+    "lms_noise_canceller",
+    f"""WITH RECURSIVE v AS (SELECT vec_id AS series_id, embedding::DOUBLE[] AS x FROM embeddings),
+ f AS (SELECT series_id, {_TAPS - 1} AS i, x, 0::DOUBLE AS e, list_transform(range({_TAPS}), lambda j: 0::DOUBLE) AS w, list_transform(range({_TAPS}), lambda j: 0::DOUBLE) AS past FROM v
+  UNION ALL SELECT series_id, i, x, e, list_transform(range({_TAPS}), lambda j: w[j + 1] + 2 * 0.01 * e * past[j + 1]), past FROM (
+   SELECT series_id, i, x, w, past, x[i + 1] - list_dot_product(w, past) AS e FROM (
+    SELECT series_id, i + 1 AS i, x, w, list_transform(range({_TAPS}), lambda j: x[(i - j - {_TAPS} + {_N}) % {_N} + 1]) AS past FROM f WHERE i + 1 < {_N}))),
+ o AS (SELECT series_id, e AS x FROM f WHERE i >= {_TAPS} UNION ALL SELECT series_id, 0 FROM v, range({_TAPS})) SELECT series_id, {_SUMS} FROM o GROUP BY series_id""",
+)
 def lms_noise_canceller(spark, d):
-    return _summary(detect.cancel_noise(segments(spark, d), 0.01, 8))
+    return rounded(_summary(detect.cancel_noise(segments(spark, d), 0.01, _TAPS)))
 
 
 @register("preprocess_chain")
@@ -83,9 +102,18 @@ def distance_peaks(spark, d):
     return detect.array_pulses(segments(spark, d), FS, 1.0, 5e-9)
 
 
-@register("prominence_peaks")
+_PEAKS = f"""WITH {_X}, m AS (SELECT series_id, i, abs(x) AS m, avg(abs(x)) OVER (PARTITION BY series_id) AS mu, stddev_pop(abs(x)) OVER (PARTITION BY series_id) AS s FROM x),
+ p AS (SELECT * FROM (SELECT *, lag(m) OVER w AS before, lead(m) OVER w AS behind FROM m WINDOW w AS (PARTITION BY series_id ORDER BY i)) WHERE m > before AND m > behind)"""
+
+
+@register(
+    "prominence_peaks",
+    f"""{_PEAKS}, r AS (SELECT p.series_id, p.i, p.m, p.s, coalesce(max(m.i) FILTER (WHERE m.i < p.i AND m.m > p.m), -1) AS a, coalesce(min(m.i) FILTER (WHERE m.i > p.i AND m.m > p.m), {_N}) AS b FROM p JOIN m USING (series_id) GROUP BY ALL),
+ q AS (SELECT r.series_id, r.i, r.m, r.s, greatest(min(m.m) FILTER (WHERE m.i > a AND m.i <= r.i), min(m.m) FILTER (WHERE m.i >= r.i AND m.i < b)) AS base FROM r JOIN m USING (series_id) GROUP BY ALL)
+ SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY i) - 1 AS pulse_no, i AS idx, {r('m', 'peak_v')} FROM q WHERE m - base >= 1.5 * s""",
+)
 def prominence_peaks(spark, d):
-    return detect.array_pulses(segments(spark, d), FS, 3.0, 0.0, "prominence")
+    return rounded(detect.array_pulses(segments(spark, d), FS, 3.0, 0.0, "prominence"))
 
 
 @register("pulse_morphology")
@@ -125,11 +153,20 @@ def stream_delta_t(spark, d):
     return rounded(tracking.replay(spark, d, tracking.delta_t).select("series_id", "event_id", "delta_t_s"))
 
 
-@register("stream_kalman")
+@register(
+    "stream_kalman",
+    f"""WITH RECURSIVE {INTERVALS_SQL}, f AS (
+  SELECT series_id, k, event_id, delta_t_s AS z, delta_t_s AS x, 2e8 * 1e8 / 3e8 AS p, 0::DOUBLE AS score, delta_t_s AS s, 0::DOUBLE AS up, 0::DOUBLE AS down FROM intervals WHERE k = 0
+  UNION ALL SELECT series_id, k, event_id, z, x + p / (p + 1e8) * (z - x), p * 1e8 / (p + 1e8), (z - x) / sqrt(p + 1e8), s, up, down FROM (
+   SELECT i.series_id, i.k, i.event_id, i.delta_t_s AS z, CASE WHEN i.delta_t_s > 60000 THEN i.delta_t_s ELSE f.x END AS x, CASE WHEN i.delta_t_s > 60000 THEN 1e8 ELSE f.p END + 1e8 AS p, 0.2 * i.delta_t_s + 0.8 * f.s AS s,
+    greatest(0, f.up + i.delta_t_s - 31000) AS up, greatest(0, f.down - i.delta_t_s + 29000) AS down FROM f JOIN intervals i ON i.series_id = f.series_id AND i.k = f.k + 1))
+ SELECT series_id, event_id, {r('z', 'delta_t_s', 3)}, {r('x', 'kalman_filtered', 3)}, {r('score', 'kalman_z')}, {r('s', 'ewma', 3)}, {r('up', 'g_plus', 3)}, {r('down', 'g_minus', 3)}, up > 100000 OR down > 100000 AS alarm FROM f""",
+)
 def stream_kalman(spark, d):
     from pulseloom.streaming import tracking
 
-    return tracking.replay(spark, d, tracking.trackers)
+    out = tracking.replay(spark, d, tracking.trackers)
+    return rounded(rounded(out, 3, "delta_t_s", "kalman_filtered", "ewma", "g_plus", "g_minus"), 6, "kalman_z")
 
 
 _DAY = 86_400
@@ -164,6 +201,9 @@ def stream_sliding_counts(spark, d):
     return rounded(tracking.replay(spark, d, lambda p: tracking.window_counts(p, "1 day", "12 hours"), keys=("channel", "start_s")), 4)
 
 
-@register("delta_t_vector")
+@register(
+    "delta_t_vector",
+    f"""{_PEAKS} SELECT series_id, no - 2 AS k, {r(f'dt / {FS}', 'delta_t_s', 12)} FROM (SELECT series_id, row_number() OVER w AS no, i - lag(i) OVER w AS dt FROM p WHERE m >= mu + s WINDOW w AS (PARTITION BY series_id ORDER BY i)) WHERE no > 1""",
+)
 def delta_t_vector(spark, d):
-    return detect.delta_t_vector(segments(spark, d), FS, 1.0)
+    return rounded(detect.delta_t_vector(segments(spark, d), FS, 1.0), 12)

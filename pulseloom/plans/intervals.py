@@ -256,10 +256,20 @@ def file_summary(spark, d):
     return rounded(campaign.file_summary(_cusum(spark, d)), 3)
 
 
-@register("lms_predict")
+_TAPS = 8
+_ZEROS = f"list_transform(range({_TAPS}), lambda j: 0::DOUBLE)"
+
+
+@register(
+    "lms_predict",
+    f"""{_WITH}, f AS (SELECT series_id, k, delta_t_s / 1e5 AS x, delta_t_s / 1e5 AS guess, 0::DOUBLE AS e, {_ZEROS} AS w, {_ZEROS} AS seen FROM intervals WHERE k = {_TAPS - 1}
+  UNION ALL SELECT series_id, k, x, guess, x - guess, list_transform(range({_TAPS}), lambda j: greatest(-10.0, least(10.0, w[j + 1] + 0.02 * (x - guess) * seen[j + 1]))), seen FROM (
+   SELECT i.series_id, i.k, i.delta_t_s / 1e5 AS x, list_concat([f.x], f.seen[1:{_TAPS - 1}]) AS seen, f.w AS w, list_dot_product(f.w, list_concat([f.x], f.seen[1:{_TAPS - 1}])) AS guess FROM f JOIN intervals i ON i.series_id = f.series_id AND i.k = f.k + 1))
+ SELECT series_id, k, {r('delta_t_s / 1e5', 'lms_prediction')}, 0.0::DOUBLE AS lms_error FROM intervals WHERE k < {_TAPS} UNION ALL SELECT series_id, k, {r('guess', 'lms_prediction')}, {r('e', 'lms_error')} FROM f WHERE k >= {_TAPS}""",
+)
 def lms_predict(spark, d):
     scaled = _dt(spark, d).withColumn("delta_t_s", F.col("delta_t_s") / 1e5)
-    return track.lms(scaled).select("series_id", "k", "lms_prediction", "lms_error")
+    return rounded(track.lms(scaled).select("series_id", "k", "lms_prediction", "lms_error"))
 
 
 @register("rls_predict")

@@ -284,9 +284,23 @@ def zcr_detector(spark, d):
     return decide.zcr_alarms(_centred(spark, d), 64, 0.5, 1.5).select("series_id", "win_id", "at", "alarm", "after")
 
 
-@register("envelope_detector")
+def _envelope_sql(rows: str, out: str) -> str:
+    """The analytic signal's modulus by circular convolution with the transform's kernel at the series' length."""
+    angle = "2 * pi() * j / n"
+    kernel = f"(2.0 / n) * (cos({angle} / 2) - cos(((n - 1) // 2 + 0.5) * {angle})) / (2 * sin({angle} / 2))"
+    return f"""{out}_n AS (SELECT series_id, count(*) AS n FROM {rows} GROUP BY series_id), {out}_k AS (SELECT n, j, {kernel} AS h FROM (SELECT n, unnest(range(1, n)) AS j FROM (SELECT DISTINCT n FROM {out}_n))),
+ {out} AS (SELECT a.series_id, a.idx, sqrt(power(any_value(a.x), 2) + power(sum(b.x * h), 2)) AS env FROM {rows} a JOIN {out}_n USING (series_id) JOIN {rows} b ON b.series_id = a.series_id AND b.idx <> a.idx
+  JOIN {out}_k k ON k.n = {out}_n.n AND k.j = (a.idx - b.idx + {out}_n.n) % {out}_n.n GROUP BY a.series_id, a.idx)"""
+
+
+@register(
+    "envelope_detector",
+    f"""{_W}, c AS (SELECT series_id, idx, x - avg(x) OVER (PARTITION BY series_id) AS x, count(*) OVER (PARTITION BY series_id) // 2 AS cut FROM waves), early AS (SELECT series_id, idx, x FROM c WHERE idx < cut), whole AS (SELECT series_id, idx, x FROM c),
+ {_envelope_sql('whole', 'e')}, {_envelope_sql('early', 'q')}, l AS (SELECT series_id, quantile_cont(env, 0.995) AS lim FROM q GROUP BY series_id)
+ SELECT e.series_id, e.idx AS "at", {r('env', 'value', 3)}, e.idx >= cut AS after FROM e JOIN l USING (series_id) JOIN c ON c.series_id = e.series_id AND c.idx = e.idx WHERE env > lim""",
+)
 def envelope_detector(spark, d):
-    return decide.envelope_alarms(_centred(spark, d)).select("series_id", "at", "value", "after")
+    return rounded(decide.envelope_alarms(_centred(spark, d)).select("series_id", "at", "value", "after"), 3)
 
 
 @register("compare_baselines")
