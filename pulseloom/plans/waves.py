@@ -287,10 +287,10 @@ def zcr_detector(spark, d):
 def _envelope_sql(rows: str, out: str) -> str:
     """The analytic signal's modulus by circular convolution with the transform's kernel at the series' length."""
     angle = "2 * pi() * j / n"
-    kernel = f"(2.0 / n) * (cos({angle} / 2) - cos(((n - 1) // 2 + 0.5) * {angle})) / (2 * sin({angle} / 2))"
-    return f"""{out}_n AS (SELECT series_id, count(*) AS n FROM {rows} GROUP BY series_id), {out}_k AS (SELECT n, j, {kernel} AS h FROM (SELECT n, unnest(range(1, n)) AS j FROM (SELECT DISTINCT n FROM {out}_n))),
- {out} AS (SELECT a.series_id, a.idx, sqrt(power(any_value(a.x), 2) + power(sum(b.x * h), 2)) AS env FROM {rows} a JOIN {out}_n USING (series_id) JOIN {rows} b ON b.series_id = a.series_id AND b.idx <> a.idx
-  JOIN {out}_k k ON k.n = {out}_n.n AND k.j = (a.idx - b.idx + {out}_n.n) % {out}_n.n GROUP BY a.series_id, a.idx)"""
+    kernel = f"CASE WHEN j = 0 THEN 0 ELSE (2.0 / n) * (cos({angle} / 2) - cos(((n - 1) // 2 + 0.5) * {angle})) / (2 * sin({angle} / 2)) END"
+    return f"""{out}_x AS (SELECT series_id, count(*) AS n, list(x ORDER BY idx) AS xs FROM {rows} GROUP BY series_id), {out}_k AS (SELECT *, list_transform(range(n), lambda j: {kernel}) AS h FROM {out}_x),
+ {out}_r AS (SELECT series_id, n, xs, list_reverse(list_concat(h, h)) AS r FROM {out}_k),
+ {out} AS (SELECT series_id, idx, sqrt(power(xs[idx + 1], 2) + power(list_dot_product(xs, r[n - idx : 2 * n - 1 - idx]), 2)) AS env FROM {out}_r, unnest(range(n)) t(idx))"""
 
 
 @register(
