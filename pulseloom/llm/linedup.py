@@ -153,7 +153,7 @@ def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     def content(nodes: DataFrame, n: int) -> DataFrame:
         found = docs.select(F.explode(F.split(text_or_empty(text), "\n")).alias("text")).filter(F.col("text").rlike(WORD))
         found = found.select(F.unhex(F.md5("text")).alias("node"), "text").join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
-        return found.groupBy("node").agg(F.first("text").alias("text"))
+        return materialize(found.groupBy("node").agg(F.first("text").alias("text")), "line-texts")
 
     labels = near_components(keys, content, _vectors, THRESHOLD)
     nodes = rows.groupBy("node").agg(F.count("*").alias("own")).join(labels, "node", "left").filter("own > 1 OR label IS NOT NULL")

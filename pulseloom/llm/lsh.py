@@ -34,7 +34,7 @@ CHUNK_TEXTS, RANGE_CHARS = 4096, 1 << 23
 #: Bands whose buckets are compared first; the others then mostly hold one component.
 FIRST_BANDS = 3
 
-#: Texts (node, text), one row each, of the given nodes and their number.
+#: Texts (node, text), one row each, of the given nodes and their number. Its result is read several times.
 Content = Callable[[DataFrame, int], DataFrame]
 Vectors = Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]
 #: The distinct features of each text of an array.
@@ -232,7 +232,7 @@ def near_components(keys: DataFrame, content: Content, vectors: Vectors, thresho
     total = dealt.count()
     members = materialize(attach(dealt.drop("band"), buckets, "key", "n", total, "inner"), "members")
     met = materialize(members.select("node").distinct(), "met")
-    texts = materialize(content(met, met.count()), "met-texts")
+    texts = content(met, met.count())
 
     first = members.filter(F.col("band") < FIRST_BANDS)
     large = first.filter(F.col("n") > SMALL)
