@@ -30,7 +30,7 @@ SMALL, SHARE = 64, 48
 #: Features that are multiplied at once.
 FEATURES = 1 << 14
 #: Texts of a chunk, on average, and characters of all texts for each range of features.
-CHUNK_TEXTS, RANGE_CHARS = 4096, 1 << 23
+CHUNK_TEXTS, RANGE_CHARS = 2048, 1 << 23
 #: Bands whose buckets are compared first; the others then mostly hold one component.
 FIRST_BANDS = 3
 
@@ -154,6 +154,15 @@ def _blobs(columns: list[list], names: list[str]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Numbers in order, byte by byte of all of them: the first bytes, which repeat, then pack well."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplaned(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _ranges(chunk: pa.Table, features: Features, ranges: int) -> pa.Table:
     """The distinct features of a chunk of texts, and in how many of them each is; a row for each range of features."""
     found = list(features(chunk["text"].combine_chunks()))
@@ -162,12 +171,12 @@ def _ranges(chunk: pa.Table, features: Features, ranges: int) -> pa.Table:
     some = np.flatnonzero(np.diff(cuts))
     parts = [slice(cuts[i], cuts[i + 1]) for i in some]
     own = [chunk["chunk"][0].as_py()] * len(some)
-    return _blobs([some, own, [keys[x].tobytes() for x in parts], [n[x].astype("<u4").tobytes() for x in parts]], ["range", "chunk", "features", "texts"])
+    return _blobs([some, own, [_planes(keys[x]) for x in parts], [n[x].astype("<u4").tobytes() for x in parts]], ["range", "chunk", "features", "texts"])
 
 
 def _counted(rows: pa.Table) -> pa.Table:
     """Rows of one range -> for each chunk its features that are in two texts or more, with the number of those texts."""
-    keys = [np.frombuffer(x, np.uint64) for x in rows["features"].to_pylist()]
+    keys = [_unplaned(x) for x in rows["features"].to_pylist()]
     sizes = np.cumsum([len(k) for k in keys])[:-1]
     _, which = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["texts"].to_pylist()])

@@ -105,9 +105,9 @@ def _shingles(texts: pa.Array):
         yield word_shingles(words, WORDS)
 
 
-def _pack(text: str, frequencies: np.ndarray) -> bytes:
-    """A text with the document frequencies of its distinct shingles, in their order."""
-    return len(frequencies).to_bytes(4, "little") + frequencies.astype("<u4").tobytes() + text.encode("utf-8", "replace")
+def _pack(frequencies: np.ndarray) -> bytes:
+    """The document frequencies of a text's distinct shingles, in their order; the text's bytes follow."""
+    return len(frequencies).to_bytes(4, "little") + frequencies.astype("<u4").tobytes()
 
 
 def _unpack(packed: bytes) -> tuple[str, np.ndarray]:
@@ -127,16 +127,16 @@ def classes_of_texts(content: DataFrame, n: int) -> DataFrame:
         idf = Idf(joined(counted, "features", np.uint64), joined(counted, "texts", np.uint32), n)
         nodes, keys, packed = [], [], []
         texts = chunk["text"].combine_chunks()
-        for node, text, s in zip(chunk["node"], texts, _shingles(texts)):
+        for node, s in zip(chunk["node"], _shingles(texts)):
             if len(s):
                 own, counts = weighted(s)
                 frequencies = idf.frequencies(own)
                 nodes.append(node.as_py())
                 keys.append(band_keys(weighted_sample(own, _weights(counts, frequencies, n))))
-                packed.append(_pack(text.as_py(), frequencies))
+                packed.append(_pack(frequencies))
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(nodes) + 1, BANDS), pa.int32()), flat)
-        return pa.table([pa.array(nodes, pa.binary()), lists, pa.array(packed, pa.binary())], ["node", "keys", "text"])
+        return pa.table([pa.array(nodes, pa.binary()), lists, pa.array(packed, pa.binary())], ["node", "keys", "frequencies"])
 
     def vectors(packed):
         texts, frequencies = zip(*map(_unpack, packed))
@@ -145,11 +145,15 @@ def classes_of_texts(content: DataFrame, n: int) -> DataFrame:
 
     chunks, many = in_chunks(content, n)
     counted = document_frequencies(content, n).repartition(many, "chunk")
-    sampled = chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(sample, "node binary, keys array<long>, text binary")
+    sampled = chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(sample, "node binary, keys array<long>, frequencies binary")
     sampled = materialize(sampled, "bands")
 
     def texts_of(nodes, n):
-        return sampled.select("node", "text").join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
+        """The texts of nodes, behind their frequencies: those alone are written a second time."""
+        if n <= BROADCAST_ROWS:
+            nodes = F.broadcast(nodes)
+        found = content.join(nodes, "node", "left_semi").join(sampled.select("node", "frequencies").join(nodes, "node", "left_semi"), "node")
+        return materialize(found.select("node", F.concat("frequencies", F.col("text").cast("binary")).alias("text")), "met-texts")
 
     return near_components(sampled.select("node", "keys"), texts_of, vectors, THRESHOLD)
 
