@@ -141,6 +141,12 @@ def test_document_frequencies_are_exact(spark, monkeypatch):
     assert found == {int(k): int(c) for k, c in zip(keys, counts) if c > 1}
 
 
+def test_planes_round_trip():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2))
+    for k in (keys, keys[:1], keys[:0]):
+        assert (lsh._unplaned(lsh._planes(k)) == k).all()
+
+
 def test_weighted_sampling_estimates_similarity():
     r = np.random.default_rng(2)
     agree = []
