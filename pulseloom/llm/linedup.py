@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from pulseloom.llm.common import BROADCAST_ROWS, WORD, attach, materialize, text_or_empty
 from pulseloom.llm.lsh import near_components
-from pulseloom.llm.shingles import char_shingles, mix, weighted
+from pulseloom.llm.shingles import char_shingles, mix
 
 CHARS, THRESHOLD = 8, 0.8
 MINIMA, BANDS, ROWS = 48, 12, 4
@@ -59,32 +59,46 @@ def runs_of(line: str) -> np.ndarray:
     return _runs(points) if len(points) >= CHARS else char_shingles(line, CHARS)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """The minima of each line (none of them empty), lines x MINIMA."""
-    out = np.empty((len(lines), MINIMA), np.uint32)
+def _blocks(lines: list[str]):
+    """Parts of lines of about BLOCK characters, as (from, to)."""
     at = 0
     while at < len(lines):
         to, size = at, 0
         while to < len(lines) and (to == at or size + len(lines[to]) <= BLOCK):
             size += max(len(lines[to]), CHARS)
             to += 1
-        out[at:to] = _minima(lines[at:to])
+        yield at, to
         at = to
-    return out
 
 
-def _minima(lines: list[str]) -> np.ndarray:
+def _all_runs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of all lines, one line after the other, and how many each has: none where it is shorter than a run."""
     lengths = np.array([len(x) for x in lines])
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.cumsum(lengths) - lengths
     # Runs that begin in the last characters of a line reach into the next one and are left out.
     counts = np.maximum(lengths - CHARS + 1, 0)
+    if not counts.any():
+        return np.zeros(0, np.uint64), counts
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    where = np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    return _runs(points)[where], counts
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """The minima of each line (none of them empty), lines x MINIMA."""
+    out = np.empty((len(lines), MINIMA), np.uint32)
+    for at, to in _blocks(lines):
+        out[at:to] = _minima(lines[at:to])
+    return out
+
+
+def _minima(lines: list[str]) -> np.ndarray:
+    hashes, counts = _all_runs(lines)
     long_ = np.flatnonzero(counts)
     out = np.empty((len(lines), MINIMA), np.uint32)
     if len(long_):
-        first = np.concatenate(([0], np.cumsum(counts[long_])[:-1]))
-        where = np.arange(int(counts.sum())) + np.repeat(starts[:-1][long_] - first, counts[long_])
-        low = (_runs(points) >> np.uint64(32)).astype(np.uint32)[where]
+        first = (np.cumsum(counts) - counts)[long_]
+        low = (hashes >> np.uint64(32)).astype(np.uint32)
         scaled = np.empty_like(low)
         for k in range(MINIMA):
             np.multiply(low, _A[k], out=scaled)
@@ -134,11 +148,21 @@ def _pass(docs: DataFrame, text: str, key: str) -> DataFrame:
     return chosen.mapInArrow(of, kind)
 
 
-def _vectors(texts):
+def _vectors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The set of runs of each line, in order, and weights of 1."""
     found = []
-    for t in texts:
-        keys, _ = weighted(runs_of(t))
-        found.append((keys, np.ones(len(keys))))
+    for at, to in _blocks(texts):
+        hashes, counts = _all_runs(texts[at:to])
+        ends = np.cumsum(counts)
+        for start, end in zip((ends - counts).tolist(), ends.tolist()):
+            hashes[start:end].sort()
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        fresh[(ends - counts)[counts > 0]] = True
+        cuts = np.concatenate(([0], np.cumsum(fresh)))[ends]
+        sets = np.split(hashes[fresh], cuts[:-1])
+        sets = [keys if n else runs_of(t) for keys, n, t in zip(sets, counts.tolist(), texts[at:to])]
+        found += [(keys, np.ones(len(keys))) for keys in sets]
     return found
 
 

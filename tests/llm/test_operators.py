@@ -559,3 +559,11 @@ fee is hereby granted"""
     lines = mit.split("\n")
     expected = [(1, 4, "MIT", "\n".join(lines[4:6])), (1, 8, "MIT", "\n".join(lines[8:10])), (2, 1, "BSD", bsd), (3, 0, "ISC", isc), (5, 0, "MIT", "Licensed under the MIT License.")]
     assert found == expected
+
+
+def test_line_sets_agree_with_sets_of_single_lines():
+    random = np.random.default_rng(12)
+    lines = ["".join(random.choice(list("ab é\U0001f600"), size)) for size in (1, 7, 8, 9, 40, 300, 2, 80)] + ["a" * 200_000, "b", "ab" * 70_000]
+    for line, (keys, weights) in zip(lines, linedup._vectors(lines), strict=True):
+        assert keys.tolist() == sorted(set(linedup.runs_of(line).tolist())) and (weights == 1).all() and len(weights) == len(keys)
+    assert linedup._vectors([]) == []
