@@ -231,15 +231,16 @@ def _able(content: DataFrame, n: int, vectors: Vectors, threshold: float) -> Dat
 
 def near_components(keys: DataFrame, content: Content, vectors: Vectors, threshold: float) -> DataFrame:
     """keys (node, keys: one per band) -> (node, label) of all nodes that are linked to another."""
-    dealt = keys.select("node", F.posexplode("keys").alias("band", "key"))
     own = F.xxhash64("node")
+    dealt = keys.select("node", own.alias("_h"), F.posexplode("keys").alias("band", "key"))
     # Columns of a fixed width only, so that buckets are counted by hashing; the centre is the member of the least hash.
-    buckets = dealt.select("key", "band", own.alias("_h")).groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("_h").alias("_set"), F.min("_h").alias("centre"), F.min("band").alias("band"))
+    buckets = dealt.select("key", "band", "_h").groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("_h").alias("_set"), F.min("_h").alias("centre"), F.min("band").alias("band"))
     # The same members meet in several bands: one bucket stands for all.
     buckets = buckets.filter("n > 1").groupBy("n", "_set", "centre").agg(F.min(F.struct("band", "key")).alias("b"))
     buckets = materialize(buckets.select("b.key", "b.band", "n", "centre"), "buckets")
-    total = dealt.count()
-    members = materialize(attach(dealt.drop("band"), buckets, "key", "n", total, "inner"), "members")
+    bands = keys.select(F.size("keys")).first()
+    total = keys.count() * bands[0] if bands else 0
+    members = materialize(attach(dealt.drop("band", "_h"), buckets, "key", "n", total, "inner"), "members")
     met = materialize(members.select("node").distinct(), "met")
     texts = content(met, met.count())
 
