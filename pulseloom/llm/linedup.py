@@ -16,7 +16,6 @@ empty result; further columns are ignored by ``lines`` and kept by ``clean``.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from pulseloom.llm.common import BROADCAST_ROWS, WORD, attach, materialize, text_or_empty
+from pulseloom.llm.common import BROADCAST_ROWS, SPACE_CHARS, attach, materialize, text_or_empty
 from pulseloom.llm.lsh import near_components
 from pulseloom.llm.shingles import char_shingles, mix
 
@@ -42,7 +41,6 @@ _STEPS = _seeds.integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint6
 _order = np.concatenate([_seeds.permutation(MINIMA) for _ in range(-(-BANDS * ROWS // MINIMA))])
 _CHOSEN = _order[: BANDS * ROWS].reshape(BANDS, ROWS)
 _FACTOR = _seeds.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_word = re.compile(r"[^\x20\x09-\x0D]")
 
 
 def _runs(points: np.ndarray) -> np.ndarray:
@@ -127,7 +125,7 @@ def _pass(docs: DataFrame, text: str, key: str) -> DataFrame:
                 doc, at, nodes, places, known = [], [], [], [], {}
                 for i, t in enumerate(part.column(1).to_pylist()):
                     for k, line in enumerate(t.split("\n")):
-                        if _word.search(line):
+                        if line.strip(SPACE_CHARS):
                             node = known.get(line)
                             if node is None:
                                 node = known[line] = hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()
@@ -170,12 +168,14 @@ def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """A row for each line with a word: doc_id, line_no (from 0), class_doc_id and class_line_no (the line that stays), class_size, kept."""
     written = materialize(_pass(docs, text, key), "lines")
     rows = written.select("row", "doc_id", "line_no", "node")
-    # Columns of a fixed width are put together by hashing, without a sort.
-    keys = written.filter("k0 IS NOT NULL").groupBy("node").agg(*[F.first(k).alias(k) for k in _KEYS])
+    # Columns of a fixed width are put together by hashing, without a sort. A node's keys are always the same; their
+    # minimum holds one number where the first value would hold a mark as well.
+    keys = written.filter("k0 IS NOT NULL").groupBy("node").agg(*[F.min(k).alias(k) for k in _KEYS])
     keys = materialize(keys.select("node", F.array(*_KEYS).alias("keys")), "line-bands")
 
     def content(nodes: DataFrame, n: int) -> DataFrame:
-        found = docs.select(F.explode(F.split(text_or_empty(text), "\n")).alias("text")).filter(F.col("text").rlike(WORD))
+        # Lines without a word are no nodes, so that the join leaves them out.
+        found = docs.select(F.explode(F.split(text_or_empty(text), "\n")).alias("text"))
         found = found.select(F.unhex(F.md5("text")).alias("node"), "text").join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
         return materialize(found.groupBy("node").agg(F.first("text").alias("text")), "line-texts")
 
