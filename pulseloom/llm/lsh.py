@@ -33,6 +33,8 @@ FEATURES = 1 << 14
 CHUNK_TEXTS, RANGE_CHARS = 2048, 1 << 23
 #: Bands whose buckets are compared first; the others then mostly hold one component.
 FIRST_BANDS = 3
+#: Bits of a band's key; the band (below 128) stands before them. Keys that clash cost a comparison, no link.
+KEY_BITS = 56
 
 #: Texts (node, text), one row each, of the given nodes and their number. Its result is read several times.
 Content = Callable[[DataFrame, int], DataFrame]
@@ -233,14 +235,16 @@ def near_components(keys: DataFrame, content: Content, vectors: Vectors, thresho
     """keys (node, keys: one per band) -> (node, label) of all nodes that are linked to another."""
     own = F.xxhash64("node")
     dealt = keys.select("node", own.alias("_h"), F.posexplode("keys").alias("band", "key"))
+    # The band comes first in a key, so that the least key of some is of the first band and buckets need no other column.
+    dealt = dealt.select("node", "_h", F.shiftleft(F.col("band").cast("long"), KEY_BITS).bitwiseOR(F.shiftrightunsigned("key", 64 - KEY_BITS)).alias("key"))
     # Columns of a fixed width only, so that buckets are counted by hashing; the centre is the member of the least hash.
-    buckets = dealt.select("key", "band", "_h").groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("_h").alias("_set"), F.min("_h").alias("centre"), F.min("band").alias("band"))
+    buckets = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("_h").alias("_set"), F.min("_h").alias("centre"))
     # The same members meet in several bands: one bucket stands for all.
-    buckets = buckets.filter("n > 1").groupBy("n", "_set", "centre").agg(F.min(F.struct("band", "key")).alias("b"))
-    buckets = materialize(buckets.select("b.key", "b.band", "n", "centre"), "buckets")
+    buckets = buckets.filter("n > 1").groupBy("n", "_set", "centre").agg(F.min("key").alias("key"))
+    buckets = materialize(buckets.select("key", F.shiftrightunsigned("key", KEY_BITS).cast("int").alias("band"), "n", "centre"), "buckets")
     bands = keys.select(F.size("keys")).first()
     total = keys.count() * bands[0] if bands else 0
-    members = materialize(attach(dealt.drop("band", "_h"), buckets, "key", "n", total, "inner"), "members")
+    members = materialize(attach(dealt.drop("_h"), buckets, "key", "n", total, "inner"), "members")
     met = materialize(members.select("node").distinct(), "met")
     texts = content(met, met.count())
 
