@@ -27,6 +27,8 @@ from pulseloom.llm.shingles import weighted, weighted_jaccard
 
 #: Members of a bucket that are compared in one block, and of the blocks of a larger bucket about.
 SMALL, SHARE = 64, 48
+#: Rows of a block whose pairs are measured without a product of matrices, and characters whose vectors are built at once.
+FEW, TOGETHER = 4, 1 << 16
 #: Features that are multiplied at once.
 FEATURES = 1 << 14
 #: Texts of a chunk, on average, and characters of all texts for each range of features.
@@ -70,11 +72,12 @@ def overlaps(vecs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def linked(texts: list[str], labels: list, asks: list[bool], vectors: Vectors, threshold: float) -> list[tuple[int, int]]:
+def linked(vecs: list[tuple[np.ndarray, np.ndarray]], labels: list, asks: list[bool], threshold: float) -> list[tuple[int, int]]:
     """Rows of a block that are similar: a forest that connects all that the block's pairs connect.
 
     Pairs are measured exactly unless a bound on their similarity is below the
-    threshold, they are in one component already, or neither of them asks.
+    threshold, they are in one component already, or neither of them asks. A
+    few rows need no bound but that of their sums.
     """
     first: dict = {}
     parent = [first.setdefault(label, i) for i, label in enumerate(labels)]
@@ -85,14 +88,18 @@ def linked(texts: list[str], labels: list, asks: list[bool], vectors: Vectors, t
             i = parent[i]
         return i
 
-    vecs = vectors(texts)
-    sums = np.array([float(v[1].sum()) for v in vecs])
-    asking = np.array(asks, bool)
-    # both / (a + b - both) >= t where both >= t (a + b) / (1 + t); single precision leaves a margin.
-    near = overlaps(vecs) >= (sums[:, None] + sums[None, :]) * (threshold / (1 + threshold) * (1 - 1e-4))
-    near &= (asking[:, None] | asking[None, :]) & (sums > 0)[:, None]
+    sums = [float(v[1].sum()) for v in vecs]
+    if len(vecs) <= FEW:
+        least = threshold * (1 - 1e-4)
+        pairs = [(i, j) for i in range(len(vecs)) for j in range(i) if (asks[i] or asks[j]) and min(sums[i], sums[j]) >= least * max(sums[i], sums[j], 1e-300)]
+    else:
+        total, asking = np.array(sums), np.array(asks, bool)
+        # both / (a + b - both) >= t where both >= t (a + b) / (1 + t); single precision leaves a margin.
+        near = overlaps(vecs) >= (total[:, None] + total[None, :]) * (threshold / (1 + threshold) * (1 - 1e-4))
+        near &= (asking[:, None] | asking[None, :]) & (total > 0)[:, None]
+        pairs = zip(*(x.tolist() for x in np.nonzero(np.tril(near, -1))))
     found = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.tril(near, -1)))):
+    for i, j in pairs:
         if root(i) != root(j) and weighted_jaccard(vecs[i], vecs[j]) >= threshold:
             parent[root(i)] = root(j)
             found.append((i, j))
@@ -100,26 +107,36 @@ def linked(texts: list[str], labels: list, asks: list[bool], vectors: Vectors, t
 
 
 def _compare(blocks: DataFrame, content: DataFrame, vectors: Vectors, threshold: float) -> DataFrame:
-    """blocks (block, node, label, ask) -> links (a, b). Blocks come one after the other in each task's rows."""
+    """blocks (block, node, label, ask) -> links (a, b). Blocks come one after the other in each task's rows.
 
-    def of(batches):
-        at, held = None, []
+    The vectors of several small blocks are built at once, up to TOGETHER characters.
+    """
 
-        def links():
-            texts, nodes, labels, asks = (list(c) for c in zip(*held))
-            return [(nodes[i], nodes[j]) for i, j in linked(texts, labels, asks, vectors, threshold)]
+    def links(held: list[list]) -> list[tuple[bytes, bytes]]:
+        vecs = vectors([text for rows in held for text, *_ in rows])
+        found, at = [], 0
+        for rows in held:
+            _, nodes, labels, asks = zip(*rows)
+            found += [(nodes[i], nodes[j]) for i, j in linked(vecs[at : at + len(rows)], labels, asks, threshold)]
+            at += len(rows)
+        return found
 
+    def of(batches):
+        at, held, size = None, [], 0
         for batch in batches:
             found = []
             for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "text", "node", "label", "ask"))):
-                if block != at and held:
-                    found += links()
-                    held = []
-                at = block
-                held.append(row)
+                if block != at or not held:
+                    if size >= TOGETHER:
+                        found += links(held)
+                        held, size = [], 0
+                    held.append([])
+                    at = block
+                held[-1].append(row)
+                size += len(row[0])
             yield _links(found)
         if held:
-            yield _links(links())
+            yield _links(links(held))
 
     rows = blocks.join(content, "node").select("block", "text", "node", "label", "ask")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(of, "a binary, b binary")
