@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import exact, html, licenses, linedup, lm, mixing, neardup, packing, quality, shards
+from pulseloom.llm import exact, html, licenses, linedup, lm, mixing, neardup, packing, quality, shards, simhash
 from pulseloom.llm.common import documents
 from pulseloom.llm.packing import tokenizer_path
 
@@ -63,8 +63,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(documents(spark, sf_dir), shards=40)
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: links of at most three differing bits."""
+    return simhash.classes(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_license_scans, op10_sharding)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_license_scans, op10_sharding, op12_simhash_near_dedup)}
 
 
 _OP2 = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
