@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import exact, html, licenses, linedup, lm, mixing, neardup, packing, quality, shards, simhash
+from pulseloom.llm import exact, html, licenses, linedup, lm, mixing, neardup, packing, quality, shards, simhash, tries
 from pulseloom.llm.common import documents
 from pulseloom.llm.packing import tokenizer_path
 
@@ -68,8 +68,13 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every source of a language its divergence from the others and its foremost terms."""
+    return tries.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_license_scans, op10_sharding, op12_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mix_sources, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_license_scans, op10_sharding, op12_simhash_near_dedup, op13_source_divergence)}
 
 
 _OP2 = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -93,6 +98,23 @@ _OP8 = r"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM doc
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM a JOIN verdicts v ON a.source IS NOT DISTINCT FROM v.source"""
 
 
+_OP13 = r"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+ t AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 30),
+ c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+ g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+ sums AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) + 5 * any_value(v) AS d FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000 * (coalesce(c.n, 0) + 5) // s.d AS BIGINT) AS p FROM sums s JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+ whole AS (SELECT lang, sum(n) + 5 * any_value(v) AS d FROM c JOIN v USING (lang) GROUP BY lang),
+ q AS (SELECT lang, term, CAST(1 + 1000000000 * (sum(n) + 5) // any_value(whole.d) AS BIGINT) AS q FROM c JOIN whole USING (lang) GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ terms AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ everything AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+ SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM everything QUALIFY part = 'pair' OR rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are held against brute force in the tests."""
-    return {"op2_exact_dedup": _OP2, "op8_quality_rules": _OP8}
+    return {"op2_exact_dedup": _OP2, "op8_quality_rules": _OP8, "op13_source_divergence": _OP13}
