@@ -33,31 +33,35 @@ def linear(z: np.ndarray, alpha: np.ndarray) -> np.ndarray:
 
 
 def _histories(x: np.ndarray, order: int):
-    """From row ``order`` on, the values seen since then, the latest first; what is not there yet is 0."""
-    seen = np.zeros(order)
+    """From row ``order`` on, the values seen since then, the latest first; what is not there yet is 0. x: [row] or [row, series]."""
+    seen = np.zeros((order, *x.shape[1:]))
     for i in range(order, len(x)):
-        seen = np.concatenate(([x[i - 1]], seen[:-1]))
+        seen = np.concatenate((x[i - 1 : i], seen[:-1]))
         yield i, seen
 
 
 def lms_predict(x: np.ndarray, order: int = 8, mu: float = 0.01, bound: float = 10.0) -> dict[str, np.ndarray]:
-    """One-step prediction with bounded weights; the first ``order`` rows pass through."""
-    guess, error, w = x.astype(float).copy(), np.zeros(len(x)), np.zeros(order)
+    """One-step prediction with bounded weights; the first ``order`` rows pass through. x: [row] or [row, series]."""
+    guess, error, w = x.astype(float).copy(), np.zeros(x.shape), np.zeros((order, *x.shape[1:]))
     for i, seen in _histories(x, order):
-        guess[i] = w @ seen
+        guess[i] = (w * seen).sum(0)
         error[i] = x[i] - guess[i]
         w = np.clip(w + 2 * mu * error[i] * seen, -bound, bound)
     return {"lms_prediction": guess, "lms_error": error}
 
 
 def rls_predict(x: np.ndarray, order: int = 8, forgetting: float = 0.99, p0: float = 1000.0) -> dict[str, np.ndarray]:
-    guess, error, w, p = x.astype(float).copy(), np.zeros(len(x)), np.zeros(order), np.eye(order) * p0
+    """One-step prediction by recursive least squares; the first ``order`` rows pass through. x: [row] or [row, series]."""
+    guess, error, w = x.astype(float).copy(), np.zeros(x.shape), np.zeros((order, *x.shape[1:]))
+    p = np.zeros((order, order, *x.shape[1:]))
+    p[np.arange(order), np.arange(order)] = p0
     for i, seen in _histories(x, order):
-        guess[i] = w @ seen
+        guess[i] = (w * seen).sum(0)
         error[i] = x[i] - guess[i]
-        k = p @ seen / (forgetting + seen @ p @ seen)
+        along = (p * seen).sum(1)
+        k = along / (forgetting + (seen * along).sum(0))
         w = w + k * error[i]
-        p = (p - np.outer(k, seen @ p)) / forgetting
+        p = (p - k[:, None] * (seen[:, None] * p).sum(0)) / forgetting
     return {"rls_prediction": guess, "rls_error": error}
 
 

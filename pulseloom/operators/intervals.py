@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -112,6 +114,14 @@ def _best_frequency(times: Broadcast, low: float, high: float, steps: int) -> Da
     return blocks.mapInArrow(of, "freq_hz double, resultant double").orderBy(F.desc("resultant"), "freq_hz").limit(1)
 
 
+def resultants(pulses: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """frequencies (freq_hz and further columns; a bounded grid) with the length of the mean of exp(i 4 pi f t) over all pulses."""
+    doubled = 4 * math.pi * F.col("freq_hz") * F.col("toa_s")
+    rows = pulses.select("toa_s").crossJoin(F.broadcast(frequencies.select("freq_hz").distinct()))
+    means = rows.groupBy("freq_hz").agg(F.avg(F.cos(doubled)).alias("_c"), F.avg(F.sin(doubled)).alias("_s"))
+    return frequencies.join(means, "freq_hz").withColumn("resultant", F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s"))).drop("_c", "_s")
+
+
 def grid_frequency(pulses: DataFrame, base: float = 50.0, width: float = 0.5, coarse: int = 200_000, fine: int = 100_000, near: float = 0.01, sample: int = 10_000, seed: int = 1) -> DataFrame:
     """The frequency at which doubled phases agree best: a coarse grid, then a fine one about its best point.
 

@@ -1,15 +1,14 @@
-"""Ordered trackers over intervals: CUSUM as window sums, recurrences as one pass over each series."""
+"""Ordered trackers over intervals: CUSUM as window sums, recurrences as scans over blocks of series."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import recurrences
+from pulseloom.operators import scan
 
 
 def cusum(intervals: DataFrame, value: str = "delta_t_s", threshold: float = 5.0, drift: float = 0.5, burnin: int = 200, mu_0: float | None = None) -> DataFrame:
@@ -52,21 +51,9 @@ def log_cusum(intervals: DataFrame, drift: float = 0.5) -> DataFrame:
     return rows.withColumns({"c_plus": floor("_up"), "c_minus": -floor("_down")}).drop("_up", "_down")
 
 
-def fold(intervals: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], columns: list[str], value: str = "delta_t_s") -> DataFrame:
-    """Run a recurrence over each series in order; adds its columns. One task holds one series at a time."""
-    kept = [c for c in intervals.columns if c not in columns]
-    schema = ", ".join([f"`{n}` {t}" for n, t in intervals.select(*kept).dtypes] + [f"`{c}` double" for c in columns])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        return pdf.assign(**kernel(pdf[value].to_numpy(np.float64)))[kept + columns]
-
-    return intervals.select(*kept).groupBy("series_id").applyInPandas(run, schema)
-
-
 def kalman(intervals: DataFrame, q: float = 7.4e-14, r: float = 1.85e-15, p0: float = 1e-12, gap: float = 10.0, x0: float | None = None) -> DataFrame:
     """Filtered intervals and z-scores of the innovations; an interval above ``gap`` starts the filter anew."""
-    return fold(intervals, lambda z: recurrences.kalman(z, q, r, p0, gap, x0), ["kalman_filtered", "kalman_innovation", "kalman_variance", "kalman_z"])
+    return scan.scan(intervals, [scan.Kalman(q, r, p0, gap, x0)])
 
 
 def kalman_plain(intervals: DataFrame, q: float = 1e-5, r: float = 1e-2, p0: float = 1.0) -> DataFrame:
@@ -75,50 +62,40 @@ def kalman_plain(intervals: DataFrame, q: float = 1e-5, r: float = 1e-2, p0: flo
 
 
 def ewma(intervals: DataFrame, alpha: float = 0.2) -> DataFrame:
-    return fold(intervals, lambda z: {"ewma": recurrences.linear(z, np.full(len(z), alpha))}, ["ewma"])
+    return scan.scan(intervals, [scan.Ewma(alpha=alpha)])
 
 
 def log_ewma(intervals: DataFrame, alpha: float = 0.2, warmup: int = 50) -> DataFrame:
     """EWMA of the decimal logarithm of the intervals, begun at the median of the first ones."""
+    rows = intervals.withColumn("log10_dt", F.log10(F.greatest("delta_t_s", F.lit(1e-12))))
+    first = F.percentile(F.when(F.col("k") < warmup, F.col("log10_dt")), F.lit(0.5)).over(Window.partitionBy("series_id"))
+    rows = rows.withColumn("_begun", F.when(F.col("k") == 0, first).otherwise(F.col("log10_dt")))
+    return scan.scan(rows, [scan.Ewma("_begun", alpha, "log_ewma")]).drop("_begun")
 
-    def kernel(z: np.ndarray) -> dict[str, np.ndarray]:
-        y = np.log10(np.maximum(z, 1e-12))
-        begun = np.concatenate(([np.median(y[:warmup])], y[1:])) if len(y) else y
-        return {"log10_dt": y, "log_ewma": recurrences.linear(begun, np.full(len(y), alpha))}
 
-    return fold(intervals, kernel, ["log10_dt", "log_ewma"])
-
-
-def adaptive_ewma(intervals: DataFrame, alpha_0: float = 0.2, low: float = 0.05, high: float = 0.8, rows: int = 10, reference_variance: float | None = None, also: Callable[[np.ndarray], dict[str, np.ndarray]] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """EWMA whose weight follows the last rows' variance over the series' own, or over a given one where the whole series isn't known.
-
-    also: a further recurrence of the same pass, which gives ``columns``.
-    """
+def _weighed(intervals: DataFrame, alpha_0: float, low: float, high: float, rows: int, reference_variance: float | None) -> DataFrame:
     all_ = Window.partitionBy("series_id")
     local = F.var_pop("delta_t_s").over(all_.orderBy("k").rowsBetween(-(rows - 1), 0)) + 1e-30
     whole = (F.lit(reference_variance) if reference_variance is not None else F.var_pop("delta_t_s").over(all_)) + 1e-30
-    weighed = intervals.withColumn("alpha", F.least(F.lit(high), F.greatest(F.lit(low), alpha_0 * local / whole)))
+    return intervals.withColumn("alpha", F.least(F.lit(high), F.greatest(F.lit(low), alpha_0 * local / whole)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        z = pdf["delta_t_s"].to_numpy(np.float64)
-        return pdf.assign(ewma=recurrences.linear(z, pdf["alpha"].to_numpy()), **(also(z) if also else {}))
 
-    schema = ", ".join([f"`{n}` {t}" for n, t in weighed.dtypes] + [f"`{c}` double" for c in ("ewma", *(columns or []))])
-    return weighed.groupBy("series_id").applyInPandas(run, schema)
+def adaptive_ewma(intervals: DataFrame, alpha_0: float = 0.2, low: float = 0.05, high: float = 0.8, rows: int = 10, reference_variance: float | None = None) -> DataFrame:
+    """EWMA whose weight follows the last rows' variance over the series' own, or over a given one where the whole series isn't known."""
+    return scan.scan(_weighed(intervals, alpha_0, low, high, rows, reference_variance), [scan.Ewma(alpha="alpha")])
 
 
 def lms(intervals: DataFrame, order: int = 8, mu: float = 0.01) -> DataFrame:
-    return fold(intervals, lambda z: recurrences.lms_predict(z, order, mu), ["lms_prediction", "lms_error"])
+    return scan.whole(intervals, lambda z: recurrences.lms_predict(z, order, mu), ["lms_prediction", "lms_error"])
 
 
 def rls(intervals: DataFrame, order: int = 8, forgetting: float = 0.99, p0: float = 1000.0) -> DataFrame:
-    return fold(intervals, lambda z: recurrences.rls_predict(z, order, forgetting, p0), ["rls_prediction", "rls_error"])
+    return scan.whole(intervals, lambda z: recurrences.rls_predict(z, order, forgetting, p0), ["rls_prediction", "rls_error"])
 
 
 def unified(intervals: DataFrame, q: float = 7.4e-14, r: float = 1.85e-15, p0: float = 1e-12, gap: float = 10.0, threshold: float = 8.0, drift: float = 0.5, burnin: int = 200) -> DataFrame:
     """Kalman and adaptive EWMA on the intervals, in one pass over each series, and CUSUM on the Kalman z-scores."""
-    both = adaptive_ewma(intervals, also=lambda z: recurrences.kalman(z, q, r, p0, gap), columns=["kalman_filtered", "kalman_innovation", "kalman_variance", "kalman_z"])
+    both = scan.scan(_weighed(intervals, 0.2, 0.05, 0.8, 10, None), [scan.Ewma(alpha="alpha"), scan.Kalman(q, r, p0, gap)])
     return cusum(both, "kalman_z", threshold, drift, burnin)
 
 

@@ -340,8 +340,7 @@ def grid_frequency(spark, d):
 def phase_resultant(spark, d):
     grid = spark.range(21).select("id", (F.lit(0.0009) + F.col("id") * 0.00001).alias("freq_hz"))
     shifted = pulses(spark, d).withColumn("toa_s", F.col("toa_s") - 1.7e9)
-    found = intervals._resultant(shifted, grid.select("freq_hz"))
-    return rounded(found.join(F.broadcast(grid), "freq_hz").select("id", "resultant"), 5)
+    return rounded(intervals.resultants(shifted, grid).select("id", "resultant"), 5)
 
 
 @register(
