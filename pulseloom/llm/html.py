@@ -3,17 +3,21 @@
 The standard library's parser sends events; text gathers into lines, one for
 each block element. Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms, comments and the like are marked by their elements: by tag,
-role or state, or by a whole class or id, unless that element holds nine tenths
-of the content clusters' text. Of the others the text-to-tag ratio is smoothed by a Gaussian, and lines at or above
-the ratios' standard deviation form the content clusters. The clusters vote for
-the element that holds the article: an article or main element where there is
-one, else the container with their text. All lines of it that aren't marked are
-the result, those of links too.
+role or state, or by a class or id: a whole one, unless that element holds nine
+tenths of the content clusters' text, or one whose parts all name such things
+or places (comment-list, post-comments, nav-links), unless it holds half of it.
+An element inside a line whose class, or tag, marks it only takes the line with
+it if nothing else is in the line, unless it is an advert. Of the others the text-to-tag ratio is
+smoothed by a Gaussian, and lines at or above the ratios' standard deviation
+form the content clusters. The clusters vote for the element that holds the
+article: all articles, but for those outside of the clusters that are mostly
+links, or a main element, where there is one, else the container with their text. All lines of it that aren't
+marked are the result, those of links too.
 
 Defined cases: null or empty html gives an empty text; repeated rows and null
 keys are rows like any other; an empty table gives an empty result; further
 columns are ignored. Markup may be broken: end tags close what is open inside
-them, and unknown ones are ignored.
+them, unknown ones are ignored, and odd declarations are comments.
 """
 
 from __future__ import annotations
@@ -36,17 +40,26 @@ BLOCKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HIDDEN = frozenset(
-    "applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label legend map menu "
+    "applet aside audio canvas datalist dialog embed fieldset footer form frame frameset head iframe input legend map menu "
     "meter nav noframes noscript object optgroup option output progress script search select style svg template textarea title video".split()
 )
+#: Outside of forms these are words of their line, but a line of nothing else goes.
+CONTROLS = frozenset("button label".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split())
 WORDS = frozenset(
-    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs captcha comment comments commentlist consent "
+    "ad ads adsbygoogle adsense adv advert advertisement advertising adverts banner breadcrumb breadcrumbs captcha comment comments commentlist consent "
     "cookie cookies discussion disqus feedback footer footnav gdpr login menu menus modal nav navbar navigation "
     "newsletter notice notices notification notifications outbrain overlay pager paginate pagination paywall popup promo promos promotion "
     "recommended register related replies reply respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored "
     "sponsors subscribe subscription taboola toolbar topbar widget widgets".split()
 )
+#: Inside a line, too, these are no words of it.
+ADVERTS = frozenset(w for w in WORDS if w.startswith(("ad", "promo", "sponsor")))
+#: Parts that may stand beside such a word in a class or id: places, and the things that a page is made of.
+PLACES = frozenset(
+    "area article bar block body bottom box btn button buttons card cards col column container content cta desktop entry feed form global group holder icon icons inline inner "
+    "item items left link links list main mobile module page panel post posts region right section site slot story stories thread title top unit wrap wrapper zone".split()
+)
 HEADERS = frozenset("header masthead".split())
 #: A class with such a word names the page's header; other words beside it name the header of a part, as of a post.
 PAGE_WORDS = HEADERS | frozenset("bar container fixed global inner main page site sticky top wrapper".split())
@@ -72,6 +85,10 @@ class Element:
     header: bool
     #: Elements around it, or itself, with a class or id that marks them.
     marks: tuple[Element, ...] = ()
+    #: The tenths of the clusters' text with which it isn't marked after all.
+    enough: int = 9
+    #: Whether it is, or is in, an element of a line that is marked.
+    aside: bool = False
     votes: float = 0.0
     depth: int = 0
     inside: bool = False
@@ -90,11 +107,23 @@ class Line:
     tags: int = 0
     linked: int = 0
     heading: bool = False
+    #: Whether there is text outside of marked elements of the line, and inside of them.
+    plain: bool = False
+    aside: bool = False
 
 
-def _marked(attrs: dict) -> bool:
+def _marked(attrs: dict, words: frozenset[str] = WORDS) -> bool:
     """Whether a whole class, or the id, is one of the words."""
-    return not WORDS.isdisjoint(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split())
+    return not words.isdisjoint(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split())
+
+
+def _parts_mark(attrs: dict) -> bool:
+    """Whether all parts of a class, or of the id, are among the words and places, and one is a word."""
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        parts = {w.lower() for w in _WORD.findall(name) if len(w) > 1}
+        if not WORDS.isdisjoint(parts) and parts <= WORDS | PLACES:
+            return True
+    return False
 
 
 def _named(attrs: dict) -> set[str]:
@@ -111,6 +140,19 @@ class LineParser(HTMLParser):
         self.stack, self.lines, self.links = [root], [Line(root)], 0
         self.elements, self.open = [root], Counter()
 
+    def parse_html_declaration(self, i):
+        # A marked section that isn't CDATA is a comment up to its >, and never an error.
+        if self.rawdata.startswith("<![", i) and not self.rawdata.startswith("<![CDATA[", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def parse_marked_section(self, i, report=1):
+        end = self.rawdata.find("]]>", i)
+        return end + 3 if end >= 0 else self.parse_bogus_comment(i)
+
+    def unknown_decl(self, data):
+        pass
+
     def _line(self) -> None:
         self.lines.append(Line(self.stack[-1], heading=self.stack[-1].tag in HEADINGS))
 
@@ -149,11 +191,16 @@ class LineParser(HTMLParser):
         hidden = hidden or "display:none" in (given.get("style") or "").replace(" ", "")
         holder = tag == "main" or given.get("role") == "main"
         e = Element(tag, up, hidden, up.article, up.main, up.header or tag == "header" or (names <= PAGE_WORDS and not HEADERS.isdisjoint(names)), up.marks)
-        if tag not in HOLDERS and tag not in HEADINGS and _marked(given):
-            if tag in BLOCKS:
-                e.marks = (*up.marks, e)
-            else:
-                e.hidden = True  # inside a line there is nothing to weigh it against
+        e.aside = up.aside and tag not in BLOCKS
+        if tag not in HOLDERS and tag not in HEADINGS:
+            whole = _marked(given)
+            if whole or tag in CONTROLS or (names and _parts_mark(given)):
+                if tag in BLOCKS:
+                    e.marks, e.enough = (*up.marks, e), 9 if whole else 5
+                elif _marked(given, ADVERTS):
+                    e.hidden = True
+                else:
+                    e.aside = True
         e.depth = up.depth + e.container
         if tag == "article" and not hidden and up.article is None:
             e.article = e
@@ -189,6 +236,11 @@ class LineParser(HTMLParser):
         if self.stack[-1].hidden and not line.element.hidden:
             return  # a hidden element inside a line doesn't break it
         line.pieces.append(data)
+        if not data.isspace():
+            if self.stack[-1].aside:
+                line.aside = True
+            else:
+                line.plain = True
         if self.links > 0:
             line.linked += len(data)
 
@@ -216,8 +268,7 @@ def _unmarked(lines: list[tuple[str, Line]]) -> list[tuple[str, Line]]:
             total += len(text)
             for e in line.element.marks:
                 held[id(e)] = held.get(id(e), 0) + len(text)
-    released = {k for k, n in held.items() if 10 * n >= 9 * total}
-    return [(t, line) for t, line in lines if all(id(e) in released for e in line.element.marks)]
+    return [(t, line) for t, line in lines if all(total and 10 * held.get(id(e), 0) >= e.enough * total for e in line.element.marks)]
 
 
 def main_text(html: str) -> str:
@@ -230,7 +281,7 @@ def main_text(html: str) -> str:
         text = " ".join("".join(line.pieces).split())
         e = line.element
         # Of a header only an article's own headings belong to the text.
-        if text and not e.hidden and not (e.header and not (line.heading and e.article is not None)):
+        if text and not e.hidden and (line.plain or not line.aside) and not (e.header and not (line.heading and e.article is not None)):
             lines.append((text, line))
     if lines:
         lines = _unmarked(lines)
@@ -244,7 +295,12 @@ def main_text(html: str) -> str:
     articles = {id(line.element.article): line.element.article for _, line in lines if line.element.article is not None}
     best = max((a.votes for a in articles.values()), default=0)
     if articles:
-        chosen = {i for i, a in articles.items() if 5 * a.votes >= best}
+        own, linked = Counter(), Counter()
+        for text, line in lines:
+            own[id(line.element.article)] += len(text)
+            linked[id(line.element.article)] += line.linked
+        # A teaser is an article outside of the clusters that is mostly links.
+        chosen = {i for i, a in articles.items() if a.votes > 0 or not best or 2 * linked[i] <= own[i]}
         return "\n".join(t for t, line in lines if id(line.element.article) in chosen)
     mains = [line for _, line in lines if line.element.main is not None]
     if mains:
