@@ -6,10 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.special import chi2_ppf, chi2_sf, kolmogorov_sf, normal_cdf
+from pulseloom.operators.ranks import mann_whitney, two_sample_ks
+
+__all__ = ["adf", "adf_sums", "bootstrap", "cohens_d", "kruskal", "ljung_box", "mann_whitney", "nis", "report", "two_sample_ks"]
 
 
 def _scalar(function, kind: str = "double"):
@@ -76,48 +80,6 @@ def kruskal(values: DataFrame, value: str, group: str, over: str) -> DataFrame:
     return m.select(over, "groups", "n", "h", "p_value", F.coalesce(eta, F.lit(0.0)).alias("eta_squared"))
 
 
-#: Groups of which pairs are formed.
-MAX_GROUPS = 1000
-
-
-def mann_whitney(values: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
-    """Two-sided tests of all pairs of groups (normal approximation with ties and continuity), and their rank-biserial correlation.
-
-    Rows are first counted by group and value. Each count joins the pairs of its
-    own group, of which there are as many as other groups; values are put in
-    order within a pair. Null groups belong to no pair.
-    """
-    counts = values.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    names = sorted(r["_g"] for r in values.select(F.col(group).alias("_g")).distinct().limit(MAX_GROUPS + 1).collect() if r["_g"] is not None)
-    if len(names) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    kind = values.schema[group].dataType.simpleString()
-    pairs = [(g, *sorted((g, other))) for g in names for other in names if g != other]
-    pairs = F.broadcast(values.sparkSession.createDataFrame(pairs, f"_g {kind}, a {kind}, b {kind}"))
-    mine = F.col("_g") == F.col("a")
-    of = lambda own: F.sum(F.when(own, F.col("_n")).otherwise(0))
-    rows = counts.join(pairs, "_g").groupBy("a", "b", "_v").agg(of(mine).alias("_x"), of(~mine).alias("_y"))
-    both = F.col("_x") + F.col("_y")
-    before = F.sum(both).over(Window.partitionBy("a", "b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - both
-    m = rows.withColumn("_rank", before + (both + 1) / 2).groupBy("a", "b").agg(
-        F.sum(F.col("_x") * F.col("_rank")).alias("_r"), F.sum("_x").alias("n1"), F.sum("_y").alias("n2"), F.sum((both * both).cast("double") * both - both).alias("_t")
-    )
-    m = m.filter("n1 > 0 AND n2 > 0")
-    n1, n2 = F.col("n1"), F.col("n2")
-    u = F.col("_r") - n1 * (n1 + 1) / 2
-    n = n1 + n2
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("_t") / (n * (n - 1))))
-    z = F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2.0) - 0.5, F.lit(0.0)), F.nullif(sigma, F.lit(0.0)))
-    m = m.withColumns({"u": u, "z": F.coalesce(z, F.lit(0.0)), "rank_biserial": 1 - 2 * u / (n1 * n2)})
-
-    @F.pandas_udf("double")
-    def tail(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: min(1.0, 2 * (1 - normal_cdf(v))))
-
-    count = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return m.withColumn("p_value", tail("z")).withColumn("significant", F.col("p_value") < alpha / count).select("a", "b", "n1", "n2", "u", "z", "rank_biserial", "p_value", "significant")
-
-
 def cohens_d(values: DataFrame, value: str, first, by: str = "series_id") -> DataFrame:
     """Difference of the means of rows where ``first`` holds and of the others over their pooled deviation; 0 without any."""
     a, b = F.when(first, F.col(value)), F.when(~first, F.col(value))
@@ -127,39 +89,96 @@ def cohens_d(values: DataFrame, value: str, first, by: str = "series_id") -> Dat
     return m.select(by, "n1", "n2", d.alias("cohens_d"))
 
 
-def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    inverse = np.linalg.pinv(x.T @ x)
-    beta = inverse @ (x.T @ y)
-    sse = float(((y - x @ beta) ** 2).sum())
-    return beta, np.sqrt(np.diag(inverse) * sse / max(1, len(y) - x.shape[1])), sse
+def adf_lags(n: int) -> int:
+    """Lags that are tried on a series of n rows."""
+    return max(0, min(math.ceil(12 * (n / 100) ** 0.25), (n - 1) // 3))
+
 
+def adf_sums(values: DataFrame, value: str, order: str = "k", lags: int = 10) -> DataFrame:
+    """What the regressions of up to ``lags`` lags need of a series, as sums of products of lagged columns.
 
-def adf_vector(x: np.ndarray) -> tuple[int, float, float]:
-    """(lags by AIC, t statistic, bucketed p-value) of the augmented Dickey-Fuller test with a constant; fewer than 20 rows are trivial."""
-    n = len(x)
+    n rows; x is a row less the series' mean, d the difference to the next row.
+    dd[j] is the sum of d times d j rows earlier, xd[j] of x times it; x, xx and d are sums.
+    """
+    w = Window.partitionBy("series_id").orderBy(order)
+    rows = values.select("series_id", order, (F.col(value) - F.avg(value).over(Window.partitionBy("series_id"))).alias("_x"))
+    rows = rows.withColumn("_d", F.lead("_x").over(w) - F.col("_x"))
+    past = [F.col("_d"), *(F.lag("_d", j).over(w) for j in range(1, lags + 1))]
+    rows = rows.withColumns({f"_p{j}": c for j, c in enumerate(past)}).withColumn("_n", F.count("*").over(Window.partitionBy("series_id"))).withColumn("_i", F.row_number().over(w) - 1)
+    real = F.col("_d").isNotNull()
+    sums = lambda c: F.array(*[F.coalesce(F.sum(F.when(real, F.col(c) * F.col(f"_p{j}"))), F.lit(0.0)) for j in range(lags + 1)])
+    # The rows at both ends, which regressions of fewer lags have and others don't; there are 2 * lags of them.
+    edge = F.when(real & ((F.col("_i") < lags) | (F.col("_i") >= F.col("_n") - 1 - lags)), F.struct("_i", "_x", "_d"))
+    return rows.groupBy("series_id").agg(
+        F.count("*").alias("n"), F.sum(F.when(real, F.col("_x"))).alias("x"), F.sum(F.when(real, F.col("_x") * F.col("_x"))).alias("xx"), F.sum("_d").alias("d"),
+        sums("_d").alias("dd"), sums("_x").alias("xd"), F.array_sort(F.collect_list(edge)).alias("edges"),
+    )
+
+
+def _normal_equations(row: dict, p: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """X'X, X'y and y'y of the regression with p lags, on all rows that have them: columns level, constant, lagged differences."""
+    m, dd, xd = int(row["n"]) - 1, row["dd"], row["xd"]
+    x = {e["_i"]: e["_x"] for e in row["edges"]}
+    d = {e["_i"]: e["_d"] for e in row["edges"]}
+
+    def lagged(i: int, j: int) -> float:
+        """Sum of d i rows earlier times d j rows earlier, i <= j."""
+        k = j - i
+        return dd[k] - sum(d[u] * d[u - k] for u in range(k, p - i)) - sum(d[u] * d[u - k] for u in range(m - i, m))
+
+    size = p + 2
+    gram, right = np.zeros((size, size)), np.zeros(size)
+    gram[0, 0] = row["xx"] - sum(x[u] ** 2 for u in range(p))
+    gram[0, 1] = row["x"] - sum(x[u] for u in range(p))
+    gram[1, 1] = m - p
+    shifted = [row["d"] - sum(d[u] for u in range(p - j)) - sum(d[u] for u in range(m - j, m)) for j in range(p + 1)]
+    level = [xd[j] - sum(x[u] * d[u - j] for u in range(j, p)) for j in range(p + 1)]
+    right[0], right[1] = level[0], shifted[0]
+    for j in range(1, p + 1):
+        gram[0, j + 1], gram[1, j + 1], right[j + 1] = level[j], shifted[j], lagged(0, j)
+        for i in range(1, j + 1):
+            gram[i + 1, j + 1] = lagged(i, j)
+    return np.triu(gram) + np.triu(gram, 1).T, right, lagged(0, 0)
+
+
+def adf_statistic(row: dict) -> tuple[int, float, float]:
+    """(lags by AIC, t statistic, bucketed p-value) from the sums of a series."""
+    n = int(row["n"])
     if n < 20:
         return 0, 0.0, 1.0
-    d, best = np.diff(x), None
-    for lags in range(max(0, min(math.ceil(12 * (n / 100) ** 0.25), (n - 1) // 3)) + 1):
-        y = d[lags:]
-        cols = [x[lags:-1], np.ones(len(y)), *(d[lags - j : len(d) - j] for j in range(1, lags + 1))]
-        beta, se, sse = _ols(np.column_stack(cols), y)
-        aic = len(y) * math.log(max(sse / len(y), 1e-300)) + 2 * len(cols)
+    best = None
+    for p in range(adf_lags(n) + 1):
+        rows = n - 1 - p
+        if rows < p + 2:
+            continue
+        gram, right, total = _normal_equations(row, p)
+        inverse = np.linalg.pinv(gram, hermitian=True)
+        beta = inverse @ right
+        sse = max(0.0, float(total - beta @ right))
+        aic = rows * math.log(sse / rows + 1e-30) + 2 * (p + 2)
         if best is None or aic < best[0]:
-            best = aic, lags, float(beta[0] / se[0]) if se[0] > 0 else 0.0
+            error = math.sqrt(max(0.0, sse / max(1, rows - p - 2) * inverse[0, 0]))
+            best = aic, p, float(beta[0] / error) if error > 1e-30 else 0.0
     t = best[2]
-    for limit, p in ((-3.43, 0.005), (-2.86, 0.03), (-2.57, 0.07), (-1.94, 0.15)):
+    for limit, p_value in ((-3.43, 0.005), (-2.86, 0.03), (-2.57, 0.07), (-1.95, 0.15)):
         if t < limit:
-            return best[1], t, p
+            return best[1], t, p_value
     return best[1], t, min(1.0, 0.5 + 0.5 * (1 - normal_cdf(abs(t))))
 
 
 def adf(values: DataFrame, value: str, order: str = "k", alpha: float = 0.05) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lags, t, p = adf_vector(pdf.sort_values(order)[value].to_numpy(float))
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "lags": [lags], "statistic": [t], "p_value": [p], "stationary": [p < alpha]})
-
-    return values.select("series_id", order, value).groupBy("series_id").applyInPandas(run, "series_id long, lags int, statistic double, p_value double, stationary boolean")
+    """Augmented Dickey-Fuller test with a constant; fewer than 20 rows are trivial. Rows are summed where they lie; a row for each series is solved."""
+    longest = values.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
+    sums = adf_sums(values, value, order, adf_lags(longest))
+
+    def solve(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = [adf_statistic(r) for r in rows]
+            columns = [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[2] < alpha for f in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("series_id"), *columns], ["series_id", "lags", "statistic", "p_value", "stationary"])
+
+    return sums.mapInArrow(solve, "series_id long, lags int, statistic double, p_value double, stationary boolean")
 
 
 def bootstrap(values: DataFrame, value: str, statistic=np.median, resamples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:

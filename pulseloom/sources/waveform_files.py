@@ -194,7 +194,7 @@ def load(spark: SparkSession, path: str, default_fs: float = 1e9, preserve_ampli
                 name = PurePosixPath(p).name
                 try:
                     rows.append((p, name, *parse(p, content, default_fs, preserve_amplitude, mat_keys), None))
-                except (ValueError, RuntimeError, struct.error, zlib.error) as e:
+                except (ValueError, RuntimeError, OSError, KeyError, IndexError, csv.Error, struct.error, zlib.error) as e:
                     rows.append((p, name, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "file_name", "fs_hz", "trigger_epoch", "samples", "times", "error"])
 
