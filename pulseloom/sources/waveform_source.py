@@ -135,7 +135,9 @@ class _Reads:
     def files(self) -> list[tuple[str, int, int]]:
         return files_of(self.path, self.pattern, self.recursive)
 
-    def read(self, piece: Piece) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+    def read(self, piece: Piece | None) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        if piece is None:  # there are no files
+            return iter(())
         return self._samples(piece) if self.layout == "samples" else self._file(piece)
 
     def _content(self, piece: Piece) -> bytes:
