@@ -19,14 +19,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import count_words, materialize, text_or_empty
+from pulseloom.llm.common import BROADCAST_ROWS, count_words, materialize, text_or_empty
 from pulseloom.llm.flow import Network
 
-#: Patterns that the solver on the driver takes; they are sets of sources, not documents.
-MAX_PATTERNS = 100_000
 #: Buckets of the seeded order, at least; more where the rows are many.
 MIN_BUCKETS, BUCKET_ROWS = 4096, 4096
 #: Times that what is still missing is filled with later, smaller documents.
@@ -58,8 +56,20 @@ def weighted_targets(weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fra
 
 
 def route(patterns: dict[tuple, int], quotas: dict, repeats: int) -> dict[tuple, dict]:
-    """Words that each pattern gives to each of its sources; patterns: their words, quotas: words for each source."""
+    """Words that each pattern gives to each of its sources; patterns: their words, quotas: words for each source.
+
+    A source that shares no document with another one has a single path, whose
+    flow is the smaller of its ends; only overlapping sources need the network.
+    """
+    shared = {s for key in patterns if len(key) != 1 for s in key}
+    alone = {key: {key[0]: min(repeats * n, quotas[key[0]])} for key, n in patterns.items() if len(key) == 1 and key[0] not in shared}
+    return alone | _network({key: n for key, n in patterns.items() if key not in alone}, {s: q for s, q in quotas.items() if s in shared}, repeats)
+
+
+def _network(patterns: dict[tuple, int], quotas: dict, repeats: int) -> dict[tuple, dict]:
     names, keys = list(quotas), list(patterns)
+    if not keys:
+        return {}
     index = {s: i for i, s in enumerate(names)}
     net = Network(len(keys) + len(names) + 2)
     start, end = len(keys) + len(names), len(keys) + len(names) + 1
@@ -94,12 +104,9 @@ def _order(key: Column, text: Column, seed: int) -> Column:
 
 
 def solve(rows: DataFrame, targets: Targets, repeats: int) -> Mix:
-    """rows: members array<string>, pattern, size, order."""
+    """rows: members array<string>, pattern, size, order. The driver holds a number of words for each pattern, a set of sources, and for none of the documents."""
     spark = rows.sparkSession
-    found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"), F.count("*").alias("n"))
-    found = found.limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     members = {r["pattern"]: tuple(dict.fromkeys(r["members"])) for r in found}
     words = {r["pattern"]: r["size"] for r in found}
     sizes: dict = {}
@@ -130,10 +137,16 @@ def solve(rows: DataFrame, targets: Targets, repeats: int) -> Mix:
         if 2 * rest[p] > size:  # with the first document that didn't fit the sum comes nearer
             steps[p].append((order - 1, order, size))
     data = [(p, full, steps[p]) for p, (full, _) in plan.items()]
-    decisions = spark.createDataFrame(data, "pattern string, passes long, steps array<struct<after:long,to:long,limit:long>>")
+    decisions = _side(spark, data, "pattern string, passes long, steps array<struct<after:long,to:long,limit:long>>")
     return Mix(sizes, goal, flows, decisions)
 
 
+def _side(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:
+    """A row for each pattern, to be joined with documents: broadcast while it is small."""
+    df = spark.createDataFrame(data, schema)
+    return F.broadcast(df) if len(data) <= BROADCAST_ROWS else df
+
+
 def _prefix(rows: DataFrame, rest: dict, after: dict, limit: dict, n: int) -> tuple[dict, dict]:
     """For each pattern the last place of its first ``rest`` words in the seeded order, and how many they are.
 
@@ -144,7 +157,7 @@ def _prefix(rows: DataFrame, rest: dict, after: dict, limit: dict, n: int) -> tu
     spark = rows.sparkSession
     buckets = max(MIN_BUCKETS, n // BUCKET_ROWS)
     width = (1 << 62) // buckets
-    wanted = F.broadcast(spark.createDataFrame([(p, r, after[p], limit[p]) for p, r in rest.items()], "pattern string, rest long, after long, limit long"))
+    wanted = _side(spark, [(p, r, after[p], limit[p]) for p, r in rest.items()], "pattern string, rest long, after long, limit long")
     placed = rows.join(wanted, "pattern").filter("order > after AND size <= limit AND size > 0")
     placed = placed.select("pattern", "rest", "size", "order", F.expr(f"order div {width}").alias("bucket"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,7 +166,7 @@ def _prefix(rows: DataFrame, rest: dict, after: dict, limit: dict, n: int) -> tu
     edge = sums.groupBy("pattern").agg(F.max_by(F.struct("bucket", "before"), "bucket").alias("e")).select("pattern", "e.*").collect()
     if not edge:
         return {}, {}
-    edges = F.broadcast(spark.createDataFrame([tuple(r) for r in edge], "pattern string, bucket long, before long"))
+    edges = _side(spark, [tuple(r) for r in edge], "pattern string, bucket long, before long")
     near = placed.join(edges, ["pattern", "bucket"]).groupBy("pattern", "before", "rest", "order").agg(F.sum("size").alias("size"))
     ahead = Window.partitionBy("pattern").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0)))
@@ -179,7 +192,7 @@ def _rows(docs: DataFrame, text: str, key: str, members: Column, seed: int) -> D
 
 def _taken(rows: DataFrame, mix: Mix) -> DataFrame:
     """rows with passes: how often the mix takes the document."""
-    out = rows.join(F.broadcast(mix.decisions), "pattern", "left")
+    out = rows.join(mix.decisions, "pattern", "left")
     order, size = F.col("order"), F.col("size")
     more = F.exists("steps", lambda s: (order > s["after"]) & (order <= s["to"]) & (size <= s["limit"]))
     return out.withColumn("passes", F.col("passes") + more.cast("long"))
@@ -192,7 +205,7 @@ def mix(docs: DataFrame, targets: Targets | None = None, text: str = "text", key
     solved = solve(rows, targets or weighted_targets(), repeats)
     spark = docs.sparkSession
     known = [(s, solved.sizes[s], float(solved.targets[s])) for s in solved.sizes]
-    sources = F.broadcast(spark.createDataFrame(known, "_source string, source_size long, target double"))
+    sources = _side(spark, known, "_source string, source_size long, target double")
     out = _taken(rows, solved)
     out = out.join(sources, F.get("members", F.lit(0)).eqNullSafe(F.col("_source")), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"))
