@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulseloom.operators import campaign, detect, studies
 from pulseloom.plans.catalog import register
 from pulseloom.plans.common import r, rounded
-from pulseloom.sources.tables import INTERVALS_SQL, segments
+from pulseloom.sources.tables import INTERVALS_SQL, PULSES_SQL, segments
 
 FS = 1e9
 BANDS = [(0.0, 0.1), (0.1, 0.3), (0.3, 0.6)]
@@ -184,6 +184,46 @@ def stream_window_counts(spark, d):
 
 
 
+def _bursts_sql(gap: float, strict: bool) -> str:
+    """Pulses with the number of their burst: a pause above the gap (or of the gap too) begins a new one."""
+    pause = ">" if strict else ">="
+    return f"""{PULSES_SQL}, gaps AS (SELECT *, toa_s - lag(toa_s) OVER (PARTITION BY series_id ORDER BY k) AS z FROM pulses),
+ runs AS (SELECT *, sum(CASE WHEN z IS NULL OR z {pause} {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY k) AS run FROM gaps),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY series_id, run ORDER BY k) - 1 AS i, max(run) OVER (PARTITION BY series_id) AS runs FROM runs),
+ mark AS (SELECT max(toa_s) - 3600 AS w FROM pulses)"""
+
+
+_IDLE, _STEADY = 86_400.0, 1e8
+
+
+@register(
+    "stream_bursts",
+    f"""WITH RECURSIVE {_bursts_sql(_IDLE, True)},
+ f AS (SELECT series_id, run, i, 0.0::DOUBLE AS x, {_STEADY}::DOUBLE AS p, 0.0::DOUBLE AS s FROM placed WHERE i = 0 UNION ALL
+ SELECT b.series_id, b.run, b.i, CASE WHEN b.i = 1 THEN b.z ELSE f.x + (f.p + {_STEADY}) / (f.p + 2 * {_STEADY}) * (b.z - f.x) END, {_STEADY} * (f.p + {_STEADY}) / (f.p + 2 * {_STEADY}),
+ CASE WHEN b.i = 1 THEN b.z ELSE 0.2 * b.z + 0.8 * f.s END FROM f JOIN placed b ON b.series_id = f.series_id AND b.run = f.run AND b.i = f.i + 1),
+ ends AS (SELECT series_id, run, min(toa_s) AS a, max(toa_s) AS b, count(*) AS n, count(DISTINCT channel) AS channels, any_value(runs) AS runs FROM placed GROUP BY ALL),
+ means AS (SELECT series_id, run, avg(z) AS sma FROM placed JOIN ends USING (series_id, run) WHERE i > 0 AND i >= n - 10 GROUP BY ALL)
+ SELECT e.series_id, {r('a', 'start_s', 3)}, {r('b', 'end_s', 3)}, n, channels, {r('CASE WHEN n > 1 THEN x END', 'kalman_filtered', 3)}, {r('CASE WHEN n > 1 THEN s END', 'ewma', 3)}, {r('sma', digits=3)}
+ FROM ends e JOIN f ON f.series_id = e.series_id AND f.run = e.run AND f.i = n - 1 LEFT JOIN means ON means.series_id = e.series_id AND means.run = e.run, mark WHERE e.run < e.runs OR b + {_IDLE} < w""",
+)
+def stream_bursts(spark, d):
+    from pulseloom.streaming import stateful, tracking
+
+    return rounded(tracking.replay(spark, d, stateful.bursts(_IDLE, _STEADY, _STEADY, _STEADY)), 3)
+
+
+@register(
+    "stream_sessions",
+    f"""WITH {_bursts_sql(_DAY, False)}, ends AS (SELECT series_id, run, min(toa_s) AS a, max(toa_s) AS b, count(*) AS n FROM placed GROUP BY ALL)
+ SELECT series_id, CAST(floor(a) AS BIGINT) AS start_s, CAST(floor(b + {_DAY}) AS BIGINT) AS end_s, n FROM ends, mark WHERE b + {_DAY} <= w""",
+)
+def stream_sessions(spark, d):
+    from pulseloom.streaming import tracking
+
+    return tracking.replay(spark, d, lambda p: tracking.sessions(p, "1 day"))
+
+
 @register("stream_simple_trackers")
 def stream_simple_trackers(spark, d):
     from pulseloom.streaming import tracking

@@ -214,6 +214,16 @@ def ewma_fixed(spark, d):
     return rounded(track.ewma(_dt(spark, d)).select("series_id", "k", "ewma"), 3)
 
 
+@register(
+    "log_ewma",
+    f"""{_WITH}, y AS (SELECT series_id, k, log10(greatest(delta_t_s, 1e-12)) AS y FROM intervals), m AS (SELECT series_id, quantile_cont(y, 0.5) AS m FROM y WHERE k < 50 GROUP BY series_id),
+ e AS (SELECT series_id, k, y, m AS s FROM y JOIN m USING (series_id) WHERE k = 0 UNION ALL SELECT y.series_id, y.k, y.y, 0.2 * y.y + (1 - 0.2) * e.s FROM e JOIN y ON y.series_id = e.series_id AND y.k = e.k + 1)
+ SELECT series_id, k, {r('y', 'log10_dt')}, {r('s', 'log_ewma')} FROM e""",
+)
+def log_ewma(spark, d):
+    return rounded(track.log_ewma(_dt(spark, d)).select("series_id", "k", "log10_dt", "log_ewma"))
+
+
 @register(
     "ewma_adaptive",
     f"""{_WITH}, a AS (SELECT *, least(0.8, greatest(0.05, 0.2 * (var_pop(delta_t_s) OVER (PARTITION BY series_id ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + 1e-30)
