@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import dsp
+from pulseloom.operators import quantiles
 
 
 def time_metrics(samples: DataFrame, fs: float | Column, noise_ns: float | None = None) -> DataFrame:
@@ -92,22 +93,32 @@ def pivot_curves(curves: DataFrame, keys: list[str], ks: list[float]) -> DataFra
     return wide.select(*keys, *[F.col(f"`{float(k)}`").alias(curve_name(k)) for k in ks])
 
 
+_SHARES = {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75, "_q90": 0.9}
+
+
 def group_summary(events: DataFrame, group: str, accuracy: int | None = None) -> DataFrame:
     """Counts, median, quartile range, 90 % quantile and variation of valid intervals, and the mean rolling rate; zeros for a group of outliers.
 
-    Quantiles are exact, and one task holds the distinct values of a group; with
-    an accuracy they are sketches of bounded size whose ranks err by at most
-    1 / accuracy.
+    Quantiles are exact (``quantiles.group_quantiles``: the events are written
+    once, and large groups refined); with an accuracy they are sketches of
+    bounded size whose ranks err by at most 1 / accuracy.
     """
     v = F.col("valid_dt")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    q = lambda p: F.percentile(v, F.lit(p)) if accuracy is None else F.percentile_approx(v, p, accuracy)
+    if accuracy is None:
+        events = quantiles.written(events.select(group, v, "is_outlier", "rolling_rate_hz"), "events")
+    sketch = [] if accuracy is None else [F.percentile_approx(v, p, accuracy).alias(c) for c, p in _SHARES.items()]
     s = events.groupBy(group).agg(
-        F.count("*").alias("n_events"), F.count(v).alias("n_valid_events"), F.count_if("is_outlier").alias("n_outliers"), zero(q(0.5)).alias("median_dt"),
-        zero(q(0.75) - q(0.25)).alias("iqr_dt"), zero(q(0.9)).alias("p90_dt"), F.try_divide(F.stddev_samp(v), F.nullif(F.avg(v), F.lit(0.0))).alias("cv_dt"),
-        zero(F.avg("rolling_rate_hz")).alias("mean_smoothed_rate"),
+        F.count("*").alias("n_events"), F.count(v).alias("n_valid_events"), F.count_if("is_outlier").alias("n_outliers"),
+        F.try_divide(F.stddev_samp(v), F.nullif(F.avg(v), F.lit(0.0))).alias("cv_dt"), F.avg("rolling_rate_hz").alias("mean_smoothed_rate"), *sketch,
+    )
+    if accuracy is None:
+        q = quantiles.group_quantiles(events, group, "valid_dt", _SHARES)
+        s = s.join(q, s[group].eqNullSafe(q[group]), "left").drop(q[group])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return s.select(
+        group, "n_events", "n_valid_events", "n_outliers", zero(F.col("_q50")).alias("median_dt"), zero(F.col("_q75") - F.col("_q25")).alias("iqr_dt"), zero(F.col("_q90")).alias("p90_dt"),
+        F.when(F.col("n_valid_events") == 0, 0.0).otherwise(F.col("cv_dt")).alias("cv_dt"), zero(F.col("mean_smoothed_rate")).alias("mean_smoothed_rate"),
     )
-    return s.withColumn("cv_dt", F.when(F.col("n_valid_events") == 0, 0.0).otherwise(F.col("cv_dt")))
 
 
 #: Samples of a stretch by which slices are joined.
