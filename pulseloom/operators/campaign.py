@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import dsp
-from pulseloom.operators import quantiles
+from pulseloom.operators import detect, quantiles
 
 
 def time_metrics(samples: DataFrame, fs: float | Column, noise_ns: float | None = None) -> DataFrame:
@@ -191,6 +191,24 @@ def detection_sensitivity(segments: DataFrame, ks: list[float], cuts: list[float
     return chosen.mapInPandas(run, "series_id long, k_sigma double, max_valid_dt_s double, total_events long, valid_events long, outliers long")
 
 
+def threshold_sensitivity(samples: DataFrame, ks: list[float], cuts: list[float], fs: float) -> DataFrame:
+    """Total, valid and outlier intervals of each sampled waveform for each threshold and cut-off; each threshold detects anew.
+
+    Maxima are the same for all thresholds and found once, by the lowest one; a
+    waveform with fewer than two pulses at a threshold gives no row for it. No
+    refractory time: ``detection_sensitivity`` has one, for array segments.
+    """
+    spark = samples.sparkSession
+    limits = samples.groupBy("series_id").agg(F.avg(F.abs("x")).alias("_m"), F.stddev_pop(F.abs("x")).alias("_s"))
+    grid = F.broadcast(spark.createDataFrame([(float(k),) for k in ks], "k_sigma double"))
+    found = detect.threshold_peaks(samples, min(ks)).join(limits, "series_id").join(grid).filter(F.col("peak_v") >= F.col("_m") + F.col("k_sigma") * F.col("_s"))
+    w = Window.partitionBy("series_id", "k_sigma").orderBy("idx")
+    gaps = found.withColumn("dt", (F.col("idx") - F.lag("idx").over(w)) / fs).filter("dt IS NOT NULL")
+    each = F.broadcast(spark.createDataFrame([(float(c),) for c in cuts], "max_valid_dt_s double"))
+    valid = F.count_if(F.col("dt") <= F.col("max_valid_dt_s"))
+    return gaps.join(each).groupBy("series_id", "k_sigma", "max_valid_dt_s").agg(F.count("*").alias("total_events"), valid.alias("valid_events"), (F.count("*") - valid).alias("outliers"))
+
+
 def phase_density(phases: DataFrame, bandwidth: float = 0.15, sample: int = 5000, seed: int = 1) -> DataFrame:
     """Gaussian kernel density of (phase_deg, signed_v) at each pulse, weighted by magnitude, from a bounded seeded sample of pulses.
 

@@ -1,3 +1,3 @@
 """Named queries; importing the package registers them."""
 
-from pulseloom.plans import arrays, intervals, tests, waves  # noqa: F401
+from pulseloom.plans import arrays, intervals, summaries, tests, waves  # noqa: F401

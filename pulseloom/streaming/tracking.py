@@ -147,3 +147,21 @@ def replay(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], Dat
         return spark.read.schema(out.schema).parquet(f"{folder}/rows")
     rows = spark.read.schema(StructType([*out.schema.fields, StructField("_batch", LongType())])).parquet(f"{folder}/rows")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keys]), "_batch").alias("v")).select(*keys, "v.*").select(*out.columns)
+
+
+def without_repeats(pulses: DataFrame, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """The first row of each key. A key is held until the watermark has passed its row, so repeats have to come within the watermark's delay."""
+    return pulses.dropDuplicatesWithinWatermark(list(keys))
+
+
+def stage_events(pulses: DataFrame, marks: DataFrame, within: str = "1 day", how: str = "inner") -> DataFrame:
+    """Pulses with the marks of their series (series_id, ts, event_id) that came at most ``within`` before them, as both arrive.
+
+    Both sides have a watermark, so a row is held only until no partner can
+    come: a mark for ``within`` after the watermark, a pulse until the watermark
+    has passed it. With how="left" a pulse without a mark is given then.
+    """
+    right = marks.select(F.col("series_id").alias("_series"), F.col("ts").alias("mark_ts"), F.col("event_id").alias("mark_id"))
+    near = (F.col("series_id") == F.col("_series")) & (F.col("mark_ts") <= F.col("ts")) & (F.col("mark_ts") >= F.col("ts") - F.expr(f"INTERVAL {within}"))
+    out = pulses.join(right, near, how)
+    return out.select("series_id", "event_id", "toa_s", "mark_id", (F.col("toa_s") - F.unix_micros("mark_ts") / F.lit(1e6)).alias("since_mark_s"))
