@@ -57,3 +57,12 @@ def test_groups_without_spread_have_none(spark):
     got = density.kernel_density(df, "x", "y", keys=["s"]).collect()
     assert len(got) == len(rows) and all(r["density"] is None for r in got)
     assert density.kernel_density(df.limit(0), "x", "y", keys=["s"]).count() == 0
+
+
+def test_rows_without_a_place_or_weight_change_nothing(spark):
+    p = samples(np.random.default_rng(7))[1][:60]
+    rows = [(n, float(a), float(b), 1.0) for n, (a, b) in enumerate(p)]
+    odd = [(100, None, 1.0, 1.0), (101, float("nan"), 1.0, 1.0), (102, 1.0, float("nan"), 1.0), (103, 50.0, 0.5, None), (104, 60.0, 0.5, float("nan")), (105, 70.0, 0.5, -3.0)]
+    found = [{r["n"]: r["density"] for r in density.kernel_density(spark.createDataFrame(x, "n long, x double, y double, w double"), "x", "y", F.col("w")).collect()} for x in (rows, rows + odd)]
+    assert all(abs(found[0][n] - found[1][n]) < 1e-12 for n, *_ in rows)
+    assert all(found[1][n] is None for n in (100, 101, 102)) and all(found[1][n] >= 0 for n in (103, 104, 105))
