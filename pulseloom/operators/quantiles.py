@@ -66,7 +66,7 @@ def _refined(values: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
     return counts.select("g", "rank", chosen.alias("_p")).select("g", "rank", "_p.*")
 
 
-def _at_ranks(values: DataFrame, targets: DataFrame) -> DataFrame:
+def at_ranks(values: DataFrame, targets: DataFrame) -> DataFrame:
     """g, rank, v of targets (g, rank), ranks from 0 and the size n of their groups."""
     open_ = written(targets.select("g", "rank", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.col("rank").alias("at"), "n"), "targets")
     done: list[DataFrame] = []
@@ -111,7 +111,7 @@ def group_quantiles(df: DataFrame, group: str, value: str, shares: dict[str, flo
     spots = large.select("g", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), (F.lit(shares[c]) * (F.col("n") - 1)).alias("spot")) for c in names])).alias("s")).select("g", "n", "s.*")
     spots = spots.withColumns({"lo": F.floor("spot"), "hi": F.ceil("spot")})
     ranks = spots.select("g", "n", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
-    found = written(_at_ranks(values.join(marked, match, "left_semi"), ranks), "found")
+    found = written(at_ranks(values.join(marked, match, "left_semi"), ranks), "found")
     pick = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_at"))
     met = spots.join(pick, spots["g"].eqNullSafe(pick["g"])).drop(pick["g"])
     lo, hi = F.element_at("_at", F.col("lo")), F.element_at("_at", F.col("hi"))

@@ -234,6 +234,8 @@ def main(argv: list[str] | None = None) -> int:
         one = commands.add_parser(name)
         one.add_argument("path")
         one.add_argument("out")
+        if name == "run-files":
+            one.add_argument("--change", action="append", default=[], metavar="NAME=SECONDS", help="known change time of a capture: adds the report of its descriptors")
     legacy = commands.add_parser("run-legacy")
     legacy.add_argument("out")
     legacy.add_argument("-n", "--n-samples", type=int, default=4096)
@@ -249,7 +251,10 @@ def main(argv: list[str] | None = None) -> int:
         sinks.export_parquet(tracked, args.out, "tracking")
         return 0
     if args.command == "run-files":
-        sinks.write_json(validate_files(spark, args.path), f"{args.out}/summaries")
+        known = {name: float(at) for name, _, at in (c.rpartition("=") for c in args.change)}
+        sinks.write_json(validate_files(spark, args.path, known_change_times=known), f"{args.out}/summaries")
+        if known:
+            sinks.write_csv(descriptor_report(spark, args.path, known), f"{args.out}/descriptor_report", single=True)
         return 0
     if args.command == "run-legacy":
         _write_synthetic(args.out, synthetic_run(spark, args.n_samples, args.fs, args.mc_iterations, args.seed))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulseloom.operators import campaign, density, intervals, quantiles
+from pulseloom.operators import campaign, density, intervals, quantiles, resample
 from pulseloom.plans.catalog import register
 from pulseloom.plans.common import r, rounded
 from pulseloom.plans.intervals import _FREQ, _PHASE
@@ -111,3 +111,9 @@ def stream_without_repeats(spark, d):
 
     out = tracking.replay(spark, d, lambda p: tracking.without_repeats(p.unionByName(p.filter("event_id % 3 = 0"))))
     return rounded(out.select("series_id", "event_id", "toa_s"), 3)
+
+
+@register("poisson_bootstrap")
+def poisson_bootstrap(spark, d):
+    """Interval of the median interval between the pulses of each series; held against draws for every row in the tests."""
+    return resample.poisson_bootstrap(intervals.delta_t(pulses(spark, d)), "delta_t_s")

@@ -136,6 +136,10 @@ def test_material_run_and_commands(spark, tmp_path, monkeypatch):
     assert read("window_id_summary").count() == 6 and read("segment_summary").filter("mean_energy > 0").count() == 3
     assert read("sensitivity_report").count() == 9 and (tmp_path / "out" / "run_manifest.json").exists()
     assert pipeline.main(["run-files", str(tmp_path / "raw" / "a"), str(tmp_path / "files")]) == 0
+    assert pipeline.main(["run-files", str(tmp_path / "raw" / "a"), str(tmp_path / "known"), "--change", "CH1=3e-6"]) == 0
+    report = spark.read.csv(str(tmp_path / "known" / "descriptor_report"), header=True, inferSchema=True)
+    assert report.count() == 12 and {r["name"] for r in report.select("name").distinct().collect()} == {"CH1"}
+    assert spark.read.json(str(tmp_path / "known" / "summaries")).first()["change_time_s"] == 3e-6
     assert pipeline.main(["run-legacy", str(tmp_path / "legacy"), "-n", "1024", "--mc-iterations", "2"]) == 0
     assert {"signals.npz", "metrics.json", "denoising_grid.tex", "convergence.tex", "tracking", "intervals"} <= {x.name for x in (tmp_path / "legacy").iterdir()}
 
