@@ -10,7 +10,7 @@ __version__ = "0.2.0"
 _PLACES = {
     "functions.dsp": ["synthesize", "denoise", "detect", "cfar", "intervals"],
     "operators.campaign": ["detection_curves", "detection_sensitivity", "phase_density", "slice_metrics", "spectral_metrics", "time_metrics"],
-    "operators.decide": ["campaign_summary", "campaign_verdicts", "compare_baselines", "window_verdict"],
+    "operators.decide": ["campaign_summary", "campaign_verdicts", "compare_baselines", "segment_verdicts"],
     "operators.detect": ["array_pulses", "delta_t_vector", "pulse_shapes", "threshold_peaks"],
     "operators.features": ["ablation", "descriptors", "roc"],
     "operators.hypothesis": ["adf", "bootstrap", "cohens_d", "kruskal", "ljung_box", "mann_whitney", "nis", "report"],

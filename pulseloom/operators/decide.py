@@ -8,63 +8,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import dsp, recurrences
-from pulseloom.operators.features import EPS, NAMES, _counts, scored, sliding
-
-VERDICT = "pd_present boolean, confidence double, n_events long, far_estimate double, dominant_descriptor string"
-
-
-def _array_descriptors(x: np.ndarray, size: int, overlap: int) -> dict[str, np.ndarray]:
-    w = np.lib.stride_tricks.sliding_window_view(x, size)[:: size - overlap]
-    a, mean = np.abs(w), w.mean(1, keepdims=True)
-    d = w - mean
-    var = (d**2).mean(1)
-    div = lambda p, q: np.where(q > EPS, p / np.where(q > EPS, q, 1), 0.0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        kurtosis, skew = (d**4).mean(1) / var**2, (d**3).mean(1) / var**1.5
-    rms, energy = np.sqrt((w**2).mean(1)), (w**2).sum(1)
-    p = w**2 / (energy[:, None] + EPS)
-    return dict(zip(NAMES, [
-        var, kurtosis, skew, rms, div(rms, a.mean(1)), div(a.max(1), rms), div(a.max(1), a.mean(1)), div(a.max(1), np.sqrt(a).mean(1) ** 2),
-        -(p * np.log2(p + EPS)).sum(1), energy, (np.diff(np.sign(w), axis=1) != 0).sum(1) / (size - 1), np.subtract(*np.percentile(w, [75, 25], axis=1)),
-    ]))
-
-
-def window_verdict(x: np.ndarray, fs: float, k: float = 3.0, threshold: float = 5.0, drift: float = 0.5, n_max: int = 20) -> tuple:
-    """(present, confidence, events, false-alarm share, dominant descriptor) of one window."""
-    y = dsp.denoise(np.asarray(x, float), "db4", "soft", "universal")
-    pulses = dsp.detect(y, fs, k)
-    if len(pulses) < 2:
-        return False, 0.0, 0, 0.0, "none"
-    if len(pulses) < 3:
-        return False, 0.0, len(pulses), 0.0, "none"
-    alarms = recurrences.cusum(np.diff(pulses) / fs, threshold, drift)[2]
-    half = len(alarms) // 2
-    far = float(alarms[:half].sum()) / max(half, 1)
-    dominant, best = "none", -np.inf
-    if len(x) >= 64:
-        for name, v in _array_descriptors(y, min(256, len(x) // 2), min(128, len(x) // 4)).items():
-            v = v[~np.isnan(v)]
-            s = v.std() if len(v) else 0.0
-            value = float((((v - v.mean()) / s) ** 4).mean()) if s > 0 else np.nan
-            if value > best:
-                best, dominant = value, name
-    confidence = float(np.clip(min(len(pulses) / n_max, 1.0) * (1 - far), 0, 1))
-    return bool(alarms.any() or len(pulses) >= 3), round(confidence, 4), len(pulses), round(far, 4), dominant
+from pulseloom.operators.detect import denoise, threshold_peaks, to_long
+from pulseloom.operators.features import NAMES, descriptors, scored, sliding
+from pulseloom.operators.track import cusum
+
+def _dominant(clean: DataFrame, size: int) -> DataFrame:
+    """The descriptor whose values over sub-windows have the largest kurtosis, to 9 decimals; the first of NAMES on ties."""
+    table = descriptors(clean, min(256, size // 2), min(128, size // 4))
+    peaked = [F.round(F.kurtosis(F.when(~F.isnan(n), F.col(n))) + 3, 9).alias(n) for n in NAMES]
+    values = table.groupBy("series_id").agg(*peaked)
+    ranked = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("value"), F.lit(-i).alias("place"), F.lit(n).alias("name"))) for i, n in enumerate(NAMES)]))
+    return values.select("series_id", F.array_max(ranked)["name"].alias("_name"))
+
+
+def segment_verdicts(segments: DataFrame, fs: float, size: int, k: float = 3.0, threshold: float = 5.0, drift: float = 0.5, n_max: int = 20) -> DataFrame:
+    """A verdict for each segment of ``size`` samples (64 at least, shorter segments have none): series_id, pd_present, confidence, n_events, far_estimate, dominant_descriptor.
+
+    The denoised samples are dealt by segment once; peaks, CUSUM on the
+    intervals and descriptors read them from there. A segment with fewer than
+    three pulses is absent, and one pulse alone counts as none. far_estimate is
+    the share of alarms in the first half of the intervals.
+    """
+    clean = to_long(denoise(segments.select("series_id", "samples"), "db4", "soft", "universal"))
+    order = Window.partitionBy("series_id").orderBy("idx")
+    pulses = threshold_peaks(clean, k).withColumn("k", F.row_number().over(order) - 2)
+    intervals = pulses.withColumn("delta_t_s", (F.col("idx") - F.lag("idx").over(order)) / fs).filter("k >= 0")
+    tracked = cusum(intervals, threshold=threshold, drift=drift).withColumn("_half", F.floor(F.count("*").over(Window.partitionBy("series_id")) / 2))
+    found = tracked.groupBy("series_id").agg(
+        (F.count("*") + 1).alias("n_events"),
+        (F.count_if(F.col("alarm") & (F.col("k") < F.col("_half"))) / F.greatest(F.first("_half"), F.lit(1))).alias("_far"),
+    )
+    rows = _dominant(clean, size).join(found, "series_id", "left")
+    present = F.coalesce(F.col("n_events") >= 3, F.lit(False))
+    confidence = F.least(F.col("n_events") / n_max, F.lit(1.0)) * (1 - F.col("_far"))
+    return rows.select(
+        "series_id", present.alias("pd_present"), F.when(present, F.bround(confidence, 4)).otherwise(0.0).alias("confidence"), F.coalesce("n_events", F.lit(0)).alias("n_events"),
+        F.when(present, F.bround("_far", 4)).otherwise(0.0).alias("far_estimate"), F.when(present, F.coalesce("_name", F.lit("none"))).otherwise("none").alias("dominant_descriptor"),
+    )
 
 
 def campaign_verdicts(samples: DataFrame, fs: float, window_s: float, overlap_s: float = 0.0, **options) -> DataFrame:
     """A verdict for each full time window: series_id, win_id, t_start, t_end and the verdict's columns."""
     size = max(int(window_s * fs), 64)
     step = max(int((window_s - overlap_s) * fs), 1)
-    rows = sliding(samples, size, size - step)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("pos")["x"].to_numpy()
-        k = int(pdf["win_id"].iloc[0])
-        row = (pdf["series_id"].iloc[0], k, k * step / fs, (k * step + size) / fs, *window_verdict(x, fs, **options))
-        return pd.DataFrame([row], columns=["series_id", "win_id", "t_start", "t_end", "pd_present", "confidence", "n_events", "far_estimate", "dominant_descriptor"])
-
-    return rows.groupBy("series_id", "win_id").applyInPandas(run, f"series_id long, win_id long, t_start double, t_end double, {VERDICT}")
+    rows = sliding(samples, size, size - step).groupBy(F.struct("series_id", "win_id").alias("series_id"))
+    segments = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("samples"))
+    verdicts = segment_verdicts(segments, fs, size, **options)
+    begin = F.col("series_id.win_id") * step
+    return verdicts.select("series_id.series_id", "series_id.win_id", (begin / fs).alias("t_start"), ((begin + size) / fs).alias("t_end"), *verdicts.columns[1:])
 
 
 def campaign_summary(verdicts: DataFrame) -> DataFrame:
@@ -155,4 +146,4 @@ def compare_baselines(samples: DataFrame, size: int = 1024, change: float = 0.5,
     return scored(counts).select("series_id", "method", "precision", "recall", "f1_score", "fpr", F.coalesce("latency", "pos").alias("latency_samples"))
 
 
-__all__ = ["campaign_summary", "campaign_verdicts", "compare_baselines", "energy_alarms", "envelope_alarms", "window_verdict", "zcr_alarms", "_counts"]
+__all__ = ["campaign_summary", "campaign_verdicts", "compare_baselines", "energy_alarms", "envelope_alarms", "segment_verdicts", "zcr_alarms"]
