@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulseloom.functions import dsp, recurrences, special
 from pulseloom.operators import campaign, conditioning, decide, detect, features, hypothesis, intervals, rolling, studies, track
 from pulseloom.plans import catalog
+from tests.test_decide import table
 
 
 def series(spark, values, name="x", key="idx", sid=1):
@@ -102,7 +103,7 @@ def test_first_arrivals_keep_a_gap_of_exactly_the_distance_out(spark):
 def test_descriptors_match_numpy(spark):
     x = np.random.default_rng(3).normal(size=300)
     got = features.descriptors(series(spark, x.tolist()), 64, 16).orderBy("win_id").toPandas()
-    expected = decide._array_descriptors(x, 64, 16)
+    expected = table(x, 64, 16)
     for n in features.NAMES:
         assert np.allclose(got[n], expected[n], atol=1e-9), n
     with pytest.raises(ValueError):
