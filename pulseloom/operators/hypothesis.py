@@ -181,18 +181,83 @@ def adf(values: DataFrame, value: str, order: str = "k", alpha: float = 0.05) ->
     return sums.mapInArrow(solve, "series_id long, lags int, statistic double, p_value double, stationary boolean")
 
 
-def bootstrap(values: DataFrame, value: str, statistic=np.median, resamples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of a statistic of each series, by seeded resampling in blocks of bounded memory."""
+def iqr(x: np.ndarray) -> float:
+    return float(np.subtract(*np.percentile(x, [75, 25])))
+
+
+def mean_rate(x: np.ndarray) -> float:
+    return float(np.mean(1 / x))
+
+
+#: Statistics that are weighted sums of quantiles (share: weight), and those that are means of a function of each value.
+_BY_RANK = {np.median: {0.5: 1.0}, iqr: {0.25: -1.0, 0.75: 1.0}}
+_MEANS = {np.mean: np.asarray, mean_rate: np.reciprocal}
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        r = np.random.default_rng([seed, int(pdf["series_id"].iloc[0]) & 0x7FFFFFFF])
-        step = max(1, 2_000_000 // max(1, len(x)))
-        found = np.concatenate([np.apply_along_axis(statistic, 1, x[r.integers(0, len(x), (min(step, resamples - at), len(x)))]) for at in range(0, resamples, step)])
-        low, high = np.percentile(found, [50 * (1 - level), 100 - 50 * (1 - level)])
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "estimate": [float(statistic(x))], "ci_low": [low], "ci_high": [high]})
+def resampled_quantiles(x: np.ndarray, shares: list[float], resamples: int, r: np.random.Generator) -> np.ndarray:
+    """Quantiles (by linear interpolation) of resamples with replacement of the sorted x; a row each.
 
-    return values.select("series_id", value).groupBy("series_id").applyInPandas(run, "series_id long, estimate double, ci_low double, ci_high double")
+    The places that a resample draws are floor(n U) of n uniform numbers, so that its ordered values lie
+    at the ordered numbers, which are sums of exponential gaps over the sum of all of them. Those of the
+    ranks that the quantiles need are drawn together, by sums of gaps: work doesn't grow with n.
+    """
+    n = len(x)
+    at = np.asarray(shares) * (n - 1)
+    low = np.floor(at).astype(int)
+    ranks = np.unique(np.concatenate([low, np.minimum(low + 1, n - 1)]))
+    gaps = np.diff(np.concatenate([[-1], ranks, [n]]))
+    sums = np.cumsum(r.standard_gamma(gaps, (resamples, len(gaps))), axis=1)
+    drawn = x[np.minimum((n * (sums[:, :-1] / sums[:, -1:])).astype(int), n - 1)]
+    a, b = drawn[:, np.searchsorted(ranks, low)], drawn[:, np.searchsorted(ranks, np.minimum(low + 1, n - 1))]
+    with np.errstate(invalid="ignore"):
+        return np.where((a == b) | (at == low), a, a + (b - a) * (at - low))
+
+
+#: Values that are drawn at once.
+_DRAWN = 1 << 18
+
+
+def _resampled(x: np.ndarray, statistic, resamples: int, r: np.random.Generator) -> np.ndarray:
+    """The statistic of each resample of the sorted x."""
+    n = len(x)
+    if statistic in _BY_RANK:
+        weights = _BY_RANK[statistic]
+        return resampled_quantiles(x, list(weights), resamples, r) @ np.array(list(weights.values()))
+    y = _MEANS[statistic](x) if statistic in _MEANS else x
+    step, kind = max(1, _DRAWN // n), np.uint16 if n <= 1 << 16 else np.int64
+    found = []
+    for at in range(0, resamples, step):
+        drawn = y[r.integers(0, n, (min(step, resamples - at), n), kind)]
+        found.append(drawn.mean(axis=1) if statistic in _MEANS else np.apply_along_axis(statistic, 1, drawn))
+    return np.concatenate(found)
+
+
+def _intervals(values: DataFrame, value: str, statistics: dict, resamples: int, level: float, seeds: list[int]) -> DataFrame:
+    """series_id, and estimate, ci_low and ci_high of each statistic with its name before them; a series goes to Python once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sid = table["series_id"][0].as_py()
+        x = np.sort(table[value].cast(pa.float64()).to_numpy())
+        row = {"series_id": sid}
+        for (name, statistic), seed in zip(statistics.items(), seeds):
+            r = np.random.default_rng([seed, sid & 0x7FFFFFFF])
+            # A value that is no number (they are sorted to the end) leaves no interval.
+            found = [np.nan] if np.isnan(x[-1]) else _resampled(x, statistic, resamples, r)
+            low, high = np.percentile(found, [50 * (1 - level), 100 - 50 * (1 - level)])
+            row |= {f"{name}estimate": float(statistic(x)), f"{name}ci_low": float(low), f"{name}ci_high": float(high)}
+        return pa.Table.from_pylist([row])
+
+    columns = ", ".join(f"{n}{c} double" for n in statistics for c in ("estimate", "ci_low", "ci_high"))
+    return values.select("series_id", value).groupBy("series_id").applyInArrow(run, f"series_id long, {columns}")
+
+
+def bootstrap(values: DataFrame, value: str, statistic=np.median, resamples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Percentile interval of a statistic of each series, by seeded resampling in blocks of bounded memory.
+
+    Medians and quartile ranges (``iqr``) of resamples come from their ranks, means and mean rates from
+    sums; any other statistic is called for each resample.
+    """
+    return _intervals(values, value, {"": statistic}, resamples, level, [seed])
 
 
 def report(tracked: DataFrame, max_dt: float = 1.0, segments: str = "segment", resamples: int = 10_000, seed: int = 42) -> DataFrame:
@@ -201,11 +266,10 @@ def report(tracked: DataFrame, max_dt: float = 1.0, segments: str = "segment", r
     logs = kept.withColumn("log10_dt", F.log10("delta_t_s"))
     many = kept.withColumn("_n", F.count("*").over(Window.partitionBy("series_id"))).filter("_n >= 10")
     pre = lambda df, p: df.select("series_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "series_id"])
-    iqr = lambda x: float(np.subtract(*np.percentile(x, [75, 25])))
     parts = [
         pre(nis(tracked), "nis"), pre(ljung_box(tracked, "kalman_innovation"), "lb"), pre(adf(logs, "log10_dt"), "adf"),
         pre(kruskal(kept, "delta_t_s", segments, "series_id"), "kw"), pre(bootstrap(many, "delta_t_s", np.median, resamples, seed=seed), "median"),
-        pre(bootstrap(many, "delta_t_s", iqr, resamples, seed=seed + 1), "iqr"), pre(bootstrap(many, "delta_t_s", lambda x: float(np.mean(1 / x)), resamples, seed=seed + 2), "rate"),
+        pre(bootstrap(many, "delta_t_s", iqr, resamples, seed=seed + 1), "iqr"), pre(bootstrap(many, "delta_t_s", mean_rate, resamples, seed=seed + 2), "rate"),
     ]
     out = tracked.select("series_id").distinct()
     for p in parts:

@@ -1,5 +1,7 @@
 """Poisson bootstrap against the plain one and against drawing for every row."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -52,3 +54,16 @@ def test_reruns_agree_and_odd_rows_are_left_out(spark):
     assert first == resample.poisson_bootstrap(df.repartition(3), "v", resamples=200).collect()
     assert [(x["series_id"], x["n"], x["estimate"]) for x in first] == [(1, 3, 2.0)]
     assert resample.poisson_bootstrap(df.limit(0), "v").count() == 0
+
+
+def test_ranks_of_resamples_are_those_of_drawn_rows():
+    """Medians, quartiles and means of resamples, against a draw for each row; odd and even counts, ties, one row."""
+    for n in (1, 2, 3, 10, 67):
+        x = np.sort(np.random.default_rng(n).exponential(3, n).round(1))
+        drawn = x[np.random.default_rng(1).integers(0, n, (40_000, n))]
+        expected = {np.median: np.median(drawn, axis=1), hypothesis.iqr: np.subtract(*np.percentile(drawn, [75, 25], axis=1)), np.mean: drawn.mean(axis=1)}
+        for statistic, other in expected.items():
+            found = hypothesis._resampled(x, statistic, 40_000, np.random.default_rng(2))
+            values = np.union1d(found.round(9), other.round(9))
+            share = lambda y: np.searchsorted(np.sort(y.round(9)), values, "right") / len(y)
+            assert np.abs(share(found) - share(other)).max() < 0.015, (n, statistic)
