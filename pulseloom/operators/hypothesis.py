@@ -268,8 +268,8 @@ def report(tracked: DataFrame, max_dt: float = 1.0, segments: str = "segment", r
     pre = lambda df, p: df.select("series_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "series_id"])
     parts = [
         pre(nis(tracked), "nis"), pre(ljung_box(tracked, "kalman_innovation"), "lb"), pre(adf(logs, "log10_dt"), "adf"),
-        pre(kruskal(kept, "delta_t_s", segments, "series_id"), "kw"), pre(bootstrap(many, "delta_t_s", np.median, resamples, seed=seed), "median"),
-        pre(bootstrap(many, "delta_t_s", iqr, resamples, seed=seed + 1), "iqr"), pre(bootstrap(many, "delta_t_s", mean_rate, resamples, seed=seed + 2), "rate"),
+        pre(kruskal(kept, "delta_t_s", segments, "series_id"), "kw"),
+        _intervals(many, "delta_t_s", {"median_": np.median, "iqr_": iqr, "rate_": mean_rate}, resamples, 0.95, [seed, seed + 1, seed + 2]),
     ]
     out = tracked.select("series_id").distinct()
     for p in parts:

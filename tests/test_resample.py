@@ -67,3 +67,12 @@ def test_ranks_of_resamples_are_those_of_drawn_rows():
             values = np.union1d(found.round(9), other.round(9))
             share = lambda y: np.searchsorted(np.sort(y.round(9)), values, "right") / len(y)
             assert np.abs(share(found) - share(other)).max() < 0.015, (n, statistic)
+
+
+def test_a_report_draws_in_time(spark):
+    """The whole resamples of 300 series of 60 rows, medians, quartile ranges and mean rates; a call for each resample took minutes."""
+    r = np.random.default_rng(3)
+    df = frame(spark, {s: r.exponential(3, 60) for s in range(300)})
+    begin = time.monotonic()
+    rows = hypothesis._intervals(df, "v", {"m_": np.median, "i_": hypothesis.iqr, "r_": hypothesis.mean_rate}, 10_000, 0.95, [1, 2, 3]).collect()
+    assert len(rows) == 300 and all(x[f"{p}_ci_low"] < x[f"{p}_estimate"] < x[f"{p}_ci_high"] for x in rows for p in "mi") and time.monotonic() - begin < 60
