@@ -144,9 +144,11 @@ def slice_metrics(samples: DataFrame, groups: DataFrame, fs: float, least: int =
 def sensitivity_grid(pulses: DataFrame, ks: list[float], cuts: list[float], scale: str = "peak_v") -> DataFrame:
     """Total, valid and outlier intervals for each threshold (mean + k sigma of the peaks) and cut-off."""
     spark = pulses.sparkSession
-    limits = pulses.groupBy("series_id").agg(F.avg(scale).alias("_m"), F.stddev_pop(scale).alias("_s"))
+    # Summed in the order of k, so that how rows are dealt to tasks doesn't decide on a peak that is equal to the mean.
+    whole = Window.partitionBy("series_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    limited = pulses.withColumns({"_m": F.avg(scale).over(whole), "_s": F.stddev_pop(scale).over(whole)})
     grid = F.broadcast(spark.createDataFrame([(float(k),) for k in ks], "k_sigma double"))
-    kept = pulses.join(limits, "series_id").join(grid).filter(F.col(scale) >= F.col("_m") + F.col("k_sigma") * F.col("_s"))
+    kept = limited.join(grid).filter(F.col(scale) >= F.col("_m") + F.col("k_sigma") * F.col("_s"))
     w = Window.partitionBy("series_id", "k_sigma").orderBy("k")
     gaps = kept.withColumn("dt", F.col("toa_s") - F.lag("toa_s").over(w)).filter("dt IS NOT NULL")
     each = F.broadcast(spark.createDataFrame([(float(c),) for c in cuts], "max_valid_dt_s double"))

@@ -313,3 +313,21 @@ def test_simple_stream_trackers_match_the_batch(spark, tmp_path):
     assert len(z) == 60 and np.allclose([x["sma"] for x in rows], [z[max(0, i - 9) : i + 1].mean() for i in range(60)])
     assert np.allclose([x["lms_prediction"] for x in rows], recurrences.lms_predict(z)["lms_prediction"], atol=1e-6)
     assert np.allclose([x["rls_prediction"] for x in rows], recurrences.rls_predict(z)["rls_prediction"], atol=1e-4)
+
+
+def test_sensitivity_grid_sums_in_the_order_of_pulses(spark):
+    """The middle peak equals the mean; partial sums in another order are below it, the sum in the order of k is not."""
+    r = np.random.default_rng(1)
+    for _ in range(10_000):
+        x = r.integers(0, 20_000, 40) / 100
+        x[-1] = round(x[:-1].sum() / 39, 2)
+        n, cents = 40, np.rint(x * 100).astype(int)
+        x[0] += (n * cents[-1] - cents.sum()) / 100
+        x = np.round(x, 2)
+        ordered = lambda v: np.cumsum(v)[-1] / n
+        if ordered(x) > x[-1] and ordered(x[::-1]) <= x[-1]:
+            break
+    rows = [(1, k, float(k), float(v)) for k, v in enumerate(x)]
+    shuffled = spark.createDataFrame(rows[::-1], "series_id long, k long, toa_s double, peak_v double").coalesce(1)
+    got = campaign.sensitivity_grid(shuffled, [0.0], [1e9]).first()
+    assert got["total_events"] == int((x >= ordered(x)).sum()) - 1 < int((x >= ordered(x[::-1])).sum()) - 1
