@@ -79,23 +79,34 @@ def energy_alarms(samples: DataFrame, size: int = 1024, change: float = 0.5, k:
 
 
 def zcr_alarms(samples: DataFrame, size: int = 1024, change: float = 0.5, k: float = 3.0) -> DataFrame:
-    """The same for sign changes per sample, on either side."""
-    return _window_alarms(samples, F.sum("_turn") / size, size, change, k, two_sided=True)
+    """The same for sign changes per sample, on either side.
+
+    Changes are counts, so that a window exactly at the limit is common; sums of counts decide it alike in any order.
+    """
+    return _window_alarms(samples, F.sum("_turn"), size, change, k, two_sided=True, counts=True)
 
 
-def _window_alarms(samples: DataFrame, measure, size: int, change: float, k: float, two_sided: bool) -> DataFrame:
+def _window_alarms(samples: DataFrame, measure, size: int, change: float, k: float, two_sided: bool, counts: bool = False) -> DataFrame:
     n = samples.groupBy("series_id").agg((F.max("idx") + 1).alias("_n")).withColumn("cut", F.floor(F.col("_n") * change))
     w = Window.partitionBy("series_id", "win_id").orderBy("pos")
     rows = sliding(samples, size, size - size // 2)
     rows = rows.withColumn("_turn", F.coalesce((F.signum("x") != F.lag(F.signum("x")).over(w)).cast("int"), F.lit(0)))
-    v = rows.groupBy("series_id", "win_id").agg(measure.alias("value")).join(n, "series_id")
+    v = rows.groupBy("series_id", "win_id").agg(measure.cast("double").alias("value")).join(n, "series_id")
     begin = F.col("win_id") * (size // 2)
     v = v.withColumns({"at": begin + size // 2, "_early": F.when(begin + size <= F.col("cut"), F.col("value"))})
     all_ = Window.partitionBy("series_id")
-    away = F.col("value") - F.avg("_early").over(all_)
-    limit = k * F.stddev_pop("_early").over(all_)
-    alarm = F.coalesce((F.abs(away) if two_sided else away) > limit, F.lit(False))
-    return v.withColumn("alarm", alarm).select("series_id", "win_id", "at", "value", "alarm", (F.col("at") >= F.col("cut")).alias("after"), "cut", "_n")
+    if counts:
+        # |value - mean| > k sigma, times the number of early windows: whole numbers, squared.
+        m, total = F.count("_early").over(all_), F.sum("_early").over(all_)
+        away = m * F.col("value") - total
+        beyond = away * away > k * k * (m * F.sum(F.col("_early") * F.col("_early")).over(all_) - total * total)
+        alarm = F.coalesce(beyond if two_sided else beyond & (away > 0), F.lit(False))
+        value = F.col("value") / size
+    else:
+        away = F.col("value") - F.avg("_early").over(all_)
+        alarm = F.coalesce((F.abs(away) if two_sided else away) > k * F.stddev_pop("_early").over(all_), F.lit(False))
+        value = F.col("value")
+    return v.withColumns({"alarm": alarm, "value": value}).select("series_id", "win_id", "at", "value", "alarm", (F.col("at") >= F.col("cut")).alias("after"), "cut", "_n")
 
 
 def envelope_alarms(samples: DataFrame, change: float = 0.5, quantile: float = 0.995) -> DataFrame:
