@@ -1,6 +1,7 @@
 """Operators against loops written from the definitions, and on edge cases."""
 
 import inspect
+import time
 
 import numpy as np
 import pandas as pd
@@ -331,3 +332,15 @@ def test_sensitivity_grid_sums_in_the_order_of_pulses(spark):
     shuffled = spark.createDataFrame(rows[::-1], "series_id long, k long, toa_s double, peak_v double").coalesce(1)
     got = campaign.sensitivity_grid(shuffled, [0.0], [1e9]).first()
     assert got["total_events"] == int((x >= ordered(x)).sum()) - 1 < int((x >= ordered(x[::-1])).sum()) - 1
+
+
+def test_weibull_fits_side_by_side_are_those_of_one():
+    """Also of constant, empty, tiny, spread and nearly constant samples; 20,000 of 20 rows within seconds, where one at a time took a minute."""
+    r = np.random.default_rng(4)
+    samples = [r.weibull(b, n) * 3 for b in (0.3, 1.0, 2.5, 40.0) for n in (2, 5, 20)] + [np.array([]), np.array([2.0]), np.full(9, 4.0), np.array([1e-9, 5.0, 1e9]), 1 + r.random(20) * 1e-7, np.array([0.0, 1.0])]
+    beta, eta = special.weibull_fits(np.concatenate(samples), np.array(list(map(len, samples))))
+    for i, x in enumerate(samples):
+        assert np.allclose((beta[i], eta[i]), special.weibull_fit(x), rtol=1e-7, atol=0, equal_nan=True), i
+    begin = time.monotonic()
+    beta, eta = special.weibull_fits(r.weibull(1.5, 400_000), np.full(20_000, 20))
+    assert np.isfinite(beta).all() and time.monotonic() - begin < 5
