@@ -10,6 +10,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task gets when a large table is dealt by key.
+ROWS = 250_000
+
+
+def parts(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """In how many parts a table is dealt by key: the session's, or more, so that a task's rows don't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read(spark, sf_dir, name).count() // ROWS))
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows by key in n parts, where these are more than the session's; else as they are, for Spark to deal."""
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as pulses: series_id (user), k (from 0), event_id, channel, toa_s, peak_v."""
     w = Window.partitionBy("series_id").orderBy("toa_s", "event_id")
@@ -17,14 +31,14 @@ def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(
         F.col("user_id").alias("series_id"), "event_id", F.col("event_type").alias("channel"), seconds.alias("toa_s"), F.col("value").alias("peak_v")
     )
-    return e.withColumn("k", (F.row_number().over(w) - 1).cast("long"))
+    return dealt(e, parts(spark, sf_dir, "events"), "series_id").withColumn("k", (F.row_number().over(w) - 1).cast("long"))
 
 
 def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as one sampled waveform for each supplier: series_id, idx (from 0), x."""
     w = Window.partitionBy("series_id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     x = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("series_id"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("x"))
-    return x.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), "x")
+    return dealt(x, parts(spark, sf_dir, "lineitem"), "series_id").select("series_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), "x")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
