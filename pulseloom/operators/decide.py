@@ -24,7 +24,7 @@ def _dominant(clean: DataFrame, size: int) -> DataFrame:
     return values.select("series_id", F.array_max(ranked)["name"].alias("_name"))
 
 
-def segment_verdicts(segments: DataFrame, fs: float, size: int, k: float = 3.0, threshold: float = 5.0, drift: float = 0.5, n_max: int = 20) -> DataFrame:
+def segment_verdicts(segments: DataFrame, fs: float, size: int, k: float = 3.0, threshold: float = 5.0, drift: float = 0.5, n_max: int = 20, partitions: int | None = None) -> DataFrame:
     """A verdict for each segment of ``size`` samples (64 at least, shorter segments have none): series_id, pd_present, confidence, n_events, far_estimate, dominant_descriptor.
 
     The denoised samples are dealt by segment once; peaks, CUSUM on the
@@ -33,6 +33,8 @@ def segment_verdicts(segments: DataFrame, fs: float, size: int, k: float = 3.0,
     the share of alarms in the first half of the intervals.
     """
     clean = to_long(denoise(segments.select("series_id", "samples"), "db4", "soft", "universal"))
+    if partitions:
+        clean = clean.repartition(partitions, "series_id")
     order = Window.partitionBy("series_id").orderBy("idx")
     pulses = threshold_peaks(clean, k).withColumn("k", F.row_number().over(order) - 2)
     intervals = pulses.withColumn("delta_t_s", (F.col("idx") - F.lag("idx").over(order)) / fs).filter("k >= 0")
@@ -50,13 +52,17 @@ def segment_verdicts(segments: DataFrame, fs: float, size: int, k: float = 3.0,
     )
 
 
-def campaign_verdicts(samples: DataFrame, fs: float, window_s: float, overlap_s: float = 0.0, **options) -> DataFrame:
-    """A verdict for each full time window: series_id, win_id, t_start, t_end and the verdict's columns."""
+def campaign_verdicts(samples: DataFrame, fs: float, window_s: float, overlap_s: float = 0.0, partitions: int | None = None, **options) -> DataFrame:
+    """A verdict for each full time window: series_id, win_id, t_start, t_end and the verdict's columns.
+
+    Windows are dealt in that many partitions; the session's without.
+    """
     size = max(int(window_s * fs), 64)
     step = max(int((window_s - overlap_s) * fs), 1)
-    rows = sliding(samples, size, size - step).groupBy(F.struct("series_id", "win_id").alias("series_id"))
+    rows = sliding(samples, size, size - step).groupBy("series_id", "win_id")
     segments = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("samples"))
-    verdicts = segment_verdicts(segments, fs, size, **options)
+    segments = segments.select(F.struct("series_id", "win_id").alias("series_id"), "samples")
+    verdicts = segment_verdicts(segments, fs, size, partitions=partitions, **options)
     begin = F.col("series_id.win_id") * step
     return verdicts.select("series_id.series_id", "series_id.win_id", (begin / fs).alias("t_start"), ((begin + size) / fs).alias("t_end"), *verdicts.columns[1:])
 

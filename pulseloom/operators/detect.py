@@ -85,12 +85,14 @@ def pulse_shapes(segments: DataFrame, fs: float, k: float = 3.0, back_ns: float
     return segments.select("series_id", "samples").mapInPandas(run, "series_id long, toa_idx long, v_peak double, t_r_ns double, t_f_ns double, fwhm_ns double")
 
 
-def pulse_windows(samples: DataFrame, pulses: DataFrame, back: int, forward: int) -> DataFrame:
-    """Samples within [idx - back, idx + forward) of each pulse, by an equi-join on buckets of the window's length."""
+def pulse_windows(samples: DataFrame, pulses: DataFrame, back: int, forward: int, partitions: int | None = None) -> DataFrame:
+    """Samples within [idx - back, idx + forward) of each pulse, by an equi-join on buckets of the window's length, in that many partitions (the session's without)."""
     size = back + forward
     p = pulses.select("series_id", F.col("idx").alias("pulse_idx"))
     p = p.withColumn("_b", F.explode(F.sequence(F.floor((F.col("pulse_idx") - back) / size), F.floor((F.col("pulse_idx") + forward - 1) / size))))
     s = samples.withColumn("_b", F.floor(F.col("idx") / size))
+    if partitions:
+        s, p = s.repartition(partitions, "series_id", "_b"), p.repartition(partitions, "series_id", "_b")
     return s.join(p, ["series_id", "_b"]).filter((F.col("idx") >= F.col("pulse_idx") - back) & (F.col("idx") < F.col("pulse_idx") + forward)).drop("_b")
 
 

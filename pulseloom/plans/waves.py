@@ -9,7 +9,7 @@ from pulseloom.operators import campaign, conditioning, decide, detect, features
 from pulseloom.operators.campaign import curve_name
 from pulseloom.plans.catalog import register
 from pulseloom.plans.common import r, rounded
-from pulseloom.sources.tables import WAVEFORMS_SQL, read, waveforms
+from pulseloom.sources.tables import WAVEFORMS_SQL, parts, read, waveforms
 
 _W = f"WITH {WAVEFORMS_SQL}"
 _ALL = "OVER (PARTITION BY series_id)"
@@ -120,7 +120,7 @@ def threshold_peaks(spark, d):
     f"{_PEAKS} SELECT p.series_id, p.idx AS pulse_idx, count(*) AS n, {r('max(x)', 'top')} FROM peaks p JOIN waves w ON w.series_id = p.series_id AND w.idx >= p.idx - 3 AND w.idx < p.idx + 8 GROUP BY ALL",
 )
 def pulse_windows(spark, d):
-    found = detect.pulse_windows(waveforms(spark, d), _peaks(spark, d), 3, 8)
+    found = detect.pulse_windows(waveforms(spark, d), _peaks(spark, d), 3, 8, parts(spark, d, "lineitem"))
     return rounded(found.groupBy("series_id", "pulse_idx").agg(F.count("*").alias("n"), F.max("x").alias("top")))
 
 
@@ -310,9 +310,9 @@ def compare_baselines(spark, d):
 
 @register("campaign_verdicts")
 def campaign_verdicts(spark, d):
-    return decide.campaign_verdicts(_centred(spark, d), FS, 128e-6, k=1.5)
+    return decide.campaign_verdicts(_centred(spark, d), FS, 128e-6, partitions=parts(spark, d, "lineitem"), k=1.5)
 
 
 @register("campaign_summary")
 def campaign_summary(spark, d):
-    return decide.campaign_summary(decide.campaign_verdicts(_centred(spark, d), FS, 128e-6, k=1.5))
+    return decide.campaign_summary(campaign_verdicts(spark, d))
