@@ -39,18 +39,21 @@ def first_arrivals(detections: DataFrame, min_distance: float, at: str = "idx")
     return detections.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") > min_distance)).drop("_gap")
 
 
-def stitch(pulses: DataFrame, min_pulses: int = 2) -> DataFrame:
+def stitch(pulses: DataFrame, min_pulses: int = 2, partitions: int | None = None) -> DataFrame:
     """Intervals of a campaign of segments, with the dead time between consecutive segments.
 
     pulses: campaign, segment_id, trigger_epoch, t_s (within the segment).
     Segments with fewer pulses are dropped. Dead time is only known, and only
     kept, where the trigger is known and the time is positive. Only one row per
-    segment goes through the campaign's ordering.
+    segment goes through the campaign's ordering, in that many partitions (the
+    session's without).
     """
     per = Window.partitionBy("campaign", "segment_id")
     kept = pulses.withColumn("_n", F.count("*").over(per)).filter(F.col("_n") >= min_pulses)
     local = kept.withColumn("_no", F.row_number().over(per.orderBy("t_s")) - 1).withColumn("delta_t_s", F.col("t_s") - F.lag("t_s").over(per.orderBy("t_s")))
     ends = kept.groupBy("campaign", "segment_id", "trigger_epoch").agg(F.min("t_s").alias("first"), F.max("t_s").alias("last"))
+    if partitions:
+        ends = ends.repartition(partitions, "campaign")
     order = Window.partitionBy("campaign").orderBy("trigger_epoch", "segment_id")
     dead = (F.col("trigger_epoch") + F.col("first")) - (F.lag("trigger_epoch").over(order) + F.lag("last").over(order))
     dead = ends.withColumn("delta_t_s", dead).filter("trigger_epoch > 0 AND delta_t_s > 0")

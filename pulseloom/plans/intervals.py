@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulseloom.operators import campaign, intervals, rolling, track
 from pulseloom.plans.catalog import register
 from pulseloom.plans.common import r, rounded
-from pulseloom.sources.tables import INTERVALS_SQL, PULSES_SQL, pulses, read
+from pulseloom.sources.tables import INTERVALS_SQL, PULSES_SQL, dealt, parts, pulses, read
 
 #: The events are hours apart, so cut-off and gap are hours too.
 CUT, GAP, Q, R, P0 = 20_000.0, 60_000.0, 0.5, 2.0, 1.0
@@ -305,7 +305,9 @@ def dead_time(spark, d):
     epoch = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(o_orderdate AS TIMESTAMP_NTZ)) / 1e6D")
     orders = read(spark, d, "orders").select(F.col("o_custkey").alias("campaign"), F.col("o_orderkey").alias("segment_id"), epoch.alias("trigger_epoch"))
     lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("segment_id"), (F.col("l_linenumber") + F.col("l_quantity") / 100).alias("t_s"))
-    return rounded(intervals.stitch(orders.join(lines, "segment_id")).select("campaign", "segment_id", "part", "delta_t_s"))
+    n = parts(spark, d, "lineitem")
+    pulse = dealt(orders, n, "segment_id").join(dealt(lines, n, "segment_id"), "segment_id")
+    return rounded(intervals.stitch(pulse, partitions=n).select("campaign", "segment_id", "part", "delta_t_s"))
 
 
 _FREQ = 0.001

@@ -39,3 +39,20 @@ def test_matches_sql(spark, tables, name):
 def test_runs(spark, name):
     df = catalog.queries()[name](spark, SF)
     assert df.columns and df.count() >= 0
+
+
+@pytest.mark.parametrize("name", ["threshold_peaks", "pulse_windows", "dead_time", "phase_outliers", "descriptors12"])
+def test_larger_tables_are_dealt_in_more_parts(spark, tables, monkeypatch, name):
+    """A task's rows don't grow with the table, and results stay those of the SQL."""
+    from pulseloom.sources import tables as sources
+
+    monkeypatch.setattr(sources, "ROWS", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        least = -(-sources.read(spark, SF, "events" if name.startswith("phase") else "lineitem").count() // 100)
+        # The windows of pulses are counted at last, from partial counts.
+        if name != "pulse_windows":
+            assert catalog.queries()[name](spark, SF).rdd.getNumPartitions() >= min(least, 10) > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    test_matches_sql(spark, tables, name)
