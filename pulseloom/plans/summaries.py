@@ -10,7 +10,7 @@ from pulseloom.plans.catalog import register
 from pulseloom.plans.common import r, rounded
 from pulseloom.plans.intervals import _FREQ, _PHASE
 from pulseloom.plans.waves import _W
-from pulseloom.sources.tables import PULSES_SQL, pulses, read, waveforms
+from pulseloom.sources.tables import PULSES_SQL, parts, pulses, read, waveforms
 
 _SHARES = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
 
@@ -47,7 +47,7 @@ def _kernel_sql(step: str) -> str:
 def phase_kernel_density(spark, d):
     """Density of all phases and signed amplitudes of each series, as a share of the series' largest."""
     phases = intervals.fold_phase(pulses(spark, d), _FREQ).select("series_id", "k", "phase_deg", "signed_v")
-    out = density.kernel_density(phases, "phase_deg", "signed_v", keys=["series_id"])
+    out = density.kernel_density(phases, "phase_deg", "signed_v", keys=["series_id"], parts=parts(spark, d, "events"))
     share = F.col("density") / F.max("density").over(Window.partitionBy("series_id"))
     return rounded(out.select("series_id", "k", share.alias("relative_density")))
 

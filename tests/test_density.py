@@ -66,3 +66,20 @@ def test_rows_without_a_place_or_weight_change_nothing(spark):
     found = [{r["n"]: r["density"] for r in density.kernel_density(spark.createDataFrame(x, "n long, x double, y double, w double"), "x", "y", F.col("w")).collect()} for x in (rows, rows + odd)]
     assert all(abs(found[0][n] - found[1][n]) < 1e-12 for n, *_ in rows)
     assert all(found[1][n] is None for n in (100, 101, 102)) and all(found[1][n] >= 0 for n in (103, 104, 105))
+
+
+def test_a_row_moves_few_times(spark, monkeypatch):
+    """Sparse rows over many tiles: a tile's edge changes nothing, and cells do not multiply by the nodes of the kernel."""
+    p = samples(np.random.default_rng(8))
+    rows = pd.concat(pd.DataFrame({"s": k, "x": a[:, 0], "y": a[:, 1], "n": range(len(a))}) for k, a in p.items())
+    df = spark.createDataFrame(rows)
+    found = []
+    for tile in (8, 64, density.TILE):
+        monkeypatch.setattr(density, "TILE", tile)
+        found.append(density.kernel_density(df, "x", "y", keys=["s"]).toPandas().sort_values(["s", "n"]).density.to_numpy())
+    assert np.allclose(found[0], found[2], rtol=1e-9, atol=0) and np.allclose(found[1], found[2], rtol=1e-9, atol=0)
+    shape = spark.createDataFrame([(1, i, i * 7 % 300, 1.0, 0.0, 0.0, 0.0) for i in range(-100, 100)], "s long, i long, j long, w00 double, w01 double, w10 double, w11 double")
+    dealt = []
+    monkeypatch.setattr(type(shape), "repartition", lambda self, *a, f=type(shape).repartition: dealt.append(self) or f(self, *a))
+    assert density._read_off(shape, ["s"], density.STEPS, 3).count() == 200
+    assert len(dealt) == 1 and dealt[0].count() <= 2 * 200
