@@ -1,8 +1,10 @@
 """Poisson bootstrap of quantiles: each row counts a Poisson(1) number of times in each resample.
 
-Rows are independent, so that those of equal value, and all rows far below or
-above the quantile, count together by one Poisson number of their sum. Only the
-values near the quantile are drawn for on their own: those of ranks within
+A resample of n rows has a Poisson(n) number of rows, which are drawn from them
+uniformly. Its quantile is one of these by rank, and the place of a rank among
+so many uniform numbers is a beta number: two numbers are drawn for a resample,
+however many rows there are, and its value is that of the row in this place.
+Only the values near the quantile are told apart: those of ranks within
 SIGMAS deviations of the quantile's rank in a resample, some multiple of the
 root of a series' rows. They come from exact ranks (``quantiles``), and their
 counts are partial sums, so that a series of all rows spreads over all tasks.
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from pulseloom.operators import quantiles
 
-#: Deviations of the rank around which values are told apart; series up to SMALL rows are taken whole; draws that a task holds.
-SIGMAS, SMALL, DRAWS = 6.0, 2_000, 1 << 21
+#: Deviations of the rank around which values are told apart; series up to SMALL rows are taken whole; draws that a task holds; series of a task.
+SIGMAS, SMALL, DRAWS, SERIES = 6.0, 100_000, 1 << 17, 2_000
 
 
 def _clipped(values: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
@@ -40,6 +42,16 @@ def _clipped(values: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
     return near.select("series_id", v.alias("v")).groupBy("series_id", "v").agg(F.count("*").alias("m"))
 
 
+def _percentiles(v: np.ndarray, times: np.ndarray, shares: list[float]) -> np.ndarray:
+    """Percentiles, interpolated between neighbouring ranks, of ordered values that occur so many times; none of no values."""
+    upto = np.cumsum(times)
+    if not upto[-1]:
+        return np.array([])
+    spot = np.array(shares) * (upto[-1] - 1)
+    low, high = (v[np.searchsorted(upto, f(spot), "right")] for f in (np.floor, np.ceil))
+    return low + (high - low) * (spot - np.floor(spot))
+
+
 def poisson_bootstrap(values: DataFrame, value: str, share: float = 0.5, resamples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of a quantile of each series by seeded resampling: series_id (long), n, estimate, ci_low, ci_high.
 
@@ -52,24 +64,28 @@ def poisson_bootstrap(values: DataFrame, value: str, share: float = 0.5, resampl
     kept = values.select("series_id", v.alias("v")).filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & F.col("series_id").isNotNull())
     kept = quantiles.written(kept, "values")
     sizes = quantiles.written(kept.groupBy("series_id").agg(F.count("*").alias("n")), "sizes")
-    counts = quantiles.written(_clipped(kept, sizes, share), "counts")
-    per = F.greatest(F.lit(1), F.least(F.lit(resamples), F.floor(F.lit(DRAWS) / F.count("*")))).cast("long")
-    blocks = counts.groupBy("series_id").agg(per.alias("_per")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.lit(resamples) - 1) / F.col("_per")))))
+    n_series = sizes.count()
+    parts = max(-(-n_series // SERIES), int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = _clipped(kept, sizes, share).repartition(parts, "series_id")
 
     def draw(table: pa.Table) -> pa.Table:
-        sid, block, per_ = (table[c][0].as_py() for c in ("series_id", "_block", "_per"))
+        sid = table["series_id"][0].as_py()
         order = np.argsort(table["v"].to_numpy(), kind="stable")
-        v, m = table["v"].to_numpy()[order], table["m"].to_numpy()[order]
-        r = np.random.default_rng([seed, sid & 0xFFFFFFFFFFFFFFFF, block])
-        upto = np.cumsum(r.poisson(m, (min(per_, resamples - block * per_), len(m))), axis=1)
-        some = upto[upto[:, -1] > 0]
-        at = (some < np.maximum(1, np.ceil(share * some[:, -1:]))).sum(axis=1)
+        v, upto = table["v"].to_numpy()[order], np.cumsum(table["m"].to_numpy()[order])
+        r = np.random.default_rng([seed, sid & 0xFFFFFFFFFFFFFFFF])
+        times, n = np.zeros(len(v), np.int64), upto[-1]
+        for at in range(0, resamples, DRAWS):
+            rows = r.poisson(n, min(DRAWS, resamples - at))
+            rows = rows[rows > 0]
+            rank = np.maximum(1, np.ceil(share * rows))
+            # The rank-th of so many places drawn uniformly: it falls on a row of the first value that reaches it.
+            place = r.beta(rank, rows - rank + 1) * n
+            times += np.bincount(np.minimum(np.searchsorted(upto, place), len(v) - 1), minlength=len(v))
         # A rank beyond the told values counts as the outermost one of them: it lies outside of any interval.
         first, last = int(v[0] == -np.inf), len(v) - 1 - int(v[-1] == np.inf)
-        found = v[np.clip(at, first, last)]
-        return pa.table({"series_id": pa.array([sid] * len(found), pa.int64()), "q": found})
+        ends = _percentiles(v[np.clip(np.arange(len(v)), first, last)], times, [(1 - level) / 2, (1 + level) / 2])
+        return pa.table({"series_id": pa.array([sid] * len(ends[:1]), pa.int64()), "ci_low": ends[:1], "ci_high": ends[1:]})
 
-    drawn = counts.join(blocks, "series_id").groupBy("series_id", "_block").applyInArrow(draw, "series_id long, q double")
-    spread = drawn.groupBy("series_id").agg(F.percentile("q", F.lit((1 - level) / 2)).alias("ci_low"), F.percentile("q", F.lit((1 + level) / 2)).alias("ci_high"))
+    spread = counts.groupBy("series_id").applyInArrow(draw, "series_id long, ci_low double, ci_high double")
     whole = quantiles.group_quantiles(kept, "series_id", "v", {"estimate": share})
     return sizes.join(whole, "series_id").join(spread, "series_id", "left").select("series_id", "n", "estimate", "ci_low", "ci_high")

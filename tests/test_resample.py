@@ -76,3 +76,25 @@ def test_a_report_draws_in_time(spark):
     begin = time.monotonic()
     rows = hypothesis._intervals(df, "v", {"m_": np.median, "i_": hypothesis.iqr, "r_": hypothesis.mean_rate}, 10_000, 0.95, [1, 2, 3]).collect()
     assert len(rows) == 300 and all(x[f"{p}_ci_low"] < x[f"{p}_estimate"] < x[f"{p}_ci_high"] for x in rows for p in "mi") and time.monotonic() - begin < 60
+
+
+def test_many_series_are_drawn_in_time(spark):
+    """All 10,000 resamples of 3,000 series of 60 rows, of which a few are held against draws for each row; a number for each row and resample took minutes."""
+    r = np.random.default_rng(4)
+    data = {s: r.exponential(3, 60) for s in range(3000)}
+    df = frame(spark, data).cache()
+    df.count()
+    begin = time.monotonic()
+    got = {x["series_id"]: x for x in resample.poisson_bootstrap(df, "v").collect()}
+    assert time.monotonic() - begin < 60 and set(got) == set(data)
+    for s in (0, 7):
+        found = plain(data[s], 0.5, 20_000, 6)
+        for end, q in (("ci_low", 0.025), ("ci_high", 0.975)):
+            assert np.quantile(found, q - 0.006) <= got[s][end] <= np.quantile(found, q + 0.006)
+
+
+def test_percentiles_of_counted_values():
+    v, times = np.array([1.0, 2.0, 4.0, 8.0]), np.array([3, 0, 1, 7])
+    for shares in ([0.0, 1.0], [0.025, 0.975], [0.3, 0.35]):
+        assert np.allclose(resample._percentiles(v, times, shares), np.quantile(np.repeat(v, times), shares))
+    assert len(resample._percentiles(v, 0 * times, [0.5])) == 0
