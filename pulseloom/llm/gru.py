@@ -125,16 +125,23 @@ def _by_class(shape: Shape, y: np.ndarray, classes: np.ndarray, live: np.ndarray
     return places, [(int(k), slice(ends[k] - counts[k], ends[k])) for k in np.flatnonzero(counts)]
 
 
-def _errors(z: np.ndarray, chosen: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the chosen columns of logits, and the weighted gradient by the logits; changes z."""
+#: Rows of logits that are worked on at once, which a core keeps near.
+ROWS = 512
+
+
+def _errors(z: np.ndarray, chosen: np.ndarray, weight: np.ndarray) -> float:
+    """Sum of the log probabilities of the chosen columns of logits, in rows of some weight; z becomes the weighted gradient by the logits."""
     rows = np.arange(len(z))
-    z -= z.max(axis=1, keepdims=True)
     own = z[rows, chosen]
+    top = 0
+    if z.size and max(float(z.max()), -float(z.min())) > 60:
+        top = z.max(axis=1)
+        z -= top[:, None]
     np.exp(z, out=z)
-    sums = z.sum(axis=1)
+    sums = z @ np.ones(z.shape[1], z.dtype)
     z *= (weight / sums)[:, None]
     z[rows, chosen] -= weight
-    return own - np.log(sums), z
+    return float((own - np.log(sums) - top)[weight > 0].sum())
 
 
 def _log_sums(z: np.ndarray) -> np.ndarray:
@@ -188,18 +195,22 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 256, wind
         if not live.all():
             s, ys, d = s[live], ys[live], d[live]
         classes = class_of(shape, ys)
-        z = s @ p["wc"]
-        z += p["bc"]
-        logp = z[np.arange(len(ys)), classes]
-        logp -= _log_sums(z)
+        logp = np.empty(len(ys), np.float32)
+        for at in range(0, len(ys), ROWS):
+            part = slice(at, at + ROWS)
+            z = s[part] @ p["wc"]
+            z += p["bc"]
+            logp[part] = z[np.arange(len(z)), classes[part]] - _log_sums(z)
         head, parts = _by_class(shape, ys, classes, np.ones(len(ys), bool))
         sorted_states, own = s[head], ys[head] % shape.per_class
         m = np.empty((len(head), shape.per_class), np.float32)
         for k, part in parts:
             np.dot(sorted_states[part], p["wm"][k], out=m[part])
             m[part] += p["bm"][k]
-        chosen = m[np.arange(len(head)), own]
-        logp[head] += chosen - _log_sums(m)
+        for at in range(0, len(head), ROWS):
+            part = slice(at, at + ROWS)
+            chosen = m[np.arange(at, min(at + ROWS, len(head))), own[part]]
+            logp[head[part]] += chosen - _log_sums(m[part])
         total += np.bincount(order[d], weights=logp, minlength=len(texts))
     return total
 
@@ -207,57 +218,102 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 256, wind
 def _gradients(p: dict, shape: Shape, x, y, live, starts, h):
     """Loss, gradients and last state of one window."""
     steps, lanes = x.shape
-    hidden = shape.hidden
+    hidden, kind = shape.hidden, p["wx"].dtype
+    two = 2 * hidden
     e = p["emb"][x]
-    a = e @ p["wx"] + p["b"]
-    kept, gates, news, tops, states = [], [], [], [], np.empty((steps, lanes, hidden), np.float32)
+    a = e.reshape(-1, e.shape[2]) @ p["wx"]
+    a += p["b"]
+    a = a.reshape(steps, lanes, 3 * hidden)
+    # The gates' sigmoids as tanh: sigmoid(a) = (1 + tanh(a / 2)) / 2.
+    u = p["u"].copy()
+    u[:, :two] *= kind.type(0.5)
+    a[:, :, :two] *= kind.type(0.5)
+    kept, news, tops = (np.empty((steps, lanes, hidden), kind) for _ in range(3))
+    gates, hu = np.empty((steps, lanes, two), kind), np.empty((lanes, 3 * hidden), kind)
+    # States, and a one for the biases.
+    states = np.ones((steps, lanes, hidden + 1), kind)
+    fresh = starts.any(axis=1)
     for t in range(steps):
-        h = h * ~starts[t][:, None]
-        hu = h @ p["u"]
-        zr = _sigmoid(a[t, :, : 2 * hidden] + hu[:, : 2 * hidden])
-        n = np.tanh(a[t, :, 2 * hidden :] + zr[:, hidden:] * hu[:, 2 * hidden :])
-        kept.append(h), gates.append(zr), news.append(n), tops.append(hu[:, 2 * hidden :])
-        h = n + zr[:, :hidden] * (h - n)
-        states[t] = h
-    s, ys, on = states.reshape(-1, hidden), y.ravel(), live.ravel()
+        before, zr, n = kept[t], gates[t], news[t]
+        before[:] = h
+        if fresh[t]:
+            before[starts[t]] = 0
+        np.dot(before, u, out=hu)
+        tops[t] = hu[:, two:]
+        np.add(hu[:, :two], a[t, :, :two], out=zr)
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= kind.type(0.5)
+        np.multiply(tops[t], zr[:, hidden:], out=n)
+        n += a[t, :, two:]
+        np.tanh(n, out=n)
+        h = before - n
+        h *= zr[:, :hidden]
+        h += n
+        states[t, :, :hidden] = h
+    s, ys, on = states.reshape(-1, hidden + 1), y.ravel(), live.ravel()
     classes = class_of(shape, ys)
     count = max(1, int(on.sum()))
-    g = {k: np.zeros_like(v) for k, v in p.items() if k in ("emb", "u", "wm", "bm")}
-    weight = (on / np.float32(count)).astype(s.dtype)
-    logp, d = _errors(s @ p["wc"] + p["bc"], classes, weight)
-    loss = -float(logp[on].sum())
-    g["wc"], g["bc"] = s.T @ d, d.sum(axis=0)
-    ds = d @ p["wc"].T
+    weight = on.astype(kind) / kind.type(count)
+    loss, ds = 0.0, np.empty((len(ys), hidden), kind)
+    wc, back = np.concatenate((p["wc"], p["bc"][None])), np.ascontiguousarray(p["wc"].T)
+    gc = np.zeros_like(wc)
+    for at in range(0, len(ys), ROWS):
+        part = slice(at, at + ROWS)
+        d = s[part] @ wc
+        loss -= _errors(d, classes[part], weight[part])
+        gc += s[part].T @ d
+        np.dot(d, back, out=ds[part])
     places, parts = _by_class(shape, ys, classes, on)
-    tops_of = s[places]
-    m = np.empty((len(places), shape.per_class), p["wm"].dtype)
+    tops_of, own, heavy = s[places], ys[places] % shape.per_class, weight[places]
+    m, dtops = np.empty((len(places), shape.per_class), kind), np.empty((len(places), hidden), kind)
+    wm = np.concatenate((p["wm"], p["bm"][:, None]), axis=1)
+    gm = np.zeros_like(wm)
     for k, part in parts:
-        np.dot(tops_of[part], p["wm"][k], out=m[part])
-        m[part] += p["bm"][k]
-    logp, dm = _errors(m, ys[places] % shape.per_class, weight[places])
-    loss -= float(logp.sum())
+        np.dot(tops_of[part], wm[k], out=m[part])
+    for at in range(0, len(places), ROWS):
+        part = slice(at, at + ROWS)
+        loss -= _errors(m[part], own[part], heavy[part])
     for k, part in parts:
-        np.dot(tops_of[part].T, dm[part], out=g["wm"][k])
-        g["bm"][k] = dm[part].sum(axis=0)
-        ds[places[part]] += dm[part] @ p["wm"][k].T
+        np.dot(tops_of[part].T, m[part], out=gm[k])
+        np.dot(m[part], p["wm"][k].T, out=dtops[part])
+    ds[places] += dtops
+    g = {"wc": gc[:-1], "bc": gc[-1], "wm": gm[:, :-1], "bm": gm[:, -1]}
     ds = ds.reshape(steps, lanes, hidden)
-    da = np.empty_like(a)
-    dh = np.zeros((lanes, hidden), np.float32)
+    # What does not depend on later steps, for all of them: the factors of dh in the gates, and of what goes back.
+    z, r = gates[:, :, :hidden], gates[:, :, hidden:]
+    factor = np.empty((steps, lanes, 3 * hidden), kind)
+    fz, fr, fn = factor[:, :, :hidden], factor[:, :, hidden:two], factor[:, :, two:]
+    np.subtract(kept, news, out=fz)
+    fz *= z
+    np.multiply(news, news, out=fn)
+    np.subtract(1, fn, out=fn)
+    rest = 1 - z
+    fn *= rest
+    fz *= rest
+    np.subtract(1, r, out=fr)
+    fr *= r
+    fr *= tops
+    fr *= fn
+    da, ut = np.empty_like(factor), np.ascontiguousarray(p["u"].T)
+    dhu = np.empty((steps, lanes, 3 * hidden), kind)
+    dh = np.zeros((lanes, hidden), kind)
     for t in range(steps - 1, -1, -1):
-        before, zr, n, top = kept[t], gates[t], news[t], tops[t]
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        dh = dh + ds[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        da[t] = np.concatenate((dh * (before - n) * z * (1 - z), dn * top * r * (1 - r), dn), axis=1)
-        dhu = da[t].copy()
-        dhu[:, 2 * hidden :] *= r
-        g["u"] += before.T @ dhu
-        dh = (dh * z + dhu @ p["u"].T) * ~starts[t][:, None]
+        dh += ds[t]
+        np.multiply(factor[t].reshape(lanes, 3, hidden), dh[:, None], out=da[t].reshape(lanes, 3, hidden))
+        dhu[t] = da[t]
+        dhu[t, :, two:] *= r[t]
+        dh *= z[t]
+        dh += dhu[t] @ ut
+        if fresh[t]:
+            dh[starts[t]] = 0
+    g["u"] = kept.reshape(-1, hidden).T @ dhu.reshape(-1, 3 * hidden)
     flat = da.reshape(-1, 3 * hidden)
-    g["wx"], g["b"] = e.reshape(-1, e.shape[2]).T @ flat, flat.sum(axis=0)
+    g["wx"], g["b"] = e.reshape(-1, e.shape[2]).T @ flat, np.ones(len(flat), kind) @ flat
     order = np.argsort(x.ravel(), kind="stable")
     read = x.ravel()[order]
     first = np.flatnonzero(np.concatenate(([True], read[1:] != read[:-1])))
+    g["emb"] = np.zeros_like(p["emb"])
     g["emb"][read[first]] = np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
     return loss, count, g, h
 
@@ -279,11 +335,20 @@ class Trainer:
             loss, count, g, h = _gradients(self.p, shape, x, y, doc >= 0, new, h[going])
             self.steps, self.tokens, self.loss = self.steps + 1, self.tokens + count, self.loss + loss
             rate = shape.rate / (1 + self.steps / 2000) * count / (shape.lanes * shape.window)
-            norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
+            norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
             shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             a, b = 1 - 0.9 ** min(self.steps, 1000), 1 - 0.999 ** min(self.steps, 20_000)
             for k, d in g.items():
-                d *= shrink
-                self.m[k] += np.float32(0.1) * (d - self.m[k])
-                self.v[k] += np.float32(0.001) * (d * d - self.v[k])
-                self.p[k] -= np.float32(rate / a) * self.m[k] / (np.sqrt(self.v[k] / np.float32(b)) + np.float32(1e-6))
+                m, v = self.m[k], self.v[k]
+                m *= np.float32(0.9)
+                m += d * (np.float32(0.1) * shrink)
+                v *= np.float32(0.999)
+                square = d * d
+                square *= np.float32(0.001) * shrink * shrink
+                v += square
+                step = v / np.float32(b)
+                np.sqrt(step, out=step)
+                step += np.float32(1e-6)
+                np.divide(m, step, out=step)
+                step *= np.float32(rate / a)
+                self.p[k] -= step

@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -139,11 +140,13 @@ def vocabulary(counts: DataFrame, ends: int, shape: Shape, s: Settings) -> tuple
     return vocab, per_class, classes
 
 
-def _coded(text: str, vocab: Vocabulary, shape: Shape) -> np.ndarray:
-    get, words = vocab.symbols.get, _words(text)
-    found = [get(w, -1) for w in words]
-    codes = np.array([*found, shape.end], np.int32)
-    for i in np.flatnonzero(codes < 0):
+def _looked_up(words: list[bytes], of: dict[bytes, int], missing: int) -> np.ndarray:
+    return np.fromiter(map(of.get, words, repeat(missing)), np.int64, len(words))
+
+
+def _coded(words: list[bytes], vocab: Vocabulary, shape: Shape) -> np.ndarray:
+    codes = np.append(_looked_up(words, vocab.symbols, -1), shape.end).astype(np.int32)
+    for i in np.flatnonzero(codes < 0).tolist():
         codes[i] = shape.head + tail_class(words[i])
     return codes
 
@@ -155,7 +158,7 @@ def train(sample: DataFrame, vocab, parameters: dict, shape: Shape, s: Settings)
     short = sample.filter(F.length("text") <= s.first_chars)
     first, used = [], 0
     for r in first_by(short, F.xxhash64("text"), few).orderBy("text").limit(few).collect():
-        codes = _coded(r["text"], vocab.value, shape)
+        codes = _coded(_words(r["text"]), vocab.value, shape)
         used += len(codes)
         if used > s.first_tokens:
             break
@@ -175,7 +178,8 @@ def train(sample: DataFrame, vocab, parameters: dict, shape: Shape, s: Settings)
     def own(batches):
         mine = Trainer(shared.value, shape)
         parts = (batch.slice(at, s.together) for batch in batches for at in range(0, batch.num_rows, s.together))
-        mine.learn(_coded(t, vocab.value, shape) for part in parts for t in part.column(0).to_pylist())
+        # The longest of a part first, so that lanes end together.
+        mine.learn(c for part in parts for c in sorted((_coded(_words(t), vocab.value, shape) for t in part.column(0).to_pylist()), key=len, reverse=True))
         flat = np.concatenate([mine.p[k].ravel() for k in names])
         yield averages(TaskContext.get().partitionId(), [(mine.tokens, flat)] if mine.tokens else [])
 
@@ -223,8 +227,8 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", shape: Shap
                 texts, codes, base, extra, seen, rare = part.column(1).to_pylist(), [], [], [], [], []
                 for t in texts:
                     words = _words(t)
-                    found = np.array([vocab.counts.get(w, 0) for w in words] + [vocab.ends], np.int64)
-                    coded = _coded(t, vocab, shape)
+                    found = np.append(_looked_up(words, vocab.counts, 0), vocab.ends)
+                    coded = _coded(words, vocab, shape)
                     missing = [words[i] for i in np.flatnonzero(found[:-1] == 0)]
                     logs = np.log10(found + 1.0)
                     codes.append(coded)

@@ -567,3 +567,36 @@ def test_line_sets_agree_with_sets_of_single_lines():
     for line, (keys, weights) in zip(lines, linedup._vectors(lines), strict=True):
         assert keys.tolist() == sorted(set(linedup.runs_of(line).tolist())) and (weights == 1).all() and len(weights) == len(keys)
     assert linedup._vectors([]) == []
+
+
+def test_long_texts_do_not_run_alone_at_the_end(spark, monkeypatch):
+    """Training takes no more windows than its longest text and its tokens need, wherever that text is in the table."""
+    texts = ["a b c d. " * 5] * 400 + ["a b c d. " * 1000]
+    steps = []
+    learn = lm.Trainer.learn
+
+    def counted(self, given):
+        learn(self, given)
+        steps.append(self.steps)
+
+    monkeypatch.setattr(lm.Trainer, "learn", counted)
+    shape = gru.Shape(head=8, per_class=4, embedding=4, hidden=4, window=4, lanes=4)
+    words = {b"a": 3000, b"b": 3000, b"c": 3000, b"d.": 3000}
+    vocab = lm.Vocabulary(words, {w: i for i, w in enumerate(words)}, 12_401, 5, 401, np.ones(27))
+    sample = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    p = gru.start(shape, np.ones((2, 4)), np.ones(shape.classes))
+
+    class Rows:
+        """A table of one task, in this process, so that its steps can be counted."""
+
+        sparkSession, rdd = spark, sample.rdd
+        filter, select = sample.filter, lambda self, *c: self
+
+        def mapInArrow(self, f, kind):
+            return spark.createDataFrame(pa.Table.from_batches(list(f(iter(pa.table({"text": texts}).to_batches())))))
+
+    monkeypatch.setattr(lm, "materialize", lambda df, name: df)
+    monkeypatch.setattr(lm, "TaskContext", type("One", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())}))
+    lm.train(Rows(), spark.sparkContext.broadcast(vocab), p, shape, lm.Settings(first_tokens=0))
+    tokens = sum(len(t.split()) + 1 for t in texts)
+    assert steps[-1] <= 1.1 * max(4001, tokens / shape.lanes) / shape.window
