@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,21 @@ def tail_class(word: bytes) -> int:
     return 9 * ending + 1 + (word[lead + 1] if lead + 1 < len(word) else 0) % 8
 
 
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """tail_class of each of an array of words (binary, none of them empty)."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]]
+    last = data[offsets[1:] - 1]
+    out = 9 * np.where(last == ord("."), 1, np.where(last == ord(","), 2, 0))
+    leads = np.append(np.flatnonzero(data >= 192), len(data))
+    lead = leads[np.searchsorted(leads, offsets[:-1])]
+    beyond = lead < offsets[1:]
+    out[beyond] += 1 + np.append(data, 0)[lead[beyond] + 1] % 8
+    return out.astype(np.int32)
+
+
 def start(shape: Shape, member_counts: np.ndarray, class_counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     """Parameters whose first predictions are the corpus frequencies."""
     r = np.random.default_rng(seed)
@@ -84,74 +100,134 @@ def windows(shape: Shape, texts: Iterable[np.ndarray], lanes: int, steps: int):
     held and no more. When no text is left, empty lanes go.
     """
     source = enumerate(texts)
-    held = [(None, 0, 0)] * lanes
+    held: list = [None] * lanes
+    at = [0] * lanes  # where the next window of a lane begins in its text
+    number, last = np.full(lanes, -1, np.int32), np.full(lanes, shape.end, np.int32)
     going = np.arange(lanes)
     more = True
     while True:
-        x = np.full((len(held), steps), shape.end, np.int32)
-        y, doc, new = x.copy(), np.full_like(x, -1), np.zeros(x.shape, bool)
-        for k, (text, i, at) in enumerate(held):
+        y = np.full((len(held), steps), shape.end, np.int32)
+        doc, new = np.repeat(number[:, None], steps, axis=1), np.zeros(y.shape, bool)
+        for k, (text, i) in enumerate(zip(held, at)):
+            if i and i + steps < len(text):  # all of the window is within one text
+                y[k] = text[i : i + steps]
+                at[k] = i + steps
+                continue
+            doc[k] = -1
             t = 0
             while t < steps:
                 if text is None:
-                    i, text = next(source, (0, None)) if more else (0, None)
-                    more, at = text is not None, 0
+                    number[k], text = next(source, (-1, None)) if more else (-1, None)
+                    more, i = text is not None, 0
                     if text is None:
                         break
-                n = min(steps - t, len(text) - at)
-                y[k, t : t + n] = text[at : at + n]
-                doc[k, t : t + n] = i
-                first = int(at == 0)
-                new[k, t] |= bool(first)
-                x[k, t + first : t + n] = text[at + first - 1 : at + n - 1]
-                at, t = at + n, t + n
-                if at == len(text):
-                    text = None
-            held[k] = text, i, at
-        some = np.flatnonzero(doc[:, 0] >= 0)
-        if not len(some):
-            return
-        yield (going[some], *(np.ascontiguousarray(z[some].T) for z in (x, y, doc, new)))
-        held = [held[k] for k in some]
+                n = min(steps - t, len(text) - i)
+                y[k, t : t + n] = text[i : i + n]
+                doc[k, t : t + n] = number[k]
+                new[k, t] |= i == 0
+                i, t = i + n, t + n
+                if i == len(text):
+                    text, i = None, 0
+            held[k], at[k] = text, i
+        # What is read is what came before; after the end of a text, or of all texts, that is an end.
+        x = np.concatenate((last[:, None], y[:, :-1]), axis=1)
+        x[new] = shape.end
+        last = y[:, -1]
+        live = doc[:, 0] >= 0
+        if not live.all():
+            some = np.flatnonzero(live)
+            if not len(some):
+                return
+            x, y, doc, new, number, last, going = x[some], y[some], doc[some], new[some], number[some], last[some], going[some]
+            held, at = [held[k] for k in some], [at[k] for k in some]
+        yield (going, *(np.ascontiguousarray(z.T) for z in (x, y, doc, new)))
         going = np.arange(len(held))
 
 
 def _by_class(shape: Shape, y: np.ndarray, classes: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """Places of head members in y in order of their classes, and (class, its part of them) for each class that occurs."""
     places = np.flatnonzero(live & (y < shape.head))
-    places = places[np.argsort(classes[places], kind="stable")]
-    counts = np.bincount(classes[places], minlength=shape.head_classes)
+    counts = np.bincount(of := classes.take(places).astype(np.int16), minlength=shape.head_classes)
+    places = places.take(np.argsort(of, kind="stable"))
     ends = np.cumsum(counts)
     return places, [(int(k), slice(ends[k] - counts[k], ends[k])) for k in np.flatnonzero(counts)]
 
 
-#: Rows of logits that are worked on at once, which a core keeps near.
-ROWS = 512
+#: Rows of logits, and parameters, that are worked on at once, which a core keeps near.
+ROWS, NEAR = 512, 1 << 14
 
 
-def _errors(z: np.ndarray, chosen: np.ndarray, weight: np.ndarray) -> float:
-    """Sum of the log probabilities of the chosen columns of logits, in rows of some weight; z becomes the weighted gradient by the logits."""
-    rows = np.arange(len(z))
-    own = z[rows, chosen]
+def _shifted(z: np.ndarray, axis: int):
+    """Exponentials of logits, in place, and by how much they were shifted along the axis, if any is large."""
     top = 0
     if z.size and max(float(z.max()), -float(z.min())) > 60:
-        top = z.max(axis=1)
-        z -= top[:, None]
+        top = z.max(axis=axis)
+        z -= np.expand_dims(top, axis)
     np.exp(z, out=z)
-    sums = z @ np.ones(z.shape[1], z.dtype)
-    z *= (weight / sums)[:, None]
-    z[rows, chosen] -= weight
+    return top
+
+
+def _sums(z: np.ndarray, axis: int) -> np.ndarray:
+    one = np.ones(z.shape[axis], z.dtype)
+    return z @ one if axis else one @ z
+
+
+def _errors(z: np.ndarray, chosen: np.ndarray, weight: np.ndarray, axis: int = 1) -> float:
+    """Sum of the log probabilities of the chosen columns of logits (axis 0: rows), in rows of some weight; z becomes the weighted gradient by the logits."""
+    others = np.arange(z.shape[1 - axis])
+    place = (others, chosen) if axis else (chosen, others)
+    own = z[place]
+    top = _shifted(z, axis)
+    sums = _sums(z, axis)
+    z *= np.expand_dims(weight / sums, axis)
+    z[place] -= weight
     return float((own - np.log(sums) - top)[weight > 0].sum())
 
 
-def _log_sums(z: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; changes z. Rows are shifted by their maximum where any logit is large."""
-    top = 0
-    if z.size and max(float(z.max()), -float(z.min())) > 60:
-        top = z.max(axis=1)
-        z -= top[:, None]
-    np.exp(z, out=z)
-    return np.log(z @ np.ones(z.shape[1], np.float32)) + top
+def _log_sums(z: np.ndarray, axis: int = 1) -> np.ndarray:
+    """Log of the sum of exponentials of each row (axis 0: column); changes z. Rows are shifted by their maximum where any logit is large."""
+    top = _shifted(z, axis)
+    return np.log(_sums(z, axis)) + top
+
+
+def _recurrent(p: dict, hidden: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by what is read and a one, and by the state, a row for each gate; those of the sigmoids are negated: 1 / (1 + exp(-a))."""
+    wx, u = np.concatenate((p["wx"], p["b"][None])).T.copy(), p["u"].T.copy()
+    wx[: 2 * hidden] *= -1
+    u[: 2 * hidden] *= -1
+    return wx, u
+
+
+def _read(p: dict, x: np.ndarray) -> np.ndarray:
+    """Embeddings of what is read in each step, and a one for the biases: steps x lanes x width."""
+    emb = np.concatenate((p["emb"], np.ones((len(p["emb"]), 1), p["emb"].dtype)), axis=1)
+    return emb.take(x.ravel(), axis=0).reshape(*x.shape, -1)
+
+
+def _step(e, wx, u, h, a, hu, gates, news, tops=None) -> np.ndarray:
+    """The next state, features x lanes. a, hu: room for what gates take in; gates, news, tops: get z and r, n, and what r lets through."""
+    hidden = len(h)
+    two = 2 * hidden
+    np.dot(wx, e.T, out=a)
+    np.dot(u, h, out=hu)
+    np.add(a[:two], hu[:two], out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    if tops is not None:
+        tops[:] = hu[two:]
+    # tanh(n) = 1 - 2 / (1 + exp(2 n))
+    np.multiply(hu[two:], gates[hidden:], out=news)
+    news += a[two:]
+    news *= 2
+    np.exp(news, out=news)
+    news += 1
+    np.divide(-2, news, out=news)
+    news += 1
+    out = h - news
+    out *= gates[:hidden]
+    out += news
+    return out
 
 
 def score(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 256, window: int = 16) -> np.ndarray:
@@ -161,161 +237,131 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 256, wind
         return total
     lanes = max(1, min(lanes, len(texts)))
     order = np.argsort([-len(t) for t in texts], kind="stable")  # the longest first, so that lanes end together
-    hidden, u = shape.hidden, p["u"].copy()
-    table = p["emb"] @ p["wx"] + p["b"]
-    # The gates' sigmoids as tanh: sigmoid(a) = (1 + tanh(a / 2)) / 2.
-    table[:, : 2 * hidden] /= 2
-    u[:, : 2 * hidden] /= 2
-    h = np.zeros((lanes, hidden), np.float32)
-    for going, x, y, doc, new in windows(shape, (texts[i] for i in order), lanes, window):
-        h, width = h[going], len(going)
-        states = np.empty((window, width, hidden), np.float32)
-        fresh = new.any(axis=1)
-        for t in range(window):
-            if fresh[t]:
-                h[new[t]] = 0
-            a = table[x[t]]
-            hu = h @ u
-            zr = a[:, : 2 * hidden]
-            zr += hu[:, : 2 * hidden]
-            np.tanh(zr, out=zr)
-            zr += 1
-            zr *= np.float32(0.5)
-            n = hu[:, 2 * hidden :]
-            n *= zr[:, hidden:]
-            n += a[:, 2 * hidden :]
-            np.tanh(n, out=n)
-            h -= n
-            h *= zr[:, :hidden]
-            h += n
-            states[t] = h
-        d = doc.ravel()
-        s, ys = states.reshape(-1, hidden), y.ravel()
-        live = d >= 0
-        if not live.all():
-            s, ys, d = s[live], ys[live], d[live]
-        classes = class_of(shape, ys)
-        logp = np.empty(len(ys), np.float32)
-        for at in range(0, len(ys), ROWS):
-            part = slice(at, at + ROWS)
-            z = s[part] @ p["wc"]
-            z += p["bc"]
-            logp[part] = z[np.arange(len(z)), classes[part]] - _log_sums(z)
-        head, parts = _by_class(shape, ys, classes, np.ones(len(ys), bool))
-        sorted_states, own = s[head], ys[head] % shape.per_class
-        m = np.empty((len(head), shape.per_class), np.float32)
-        for k, part in parts:
-            np.dot(sorted_states[part], p["wm"][k], out=m[part])
-            m[part] += p["bm"][k]
-        for at in range(0, len(head), ROWS):
-            part = slice(at, at + ROWS)
-            chosen = m[np.arange(at, min(at + ROWS, len(head))), own[part]]
-            logp[head[part]] += chosen - _log_sums(m[part])
-        total += np.bincount(order[d], weights=logp, minlength=len(texts))
-    return total
+    hidden = shape.hidden
+    wx, u = _recurrent(p, hidden)
+    emb = np.concatenate((p["emb"], np.ones((len(p["emb"]), 1), np.float32)), axis=1)
+    wc = np.concatenate((p["wc"], p["bc"][None])).T.copy()
+    h = np.zeros((hidden, lanes), np.float32)
+    with np.errstate(over="ignore"):  # of exp: a gate that is shut
+        for going, x, y, doc, new in windows(shape, (texts[i] for i in order), lanes, window):
+            width = len(going)
+            h = h.take(going, axis=1) if width < h.shape[1] else h
+            states, logs = np.empty((window, width, hidden), np.float32), np.empty((window, width), np.float32)
+            a, hu, gates, news = (np.empty((n * hidden, width), np.float32) for n in (3, 3, 2, 1))
+            z, one = np.empty((len(wc), width), np.float32), np.ones((hidden + 1, width), np.float32)
+            classes, at, fresh = class_of(shape, y), np.arange(width), new.any(axis=1)
+            for t in range(window):
+                if fresh[t]:
+                    h[:, new[t]] = 0
+                h = _step(emb.take(x[t], axis=0), wx, u, h, a, hu, gates, news)
+                one[:hidden] = h
+                states[t] = h.T
+                np.dot(wc, one, out=z)
+                logs[t] = z[classes[t], at] - _log_sums(z, 0)
+            live = (doc >= 0).ravel()
+            ys, logp = y.ravel(), logs.ravel()
+            head, parts = _by_class(shape, ys, classes.ravel(), live)
+            sorted_states, own = states.reshape(-1, hidden).take(head, axis=0), ys.take(head) % shape.per_class
+            m = np.empty((len(head), shape.per_class), np.float32)
+            for k, part in parts:
+                np.dot(sorted_states[part], p["wm"][k], out=m[part])
+                m[part] += p["bm"][k]
+            for i in range(0, len(head), ROWS):
+                part = slice(i, i + ROWS)
+                chosen = m[np.arange(i, min(i + ROWS, len(head))), own[part]]
+                logp[head[part]] += chosen - _log_sums(m[part])
+            d = doc.ravel()
+            if not live.all():
+                d, logp = d[live], logp[live]
+            total += np.bincount(d, weights=logp, minlength=len(texts))
+    out = np.empty_like(total)
+    out[order] = total
+    return out
 
 
 def _gradients(p: dict, shape: Shape, x, y, live, starts, h):
-    """Loss, gradients and last state of one window."""
+    """Loss, gradients and last state of one window. Within it states and gates are features x lanes, each gate a block."""
     steps, lanes = x.shape
     hidden, kind = shape.hidden, p["wx"].dtype
     two = 2 * hidden
-    e = p["emb"][x]
-    a = e.reshape(-1, e.shape[2]) @ p["wx"]
-    a += p["b"]
-    a = a.reshape(steps, lanes, 3 * hidden)
-    # The gates' sigmoids as tanh: sigmoid(a) = (1 + tanh(a / 2)) / 2.
-    u = p["u"].copy()
-    u[:, :two] *= kind.type(0.5)
-    a[:, :, :two] *= kind.type(0.5)
-    kept, news, tops = (np.empty((steps, lanes, hidden), kind) for _ in range(3))
-    gates, hu = np.empty((steps, lanes, two), kind), np.empty((lanes, 3 * hidden), kind)
-    # States, and a one for the biases.
-    states = np.ones((steps, lanes, hidden + 1), kind)
+    e = _read(p, x)
+    wx, u = _recurrent(p, hidden)
+    kept, news, tops = (np.empty((steps, hidden, lanes), kind) for _ in range(3))
+    gates, a, hu = np.empty((steps, two, lanes), kind), np.empty((3 * hidden, lanes), kind), np.empty((3 * hidden, lanes), kind)
+    classes, ys, on = class_of(shape, y), y.ravel(), live.ravel()
+    count = max(1, int(on.sum()))
+    weight = live.astype(kind) / kind.type(count)
+    loss, ds, at = 0.0, np.empty((steps, hidden, lanes), kind), np.arange(lanes)
+    # States, and a one for the biases: of a step, and of all of them with lanes first.
+    one, states = np.ones((hidden + 1, lanes), kind), np.ones((steps, lanes, hidden + 1), kind)
+    wc = np.concatenate((p["wc"], p["bc"][None])).T.copy()
+    gc, d = np.zeros_like(wc), np.empty((len(wc), lanes), kind)
     fresh = starts.any(axis=1)
+    h = h.T
     for t in range(steps):
-        before, zr, n = kept[t], gates[t], news[t]
-        before[:] = h
+        kept[t] = h
         if fresh[t]:
-            before[starts[t]] = 0
-        np.dot(before, u, out=hu)
-        tops[t] = hu[:, two:]
-        np.add(hu[:, :two], a[t, :, :two], out=zr)
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= kind.type(0.5)
-        np.multiply(tops[t], zr[:, hidden:], out=n)
-        n += a[t, :, two:]
-        np.tanh(n, out=n)
-        h = before - n
-        h *= zr[:, :hidden]
-        h += n
-        states[t, :, :hidden] = h
-    s, ys, on = states.reshape(-1, hidden + 1), y.ravel(), live.ravel()
-    classes = class_of(shape, ys)
-    count = max(1, int(on.sum()))
-    weight = on.astype(kind) / kind.type(count)
-    loss, ds = 0.0, np.empty((len(ys), hidden), kind)
-    wc, back = np.concatenate((p["wc"], p["bc"][None])), np.ascontiguousarray(p["wc"].T)
-    gc = np.zeros_like(wc)
-    for at in range(0, len(ys), ROWS):
-        part = slice(at, at + ROWS)
-        d = s[part] @ wc
-        loss -= _errors(d, classes[part], weight[part])
-        gc += s[part].T @ d
-        np.dot(d, back, out=ds[part])
-    places, parts = _by_class(shape, ys, classes, on)
-    tops_of, own, heavy = s[places], ys[places] % shape.per_class, weight[places]
+            kept[t][:, starts[t]] = 0
+        h = _step(e[t], wx, u, kept[t], a, hu, gates[t], news[t], tops[t])
+        one[:hidden] = h
+        states[t, :, :hidden] = h.T
+        np.dot(wc, one, out=d)
+        loss -= _errors(d, classes[t], weight[t], 0)
+        gc += d @ one.T
+        np.dot(p["wc"], d, out=ds[t])
+    places, parts = _by_class(shape, ys, classes.ravel(), on)
+    tops_of, own = states.reshape(-1, hidden + 1).take(places, axis=0), ys.take(places) % shape.per_class
+    heavy = weight.ravel().take(places)
     m, dtops = np.empty((len(places), shape.per_class), kind), np.empty((len(places), hidden), kind)
     wm = np.concatenate((p["wm"], p["bm"][:, None]), axis=1)
     gm = np.zeros_like(wm)
     for k, part in parts:
         np.dot(tops_of[part], wm[k], out=m[part])
-    for at in range(0, len(places), ROWS):
-        part = slice(at, at + ROWS)
+    for i in range(0, len(places), ROWS):
+        part = slice(i, i + ROWS)
         loss -= _errors(m[part], own[part], heavy[part])
     for k, part in parts:
         np.dot(tops_of[part].T, m[part], out=gm[k])
         np.dot(m[part], p["wm"][k].T, out=dtops[part])
-    ds[places] += dtops
-    g = {"wc": gc[:-1], "bc": gc[-1], "wm": gm[:, :-1], "bm": gm[:, -1]}
-    ds = ds.reshape(steps, lanes, hidden)
-    # What does not depend on later steps, for all of them: the factors of dh in the gates, and of what goes back.
-    z, r = gates[:, :, :hidden], gates[:, :, hidden:]
-    factor = np.empty((steps, lanes, 3 * hidden), kind)
-    fz, fr, fn = factor[:, :, :hidden], factor[:, :, hidden:two], factor[:, :, two:]
-    np.subtract(kept, news, out=fz)
-    fz *= z
-    np.multiply(news, news, out=fn)
-    np.subtract(1, fn, out=fn)
-    rest = 1 - z
-    fn *= rest
-    fz *= rest
-    np.subtract(1, r, out=fr)
-    fr *= r
-    fr *= tops
-    fr *= fn
-    da, ut = np.empty_like(factor), np.ascontiguousarray(p["u"].T)
-    dhu = np.empty((steps, lanes, 3 * hidden), kind)
-    dh = np.zeros((lanes, hidden), kind)
+    more = np.zeros((steps * lanes, hidden), kind)
+    more[places] = dtops
+    more = more.reshape(steps, lanes, hidden)
+    g = {"wc": np.ascontiguousarray(gc[:, :-1].T), "bc": gc[:, -1].copy(), "wm": gm[:, :-1], "bm": gm[:, -1]}
+    gu, gwx, de = np.zeros_like(u), np.zeros_like(wx), np.empty((steps, lanes, e.shape[2] - 1), kind)
+    da, dh, back = np.empty((3 * hidden, lanes), kind), np.zeros((hidden, lanes), kind), np.ascontiguousarray(p["wx"].T)
+    dz, dr, dn = da[:hidden], da[hidden:two], da[two:]
+    rest = np.empty_like(dh)
     for t in range(steps - 1, -1, -1):
         dh += ds[t]
-        np.multiply(factor[t].reshape(lanes, 3, hidden), dh[:, None], out=da[t].reshape(lanes, 3, hidden))
-        dhu[t] = da[t]
-        dhu[t, :, two:] *= r[t]
-        dh *= z[t]
-        dh += dhu[t] @ ut
+        dh += more[t].T
+        z, r, n = gates[t, :hidden], gates[t, hidden:], news[t]
+        np.subtract(1, z, out=rest)
+        rest *= dh
+        np.subtract(kept[t], n, out=dz)
+        dz *= z
+        dz *= rest
+        np.multiply(n, n, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= rest
+        np.subtract(1, r, out=dr)
+        dr *= r
+        dr *= tops[t]
+        dr *= dn
+        gwx += da @ e[t]
+        np.dot(da.T, back, out=de[t])
+        dn *= r
+        gu += da @ kept[t].T
+        dh *= z
+        dh += p["u"] @ da
         if fresh[t]:
-            dh[starts[t]] = 0
-    g["u"] = kept.reshape(-1, hidden).T @ dhu.reshape(-1, 3 * hidden)
-    flat = da.reshape(-1, 3 * hidden)
-    g["wx"], g["b"] = e.reshape(-1, e.shape[2]).T @ flat, np.ones(len(flat), kind) @ flat
-    order = np.argsort(x.ravel(), kind="stable")
-    read = x.ravel()[order]
+            dh[:, starts[t]] = 0
+    g["u"], g["wx"], g["b"] = np.ascontiguousarray(gu.T), np.ascontiguousarray(gwx[:, :-1].T), gwx[:, -1].copy()
+    order = np.argsort(x.ravel().astype(np.uint16) if shape.symbols <= 1 << 16 else x.ravel(), kind="stable")
+    read = x.ravel().take(order)
     first = np.flatnonzero(np.concatenate(([True], read[1:] != read[:-1])))
     g["emb"] = np.zeros_like(p["emb"])
-    g["emb"][read[first]] = np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
-    return loss, count, g, h
+    g["emb"][read[first]] = np.add.reduceat(de.reshape(steps * lanes, -1).take(order, axis=0), first, axis=0)
+    return loss, count, g, h.T
 
 
 class Trainer:
@@ -332,23 +378,30 @@ class Trainer:
         shape = self.shape
         h = np.zeros((shape.lanes, shape.hidden), np.float32)
         for going, x, y, doc, new in windows(shape, texts, shape.lanes, shape.window):
-            loss, count, g, h = _gradients(self.p, shape, x, y, doc >= 0, new, h[going])
+            with np.errstate(over="ignore"):  # of exp: a gate that is shut
+                loss, count, g, h = _gradients(self.p, shape, x, y, doc >= 0, new, h[going])
             self.steps, self.tokens, self.loss = self.steps + 1, self.tokens + count, self.loss + loss
             rate = shape.rate / (1 + self.steps / 2000) * count / (shape.lanes * shape.window)
             norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
             shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             a, b = 1 - 0.9 ** min(self.steps, 1000), 1 - 0.999 ** min(self.steps, 20_000)
             for k, d in g.items():
-                m, v = self.m[k], self.v[k]
-                m *= np.float32(0.9)
-                m += d * (np.float32(0.1) * shrink)
-                v *= np.float32(0.999)
-                square = d * d
-                square *= np.float32(0.001) * shrink * shrink
-                v += square
-                step = v / np.float32(b)
-                np.sqrt(step, out=step)
-                step += np.float32(1e-6)
-                np.divide(m, step, out=step)
-                step *= np.float32(rate / a)
-                self.p[k] -= step
+                flat = [z.reshape(-1) for z in (self.p[k], self.m[k], self.v[k], d)]
+                for at in range(0, d.size, NEAR):
+                    self._move(*(z[at : at + NEAR] for z in flat), shrink, rate / a, b)
+
+    @staticmethod
+    def _move(p, m, v, d, shrink, rate, b) -> None:
+        m *= np.float32(0.9)
+        step = d * (np.float32(0.1) * shrink)
+        m += step
+        v *= np.float32(0.999)
+        np.multiply(d, d, out=step)
+        step *= np.float32(0.001) * shrink * shrink
+        v += step
+        np.divide(v, np.float32(b), out=step)
+        np.sqrt(step, out=step)
+        step += np.float32(1e-6)
+        np.divide(m, step, out=step)
+        step *= np.float32(rate)
+        p -= step

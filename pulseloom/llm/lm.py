@@ -5,7 +5,8 @@ base score and the shares within tail classes. The network is trained on all
 training documents, whole, the state being carried over windows: a start on the
 driver with a bounded number of tokens, then every task goes on from there with
 its own documents, and the tasks' parameters are averaged by their tokens. All
-documents are then scored whole in the same way.
+documents are then scored whole in the same way. Texts are coded once, with what
+their counts give; training and scoring read the codes.
 
 The counts of the most frequent words are broadcast up to a fixed number; for
 all other words documents are joined with the full table of counts.
@@ -18,19 +19,18 @@ all counts are 0.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.common import first_by, materialize, text_or_empty
-from pulseloom.llm.gru import Shape, Trainer, score, start, tail_class
+from pulseloom.llm.gru import Shape, Trainer, score, start, tail_class, tail_classes
 
 
 @dataclass(frozen=True)
@@ -62,22 +62,35 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all of them, as _words has them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    n, words = pc.list_value_length(lists).to_numpy(), lists.flatten().cast(pa.binary())
+    some = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text leaves empty ones
+    kept = some.to_numpy(zero_copy_only=False)
+    if not kept.all():
+        n, words = np.bincount(np.repeat(np.arange(len(n)), n)[kept], minlength=len(n)), words.filter(some)
+    return n, words
+
+
+def _parts(batches, s: Settings):
+    return (batch.slice(at, s.together) for batch in batches for at in range(0, batch.num_rows, s.together))
+
+
 def word_counts(training: DataFrame, s: Settings) -> DataFrame:
     """(word binary, n) over all texts."""
 
     def count(batches):
-        found: Counter = Counter()
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found.update(_words(t))
-                if len(found) > s.counted:
-                    yield flush()
-                    found.clear()
-        yield flush()
+        found: list[pa.Table] = []
+        for part in _parts(batches, s):
+            counted = _split(part.column(0))[1].value_counts()
+            found.append(pa.table({"word": counted.field(0), "n": counted.field(1)}))
+            if sum(map(len, found)) > s.counted:
+                found = [pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])]
+                if len(found[0]) > s.counted:
+                    yield from found.pop().to_batches()
+        for table in found:
+            yield from table.to_batches()
 
     return training.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -104,7 +117,7 @@ def _tails(table: DataFrame) -> dict[int, tuple[int, int]]:
     def sums(batches):
         n, types = np.zeros(27, np.int64), np.zeros(27, np.int64)
         for batch in batches:
-            at = np.fromiter((tail_class(w) for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            at = tail_classes(batch.column(0))
             n += np.bincount(at, weights=batch.column(1).to_numpy(), minlength=27).astype(np.int64)
             types += np.bincount(at, minlength=27)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(27)), pa.array(n), pa.array(types)], ["tail", "n", "types"])
@@ -151,8 +164,53 @@ def _coded(words: list[bytes], vocab: Vocabulary, shape: Shape) -> np.ndarray:
     return codes
 
 
-def train(sample: DataFrame, vocab, parameters: dict, shape: Shape, s: Settings) -> dict:
-    """sample (text): texts for the network, all of which are learned whole, each once in a stream of its task. vocab: broadcast."""
+class Coder:
+    """Codes of many texts at once, and what else their words give."""
+
+    def __init__(self, vocab: Vocabulary, shape: Shape):
+        self.vocab, self.shape = vocab, shape
+        self.words = pa.array(list(vocab.counts), pa.binary())
+        # The last of each is for words that are not among them.
+        self.symbols = np.array([*(vocab.symbols[w] for w in vocab.counts), 0], np.int32)
+        self.logs = np.log10(np.array([*vocab.counts.values(), 0]) + 1.0)
+        self.tail_logs = np.zeros(shape.symbols)
+        self.tail_logs[shape.head : shape.end] = np.log10(vocab.tail_sizes)
+        self.kind = np.min_scalar_type(shape.end)
+
+    def code(self, texts: pa.Array) -> list[pa.Array]:
+        """For each text: tokens, known tokens, base score, what is to be added to the network's score, codes, and words that have no count here."""
+        if not len(texts):
+            return [pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))]
+        vocab, shape = self.vocab, self.shape
+        n, words = _split(texts)
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        missing = at < 0
+        rare = words.filter(pa.array(missing))
+        symbols, sizes = self.symbols[at], n + 1
+        symbols[missing] = shape.head + tail_classes(rare)
+        starts, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
+        inner = np.ones(int(sizes.sum()), bool)
+        inner[ends] = False
+        codes, logs, seen = np.full(len(inner), shape.end, self.kind), np.full(len(inner), np.log10(vocab.ends + 1.0)), np.full(len(inner), int(vocab.ends > 0))
+        codes[inner], logs[inner], seen[inner] = symbols, self.logs[at], ~missing
+        tail = np.where((codes >= shape.head) & (codes < shape.end), logs, 0) - self.tail_logs[codes]
+        base, extra, seen = (np.add.reduceat(x, starts) for x in (logs, tail, seen))
+        base -= sizes * np.log10(vocab.tokens + vocab.types + 1)
+        places = np.append(starts, len(codes)) * codes.itemsize
+        coded = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(codes)])
+        many = np.concatenate(([0], np.cumsum(missing)))[np.concatenate(([0], np.cumsum(n)))]
+        return [pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(extra), coded, pa.ListArray.from_arrays(pa.array(many, pa.int32()), rare)]
+
+
+def _sequences(coded: pa.Array, shape: Shape) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.min_scalar_type(shape.end)) for x in coded.to_pylist()]
+
+
+def train(sample: DataFrame, vocab, parameters: dict, shape: Shape, s: Settings, coded: DataFrame | None = None) -> dict:
+    """sample (text): texts for the network, all of which are learned whole, each once in a stream of its task. vocab: broadcast.
+
+    coded (codes): the same texts, if they were coded already.
+    """
     spark = sample.sparkSession
     few = max(1, s.first_tokens // 200)
     short = sample.filter(F.length("text") <= s.first_chars)
@@ -166,7 +224,7 @@ def train(sample: DataFrame, vocab, parameters: dict, shape: Shape, s: Settings)
     trainer = Trainer(parameters, shape)
     trainer.learn(first)
     shared = spark.sparkContext.broadcast(trainer.p)
-    names = sorted(parameters)
+    names, done = sorted(parameters), coded is not None
 
     def averages(part: int, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         """The mean of parameters, weighted by tokens."""
@@ -177,9 +235,10 @@ def train(sample: DataFrame, vocab, parameters: dict, shape: Shape, s: Settings)
 
     def own(batches):
         mine = Trainer(shared.value, shape)
-        parts = (batch.slice(at, s.together) for batch in batches for at in range(0, batch.num_rows, s.together))
+        coder = None if done else Coder(vocab.value, shape)
+        columns = (part.column(0) if done else coder.code(part.column(0))[4] for part in _parts(batches, s))
         # The longest of a part first, so that lanes end together.
-        mine.learn(c for part in parts for c in sorted((_coded(_words(t), vocab.value, shape) for t in part.column(0).to_pylist()), key=len, reverse=True))
+        mine.learn(c for column in columns for c in sorted(_sequences(column, shape), key=len, reverse=True))
         flat = np.concatenate([mine.p[k].ravel() for k in names])
         yield averages(TaskContext.get().partitionId(), [(mine.tokens, flat)] if mine.tokens else [])
 
@@ -188,7 +247,8 @@ def train(sample: DataFrame, vocab, parameters: dict, shape: Shape, s: Settings)
         return pa.Table.from_batches([averages(rows["part"][0].as_py() // s.averaged, found)])
 
     kind = "part long, tokens long, mean binary"
-    level, many = materialize(sample.select("text").mapInArrow(own, kind), "parameters"), sample.rdd.getNumPartitions()
+    given = sample.select("text") if coded is None else coded.select("codes")
+    level, many = materialize(given.mapInArrow(own, kind), "parameters"), given.rdd.getNumPartitions()
     while many > s.averaged:
         level = level.groupBy(F.floor(F.col("part") / s.averaged)).applyInArrow(mean, kind)
         many = -(-many // s.averaged)
@@ -213,43 +273,33 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", shape: Shap
     vocab, member, classes = vocabulary(counts, ends, shape, s)
     known = spark.sparkContext.broadcast(vocab)
     sample = training if s.share == 1 else training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.share)) == 0)
-    parameters = train(sample, known, start(shape, member, classes), shape, s)
-    trained = spark.sparkContext.broadcast(parameters)
 
-    def of(batches):
+    def code(batches):
         place = TaskContext.get().partitionId() << 36
-        vocab, p = known.value, trained.value
-        tail_logs = np.zeros(shape.symbols)
-        tail_logs[shape.head : shape.end] = np.log10(vocab.tail_sizes)
-        for batch in batches:
-            for at in range(0, batch.num_rows, s.together):
-                part = batch.slice(at, s.together)
-                texts, codes, base, extra, seen, rare = part.column(1).to_pylist(), [], [], [], [], []
-                for t in texts:
-                    words = _words(t)
-                    found = np.append(_looked_up(words, vocab.counts, 0), vocab.ends)
-                    coded = _coded(words, vocab, shape)
-                    missing = [words[i] for i in np.flatnonzero(found[:-1] == 0)]
-                    logs = np.log10(found + 1.0)
-                    codes.append(coded)
-                    base.append(float(logs.sum()))
-                    tail = (coded >= shape.head) & (coded < shape.end)
-                    extra.append(float(logs[tail].sum() - tail_logs[coded].sum()))
-                    seen.append(int((found > 0).sum()))
-                    rare.append(missing)
-                sizes = [len(c) for c in codes]
-                modelled = score(p, shape, codes) / np.log(10) + np.array(extra)
-                base_scores = np.array(base) - np.array(sizes) * np.log10(vocab.tokens + vocab.types + 1)
-                rows = pa.array(range(place, place + len(texts)), pa.int64())
-                place += len(texts)
-                columns = [rows, part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array(base_scores), pa.array(modelled), pa.array(rare, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    scored = chosen.mapInArrow(of, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>")
+        coder = Coder(known.value, shape)
+        for part in _parts(batches, s):
+            rows = pa.array(range(place, place + part.num_rows), pa.int64())
+            place += part.num_rows
+            yield pa.RecordBatch.from_arrays([rows, part.column(0), part.column(2), part.column(3), *coder.code(part.column(1))], names)
+
+    kept = "row long, doc_id long, held_out boolean, sampled boolean, n_tokens long, n_known long, base_score double"
+    kind = f"{kept}, extra double, codes binary, rare array<binary>"
+    names = [column.split()[0] for column in kind.split(", ")]
+    chosen = chosen.withColumn("sampled", ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.share)) == 0))
+    coded = materialize(chosen.mapInArrow(code, kind), "coded")
+    trained = spark.sparkContext.broadcast(train(sample, known, start(shape, member, classes), shape, s, coded.filter("sampled")))
+
+    def of(batches):
+        for part in _parts(batches, s):
+            modelled = score(trained.value, shape, _sequences(part.column("codes"), shape)) / np.log(10) + part.column("extra").to_numpy()
+            columns = [part.column(name) for name in names[:7]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(modelled, pa.float64())], [*names[:7], "score"])
+
+    scored = coded.drop("rare").mapInArrow(of, f"{kept}, score double")
     scored = materialize(scored, "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    rare = coded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
-    out = scored.drop("rare").join(found, "row", "left")
+    out = scored.join(found, "row", "left")
     more = F.coalesce("logs", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
