@@ -157,10 +157,15 @@ def _by_class(shape: Shape, y: np.ndarray, classes: np.ndarray, live: np.ndarray
 ROWS, NEAR = 512, 1 << 14
 
 
-def _shifted(z: np.ndarray, axis: int):
+def _calm(w: np.ndarray, axis: int) -> bool:
+    """Whether logits stay small whatever the state, which is between -1 and 1; w: weights and biases, summed along the axis."""
+    return float(np.abs(w).sum(axis=axis).max(initial=0)) < 60
+
+
+def _shifted(z: np.ndarray, axis: int, calm: bool):
     """Exponentials of logits, in place, and by how much they were shifted along the axis, if any is large."""
     top = 0
-    if z.size and max(float(z.max()), -float(z.min())) > 60:
+    if not calm and z.size and max(float(z.max()), -float(z.min())) > 60:
         top = z.max(axis=axis)
         z -= np.expand_dims(top, axis)
     np.exp(z, out=z)
@@ -172,21 +177,21 @@ def _sums(z: np.ndarray, axis: int) -> np.ndarray:
     return z @ one if axis else one @ z
 
 
-def _errors(z: np.ndarray, chosen: np.ndarray, weight: np.ndarray, axis: int = 1) -> float:
+def _errors(z: np.ndarray, chosen: np.ndarray, weight: np.ndarray, axis: int = 1, calm: bool = False) -> float:
     """Sum of the log probabilities of the chosen columns of logits (axis 0: rows), in rows of some weight; z becomes the weighted gradient by the logits."""
     others = np.arange(z.shape[1 - axis])
     place = (others, chosen) if axis else (chosen, others)
     own = z[place]
-    top = _shifted(z, axis)
+    top = _shifted(z, axis, calm)
     sums = _sums(z, axis)
     z *= np.expand_dims(weight / sums, axis)
     z[place] -= weight
     return float((own - np.log(sums) - top)[weight > 0].sum())
 
 
-def _log_sums(z: np.ndarray, axis: int = 1) -> np.ndarray:
+def _log_sums(z: np.ndarray, axis: int = 1, calm: bool = False) -> np.ndarray:
     """Log of the sum of exponentials of each row (axis 0: column); changes z. Rows are shifted by their maximum where any logit is large."""
-    top = _shifted(z, axis)
+    top = _shifted(z, axis, calm)
     return np.log(_sums(z, axis)) + top
 
 
@@ -240,13 +245,14 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 256, wind
     hidden = shape.hidden
     wx, u = _recurrent(p, hidden)
     emb = np.concatenate((p["emb"], np.ones((len(p["emb"]), 1), np.float32)), axis=1)
-    wc = np.concatenate((p["wc"], p["bc"][None])).T.copy()
+    wc, wm = np.concatenate((p["wc"], p["bc"][None])).T.copy(), np.concatenate((p["wm"], p["bm"][:, None]), axis=1)
+    calm_c, calm_m = _calm(wc, 1), _calm(wm, 1)
     h = np.zeros((hidden, lanes), np.float32)
     with np.errstate(over="ignore"):  # of exp: a gate that is shut
         for going, x, y, doc, new in windows(shape, (texts[i] for i in order), lanes, window):
             width = len(going)
             h = h.take(going, axis=1) if width < h.shape[1] else h
-            states, logs = np.empty((window, width, hidden), np.float32), np.empty((window, width), np.float32)
+            states, logs = np.ones((window, width, hidden + 1), np.float32), np.empty((window, width), np.float32)
             a, hu, gates, news = (np.empty((n * hidden, width), np.float32) for n in (3, 3, 2, 1))
             z, one = np.empty((len(wc), width), np.float32), np.ones((hidden + 1, width), np.float32)
             classes, at, fresh = class_of(shape, y), np.arange(width), new.any(axis=1)
@@ -255,21 +261,20 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 256, wind
                     h[:, new[t]] = 0
                 h = _step(emb.take(x[t], axis=0), wx, u, h, a, hu, gates, news)
                 one[:hidden] = h
-                states[t] = h.T
+                states[t, :, :hidden] = h.T
                 np.dot(wc, one, out=z)
-                logs[t] = z[classes[t], at] - _log_sums(z, 0)
+                logs[t] = z[classes[t], at] - _log_sums(z, 0, calm_c)
             live = (doc >= 0).ravel()
             ys, logp = y.ravel(), logs.ravel()
             head, parts = _by_class(shape, ys, classes.ravel(), live)
-            sorted_states, own = states.reshape(-1, hidden).take(head, axis=0), ys.take(head) % shape.per_class
+            sorted_states, own = states.reshape(-1, hidden + 1).take(head, axis=0), ys.take(head) % shape.per_class
             m = np.empty((len(head), shape.per_class), np.float32)
             for k, part in parts:
-                np.dot(sorted_states[part], p["wm"][k], out=m[part])
-                m[part] += p["bm"][k]
+                np.dot(sorted_states[part], wm[k], out=m[part])
             for i in range(0, len(head), ROWS):
                 part = slice(i, i + ROWS)
                 chosen = m[np.arange(i, min(i + ROWS, len(head))), own[part]]
-                logp[head[part]] += chosen - _log_sums(m[part])
+                logp[head[part]] += chosen - _log_sums(m[part], 1, calm_m)
             d = doc.ravel()
             if not live.all():
                 d, logp = d[live], logp[live]
@@ -295,7 +300,7 @@ def _gradients(p: dict, shape: Shape, x, y, live, starts, h):
     # States, and a one for the biases: of a step, and of all of them with lanes first.
     one, states = np.ones((hidden + 1, lanes), kind), np.ones((steps, lanes, hidden + 1), kind)
     wc = np.concatenate((p["wc"], p["bc"][None])).T.copy()
-    gc, d = np.zeros_like(wc), np.empty((len(wc), lanes), kind)
+    gc, d, calm = np.zeros_like(wc), np.empty((len(wc), lanes), kind), _calm(wc, 1)
     fresh = starts.any(axis=1)
     h = h.T
     for t in range(steps):
@@ -306,7 +311,7 @@ def _gradients(p: dict, shape: Shape, x, y, live, starts, h):
         one[:hidden] = h
         states[t, :, :hidden] = h.T
         np.dot(wc, one, out=d)
-        loss -= _errors(d, classes[t], weight[t], 0)
+        loss -= _errors(d, classes[t], weight[t], 0, calm)
         gc += d @ one.T
         np.dot(p["wc"], d, out=ds[t])
     places, parts = _by_class(shape, ys, classes.ravel(), on)
@@ -314,12 +319,12 @@ def _gradients(p: dict, shape: Shape, x, y, live, starts, h):
     heavy = weight.ravel().take(places)
     m, dtops = np.empty((len(places), shape.per_class), kind), np.empty((len(places), hidden), kind)
     wm = np.concatenate((p["wm"], p["bm"][:, None]), axis=1)
-    gm = np.zeros_like(wm)
+    gm, calm = np.zeros_like(wm), _calm(wm, 1)
     for k, part in parts:
         np.dot(tops_of[part], wm[k], out=m[part])
     for i in range(0, len(places), ROWS):
         part = slice(i, i + ROWS)
-        loss -= _errors(m[part], own[part], heavy[part])
+        loss -= _errors(m[part], own[part], heavy[part], 1, calm)
     for k, part in parts:
         np.dot(tops_of[part].T, m[part], out=gm[k])
         np.dot(m[part], p["wm"][k].T, out=dtops[part])
@@ -385,23 +390,23 @@ class Trainer:
             norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
             shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             a, b = 1 - 0.9 ** min(self.steps, 1000), 1 - 0.999 ** min(self.steps, 20_000)
+            # m and v are kept without the factors 0.1 and 0.001 of what comes in.
+            scale = np.sqrt(b / 0.001)
             for k, d in g.items():
                 flat = [z.reshape(-1) for z in (self.p[k], self.m[k], self.v[k], d)]
                 for at in range(0, d.size, NEAR):
-                    self._move(*(z[at : at + NEAR] for z in flat), shrink, rate / a, b)
+                    self._move(*(z[at : at + NEAR] for z in flat), shrink, 0.1 * rate / a * scale, 1e-6 * scale)
 
     @staticmethod
-    def _move(p, m, v, d, shrink, rate, b) -> None:
+    def _move(p, m, v, d, shrink, rate, least) -> None:
+        step = d * shrink
         m *= np.float32(0.9)
-        step = d * (np.float32(0.1) * shrink)
         m += step
+        step *= step
         v *= np.float32(0.999)
-        np.multiply(d, d, out=step)
-        step *= np.float32(0.001) * shrink * shrink
         v += step
-        np.divide(v, np.float32(b), out=step)
-        np.sqrt(step, out=step)
-        step += np.float32(1e-6)
+        np.sqrt(v, out=step)
+        step += np.float32(least)
         np.divide(m, step, out=step)
         step *= np.float32(rate)
         p -= step

@@ -178,9 +178,9 @@ class Coder:
         self.kind = np.min_scalar_type(shape.end)
 
     def code(self, texts: pa.Array) -> list[pa.Array]:
-        """For each text: tokens, known tokens, base score, what is to be added to the network's score, codes, and words that have no count here."""
+        """For each text: tokens, known tokens, base score, what is to be added to the network's score, codes, and each word that has no count here and how often it occurs."""
         if not len(texts):
-            return [pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))]
+            return [pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))]
         vocab, shape = self.vocab, self.shape
         n, words = _split(texts)
         at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
@@ -198,8 +198,17 @@ class Coder:
         base -= sizes * np.log10(vocab.tokens + vocab.types + 1)
         places = np.append(starts, len(codes)) * codes.itemsize
         coded = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(codes)])
-        many = np.concatenate(([0], np.cumsum(missing)))[np.concatenate(([0], np.cumsum(n)))]
-        return [pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(extra), coded, pa.ListArray.from_arrays(pa.array(many, pa.int32()), rare)]
+        words, times, many = _grouped(rare, np.repeat(np.arange(len(n)), n)[missing], len(n))
+        return [pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(extra), coded, pa.ListArray.from_arrays(many, words), pa.ListArray.from_arrays(many, times)]
+
+
+def _grouped(words: pa.Array, texts: np.ndarray, n: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The different words of each of n texts, how often each occurs there, and where a text's begin. texts: the text of each word."""
+    named = words.dictionary_encode()
+    pairs, times = np.unique(texts * max(1, len(named.dictionary)) + named.indices.to_numpy(), return_counts=True)
+    of, word = np.divmod(pairs, max(1, len(named.dictionary)))
+    many = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n))))
+    return named.dictionary.take(pa.array(word)), pa.array(times, pa.int64()), pa.array(many, pa.int32())
 
 
 def _sequences(coded: pa.Array, shape: Shape) -> list[np.ndarray]:
@@ -283,7 +292,7 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", shape: Shap
             yield pa.RecordBatch.from_arrays([rows, part.column(0), part.column(2), part.column(3), *coder.code(part.column(1))], names)
 
     kept = "row long, doc_id long, held_out boolean, sampled boolean, n_tokens long, n_known long, base_score double"
-    kind = f"{kept}, extra double, codes binary, rare array<binary>"
+    kind = f"{kept}, extra double, codes binary, rare array<binary>, times array<long>"
     names = [column.split()[0] for column in kind.split(", ")]
     chosen = chosen.withColumn("sampled", ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.share)) == 0))
     coded = materialize(chosen.mapInArrow(code, kind), "coded")
@@ -295,9 +304,9 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", shape: Shap
             columns = [part.column(name) for name in names[:7]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(modelled, pa.float64())], [*names[:7], "score"])
 
-    scored = coded.drop("rare").mapInArrow(of, f"{kept}, score double")
+    scored = coded.drop("rare", "times").mapInArrow(of, f"{kept}, score double")
     scored = materialize(scored, "scored")
-    rare = coded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
     out = scored.join(found, "row", "left")
     more = F.coalesce("logs", F.lit(0.0))

@@ -604,17 +604,18 @@ def test_long_texts_do_not_run_alone_at_the_end(spark, monkeypatch):
 
 def test_texts_are_coded_once_as_words_are(spark, docs, monkeypatch):
     """Training and scoring read codes that were written once; in them a word is what it is by itself."""
-    texts = ["", " \n", "A b\x0bb ", "\x1cq É. é, 日本 a, b. 日. Ω", "x" * 99 + ". \u00a0 \u0085", "b zz b"]
+    texts = ["", " \n", "A b\x0bb ", "\x1cq É. é, 日本 a, b. 日. Ω", "x" * 99 + ". \u00a0 \u0085", "b zz b yy zz"]
     words = [t.encode().lower().split() for t in texts]
     shape = gru.Shape(head=2, per_class=2)
     counts = {b"b": 5, b"a": 3, "é,".encode(): 2}
     vocab = lm.Vocabulary(counts, {b"b": 0, b"a": 1, "é,".encode(): 2 + gru.tail_class("é,".encode())}, 40, 9, 6, np.arange(2, 29))
-    n, known, base, extra, coded, rare = (c.to_pylist() for c in lm.Coder(vocab, shape).code(pa.array([*texts, "cut off"]).slice(0, len(texts))))
+    n, known, base, extra, coded, rare, times = (c.to_pylist() for c in lm.Coder(vocab, shape).code(pa.array([*texts, "cut off"]).slice(0, len(texts))))
     for i, w in enumerate(words):
         codes = [*(vocab.symbol(x, shape) for x in w), shape.end]
         logs = [*(math.log10(counts.get(x, 0) + 1) for x in w), math.log10(7)]
         assert np.frombuffer(coded[i], np.uint8).tolist() == codes and lm._coded(w, vocab, shape).tolist() == codes
-        assert (n[i], known[i], rare[i]) == (len(w) + 1, sum(x in counts for x in w) + 1, [x for x in w if x not in counts])
+        assert (n[i], known[i]) == (len(w) + 1, sum(x in counts for x in w) + 1)
+        assert len(rare[i]) == len(times[i]) and dict(zip(rare[i], times[i])) == collections.Counter(x for x in w if x not in counts)
         assert math.isclose(base[i], sum(logs) - n[i] * math.log10(50), abs_tol=1e-9)
         tail = [(x, c) for x, c in zip(logs, codes) if 2 <= c < shape.end]
         assert math.isclose(extra[i], sum(x - math.log10(vocab.tail_sizes[c - 2]) for x, c in tail), abs_tol=1e-9)
